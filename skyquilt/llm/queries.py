@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
+from . import licenses
+from .decontaminate import op1_benchmark_decontamination
+from .licenses import op2_license_scan
 from .packing import op9_best_fit_packing
+from .quality import op10_quality_classifier
 from .sharding import op3_hypergeometric_sharding
+from .warc import op5_indexed_warc
 
-QUERIES = {f.__name__: f for f in (op3_hypergeometric_sharding, op9_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op2_license_scan,
+        op3_hypergeometric_sharding,
+        op5_indexed_warc,
+        op9_best_fit_packing,
+        op10_quality_classifier,
+    )
+}
+ORACLE: dict[str, str] = {"op2_license_scan": licenses.oracle()}
