@@ -18,8 +18,10 @@ from .common import Stage, union_all
 K1, B = 1.2, 0.75
 #: Items of one index; more items are searched in blocks of this many, so what is sent to tasks is bounded.
 BLOCK_ITEMS = 20_000
-#: Postings for which one maximum is kept.
-BLOCK = 64
+#: Neighbouring items of a list for which one maximum is kept. Blocks start at multiples, so those of all lists align.
+BLOCK = 4
+#: Entries of block bounds that are added up at once.
+ENTRIES = 1 << 20
 #: Share of an item's own score that a passage must reach, and share of 5-word shingles of question and answer.
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 
@@ -84,52 +86,62 @@ class Index:
         self.window = 2 * max(64, longest)
         self.items = [[i for i, _ in p] for p in postings]
         self.impacts = [[x for _, x in p] for p in postings]
-        self.block_max = [[max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for x in self.impacts]
-        self.max = np.array([max(x, default=0.0) for x in self.impacts] + [0.0])
-
-    def search(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """All items that score ``least`` or more, by block-max WAND."""
+        self.max = [max(x, default=0.0) for x in self.impacts]
+        # Block maxima of all lists, one after another: word t has those from first[t] to first[t + 1].
+        self.blocks = -(-len(texts) // BLOCK)
+        block_max: list[dict[int, float]] = []
+        for p in postings:
+            block_max.append({})
+            for i, x in p:
+                block_max[-1][i // BLOCK] = max(x, block_max[-1].get(i // BLOCK, 0.0))
+        self.first = np.cumsum([0, *map(len, block_max)])
+        self.block_of = np.array([b for m in block_max for b in m], np.int64)
+        self.block_max = np.array([x for m in block_max for x in m.values()])
+
+    def bounds(self, window: np.ndarray, term: np.ndarray, windows: int) -> np.ndarray:
+        """For every window and block of items, the sum of the block's maxima over the window's words."""
+        size = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        key = np.repeat(window, size) * self.blocks + self.block_of[at]
+        return np.bincount(key, self.block_max[at], windows * self.blocks).reshape(windows, self.blocks)
+
+    def search(self, terms: list[int], bound: np.ndarray, least: float) -> list[tuple[int, float]]:
+        """All items that score ``least`` or more, by WAND over the lists; blocks whose ``bound`` is lower are passed over."""
         slack, end = least - 1e-9, len(self.checks)
-        lists = sorted((self.items[t][0], t, 0) for t in terms.tolist())
+        live = np.append(np.flatnonzero(bound >= slack) * BLOCK, end).tolist()
+        lists = sorted((self.items[t][0], t, 0) for t in terms)
         top, found = self.max, []
         while lists:
-            bound, pivot = 0.0, -1
-            for k, (item, t, _) in enumerate(lists):
-                bound += top[t]
-                if bound >= slack:
+            total, pivot = 0.0, -1
+            for k, (_, t, _) in enumerate(lists):
+                total += top[t]
+                if total >= slack:
                     pivot = k
                     break
             if pivot < 0:
                 break
             at = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == at:
-                pivot += 1
-            blocks, stop = 0.0, end
-            for _, t, pos in lists[: pivot + 1]:
-                k = bisect.bisect_left(self.items[t], at, pos) // BLOCK
-                if k < len(self.block_max[t]):
-                    blocks += self.block_max[t][k]
-                    last = min((k + 1) * BLOCK, len(self.items[t])) - 1
-                    stop = min(stop, self.items[t][last] + 1)
-            if blocks >= slack:
-                if lists[0][0] == at:
-                    score = sum(self.impacts[t][pos] for item, t, pos in lists[: pivot + 1] if item == at)
-                    if score >= slack:
-                        found.append((at, score))
-                    target = at + 1
-                else:
-                    target = at
+            start = live[bisect.bisect_right(live, at) - 1] if at >= live[0] else -BLOCK
+            if at >= start + BLOCK:
+                target = live[bisect.bisect_right(live, at)]  # the next block that can hold a hit
+            elif lists[0][0] == at:
+                score = sum(self.impacts[t][pos] for item, t, pos in lists if item == at)
+                if score >= slack:
+                    found.append((at, score))
+                target = at + 1
             else:
-                target = max(at + 1, min(stop, lists[pivot + 1][0] if pivot + 1 < len(lists) else end))
+                target = at
+            if target >= end:
+                break
             moved = []
-            for item, t, pos in lists[: pivot + 1]:
+            for item, t, pos in lists:
                 if item < target:
                     pos = bisect.bisect_left(self.items[t], target, pos)
                     if pos == len(self.items[t]):
                         continue
                     item = self.items[t][pos]
                 moved.append((item, t, pos))
-            lists = sorted(moved + lists[pivot + 1 :])
+            lists = sorted(moved)
         return found
 
     def leaks(self, text: str | None, least: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, tuple[float, float, float]]:
@@ -138,8 +150,6 @@ class Index:
         words = terms_of(text)
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         best: dict[int, tuple[float, float, float]] = {}
-        half = self.window // 2
-        starts = np.arange(0, max(1, len(ids) - half), half)
         known = np.flatnonzero(ids >= 0)
         if not len(known):
             return best
@@ -148,18 +158,24 @@ class Index:
         before = np.full(len(ids), -1, np.int64)
         same = ids[order[1:]] == ids[order[:-1]]
         before[order[1:][same]] = order[:-1][same]
-        padded = np.concatenate([self.max[ids], np.zeros(self.window)])
-        places = starts[:, None] + np.arange(self.window)
-        bound = np.where(np.concatenate([before, np.full(self.window, -1)])[places] < starts[:, None], padded[places], 0.0).sum(1)
-        for s in starts[bound >= least - 1e-9].tolist():
-            passage = ids[s : s + self.window]
-            terms = np.unique(passage)
-            for item, score in self.search(terms[terms >= 0], least):
-                q, a, nq, na = self.checks[item]
-                part_q = len(q & grams(passage, nq)) / len(q) if q else 1.0
-                part_a = len(a & grams(passage, na)) / len(a) if a else 1.0
-                if part_q >= overlap and part_a >= overlap and (q or a):
-                    best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, part_q, part_a))
+        half = self.window // 2
+        every = np.arange(0, max(1, len(ids) - half), half)
+        step = max(1, ENTRIES // (self.window * max(1, self.blocks)))
+        for starts in (every[k : k + step] for k in range(0, len(every), step)):
+            places = np.minimum(starts[:, None] + np.arange(self.window), len(ids))
+            distinct = np.append(before, -1)[places] < starts[:, None]
+            term = np.append(ids, -1)[places]
+            window, column = np.nonzero(distinct & (term >= 0))
+            term = term[window, column]
+            bounds = self.bounds(window, term, len(starts))
+            for k in np.flatnonzero(bounds.max(1) >= least - 1e-9).tolist():
+                passage = ids[starts[k] : starts[k] + self.window]
+                for item, score in self.search(term[window == k].tolist(), bounds[k], least):
+                    q, a, nq, na = self.checks[item]
+                    part_q = len(q & grams(passage, nq)) / len(q) if q else 1.0
+                    part_a = len(a & grams(passage, na)) / len(a) if a else 1.0
+                    if part_q >= overlap and part_a >= overlap and (q or a):
+                        best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, part_q, part_a))
         return best
 
 
