@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from . import licenses
 from .decontaminate import op1_benchmark_decontamination
+from .embeddings import op6_cover_tree_links
+from .jaccard import op7_token_combination_join
 from .licenses import op2_license_scan
 from .packing import op9_best_fit_packing
 from .quality import op10_quality_classifier
@@ -17,6 +19,8 @@ QUERIES = {
         op2_license_scan,
         op3_hypergeometric_sharding,
         op5_indexed_warc,
+        op6_cover_tree_links,
+        op7_token_combination_join,
         op9_best_fit_packing,
         op10_quality_classifier,
     )

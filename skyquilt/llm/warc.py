@@ -7,18 +7,21 @@ import hashlib
 import re
 import urllib.parse
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stage, utf8
 
 #: Equal payloads below this size are written out each time.
 REVISIT_BYTES = 100
+#: zlib level of the records.
+LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "key string, page_id long, url string, archive string, offset long, length long, payload_digest string, payload_bytes long, record_type string, refers_to long"
 _INDEX_KINDS = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -30,7 +33,7 @@ def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def record(kind: str, key: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """One WARC/1.1 record. A revisit carries the HTTP header only; both kinds name digest and size of the full payload."""
+    """One WARC/1.1 record, a gzip member of its own. A revisit carries the HTTP header only; both kinds name digest and size of the full payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{key}>", f"WARC-Date: {DATE}"]
@@ -40,11 +43,13 @@ def record(kind: str, key: str, url: str | None, payload: bytes, digest: str, re
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{refers_to}>"]
     head.append(f"Content-Length: {len(block)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (lower-case names) and payload of one record."""
+    """Header fields (lower-case names) and payload of one compressed record."""
+    data = zlib.decompress(data, 31)
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -61,7 +66,7 @@ def record_key(page_id: int | None, place: int) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_OID, f"{page_id}/{place}"))
 
 
-def write_archives(pages: DataFrame, stage: Stage, *, archive_rows: int = 2000) -> DataFrame:
+def write_archives(pages: DataFrame, stage: Stage) -> DataFrame:
     """Writes one record for each page into archives in the shared folder; returns the staged index.
 
     Of pages with equal payloads of at least 100 bytes, the one with the smallest page_id is a response
@@ -73,23 +78,25 @@ def write_archives(pages: DataFrame, stage: Stage, *, archive_rows: int = 2000)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    copies = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(copies, "payload_digest", "left")
-    n = max(1, -(-pages.count() // archive_rows))
+    # Null ids are dealt by url; the keys of copies are joined first, so that payloads are exchanged once.
+    rows = rows.withColumn("deal", F.coalesce(F.col("page_id"), F.xxhash64("url", "payload_digest")))
+    large = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).select("page_id", "deal", "payload_digest")
+    copies = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = stage.write(large.join(copies, "payload_digest").select("deal", "payload_digest", "first").distinct(), "copies")
+    order = Window.partitionBy("deal", "payload_digest").orderBy("url")
+    rows = rows.join(firsts, ["deal", "payload_digest"], "left").withColumn("place", F.row_number().over(order) - 1)
     root = f"{stage.root}/archives"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(root)
         fs.create_dir(path, recursive=True)
         task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}-{task.stageId()}-{task.taskAttemptId()}.warc"
-        at, last, place = 0, None, 0
-        with fs.open_output_stream(f"{path}/{name}") as out:
+        name = f"part-{task.partitionId():05d}-{task.stageId()}-{task.taskAttemptId()}.warc.gz"
+        at = 0
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
             for batch in batches:
                 index: list[tuple] = []
-                for page_id, url, body, digest, size, first in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                    place = place + 1 if last == (page_id, digest) else 0
-                    last = (page_id, digest)
+                for page_id, url, body, digest, size, first, place in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                     again = first is not None and (page_id != first or place > 0)
                     kind = "revisit" if again else "response"
                     key = record_key(page_id, (task.partitionId() << 32) + at if page_id is None or place else 0)
@@ -99,9 +106,7 @@ def write_archives(pages: DataFrame, stage: Stage, *, archive_rows: int = 2000)
                     at += len(data)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*index, strict=True), _INDEX_KINDS, strict=True)] if index else [pa.array([], f.type) for f in _INDEX_KINDS], schema=_INDEX_KINDS)
 
-    # Null ids are dealt by url; rows of one id and payload stay together, in order.
-    deal = F.coalesce(F.col("page_id"), F.xxhash64("url", "payload_digest"))
-    ordered = rows.select("page_id", "url", "payload", "payload_digest", "payload_bytes", "first").repartition(n, deal).sortWithinPartitions("page_id", "payload_digest", "url")
+    ordered = rows.select("page_id", "url", "payload", "payload_digest", "payload_bytes", "first", "place")
     return stage.write(ordered.mapInArrow(run, INDEX), "index")
 
 
