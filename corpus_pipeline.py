@@ -1,18 +1,64 @@
-"""A corpus pipeline of five operators: quality, near duplicates, repeated passages, benchmark leaks, packing."""
+"""From raw documents to packed sequences: quality, near copies, repeated passages, benchmark leaks, packing.
+
+Every stage is one operator of ``skyquilt.llm`` over all rows that its predecessor kept. It takes
+(spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyquilt.llm.common import Stage
+from skyquilt.llm.decontaminate import drop_leaks
+from skyquilt.llm.jaccard import drop_near_copies
 from skyquilt.llm.packing import pack
+from skyquilt.llm.quality import keep_good
+from skyquilt.llm.suffixes import drop_repeats
 
-STAGES = [("pack", lambda spark, docs, sf_dir: pack(docs))]
 
-ORACLE_SQL = None
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 over five-word shingles, the document with the smallest id stays."""
+    return drop_near_copies(docs, n_words=5, num=4, den=5)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes or more that repeat anywhere in what is left are cut out of the texts; n_chars follows."""
+    return drop_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def run(spark, sf_dir):
-    from skyquilt.llm.common import Stage
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item's question and answer go."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, in sequences of at most 2048 tokens."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("best-fit packing", packing),
+]
+
+#: The stages are not all expressible in SQL; tests hold the pipeline against a brute-force version.
+ORACLE_SQL = None
+
 
-    docs, stage = spark.read.parquet(f"{sf_dir}/documents.parquet"), Stage(spark, "pipeline")
-    for name, apply in STAGES:
-        docs = stage.write(apply(spark, docs, sf_dir), name)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over ``documents``."""
+    stage = Stage(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, apply) in enumerate(STAGES):
+        docs = stage.write(apply(spark, docs, sf_dir), f"stage-{k}")
     return docs

@@ -23,6 +23,8 @@ REPORT, MOST_FREQUENT = 4, 500_000
 #: Tokens held by a task before it reports, or signatures before it writes them.
 HELD = 4 << 20
 BLOOM_BITS = 1 << 26
+#: Slots of the table that tells which tokens occur in one set only, and slots of one of its blocks.
+SLOTS, BLOCK_SLOTS = 1 << 28, 1 << 22
 
 
 def set_of(text: str | None, n: int, hashes: WordHash) -> np.ndarray:
@@ -35,10 +37,24 @@ def set_keys(tokens: np.ndarray) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(data), xxhash.xxh3_64_intdigest(data, 1)
 
 
+def order_of(tokens: np.ndarray) -> np.ndarray:
+    return mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def slot_of(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens + np.uint64(77)) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def counted_share(num: int, den: int) -> np.uint64:
+    """Tokens of a lower order are counted: twice as many as a prefix needs."""
+    return np.uint64(min(0.9, 2 * (1 - num / den)) * 2.0**64)
+
+
 class Signatures:
     """The signatures of a set, so that two sets of Jaccard ``num / den`` or more share one.
 
-    Tokens are ordered by class, rare ones first, and by hash in a class. With t the smallest overlap that a
+    Tokens are ordered by class, rare ones first, and by hash in a class. A token that is known to occur in
+    no other set comes first of all: it takes its place in the prefix but is no signature. With t the smallest overlap that a
     partner can have, a prefix is extended until its tokens, less one short of a combination for each group
     of a frequent class, exceed size - t: if in every group of both prefixes fewer tokens than a combination
     were shared, the overlap could not reach t. So single tokens of the rare class and combinations within
@@ -46,25 +62,33 @@ class Signatures:
     tokens use single tokens for all classes; sets that can have partners on either side give both kinds.
     """
 
-    def __init__(self, num: int, den: int, frequent: np.ndarray, classes: np.ndarray):
-        self.num, self.den, self.frequent, self.classes = num, den, frequent, classes
+    def __init__(self, num: int, den: int, frequent: np.ndarray, classes: np.ndarray, repeated: np.ndarray):
+        self.num, self.den, self.frequent, self.classes, self.repeated = num, den, frequent, classes, repeated
+        self.counted = counted_share(num, den)
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
         size = len(tokens)
         need = size - -(-self.num * size // self.den) + 1
-        order = mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
-        at = np.minimum(np.searchsorted(self.frequent, tokens), max(0, len(self.frequent) - 1))
-        kind = np.where(self.frequent[at] == tokens, self.classes[at], 0) if len(self.frequent) else np.zeros(size, np.int8)
+        order = order_of(tokens)
+        slot = slot_of(tokens)
+        twice = (self.repeated[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+        kind = np.where(order >= self.counted, 1, 2 * twice).astype(np.int8)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
+            kind = np.where(self.frequent[at] == tokens, self.classes[at] + 2, kind)
+        alone = int((kind == 0).sum())
+        if alone >= need:
+            return np.zeros(0, np.uint64)
         by = np.lexsort((order, kind))
         tokens, kind = tokens[by], kind[by]
-        out = []
+        out = [np.zeros(0, np.uint64)]
         if size * self.num <= SMALL * self.den:
-            out.append(mix(tokens[:need] + np.uint64(1)))
+            out.append(mix(tokens[alone:need] + np.uint64(1)))
         if size > SMALL:
-            rare = int(np.searchsorted(kind, 1))
-            out.append(mix(tokens[: min(need, rare)] + np.uint64(2)))
+            rare = int(np.searchsorted(kind, 3))
+            out.append(mix(tokens[alone : min(need, rare)] + np.uint64(2)))
             if rare < need:
-                out.append(np.array(self._combinations(tokens[rare:].tolist(), kind[rare:].tolist(), need - rare), np.uint64))
+                out.append(np.array(self._combinations(tokens[rare:].tolist(), (kind[rare:] - 2).tolist(), need - rare), np.uint64))
         return np.unique(np.concatenate(out))
 
     def _combinations(self, tokens: list[int], kinds: list[int], need: int) -> list[int]:
@@ -88,17 +112,29 @@ def _repeats(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return tokens[n >= REPORT], n[n >= REPORT]
 
 
-def _scan(docs: DataFrame, n_words: int) -> DataFrame:
-    """First pass: rows of documents (size and keys of their sets) and rows of tokens that a task found often."""
+def _at_most_two(slots: np.ndarray) -> bytes:
+    slots, n = np.unique(slots, return_counts=True)
+    return np.repeat(slots, np.minimum(n, 2)).astype(np.uint32).tobytes()
+
+
+def _scan(docs: DataFrame, n_words: int, counted: np.uint64) -> DataFrame:
+    """First pass: rows of documents (size and keys of their sets), of tokens that a task found often, and of counted tokens' slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, held, count = WordHash(), set(), [], 0
-        names = ["doc_id", "d1", "d2", "size", "k1", "k2", "token", "sets"]
+        names = ["doc_id", "d1", "d2", "size", "k1", "k2", "token", "sets", "block", "slots"]
 
-        def report() -> pa.RecordBatch:
+        def report() -> Iterator[pa.RecordBatch]:
             tokens, n = _repeats(held)
             none = [pa.nulls(len(tokens), pa.int64())] * 6
-            return pa.RecordBatch.from_arrays([*none, pa.array(signed(tokens)), pa.array(n)], names=names)
+            yield pa.RecordBatch.from_arrays([*none, pa.array(signed(tokens)), pa.array(n), pa.nulls(len(tokens), pa.int32()), pa.nulls(len(tokens), pa.binary())], names=names)
+            found = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            slots = np.sort(slot_of(found[order_of(found) < counted]))
+            cut = np.searchsorted(slots, np.arange(0, SLOTS + 1, BLOCK_SLOTS))
+            used = np.flatnonzero(np.diff(cut))
+            data = [_at_most_two(slots[cut[b] : cut[b + 1]] - b * BLOCK_SLOTS) for b in used.tolist()]
+            none = [pa.nulls(len(used), pa.int64())] * 8
+            yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array(data, pa.binary())], names=names)
 
         for batch in batches:
             sizes, k1, k2 = [], [], []
@@ -115,14 +151,34 @@ def _scan(docs: DataFrame, n_words: int) -> DataFrame:
                     held.append(tokens)
                     count += len(tokens)
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int64()), pa.array(signed(np.array(k1, np.uint64))), pa.array(signed(np.array(k2, np.uint64))), none, none], names=names)
+            keys = [pa.array(signed(np.array(k, np.uint64))) for k in (k1, k2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int64()), *keys, none, none, pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names=names)
             if count > HELD:
-                yield report()
+                yield from report()
                 held, count = [], 0
-        yield report()
+        yield from report()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row_keys(), "text")
-    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, size long, k1 long, k2 long, token long, sets long")
+    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, size long, k1 long, k2 long, token long, sets long, block int, slots binary")
+
+
+def _repeated_slots(scan: DataFrame) -> np.ndarray:
+    """A bit for every slot, set where tokens of two sets fell. Tasks' slots are joined in two steps, so no group is large."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        slots = np.frombuffer(b"".join(pdf["slots"]), np.uint32)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "slots": [_at_most_two(slots)]})
+
+    def bits(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.bincount(np.frombuffer(b"".join(pdf["slots"]), np.uint32), minlength=BLOCK_SLOTS)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "slots": [np.packbits(n > 1).tobytes()]})
+
+    rows = scan.where("block is not null").select("block", "slots")
+    few = rows.withColumn("salt", F.pmod(F.xxhash64("slots"), F.lit(4))).groupBy("block", "salt").applyInPandas(merge, "block int, slots binary")
+    out = np.zeros((SLOTS // BLOCK_SLOTS, BLOCK_SLOTS // 8), np.uint8)
+    for r in few.groupBy("block").applyInPandas(bits, "block int, slots binary").toLocalIterator():
+        out[r.block] = np.frombuffer(r.slots, np.uint8)
+    return out.ravel()
 
 
 def _row_keys() -> list:
@@ -243,7 +299,8 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
     against those of its other signatures that are still in another component; only sets of one signature
     that remain in different components are compared pair by pair. So groups of similar sets cost as many
     comparisons as they have members, and no link between components is lost. Token statistics cover all
-    texts; they decide on the order of tokens only. Nothing but counts, the list of frequent tokens and a
+    texts: a table of SLOTS bits tells which tokens surely occur in one set only, so most sets that are
+    like no other give no signature; when it fills up it tells less, and results stay the same. Nothing but counts, the list of frequent tokens and a
     filter of fixed size passes through the driver.
 
     Null texts and texts without words have no set: n_shingles 0, component_id their own doc_id. A null
@@ -253,8 +310,8 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
         raise ValueError("a similarity above 0.75 is needed")
     spark = docs.sparkSession
     stage = Stage(spark, "jaccard")
-    scan = stage.write(_scan(docs, n_words), "scan")
-    rows = scan.where("size is not null").drop("token", "sets")
+    scan = stage.write(_scan(docs, n_words, counted_share(num, den)), "scan")
+    rows = scan.where("size is not null")
     classes = rows.where("size > 0").groupBy("k1").agg(F.min("k2").alias("low"), F.max("k2").alias("high"))
     clash = frozenset(r[0] & (2**64 - 1) for r in classes.where("low <> high").select("k1").toLocalIterator())
     own = F.when(F.col("size") > 0, F.when(F.col("k1").isin([signed(np.array([c], np.uint64))[0].item() for c in clash]), F.col("k2")).otherwise(F.col("k1")) if clash else F.col("k1"))
@@ -265,7 +322,7 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
     tokens = often["token"].to_numpy(np.int64).view(np.uint64)
     kinds = np.searchsorted([c[0] for c in CLASSES], often["sets"].to_numpy(np.int64), side="right").astype(np.int8)
     by = np.argsort(tokens)
-    sent = spark.sparkContext.broadcast(Signatures(num, den, tokens[by], kinds[by]))
+    sent = spark.sparkContext.broadcast(Signatures(num, den, tokens[by], kinds[by], _repeated_slots(scan)))
     found = stage.write(_signature_rows(docs, n_words, sent, clash), "signatures")
     stars = _stars(found.where("least is null")).unionByName(found.where("least is not null and id <> least"))
     stars = stage.write(stars, "stars")

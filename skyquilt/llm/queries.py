@@ -5,11 +5,13 @@ from __future__ import annotations
 from . import licenses
 from .decontaminate import op1_benchmark_decontamination
 from .embeddings import op6_cover_tree_links
+from .hmm import op8_hidden_markov_model
 from .jaccard import op7_token_combination_join
 from .licenses import op2_license_scan
 from .packing import op9_best_fit_packing
 from .quality import op10_quality_classifier
 from .sharding import op3_hypergeometric_sharding
+from .suffixes import op4_suffix_array_dedup
 from .warc import op5_indexed_warc
 
 QUERIES = {
@@ -18,9 +20,11 @@ QUERIES = {
         op1_benchmark_decontamination,
         op2_license_scan,
         op3_hypergeometric_sharding,
+        op4_suffix_array_dedup,
         op5_indexed_warc,
         op6_cover_tree_links,
         op7_token_combination_join,
+        op8_hidden_markov_model,
         op9_best_fit_packing,
         op10_quality_classifier,
     )

@@ -376,7 +376,7 @@ def drop_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     A cut inside a character drops what is left of it. A row whose whole text repeats keeps an empty text.
     """
     kept = cut_repeats(docs, length=length)
-    text = F.when(F.col("row.text").isNull(), None).when(F.size("spans") == 0, F.col("row.text")).otherwise(F.regexp_replace(F.decode(F.col("kept"), "UTF-8"), "�", ""))
+    text = F.when(F.col("row.text").isNull(), None).when(F.size("spans") == 0, F.col("row.text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
     return kept.withColumn("text", text).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
