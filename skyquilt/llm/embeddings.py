@@ -15,6 +15,8 @@ from .common import Stage, components
 TOP_SAMPLE, TOP_CENTRES = 2048, 64
 #: Vectors of one subtree, and of one side of a pair of subtrees' task.
 TREE_ROWS, SIDE_ROWS = 2048, 8192
+#: Pairs of points that are compared without going further down the trees.
+LEAF_PAIRS = 1 << 16
 _SLACK = 1e-9
 
 
@@ -27,93 +29,112 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 class CoverTree:
     """Nested levels with halving radii over unit vectors.
 
-    ``order`` lists the points so that each node's are contiguous. A node is its first point's index in
-    ``order`` (its centre), the end of its points, its covering radius (measured, so at most the
-    level's) and its children. The centre of a node is also the centre of its first child.
+    The points of a node are ``order[first[node]:last[node]]``; the first of them is its centre and also
+    the centre of its first child. ``radius`` is the node's covering radius, measured, so at most that
+    of its level.
     """
 
-    def __init__(self, points: np.ndarray, smallest: float):
-        self.order: list[int] = []
-        self.centre: list[int] = []
+    def __init__(self, points: np.ndarray):
+        self.order = np.arange(len(points))
+        self.first: list[int] = []
+        self.last: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
-        self.points = points
         if len(points):
             self._grow(points)
-        self.smallest = smallest
+        self.points = points[self.order]
+
+    def _node(self, parent: int, first: int, last: int, radius: float) -> int:
+        node = len(self.first)
+        self.first.append(first)
+        self.last.append(last)
+        self.radius.append(radius)
+        self.children.append([])
+        if parent >= 0:
+            self.children[parent].append(node)
+        return node
 
     def _grow(self, points: np.ndarray) -> None:
-        # A stack of (parent, members, level radius); the first member is the centre.
-        stack: list[tuple[int, np.ndarray, float]] = [(-1, np.arange(len(points)), 2.0)]
+        stack = [(-1, 0, len(points), 2.0)]
         while stack:
-            parent, members, r = stack.pop()
-            d = np.sqrt(np.maximum(0, 2 - 2 * points[members] @ points[members[0]]))
-            spread = float(d.max())
-            node = len(self.centre)
-            self.centre.append(int(members[0]))
-            self.radius.append(spread if len(members) > 1 else 0.0)
-            self.children.append([])
-            if parent >= 0:
-                self.children[parent].append(node)
-            if len(members) == 1:
-                continue
-            while r > spread:
+            parent, low, high, r = stack.pop()
+            members = self.order[low:high].copy()
+            gap = np.sqrt(np.maximum(0, 2 - 2 * points[members] @ points[members].T))
+            node = self._node(parent, low, high, float(gap[0].max()))
+            while r > self.radius[node] > 0:
                 r /= 2  # levels that would hold this node alone
-            if spread < 1e-7:
-                groups = [members[i : i + 1] for i in range(len(members))]
-            else:
-                groups, left, near = [], members, d
-                while len(left):
-                    inside = near <= r
-                    groups.append(left[inside])
-                    left = left[~inside]
-                    if len(left):
-                        near = np.sqrt(np.maximum(0, 2 - 2 * points[left] @ points[left[0]]))
-            stack.extend((node, g, r / 2) for g in groups)
-
-
-def _expand(tree: CoverTree, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The children of each node (a node without children stays), and which of ``nodes`` each came from."""
-    found = [tree.children[n] or [n] for n in nodes.tolist()]
-    return np.array([c for f in found for c in f], np.int64), np.repeat(np.arange(len(found)), [len(f) for f in found])
-
-
-def dual_pairs(a: CoverTree, b: CoverTree, cosine: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j), points of ``a`` and ``b``, with that cosine or more; for a is b each pair once, i < j.
+            left, at = np.arange(len(members)), low
+            while len(left):
+                near = gap[left[0], left] <= r
+                group, left = left[near], left[~near]
+                self.order[at : at + len(group)] = members[group]
+                if len(group) == 1 or len(group) == len(members):
+                    self._node(node, at, at + len(group), 0.0 if len(group) == 1 else self.radius[node])
+                else:
+                    stack.append((node, at, at + len(group), r / 2))
+                at += len(group)
+
+
+def _within(dots: np.ndarray, ra: np.ndarray, rb: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that the largest radii of their rows' and columns' size groups may let pass."""
+    found = []
+    groups = [[np.flatnonzero((r > low) & (r <= high)) for low, high in ((-1, 0.05), (0.05, 0.3), (0.3, 9))] for r in (ra, rb)]
+    for x in groups[0]:
+        for y in groups[1]:
+            if len(x) and len(y):
+                reach = far + ra[x].max() + rb[y].max() + _SLACK
+                part = dots[np.ix_(x, y)] if len(x) < len(ra) or len(y) < len(rb) else dots
+                i, j = np.nonzero(part >= (1 - reach**2 / 2 if reach < 2 else -2))
+                found.append((x[i], y[j]))
+    return tuple(np.concatenate(p) for p in zip(*found, strict=True))
+
+
+def dual_pairs(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j), points of ``a`` and ``b``, with that cosine or more; for a is b each pair once.
 
     Starts from the pair of roots; a pair of nodes is dropped when its centres are farther apart than
-    the threshold distance and both covering radii; else its nodes are replaced by their children.
+    the threshold distance and both covering radii; else its nodes are replaced by their children, down
+    to nodes without children or few points, whose points are compared.
     """
-    if not a.centre or not b.centre:
+    if not a.first or not b.first:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     far = math.sqrt(2 - 2 * cosine)
-    ca, cb = np.array(a.centre), np.array(b.centre)
-    ra, rb = np.array(a.radius), np.array(b.radius)
+    fa, fb, ra, rb = np.array(a.first), np.array(b.first), np.array(a.radius), np.array(b.radius)
+    na_size, nb_size = np.array(a.last) - fa, np.array(b.last) - fb
+    leaf_a, leaf_b = np.array([not c for c in a.children]), np.array([not c for c in b.children])
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    stack: list[tuple[np.ndarray, np.ndarray]] = [(np.array([0]), np.array([0]))]  # products of node lists
+    stack = [(np.array([0]), np.array([0]))]  # products of node lists
     while stack:
         na, nb = stack.pop()
-        da = a.points[ca[na]] @ b.points[cb[nb]].T
-        near = np.sqrt(np.maximum(0, 2 - 2 * da)) <= far + ra[na][:, None] + rb[nb][None, :] + _SLACK
-        i, j = np.nonzero(near)
+        dots = a.points[fa[na]] @ b.points[fb[nb]].T
+        i, j = _within(dots, ra[na], rb[nb], far)
+        reach = far + ra[na[i]] + rb[nb[j]] + _SLACK
+        near = (reach >= 2) | (dots[i, j] >= 1 - reach**2 / 2)
         if a is b:
-            i, j = i[na[i] <= nb[j]], j[na[i] <= nb[j]]
-        leaf = np.array([not a.children[x] and not b.children[y] for x, y in zip(na[i].tolist(), nb[j].tolist(), strict=True)], bool) if len(i) else np.zeros(0, bool)
-        if leaf.any():
-            p, q = ca[na[i[leaf]]], cb[nb[j[leaf]]]
-            hit = (a.points[p] * b.points[q]).sum(1) >= cosine
-            if a is b:
-                hit &= p != q
-            out.append((p[hit], q[hit]))
-        for x, y in zip(na[i[~leaf]].tolist(), nb[j[~leaf]].tolist(), strict=True):
-            left, right = np.array(a.children[x] or [x]), np.array(b.children[y] or [y])
-            stack.extend((left[s : s + block], right[t : t + block]) for s in range(0, len(left), block) for t in range(0, len(right), block))
+            near &= na[i] <= nb[j]
+        x, y = na[i[near]], nb[j[near]]
+        by = np.argsort(x, kind="stable")
+        x, y = x[by], y[by]
+        stop = (na_size[x] * nb_size[y] <= LEAF_PAIRS) | (leaf_a[x] & leaf_b[y])
+        for k in np.flatnonzero(~stop).tolist():
+            stack.append((np.array(a.children[x[k]] or [x[k]]), np.array(b.children[y[k]] or [y[k]])))
+        x, y = x[stop], y[stop]
+        edges = np.flatnonzero(np.append(x[1:] != x[:-1], True)) + 1 if len(x) else np.zeros(0, np.int64)
+        for lo, hi in zip([0, *edges[:-1]], edges, strict=False):
+            node, others = x[lo], y[lo:hi]
+            size = nb_size[others]
+            q = np.repeat(fb[others] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            p, k = np.nonzero(a.points[fa[node] : a.last[node]] @ b.points[q].T >= cosine - _SLACK)
+            if len(p):
+                p, q = p + fa[node], q[k]
+                hit = (a.points[p] * b.points[q]).sum(1) >= cosine
+                if a is b:
+                    hit &= (p < q) | (np.repeat(others, size)[k] != node)
+                out.append((p[hit], q[hit]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     p, q = (np.concatenate(x) for x in zip(*out, strict=True))
-    if a is b:
-        p, q = np.minimum(p, q), np.maximum(p, q)
-    return p, q
+    return a.order[p], b.order[q]
 
 
 class Forest:
@@ -251,7 +272,7 @@ def _links(stage: Stage, classes: DataFrame, cosine: float, name: str) -> DataFr
         vectors = unit(np.frombuffer(b"".join(pdf["vector"]), np.float64).reshape(len(pdf), -1))
         grown = {}
         for (side, tree), at in pdf.groupby(["side", "tree"], sort=True).indices.items():
-            grown[side, tree] = (at, CoverTree(vectors[at], far))
+            grown[side, tree] = (at, CoverTree(vectors[at]))
         weight, links, forest, spanning = pdf["size"].to_numpy(), np.zeros(len(pdf), np.int64), Forest(len(pdf)), []
         left, right = [k for k in grown if k[0] == s], [k for k in grown if k[0] == t]
         for x in left:
