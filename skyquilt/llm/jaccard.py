@@ -25,6 +25,8 @@ HELD = 4 << 20
 BLOOM_BITS = 1 << 26
 #: Slots of the table that tells which tokens occur in one set only, and slots of one of its blocks.
 SLOTS, BLOCK_SLOTS = 1 << 28, 1 << 22
+#: Words of 64 bits in a set's parity sketch: bit b tells whether an odd number of its tokens fall on b.
+SKETCH = 16
 
 
 def set_of(text: str | None, n: int, hashes: WordHash) -> np.ndarray:
@@ -50,6 +52,17 @@ def counted_share(num: int, den: int) -> np.uint64:
     return np.uint64(min(0.9, 2 * (1 - num / den)) * 2.0**64)
 
 
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tokens >> np.uint64(17)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(a: str, b: str, na: str, nb: str, num: int, den: int) -> str:
+    """Condition that sizes and sketches leave a link possible: sets differ in at least as many tokens as sketches do in bits."""
+    bits = " + ".join(f"bit_count({a}{k} ^ {b}{k})" for k in range(SKETCH))
+    return f"least({na}, {nb}) * {den} >= greatest({na}, {nb}) * {num} and ({na} + {nb} - ({bits})) * {num + den} >= {2 * num} * ({na} + {nb})"
+
+
 class Signatures:
     """The signatures of a set, so that two sets of Jaccard ``num / den`` or more share one.
 
@@ -122,28 +135,30 @@ def _scan(docs: DataFrame, n_words: int, counted: np.uint64) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, held, count = WordHash(), set(), [], 0
-        names = ["doc_id", "d1", "d2", "size", "k1", "k2", "token", "sets", "block", "slots"]
+        names = ["doc_id", "d1", "d2", "size", "k1", "k2", "token", "sets", "block", "slots", "sketch"]
+        sketches = pa.list_(pa.int64())
 
         def report() -> Iterator[pa.RecordBatch]:
             tokens, n = _repeats(held)
             none = [pa.nulls(len(tokens), pa.int64())] * 6
-            yield pa.RecordBatch.from_arrays([*none, pa.array(signed(tokens)), pa.array(n), pa.nulls(len(tokens), pa.int32()), pa.nulls(len(tokens), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*none, pa.array(signed(tokens)), pa.array(n), pa.nulls(len(tokens), pa.int32()), pa.nulls(len(tokens), pa.binary()), pa.nulls(len(tokens), sketches)], names=names)
             found = np.concatenate(held) if held else np.zeros(0, np.uint64)
             slots = np.sort(slot_of(found[order_of(found) < counted]))
             cut = np.searchsorted(slots, np.arange(0, SLOTS + 1, BLOCK_SLOTS))
             used = np.flatnonzero(np.diff(cut))
             data = [_at_most_two(slots[cut[b] : cut[b + 1]] - b * BLOCK_SLOTS) for b in used.tolist()]
             none = [pa.nulls(len(used), pa.int64())] * 8
-            yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array(data, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array(data, pa.binary()), pa.nulls(len(used), sketches)], names=names)
 
         for batch in batches:
-            sizes, k1, k2 = [], [], []
+            sizes, k1, k2, bits = [], [], [], []
             for text in batch.column(3).to_pylist():
                 tokens = set_of(text, n_words, hashes)
                 a, b = set_keys(tokens) if len(tokens) else (0, 0)
                 sizes.append(len(tokens))
                 k1.append(a)
                 k2.append(b)
+                bits.append(sketch_of(tokens))
                 if a not in seen and len(tokens):
                     if len(seen) > 1 << 20:
                         seen.clear()
@@ -152,14 +167,14 @@ def _scan(docs: DataFrame, n_words: int, counted: np.uint64) -> DataFrame:
                     count += len(tokens)
             none = pa.nulls(len(sizes), pa.int64())
             keys = [pa.array(signed(np.array(k, np.uint64))) for k in (k1, k2)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int64()), *keys, none, none, pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int64()), *keys, none, none, pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary()), pa.array(bits, sketches)], names=names)
             if count > HELD:
                 yield from report()
                 held, count = [], 0
         yield from report()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row_keys(), "text")
-    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, size long, k1 long, k2 long, token long, sets long, block int, slots binary")
+    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, size long, k1 long, k2 long, token long, sets long, block int, slots binary, sketch array<long>")
 
 
 def _repeated_slots(scan: DataFrame) -> np.ndarray:
@@ -297,7 +312,7 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
     and are handled once. Signatures (see ``Signatures``) bring together all sets that can link. In each
     signature the smallest set is a pivot: first every set is verified against its smallest pivot, then
     against those of its other signatures that are still in another component; only sets of one signature
-    that remain in different components are compared pair by pair. So groups of similar sets cost as many
+    that remain in different components are compared pair by pair, after their sizes and sketches. So groups of similar sets cost as many
     comparisons as they have members, and no link between components is lost. Token statistics cover all
     texts: a table of SLOTS bits tells which tokens surely occur in one set only, so most sets that are
     like no other give no signature; when it fills up it tells less, and results stay the same. Nothing but counts, the list of frequent tokens and a
@@ -315,7 +330,7 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
     classes = rows.where("size > 0").groupBy("k1").agg(F.min("k2").alias("low"), F.max("k2").alias("high"))
     clash = frozenset(r[0] & (2**64 - 1) for r in classes.where("low <> high").select("k1").toLocalIterator())
     own = F.when(F.col("size") > 0, F.when(F.col("k1").isin([signed(np.array([c], np.uint64))[0].item() for c in clash]), F.col("k2")).otherwise(F.col("k1")) if clash else F.col("k1"))
-    rows = rows.select("doc_id", "d1", "d2", "size", own.alias("id"))
+    rows = rows.select("doc_id", "d1", "d2", "size", own.alias("id"), "sketch")
 
     often = scan.where("token is not null").groupBy("token").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= CLASSES[0][0])
     often = often.orderBy(F.desc("sets"), "token").limit(MOST_FREQUENT).toPandas()
@@ -328,7 +343,7 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
     stars = stage.write(stars, "stars")
     stage.drop("signatures")
 
-    sizes = rows.where("id is not null").groupBy("id").agg(F.first("size").alias("size"), F.min("d1").alias("d1"), F.min("doc_id").alias("doc_id"))
+    sizes = rows.where("id is not null").groupBy("id").agg(F.first("size").alias("size"), F.min("d1").alias("d1"), F.min("doc_id").alias("doc_id"), *[F.min(F.col("sketch")[k]).alias(f"x{k}") for k in range(SKETCH)])
     sizes = stage.write(sizes, "classes")
     taking_part = stars.select("id").union(stars.select("least")).distinct()
     involved = stage.write(sizes.join(taking_part, "id", "left_semi"), "involved")
@@ -338,9 +353,8 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (u, v) that link, among those whose sizes allow it."""
-        n = involved.select("id", "size")
-        fit = pairs.join(n.select(F.col("id").alias("u"), F.col("size").alias("nu")), "u").join(n.select(F.col("id").alias("v"), F.col("size").alias("nv")), "v")
-        fit = fit.where(f"least(nu, nv) * {den} >= greatest(nu, nv) * {num}")
+        side = lambda c: involved.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), *[F.col(f"x{k}").alias(f"{c}{k}") for k in range(SKETCH)])
+        fit = pairs.join(side("u"), "u").join(side("v"), "v").where(may_link("u", "v", "nu", "nv", num, den)).select("u", "v", "nu", "nv")
         both = fit.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("sv")), "v")
         common = F.size(F.array_intersect("su", "sv"))
         return stage.write(both.where(den * common >= num * (F.col("nu") + F.col("nv") - common)).select("u", "v"), name)
@@ -363,9 +377,10 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
     mixed = rest.select("sig").distinct()
     inside = stars.join(mixed, "sig", "left_semi").select("sig", "id").union(stars.join(mixed, "sig", "left_semi").select("sig", "least")).distinct()
     inside = inside.join(of.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
-    members = stage.write(inside.join(involved.select("id", "size"), "id"), "members")
-    other = members.select("sig", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("size").alias("nv"))
-    third = members.join(other, "sig").where(f"id > v and c <> cv and least(size, nv) * {den} >= greatest(size, nv) * {num}").select(F.col("id").alias("u"), "v").distinct()
+    members = stage.write(inside.join(involved.drop("d1", "doc_id"), "id"), "members")
+    other = members.select("sig", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("size").alias("nv"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(SKETCH)])
+    apart_still = F.expr(f"id > v and c <> cv and {may_link('x', 'y', 'size', 'nv', num, den)}")
+    third = members.withColumnRenamed("sig", "s").join(other, (F.col("s") == F.col("sig")) & apart_still).select(F.col("id").alias("u"), "v").distinct()
     third = third.join(first.union(second), ["u", "v"], "left_anti")
     last = verified(third, "links-3")
     if not last.isEmpty():
