@@ -226,8 +226,8 @@ def _links(stage: Stage, classes: DataFrame, cosine: float, name: str) -> DataFr
     """(cid, links) and (u, v) rows: weighted link counts and spanning links between classes of one width."""
     spark = stage.spark
     far = math.sqrt(2 - 2 * cosine)
-    sample = classes.orderBy(F.xxhash64("key")).limit(TOP_SAMPLE).select("embedding").toPandas()["embedding"]
-    centres = top_centres(unit(np.array(sample.tolist())))
+    sample = classes.orderBy(F.xxhash64("key")).limit(TOP_SAMPLE).select("embedding").toArrow().column("embedding").to_pylist()
+    centres = top_centres(unit(np.array(sample)))
 
     def nearest(frames):
         for pdf in frames:

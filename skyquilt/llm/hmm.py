@@ -284,7 +284,7 @@ def score_texts(docs: DataFrame, *, mod: int = 7, rest: int = 2, seed: int = 3)
     ends = train.count()
     n_words, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, types = n_words + ends, n_types + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(TABLE).select("h", "kind", "c").toPandas()
+    top = counts.orderBy(F.desc("c"), "h").limit(TABLE).select("h", "kind", "c").toArrow().to_pandas()
     head = top.head(HEAD)
     symbols = np.where(np.arange(len(top)) < HEAD, np.arange(len(top)), HEAD + top["kind"].to_numpy(np.int64)).astype(np.uint16)
     class_total, class_tokens = np.ones(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
@@ -299,7 +299,7 @@ def score_texts(docs: DataFrame, *, mod: int = 7, rest: int = 2, seed: int = 3)
     coded = stage.write(encode(docs, sent, mod, rest).withColumn("uid", F.monotonically_increasing_id()), "coded")
 
     training = coded.where(~F.col("held_out"))
-    sample = training.select("codes", F.xxhash64("uid").alias("o")).orderBy("o").limit(START_DOCS).toPandas()["codes"]
+    sample = training.select("codes", F.xxhash64("uid").alias("o")).orderBy("o").limit(START_DOCS).toArrow().column("codes").to_pylist()
     model, texts = Model.random(frequency, seed), _texts(sample)
     for _ in range(START_ROUNDS if texts else 0):
         model = Model.fitted(*expected_counts(model, texts), frequency, weight=20.0)

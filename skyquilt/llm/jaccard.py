@@ -333,7 +333,7 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
     rows = rows.select("doc_id", "d1", "d2", "size", own.alias("id"), "sketch")
 
     often = scan.where("token is not null").groupBy("token").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= CLASSES[0][0])
-    often = often.orderBy(F.desc("sets"), "token").limit(MOST_FREQUENT).toPandas()
+    often = often.orderBy(F.desc("sets"), "token").limit(MOST_FREQUENT).toArrow().to_pandas()
     tokens = often["token"].to_numpy(np.int64).view(np.uint64)
     kinds = np.searchsorted([c[0] for c in CLASSES], often["sets"].to_numpy(np.int64), side="right").astype(np.int8)
     by = np.argsort(tokens)
