@@ -17,7 +17,7 @@ LENGTH = 400
 #: Bytes of an anchor: within every string of LENGTH bytes the anchor of least hash decides on the string's shard.
 ANCHOR = 32
 #: Bytes of text hashed together, of a shard, and variants of one anchor beyond which its strings are compared by key.
-CHUNK, SHARD_BYTES, MOST_VARIANTS = 4 << 20, 4 << 20, 16_384
+CHUNK, SHARD_BYTES, MOST_VARIANTS = 2 << 20, 2 << 20, 16_384
 _SEPARATOR = 0xF9  # never occurs in UTF-8
 _PLACE = np.uint64((1 << 24) - 1)
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
