@@ -27,6 +27,8 @@ BLOOM_BITS = 1 << 26
 SLOTS, BLOCK_SLOTS = 1 << 28, 1 << 22
 #: Words of 64 bits in a set's parity sketch: bit b tells whether an odd number of its tokens fall on b.
 SKETCH = 16
+#: Rounds of comparisons with pivots before what is still apart is compared pair by pair.
+ROUNDS = 6
 
 
 def set_of(text: str | None, n: int, hashes: WordHash) -> np.ndarray:
@@ -310,9 +312,9 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
 
     Two rows link when ``den`` * intersection >= ``num`` * union of their sets. Equal sets form a class
     and are handled once. Signatures (see ``Signatures``) bring together all sets that can link. In each
-    signature the smallest set is a pivot: first every set is verified against its smallest pivot, then
-    against those of its other signatures that are still in another component; only sets of one signature
-    that remain in different components are compared pair by pair, after their sizes and sketches. So groups of similar sets cost as many
+    signature, in each of a few rounds, a set meets a pivot that is still in another component; only sets
+    of one signature that remain in different components are compared pair by pair, after their sizes and
+    sketches. So groups of similar sets cost as many
     comparisons as they have members, and no link between components is lost. Token statistics cover all
     texts: a table of SLOTS bits tells which tokens surely occur in one set only, so most sets that are
     like no other give no signature; when it fills up it tells less, and results stay the same. Nothing but counts, the list of frequent tokens and a
@@ -351,40 +353,51 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
     sets = _fetch(docs, n_words, chosen, clash).join(involved.select("id", "d1"), ["id", "d1"], "left_semi").dropDuplicates(["id"]).select("id", "tokens")
     sets = stage.write(sets, "sets")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (u, v) that link, among those whose sizes allow it."""
-        side = lambda c: involved.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), *[F.col(f"x{k}").alias(f"{c}{k}") for k in range(SKETCH)])
-        fit = pairs.join(side("u"), "u").join(side("v"), "v").where(may_link("u", "v", "nu", "nv", num, den)).select("u", "v", "nu", "nv")
-        both = fit.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("sv")), "v")
+    side = lambda c: involved.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), *[F.col(f"x{k}").alias(f"{c}{k}") for k in range(SKETCH)])
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that sizes and sketches leave possible."""
+        return pairs.join(side("u"), "u").join(side("v"), "v").where(may_link("u", "v", "nu", "nv", num, den)).select("u", "v", "nu", "nv")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("sv")), "v")
         common = F.size(F.array_intersect("su", "sv"))
-        return stage.write(both.where(den * common >= num * (F.col("nu") + F.col("nv") - common)).select("u", "v"), name)
-
-    def apart(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Components of the links, and the rows of ``stars`` whose ends are still apart."""
-        of = stage.write(components(stage, links, name), f"{name}-of")
-        rest = stars.join(of.withColumnRenamed("node", "id").withColumnRenamed("component", "c"), "id", "left").join(of.withColumnRenamed("node", "least").withColumnRenamed("component", "cl"), "least", "left")
-        rest = rest.select("sig", "id", "least", F.coalesce("c", "id").alias("c"), F.coalesce("cl", "least").alias("cl")).where("c <> cl")
-        return of, stage.write(rest, f"{name}-rest")
-
-    first = stars.groupBy("id").agg(F.min("least").alias("v")).select(F.col("id").alias("u"), "v")
-    links = verified(first, "links-1")
-    of, rest = apart(links, "cc1")
-    second = rest.select(F.col("id").alias("u"), F.col("least").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    more = verified(second, "links-2")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        of, rest = apart(links, "cc2")
-    mixed = rest.select("sig").distinct()
-    inside = stars.join(mixed, "sig", "left_semi").select("sig", "id").union(stars.join(mixed, "sig", "left_semi").select("sig", "least")).distinct()
-    inside = inside.join(of.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
-    members = stage.write(inside.join(involved.drop("d1", "doc_id"), "id"), "members")
-    other = members.select("sig", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("size").alias("nv"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(SKETCH)])
-    apart_still = F.expr(f"id > v and c <> cv and {may_link('x', 'y', 'size', 'nv', num, den)}")
-    third = members.withColumnRenamed("sig", "s").join(other, (F.col("s") == F.col("sig")) & apart_still).select(F.col("id").alias("u"), "v").distinct()
-    third = third.join(first.union(second), ["u", "v"], "left_anti")
-    last = verified(third, "links-3")
+        return both.where(den * common >= num * (F.col("nu") + F.col("nv") - common)).select("u", "v")
+
+    # Rounds: in each signature whose sets are in several components, every set meets a pivot of another
+    # component; of the pivots that are possible for it, a set is compared with one.
+    members = stage.write(stars.select("sig", "id").union(stars.select("sig", "least")).distinct(), "members-0")
+    of = members.select(F.col("id").alias("node"), F.col("id").alias("component")).where("false")
+    tried = links = None
+    for k in range(ROUNDS):
+        labelled = members.join(of.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
+        pick = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "c"))
+        per = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), pick.alias("p")).where("low <> high").select("sig", "p")
+        mixed = stage.write(labelled.join(per, "sig"), f"members-{k + 1}")
+        stage.drop(f"members-{k}")
+        members = mixed.select("sig", "id")
+        other = mixed.where("c <> p.c").groupBy("sig").agg(pick.alias("q"))
+        pairs = mixed.join(other, "sig").select(F.col("id").alias("u"), F.when(F.col("c") == F.col("p.c"), F.col("q.id")).otherwise(F.col("p.id")).alias("v")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        one = possible(pairs).groupBy("u").agg(F.min(F.struct(F.xxhash64("v", "u").alias("h"), "v", "nu", "nv")).alias("m")).select("u", "m.v", "m.nu", "m.nv")
+        now = stage.write(one, f"tried-{k}")
+        good = stage.write(verified(now), f"links-{k}")
+        tried = now.select("u", "v") if tried is None else tried.unionByName(now.select("u", "v"))
+        links = good if links is None else links.unionByName(good)
+        if good.isEmpty():
+            break
+        of = stage.write(components(stage, links, f"cc{k}"), f"of-{k}")
+    # What is still apart, pair by pair.
+    labelled = members.join(of.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
+    several = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
+    left = stage.write(labelled.join(several, "sig", "left_semi").join(involved.drop("d1", "doc_id"), "id"), "left")
+    other = left.select("sig", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("size").alias("nv"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(SKETCH)])
+    apart = F.expr(f"id > v and c <> cv and {may_link('x', 'y', 'size', 'nv', num, den)}")
+    rest = left.withColumnRenamed("sig", "s").join(other, (F.col("s") == F.col("sig")) & apart).select(F.col("id").alias("u"), "v", F.col("size").alias("nu"), "nv").distinct()
+    last = stage.write(verified(rest), "links-last")
     if not last.isEmpty():
-        of = components(stage, links.unionByName(last), "cc3")
+        of = components(stage, last if links is None else links.unionByName(last), "cc-last")
 
     of_class = sizes.join(of.withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("c"))
     least = of_class.groupBy("c").agg(F.min("doc_id").alias("component_id"))
