@@ -17,7 +17,7 @@ TOP_SAMPLE, TOP_CENTRES = 2048, 64
 TREE_ROWS, SIDE_ROWS = 2048, 8192
 #: Pairs of points that are compared without going further down the trees.
 LEAF_PAIRS = 1 << 16
-_SLACK = 1e-9
+_SLACK = 1e-5
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -43,6 +43,7 @@ class CoverTree:
         if len(points):
             self._grow(points)
         self.points = points[self.order]
+        self.rough = self.points.astype(np.float32)  # for pruning; what is found is compared in double precision
 
     def _node(self, parent: int, first: int, last: int, radius: float) -> int:
         node = len(self.first)
@@ -59,13 +60,14 @@ class CoverTree:
         while stack:
             parent, low, high, r = stack.pop()
             members = self.order[low:high].copy()
-            gap = np.sqrt(np.maximum(0, 2 - 2 * points[members] @ points[members].T))
-            node = self._node(parent, low, high, float(gap[0].max()))
+            dots = points[members] @ points[members].T
+            node = self._node(parent, low, high, math.sqrt(max(0.0, 2 - 2 * float(dots[0].min()))) if len(members) > 1 else 0.0)
             while r > self.radius[node] > 0:
                 r /= 2  # levels that would hold this node alone
             left, at = np.arange(len(members)), low
             while len(left):
-                near = gap[left[0], left] <= r
+                near = dots[left[0], left] >= 1 - r * r / 2
+                near[0] = True
                 group, left = left[near], left[~near]
                 self.order[at : at + len(group)] = members[group]
                 if len(group) == 1 or len(group) == len(members):
@@ -89,6 +91,27 @@ def _within(dots: np.ndarray, ra: np.ndarray, rb: np.ndarray, far: float) -> tup
     return tuple(np.concatenate(p) for p in zip(*found, strict=True))
 
 
+def _compare(a: CoverTree, b: CoverTree, x: np.ndarray, y: np.ndarray, first: np.ndarray, sizes: np.ndarray, cosine: float):
+    """For each node of ``x`` all points of its ``y`` nodes at once: places of near points, and their nodes."""
+    by = np.argsort(x, kind="stable")
+    x, y = x[by], y[by]
+    edges = np.flatnonzero(np.append(x[1:] != x[:-1], True)) + 1 if len(x) else np.zeros(0, np.int64)
+    for lo, hi in zip([0, *edges[:-1].tolist()], edges.tolist(), strict=False):
+        node, others = int(x[lo]), y[lo:hi]
+        size = sizes[others]
+        q = np.repeat(first[others] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        p, k = np.nonzero(a.rough[a.first[node] : a.last[node]] @ b.rough[q].T >= cosine - _SLACK)
+        if len(p):
+            yield p + a.first[node], q[k], np.full(len(p), node), np.repeat(others, size)[k]
+
+
+def _hits(a: CoverTree, b: CoverTree, p: np.ndarray, q: np.ndarray, x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    hit = (a.points[p] * b.points[q]).sum(1) >= cosine
+    if a is b:
+        hit &= (p < q) | (x != y)
+    return p[hit], q[hit]
+
+
 def dual_pairs(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """All (i, j), points of ``a`` and ``b``, with that cosine or more; for a is b each pair once.
 
@@ -106,31 +129,22 @@ def dual_pairs(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray, n
     stack = [(np.array([0]), np.array([0]))]  # products of node lists
     while stack:
         na, nb = stack.pop()
-        dots = a.points[fa[na]] @ b.points[fb[nb]].T
+        dots = a.rough[fa[na]] @ b.rough[fb[nb]].T
         i, j = _within(dots, ra[na], rb[nb], far)
         reach = far + ra[na[i]] + rb[nb[j]] + _SLACK
         near = (reach >= 2) | (dots[i, j] >= 1 - reach**2 / 2)
         if a is b:
             near &= na[i] <= nb[j]
         x, y = na[i[near]], nb[j[near]]
-        by = np.argsort(x, kind="stable")
-        x, y = x[by], y[by]
         stop = (na_size[x] * nb_size[y] <= LEAF_PAIRS) | (leaf_a[x] & leaf_b[y])
         for k in np.flatnonzero(~stop).tolist():
             stack.append((np.array(a.children[x[k]] or [x[k]]), np.array(b.children[y[k]] or [y[k]])))
         x, y = x[stop], y[stop]
-        edges = np.flatnonzero(np.append(x[1:] != x[:-1], True)) + 1 if len(x) else np.zeros(0, np.int64)
-        for lo, hi in zip([0, *edges[:-1]], edges, strict=False):
-            node, others = x[lo], y[lo:hi]
-            size = nb_size[others]
-            q = np.repeat(fb[others] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            p, k = np.nonzero(a.points[fa[node] : a.last[node]] @ b.points[q].T >= cosine - _SLACK)
-            if len(p):
-                p, q = p + fa[node], q[k]
-                hit = (a.points[p] * b.points[q]).sum(1) >= cosine
-                if a is b:
-                    hit &= (p < q) | (np.repeat(others, size)[k] != node)
-                out.append((p[hit], q[hit]))
+        over = na_size[x] >= nb_size[y]
+        for p, q, px, qy in _compare(a, b, x[over], y[over], fb, nb_size, cosine):
+            out.append(_hits(a, b, p, q, px, qy, cosine))
+        for q, p, qy, px in _compare(b, a, y[~over], x[~over], fa, na_size, cosine):
+            out.append(_hits(a, b, p, q, px, qy, cosine))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     p, q = (np.concatenate(x) for x in zip(*out, strict=True))
