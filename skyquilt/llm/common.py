@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once; long texts make large batches.
 BATCH_ROWS = 1000
+#: Staged tables after which the driver's garbage is collected.
+COLLECT_EVERY = 4
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,13 +45,22 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.writes = 0
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        # The exchanges behind the table are done with. Their files go when the driver collects garbage,
+        # which a loop of small jobs would not make it do.
+        self.writes += 1
+        if self.writes % COLLECT_EVERY == 0:
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+        return out
 
     def drop(self, name: str) -> None:
         """Deletes a staged table that nothing reads any more."""
@@ -133,43 +145,64 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def components(stage: Stage, edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> DataFrame:
-    """Connected components by alternating large-star and small-star rounds.
+    """Connected components by alternating large-star and small-star rounds, after each task's links are contracted.
 
     ``edges`` has columns u, v of one orderable type. Returns (node, component) for every node with an
     edge to another; component is the smallest node reachable. A round is aggregates and equi-joins, so
     a node with very many links is split by adaptive execution; no group is gathered. Rows: at most two
     for each edge. Null ends and self links are ignored; an empty input gives an empty result.
     """
-    now = stage.write(
-        edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(),
-        f"{name}-0",
-    )
-    sign = _sign(now)
+    kind = edges.schema["u"].dataType.simpleString()
+    plain = edges.where("u is not null and v is not null and u <> v").select("u", "v")
+    now = stage.write(plain.mapInArrow(_contract, f"u {kind}, v {kind}").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), f"{name}-0")
     for k in range(1, most_rounds):
-        if not sign[0]:
+        if _is_forest(now):
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stage.write(large, f"{name}-large-{k}")
+        large = stage.write(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b"), f"{name}-large-{k}")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         now = stage.write(small, f"{name}-{k}")
-        before, sign = sign, _sign(now)
         stage.drop(f"{name}-large-{k}")
         stage.drop(f"{name}-{k - 1}")
-        if before == sign:
-            break
     else:
         raise RuntimeError("components: no fixed point")
     heads = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(heads)
 
 
-def _sign(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"), F.expr("bit_xor(xxhash64(b, a, 7))").alias("y")).first()
-    return tuple(row)
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a task to links to the smallest node that the task's links reach; the task's memory is bounded by writing out in between."""
+    up: dict = {}
 
+    def find(x):
+        root = x
+        while (n := up.get(root, root)) != root:
+            root = n
+        while (n := up.get(x, x)) != root:
+            up[x], x = root, n
+        return root
 
-def cores(spark: SparkSession) -> int:
-    return max(2, spark.sparkContext.defaultParallelism, os.cpu_count() if spark.sparkContext.master.startswith("local[") else 2)
+    def stars(schema: pa.Schema) -> pa.RecordBatch:
+        pairs = [(x, r) for x in list(up) if (r := find(x)) != x]
+        return to_batch(pairs, schema) if pairs else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+        if len(up) > 1 << 20:
+            yield stars(schema)
+            up.clear()
+    if schema is not None:
+        yield stars(schema)
+
+
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node either has links to it only or one link from it."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select(F.col("b").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out = 1 and in = 1)").isEmpty()

@@ -28,7 +28,7 @@ SLOTS, BLOCK_SLOTS = 1 << 28, 1 << 22
 #: Words of 64 bits in a set's parity sketch: bit b tells whether an odd number of its tokens fall on b.
 SKETCH = 16
 #: Rounds of comparisons with pivots before what is still apart is compared pair by pair.
-ROUNDS = 6
+ROUNDS = 4
 
 
 def set_of(text: str | None, n: int, hashes: WordHash) -> np.ndarray:

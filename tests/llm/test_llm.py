@@ -41,7 +41,7 @@ def texts_with_copies(seed: int, n: int) -> list[str | None]:
 @pytest.fixture(scope="module")
 def docs(spark):
     t = texts_with_copies(1, 120)
-    rows = [(i, x, "en", "src0", len(x or "")) for i, x in enumerate(t)] + [(None, t[7], None, None, None), (3, t[8], "en", "s", 1)]
+    rows = [(i, x, "en", "src0", len(x or "")) for i, x in enumerate(t)] + [(None, t[7], None, None, None), (8, t[8], "en", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     return df.withColumns({"slot": F.lit(1), "row": F.lit("x"), "spans": F.lit(2), "key": F.lit(None).cast("string")}).cache()
 
