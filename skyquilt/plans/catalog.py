@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skyquilt.functions import columns as C
 from skyquilt.functions.cosmology import Cosmology, frequency, interpolate, redshift, thermal_temperature
-from skyquilt.operators import fits, generators, lineage, lookup, maps, modes, spectra
+from skyquilt.operators import fits, generators, lineage, lookup, maps, modes, noise, spectra
 from skyquilt.operators import timestream as ts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -686,3 +686,74 @@ def correlated_noise_map(spark, sf_dir):
     s = samples(spark, sf_dir).select((F.col("fi") % 3).alias("chan"), F.pmod(F.xxhash64("l_suppkey"), F.lit(50)).alias("scan"), F.col("l_orderkey").alias("t"), (F.col("ri") * 11 + F.col("di")).cast("long").alias("p"), (F.col("value") / 1e4).alias("value"), F.lit(1.0).alias("var"))
     dirty, inverse = maps.correlated_map(s, ["chan"])
     return maps.solve_channels(dirty, inverse, ["chan"], 1e-6).select("chan", "p", r("value", 3).alias("value"))
+
+
+# Noise, more spectra and checks.
+
+
+@query(f"""with {SPEC}, f as (select chan, i as f, sum(value * cos(t * i * (2 * pi() / 500))) as re, sum(-value * sin(t * i * (2 * pi() / 500))) as im from spec, generate_series(1, 4) as g(i) group by all)
+select a.chan, b.chan as chan2, round(avg((a.re * b.re + a.im * b.im) / 500), 5) as cov from f a join f b on a.f = b.f group by all""")
+def low_power_matrix(spark, sf_dir):
+    m = noise.low_power_matrix(spectra_rows(spark, sf_dir), [], 500, 4)
+    return m.select(F.col("chan").cast("long").alias("chan"), F.col("chan2").cast("long").alias("chan2"), r("cov", 5).alias("cov"))
+
+
+@query()
+def over_f_parameters(spark, sf_dir):
+    rows = ts.time_grid(hourly(spark, sf_dir).withColumn("t_sec", F.col("t") * 3600.0), ["event_type"], 3600.0, 720)
+    return noise.fit_over_f(spectra.series_power(rows, ["event_type"], 720, dt=3600.0), ["event_type"], 1e-5).select("event_type", r("index", 3).alias("index"))
+
+
+@query(f"""with {HOURLY}, x as (select event_type, t, value, t - 757000 as u from hourly), f as (select event_type, regr_slope(value, u) as a, regr_intercept(value, u) as b from x group by event_type)
+select event_type, t, round(value - (a * u + b), 5) as value from x join f using (event_type)""")
+def polynomial_high_pass(spark, sf_dir):
+    return noise.high_pass(hourly(spark, sf_dir), ["event_type"], "t", 1).select("event_type", "t", r("value", 5).alias("value"))
+
+
+@query(f"with {TRIALS} select sim, cast(floor(ln(bin) / ln(2) + 1e-12) as integer) as bin, round(avg(power), 4) as power, count(*) as n from trials where bin > 0 group by all")
+def log_bins(spark, sf_dir):
+    return spectra.log_bins(trials(spark, sf_dir), ["sim"], "bin").select("sim", "bin", r("power", 4).alias("power"), "n")
+
+
+@query(f"with {TRIALS} select sim, bin, round(power / 0.8, 4) as power, round(counts * 0.8 * 0.8, 4) as counts from trials")
+def apply_transfer(spark, sf_dir):
+    t = trials(spark, sf_dir)
+    out = spectra.apply_transfer(t, t.select("bin").distinct().withColumn("transfer", F.lit(0.8)), ["bin"])
+    return out.select("sim", "bin", r("power", 4).alias("power"), r("counts", 4).alias("counts"))
+
+
+@query("select s_suppkey, round(s_acctbal * 7 / 6 * s_acctbal + 2.0 / 3 * s_acctbal * s_nationkey + 1.0 / 6 * s_nationkey * s_nationkey, 3) as variance from supplier")
+def cross_signal_error(spark, sf_dir):
+    v = spectra.cross_signal_error(F.col("s_acctbal"), F.col("s_nationkey"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", r(v, 3).alias("variance"))
+
+
+@query(f"with {STREAM}, g as (select t, avg(value) as gain from stream group by t), ok as (select t from g group by t having bool_and(gain > 50 and gain < 120)) select s.t, s.pol, s.cal, s.chan, round(s.value, 6) as value from stream s join ok using (t)")
+def good_gains(spark, sf_dir):
+    rows = stream_rows(spark, sf_dir)
+    gains = rows.groupBy("t").agg(F.avg("value").alias("gain"))
+    return ts.good_gains(rows, gains, ["t"], 50.0, 120.0).select("t", "pol", "cal", "chan", r("value").alias("value"))
+
+
+@query(f"with {STREAM}, c as (select * from stream where value < 150) select s.t, s.pol, s.cal, s.chan, case when c.value is not null then round(s.value, 6) end as value from stream s left join c using (t, pol, cal, chan)")
+def reflag(spark, sf_dir):
+    rows = stream_rows(spark, sf_dir)
+    return ts.reflag(rows, rows.where("value < 150"), ["t", "pol", "cal", "chan"]).select("t", "pol", "cal", "chan", r("value").alias("value"))
+
+
+@query(f"with {SAMPLES} select fi, ri, di, round(value, 4) as value, l_orderkey from samples where ri > 2 and ri < 6 and di > 3 and di < 7")
+def trim_to_map(spark, sf_dir):
+    return ts.trim(samples(spark, sf_dir), {"ri": (2, 6), "di": (3, 7)}).select("fi", "ri", "di", r("value", 4).alias("value"), "l_orderkey")
+
+
+@query("select o_orderkey, round(greatest(o_totalprice / 1000, 20.0 * 20.0 / (1e3 * 0.01)), 6) as thermal from orders")
+def radiometer_floor(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("thermal"), F.lit(20.0).alias("tsys"))
+    return noise.at_least_thermal(o, 1e3, 0.01).select("o_orderkey", r("thermal").alias("thermal"))
+
+
+@query("select c_custkey, round(1 + 2 * (c_acctbal / 1000) + 3 * c_nationkey - c_nationkey, 5) as p0, round(c_acctbal / 1000 * 2, 5) as p1 from customer")
+def mueller_correction(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 2).alias("chan"), F.array(F.lit(1.0), F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double"), F.lit(0.0)).alias("pols"))
+    m = spark.createDataFrame([(k, [[1.0, 2.0, 2.0, 0.0], [0.0, 2.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]]) for k in (0, 1)], "chan long, m array<array<double>>")
+    return lookup.mueller(c, m, ["c_custkey"]).select("c_custkey", r(F.col("pols")[0], 5).alias("p0"), r(F.col("pols")[1], 5).alias("p1"))
