@@ -362,7 +362,6 @@ def test_training_raises_the_likelihood():
 
 def test_scores(spark, docs, monkeypatch):
     monkeypatch.setattr(hmm, "TABLE", 50)
-    monkeypatch.setattr(hmm, "HEAD", 50)
     rows = docs.select("doc_id", "text").collect()
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
     tokens = [[*(t or "").encode().lower().split(), None] for _, t in rows]
