@@ -29,8 +29,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes or more that repeat anywhere in what is left are cut out of the texts; n_chars follows."""
-    return drop_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Strings of 400 bytes or of 51 words or more that repeat anywhere in what is left are cut out of the texts; n_chars follows."""
+    return drop_repeats(docs, n_words=51).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, mix, signed, utf8
+from .common import Stage, WordHash, mix, signed, utf8, words
 
 LENGTH = 400
 #: Bytes of an anchor: within every string of LENGTH bytes the anchor of least hash decides on the string's shard.
 ANCHOR = 32
 #: Bytes of text hashed together, of a shard, and variants of one anchor beyond which its strings are compared by key.
 CHUNK, SHARD_BYTES, MOST_VARIANTS = 2 << 20, 2 << 20, 16_384
+#: Words of an anchor of a run of words, and words hashed together.
+WORD_ANCHOR, CHUNK_WORDS = 16, 1 << 20
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SEPARATOR = 0xF9  # never occurs in UTF-8
 _PLACE = np.uint64((1 << 24) - 1)
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
@@ -28,16 +32,21 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
 
     ``data`` joins texts that end at ``ends``; no string crosses an end.
     """
-    n = len(data) - length + 1
+    return _anchored(_TABLE[data], ends, length, ANCHOR)
+
+
+def _anchored(h: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for symbols given by their hashes; ``anchor`` is a power of two."""
+    n = len(h) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, k = _TABLE[data], 1
-    while k < ANCHOR:
+    k = 1
+    while k < anchor:
         h = (h[:-k] ^ (h[:-k] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[k:]
         k *= 2
     h = mix(h)
     low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-    span, k = length - ANCHOR + 1, 1
+    span, k = length - anchor + 1, 1
     while 2 * k <= span:
         low = np.minimum(low[:-k], low[k:])
         k *= 2
@@ -298,7 +307,74 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return cut
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+def _word_segments(docs: DataFrame, n_words: int) -> DataFrame:
+    """For every text (t1, t2) its runs of starting words whose runs of ``n_words`` words share an anchor: first word, number, anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+
+        def rows(held: list[np.ndarray], names: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            ends = np.cumsum([len(x) for x in held])
+            first, count, anchor = _anchored(np.concatenate(held), ends, n_words, WORD_ANCHOR)
+            which = np.searchsorted(ends, first, side="right")
+            t1, t2, s = np.array(names, np.int64).T
+            base = s - (ends - np.diff(np.append(0, ends)))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[which], t2[which], first + base[which], count, signed(anchor))], names=["t1", "t2", "first", "n", "anchor"])
+
+        for batch in batches:
+            held, names, size = [], [], 0
+            for t1, t2, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                h = hashes.of(words(utf8(text)))
+                for s in range(0, len(h) - n_words + 1, CHUNK_WORDS):
+                    part = h[s : s + CHUNK_WORDS + n_words - 1]
+                    if held and size + len(part) > CHUNK_WORDS:
+                        yield rows(held, names)
+                        held, names, size = [], [], 0
+                    held.append(part)
+                    names.append((t1, t2, s))
+                    size += len(part)
+            if held:
+                yield rows(held, names)
+
+    texts = docs.select(*_text_keys("text"), "text").where(F.octet_length("text") >= 2 * n_words - 1)
+    return texts.mapInArrow(run, "t1 long, t2 long, first long, n long, anchor long")
+
+
+def repeated_word_runs(docs: DataFrame, stage: Stage, n_words: int) -> DataFrame:
+    """(t1, t2, begin, end): byte ranges under runs of ``n_words`` words that also start elsewhere, in the same or another row.
+
+    Words are those of ``common.words``, so case and the kind of white space do not count. Equal runs share
+    the hash of their anchor, the 16 words of least hash in them. Anchors are counted first; only the runs
+    whose anchor occurs twice are then counted themselves, by a 128-bit key.
+    """
+    found = stage.write(_word_segments(docs, n_words), "word-segments")
+    twice = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    chosen = found.join(twice, "anchor").select("t1", "t2", "first", "n").distinct()
+    by_text = chosen.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "n")).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            for t1, t2, text, parts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                data = utf8(text)
+                raw = hashes.of(words(data)).tobytes()
+                bounds = np.array([m.span() for m in _WORD.finditer(data)], np.int64)
+                for part in parts:
+                    at = np.arange(part["first"], part["first"] + part["n"])
+                    keys = np.frombuffer(b"".join(hashlib.blake2b(raw[8 * i : 8 * (i + n_words)], digest_size=16).digest() for i in at.tolist()), np.int64).reshape(-1, 2)
+                    cols = (np.full(len(at), t1), np.full(len(at), t2), at, bounds[at, 0], bounds[at + n_words - 1, 1], keys[:, 0], keys[:, 1])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["t1", "t2", "place", "begin", "end", "k1", "k2"])
+
+    texts = docs.select(*_text_keys("text"), "text").join(by_text, ["t1", "t2"])
+    starts = stage.write(texts.mapInArrow(run, "t1 long, t2 long, place long, begin long, end long, k1 long, k2 long"), "word-runs")
+    repeated = starts.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2")
+    hits = starts.join(repeated, ["k1", "k2"]).select("t1", "t2", "place", "begin", "end").distinct()
+    # Neighbouring starts make one range.
+    order = F.row_number().over(Window.partitionBy("t1", "t2").orderBy("place"))
+    return hits.withColumn("island", F.col("place") - order).groupBy("t1", "t2", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
+
+
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH, n_words: int = 0) -> DataFrame:
     """(t1, t2, spans): for every text with repeats, by its key, the merged byte ranges [begin, end) under repeated strings.
 
     Every string of ``length`` bytes has an anchor, the 32 bytes of least hash in it, so equal strings have
@@ -307,7 +383,8 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     several different segments make shards of bounded size; a shard's segments (one of each kind) get a
     suffix array by induced sorting and the permuted shared prefixes, which give the starting places that
     repeat. An anchor with more than MOST_VARIANTS kinds of segments is too large for a shard: its strings
-    are counted by a 128-bit key in an aggregate instead, without loss.
+    are counted by a 128-bit key in an aggregate instead, without loss. With ``n_words``, runs of so many
+    words that repeat are added to the ranges, however few bytes they have.
     """
     stage = Stage(docs.sparkSession, "suffixes")
     found = stage.write(_segment_rows(docs, length), "segments")
@@ -337,6 +414,8 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
         spans = spans.unionByName(strings.join(twice, "key").select("s1", "s2", (F.col("place") - 1).cast("int").alias("low"), (F.col("place") - 1).cast("int").alias("high")))
     spans = stage.write(spans, "spans")
     of_text = found.join(spans, ["s1", "s2"]).select("t1", "t2", (F.col("first") + F.col("low")).alias("begin"), (F.col("first") + F.col("high") + length).alias("end")).distinct()
+    if n_words:
+        of_text = of_text.unionByName(repeated_word_runs(docs, stage, n_words)).distinct()
     merged = F.aggregate(
         F.array_sort(F.collect_list(F.struct("begin", "end"))),
         F.array().cast("array<struct<begin:bigint,end:bigint>>"),
@@ -351,13 +430,13 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     return stage.write(of_text.groupBy("t1", "t2").agg(merged.alias("spans")), "merged")
 
 
-def cut_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+def cut_repeats(docs: DataFrame, *, length: int = LENGTH, n_words: int = 0) -> DataFrame:
     """Every row as ``row`` (a struct of all its columns), its ``spans``, n_bytes and the ``kept`` bytes.
 
     A null text is empty. Copies of a text of ``length`` bytes or more lose all of it; shorter texts keep
     all. Repeated ids are rows of their own; an empty table gives an empty result.
     """
-    spans = repeated_spans(docs, length=length)
+    spans = repeated_spans(docs, length=length, n_words=n_words)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_text_keys(F.col("text")))
     joined = rows.join(spans, ["t1", "t2"], "left").select("row", "spans")
     data = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
@@ -370,12 +449,12 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     return joined.select("row", F.coalesce("spans", F.array().cast("array<struct<begin:bigint,end:bigint>>")).alias("spans"), size.cast("long").alias("n_bytes"), kept.alias("kept"))
 
 
-def drop_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, length: int = LENGTH, n_words: int = 0) -> DataFrame:
     """The rows of ``docs`` with the repeated strings cut out of ``text``; other columns as they were.
 
     A cut inside a character drops what is left of it. A row whose whole text repeats keeps an empty text.
     """
-    kept = cut_repeats(docs, length=length)
+    kept = cut_repeats(docs, length=length, n_words=n_words)
     text = F.when(F.col("row.text").isNull(), None).when(F.size("spans") == 0, F.col("row.text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
     return kept.withColumn("text", text).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 

@@ -7,6 +7,7 @@ import collections
 import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -286,6 +287,45 @@ def test_repeats_equal_brute_force(spark, docs, monkeypatch, variants):
     assert suffixes.cut_repeats(empty(docs)).count() == 0
 
 
+def brute_word_cut(rows, length, n):
+    """Kept bytes under both rules: strings of ``length`` bytes and runs of ``n`` words that also start elsewhere."""
+    data = [(t or "").encode() for t in rows]
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in data]
+    runs = [[tuple(b[x:y].lower() for x, y in s[i : i + n]) for i in range(len(s) - n + 1)] for b, s in zip(data, spans)]
+    seen = collections.Counter(r for rs in runs for r in rs)
+    strings = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    out = []
+    for b, s, rs in zip(data, spans, runs):
+        gone = np.zeros(len(b), bool)
+        for i, r in enumerate(rs):
+            if seen[r] > 1:
+                gone[s[i][0] : s[i + n - 1][1]] = True
+        for i in range(len(b) - length + 1):
+            if strings[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append(np.frombuffer(b, np.uint8)[~gone].tobytes())
+    return out
+
+
+def test_pipeline_cuts_passages_of_over_50_short_words(spark, monkeypatch):
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(suffixes, "CHUNK_WORDS", 300)
+    rng = random.Random(8)
+    own = lambda k: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(k))
+    rows: list[str | None] = [None, "", "la " * 70]
+    passages = {n: " ".join("".join(rng.choices("ijklmnop", k=3)) for _ in range(n)) for n in (50, 51, 52, 55, 60)}
+    for p in passages.values():
+        assert len(p) < 400
+        rows += [f"{own(rng.randint(5, 400))} {p} {own(20)}", f"{own(rng.randint(5, 90))}\n{p.upper()}\t{own(3)}", p + " " + own(9)]
+    rows += [own(60)] * 2 + [own(700)] * 2
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in P.repeated_passages(spark, df.repartition(3), SF).collect()}
+    assert got == {i: None if t is None else k.decode() for i, (t, k) in enumerate(zip(rows, brute_word_cut(rows, 400, 51)))}
+    for n, p in passages.items():
+        assert sum(p in (t or "").lower() for t in got.values()) == (3 if n == 50 else 0)
+
+
 # 1: decontamination
 
 
