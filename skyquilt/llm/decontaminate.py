@@ -24,6 +24,8 @@ BLOCK = 4
 ENTRIES = 1 << 20
 #: Share of an item's own score that a passage must reach, and share of 5-word shingles of question and answer.
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
+#: Shingles from which a part is judged by them alone.
+SHORT = 25
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -54,6 +56,30 @@ def grams(ids: np.ndarray | list, n: int) -> set[tuple]:
     return {tuple(ids[i : i + n]) for i in range(len(ids) - n + 1)}
 
 
+def aligned(part: np.ndarray, passage: np.ndarray) -> float:
+    """The largest share of the part's words that stand at their places in one stretch of the passage."""
+    n = len(part)
+    if not n or len(passage) < 2:
+        return 0.0
+    padded = np.concatenate([np.full(n - 1, -1), passage, np.full(n - 1, -1)])
+    return float((np.lib.stride_tricks.sliding_window_view(padded, n) == part).sum(1).max() / n)
+
+
+def overlap_of(part: np.ndarray, shingles: set[tuple], n: int, passage: np.ndarray, least: float) -> float:
+    """Share of the part's shingles in the passage; a part of few shingles that lacks some is judged by its words in place.
+
+    One other word costs up to SHINGLE shingles, which from SHORT shingles on leaves the share at ``least``.
+    In a shorter part one other word is allowed among three or more, so it counts as ``least`` at least.
+    """
+    if not shingles:
+        return 1.0
+    share = len(shingles & grams(passage, n)) / len(shingles)
+    if share < least and 3 <= len(part) < SHORT + SHINGLE - 1:
+        words = aligned(part, passage)
+        share = max(share, words, least if words * len(part) > len(part) - 1.5 else 0.0)
+    return share
+
+
 class Index:
     """Inverted lists of normalised impacts: a passage that holds all words of an item scores 1 for it.
 
@@ -65,7 +91,7 @@ class Index:
     def __init__(self, texts: list[str | None], documents: int, frequency: dict[bytes, int], mean_words: float):
         self.vocabulary: dict[bytes, int] = {}
         postings: list[list[tuple[int, float]]] = []
-        self.checks: list[tuple[set, set, int, int]] = []
+        self.checks: list[tuple[set, set, int, int, np.ndarray, np.ndarray]] = []
         longest = 1
         for item, text in enumerate(texts):
             words = terms_of(text)
@@ -82,7 +108,7 @@ class Index:
                 postings[self.vocabulary[w]].append((item, x / total))
             q, a = ([self.vocabulary[w] for w in part] for part in question_and_answer(text or ""))
             nq, na = min(SHINGLE, max(1, len(q))), min(SHINGLE, max(1, len(a)))
-            self.checks.append((grams(q, nq), grams(a, na), nq, na))
+            self.checks.append((grams(q, nq), grams(a, na), nq, na, np.array(q, np.int64), np.array(a, np.int64)))
         self.window = 2 * max(64, longest)
         self.items = [[i for i, _ in p] for p in postings]
         self.impacts = [[x for _, x in p] for p in postings]
@@ -171,9 +197,9 @@ class Index:
             for k in np.flatnonzero(bounds.max(1) >= least - 1e-9).tolist():
                 passage = ids[starts[k] : starts[k] + self.window]
                 for item, score in self.search(term[window == k].tolist(), bounds[k], least):
-                    q, a, nq, na = self.checks[item]
-                    part_q = len(q & grams(passage, nq)) / len(q) if q else 1.0
-                    part_a = len(a & grams(passage, na)) / len(a) if a else 1.0
+                    q, a, nq, na, words_q, words_a = self.checks[item]
+                    part_q = overlap_of(words_q, q, nq, passage, overlap)
+                    part_a = overlap_of(words_a, a, na, passage, overlap)
                     if part_q >= overlap and part_a >= overlap and (q or a):
                         best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, part_q, part_a))
         return best
@@ -204,8 +230,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = THRESHOL
 
     Every text is read whole, in overlapping passages of twice the longest item; a passage is a query to
     the index of the items, and all items that reach the threshold are verified: ``overlap`` of the 5-word
-    shingles (fewer words: the whole) of both the question and the answer must stand in the passage. No
-    exchange: a document is judged in the task that reads it. Null or empty texts and items match
+    shingles (fewer words: the whole) of both the question and the answer must stand in the passage. A part
+    of under 25 shingles and of three words or more also counts with that share of its words in their
+    places, or with all but one. No exchange: a document is judged in the task that reads it. Null or empty texts and items match
     nothing; equal documents and equal items each get their rows.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()

@@ -352,6 +352,22 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontaminate.find_leaks(empty(df), bench).count() == 0
 
 
+@pytest.mark.parametrize("n_answer", [3, 4, 6, 12, 28])
+def test_leaks_with_one_word_changed_in_each_part_are_found(n_answer):
+    rng = random.Random(n_answer)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    parts = [([word() for _ in range(rng.randint(16, 60))], [word() for _ in range(n_answer)]) for _ in range(20)]
+    texts = [" ".join(q) + ". " + " ".join(a) for q, a in parts]
+    df = collections.Counter(w for t in texts for w in set(decontaminate.terms_of(t)))
+    index = decontaminate.Index(texts, len(texts), df, 40.0)
+    around = lambda k: " ".join(word() for _ in range(k))
+    for i, (q, a) in enumerate(parts):
+        q2, a2 = list(q), list(a)
+        q2[rng.randrange(len(q))], a2[rng.randrange(len(a))] = word(), word()
+        assert set(index.leaks(f"{around(90)} {' '.join(q2)}. {' '.join(a2)} {around(rng.randint(0, 90))}")) == {i}
+        assert not index.leaks(f"{around(90)} {' '.join(q2)}. {around(n_answer)}")
+
+
 def test_search_finds_all_above_the_threshold():
     rng = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(40)]
