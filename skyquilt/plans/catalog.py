@@ -535,8 +535,8 @@ def pivot_bins(spark, sf_dir):
 
 @query()
 def pair_power_spectra(spark, sf_dir):
-    g = grid(spark, sf_dir).where("fi <= 12 and ri < 10 and di < 11").withColumn("fi", F.col("fi") - 1).withColumn("pair", F.lit("A_with_B"))
-    cells = spectra.pair_spectra(g, g, ["pair"], (12, 10, 11), (1.0, 1.0, 1.0))
+    g = grid(spark, sf_dir).where("fi <= 12 and di < 11").withColumn("fi", F.col("fi") - 1).withColumn("pair", F.lit("A_with_B"))
+    cells = spectra.pair_spectra(g, g, ["pair"], (12, 11, 11), (1.0, 1.0, 1.0))
     return spectra.radial_bins(cells, ["pair"], C.log_edges(0.3, 6.0, 8)).select("pair", "bin", r("power", 3).alias("power"), "counts")
 
 

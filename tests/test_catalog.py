@@ -24,3 +24,13 @@ def test_query(spark, con, name):
 
 def test_names_match():
     assert set(catalog.ORACLE) <= set(catalog.QUERIES)
+
+
+def test_pair_power_spectra_reads_every_cell(spark, monkeypatch):
+    seen, real = [], catalog.spectra.pair_spectra
+    monkeypatch.setattr(catalog.spectra, "pair_spectra", lambda a, b, keys, shape, *rest: seen.append((a, shape)) or real(a, b, keys, shape, *rest))
+    assert catalog.pair_power_spectra(spark, SF).count() > 0
+    cells, shape = seen[0]
+    whole = catalog.grid(spark, SF)
+    assert whole.where("ri = 10").count() > 0 and cells.count() == whole.count()
+    assert all(cells.where(f"{c} < 0 or {c} >= {n}").isEmpty() for c, n in zip(("fi", "ri", "di"), shape))
