@@ -166,8 +166,8 @@ def flag_channels(rows: DataFrame, streams: Keys, scan: Keys, sigma: float = 6.0
     return rows.join(bad, [*scan, "chan"], "left").withColumn("value", F.when(F.col("_bad").isNull(), F.col("value"))).drop("_bad")
 
 
-def flag_channels_until_stable(rows: DataFrame, streams: Keys, scan: Keys, sigma: float = 6.0, most: int = 20) -> DataFrame:
-    """Passes until none finds a new channel. A channel's variance does not depend on others, so passes run on one row for each channel of a scan."""
+def flag_channels_until_stable(rows: DataFrame, streams: Keys, scan: Keys, sigma: float = 6.0) -> DataFrame:
+    """Passes until none finds a new channel, so at most one more than there are channels. A channel's variance does not depend on others, so passes run on one row for each channel of a scan."""
     import pandas as pd
 
     v = rows.groupBy(*scan, *streams, "chan").agg(F.var_pop("value").alias("v"), F.avg("value").alias("m")).withColumn("r", F.try_divide("v", F.col("m") * F.col("m"))).select(*scan, *streams, "chan", "r")
@@ -175,7 +175,7 @@ def flag_channels_until_stable(rows: DataFrame, streams: Keys, scan: Keys, sigma
 
     def passes(pdf: pd.DataFrame) -> pd.DataFrame:
         left, bad = pdf, set()
-        for _ in range(most):
+        while True:
             by = left.groupby(streams)["r"] if streams else None
             mean = by.transform("mean") if streams else left["r"].mean()
             spread = by.transform(lambda x: x.std(ddof=0)) if streams else left["r"].std(ddof=0)

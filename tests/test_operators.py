@@ -189,3 +189,11 @@ def test_empty_tables(spark):
     assert ts.flag_channels(rows.withColumn("scan", F.lit(0)), [], ["scan"]).count() == 0
     grid = spark.createDataFrame([], "fi int, ri int, di int, value double, weight double")
     assert maps.weighted_stack(grid).count() == 0
+
+
+def test_flagging_goes_on_past_twenty_passes(spark):
+    # each pass finds the channel of the largest variance only, until five are left
+    data = [(1, c, t, 1 + sign * 10 ** ((c - 10) / 2)) for c in range(30) for t, sign in enumerate((1, -1))]
+    rows = spark.createDataFrame(data, "scan int, chan int, t int, value double")
+    out = ts.flag_channels_until_stable(rows, [], ["scan"], 2.0)
+    assert sorted({r.chan for r in out.where("value is not null").collect()}) == [0, 1, 2, 3, 4]
