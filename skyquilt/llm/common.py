@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -143,6 +143,19 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def add_in_levels(rows: DataFrame, keys: list[str], add: Callable, tasks: int, fan: int = 64) -> DataFrame:
+    """Rows (keys, part, ...), one of each key from each of ``tasks`` tasks numbered in ``part``, added up ``fan`` at a time.
+
+    ``add`` makes one row of a pandas frame of rows with the same keys. So no group is larger than ``fan``
+    rows, however many tasks there are.
+    """
+    schema = rows.schema
+    while tasks > 1:
+        rows = rows.withColumn("part", F.expr(f"cast(part div {fan} as int)")).groupBy(*keys, "part").applyInPandas(add, schema)
+        tasks = -(-tasks // fan)
+    return rows
+
+
 def components(stage: Stage, edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds, after each task's links are contracted.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -9,26 +10,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, WordHash, components, mix, shingles, signed, utf8, words
-
-#: A token is frequent from this many sets on: (sets, tokens in a combination, groups that its class is divided into).
-CLASSES = ((64, 2, 8), (4096, 3, 16))
-#: Sets up to this size use single tokens only; larger ones have room for what combinations lose.
-SMALL = 96
-#: A task reports tokens that occur in this many of its sets; at most MOST_FREQUENT tokens are classed as frequent.
-REPORT, MOST_FREQUENT = 4, 500_000
-#: Tokens held by a task before it reports, or signatures before it writes them.
-HELD = 4 << 20
-BLOOM_BITS = 1 << 26
-#: Slots of the table that tells which tokens occur in one set only, and slots of one of its blocks.
-SLOTS, BLOCK_SLOTS = 1 << 28, 1 << 22
+from .common import Stage, WordHash, add_in_levels, components, mix, shingles, signed, utf8, words
+
+#: A token is frequent from so many sets on: (sets, tokens in a combination). Below SMALL tokens a set uses single tokens for all.
+CLASSES, SMALL = ((64, 2), (4096, 3)), 16
+#: Counted tokens of a chunk, the unit in which tasks hand over sets and get back the classes of their tokens.
+CHUNK = 2 << 20
+#: Bits of the filter that chooses texts to be read again, for each chosen set, and at most.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 #: Words of 64 bits in a set's parity sketch: bit b tells whether an odd number of its tokens fall on b.
 SKETCH = 16
-#: Rounds of comparisons with pivots before what is still apart is compared pair by pair.
-ROUNDS = 4
+#: Pivots that a set meets in a round after the first, and rounds before what is still apart is compared pair by pair.
+PIVOTS, ROUNDS = 8, 4
+ALONE, RARE, UNCOUNTED = 0, 1, 9
 
 
 def set_of(text: str | None, n: int, hashes: WordHash) -> np.ndarray:
@@ -45,15 +43,40 @@ def order_of(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def slot_of(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens + np.uint64(77)) % np.uint64(SLOTS)).astype(np.int64)
+def needed(size: int, num: int, den: int) -> int:
+    """Length of a prefix that holds a token of every overlap that a link needs."""
+    return size - -(-num * size // den) + 1
+
+
+def levels(size: int, num: int, den: int) -> list[int]:
+    """Levels (powers of two) of the larger set in a pair that a set of this size can be in; 0 below SMALL."""
+    return sorted({n.bit_length() - 1 if n >= SMALL else 0 for n in (size, size * den // num)})
+
+
+def groups_of(level: int, num: int, den: int) -> int:
+    """Groups of a class: so many that a group holds a few tokens of a prefix, whatever the size of the set."""
+    return max(1, -(-needed(1 << level, num, den) // 2))
+
+
+def most_needed(size: int, num: int, den: int) -> int:
+    """The longest prefix that a set can need, whatever the classes of its tokens."""
+    loss = sum(k - 1 for _, k in CLASSES)
+    return needed(size, num, den) + max(loss * groups_of(v, num, den) if v else 0 for v in levels(size, num, den))
 
 
 def counted_share(num: int, den: int) -> np.uint64:
-    """Tokens of a lower order are counted: twice as many as a prefix needs."""
+    """Tokens of a lower order are counted: twice as many as a prefix of rare tokens needs."""
     return np.uint64(min(0.9, 2 * (1 - num / den)) * 2.0**64)
 
 
+def candidates(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The tokens that can be in the set's prefix, in order of their hashes: all counted ones, and others if those may be too few."""
+    order = order_of(tokens)
+    by = np.argsort(order)
+    n = int(np.searchsorted(order[by], counted_share(num, den)))
+    return tokens[by[: max(n, min(len(tokens), most_needed(len(tokens), num, den)))]]
+
+
 def sketch_of(tokens: np.ndarray) -> np.ndarray:
     odd = np.bincount((tokens >> np.uint64(17)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -65,92 +88,105 @@ def may_link(a: str, b: str, na: str, nb: str, num: int, den: int) -> str:
     return f"least({na}, {nb}) * {den} >= greatest({na}, {nb}) * {num} and ({na} + {nb} - ({bits})) * {num + den} >= {2 * num} * ({na} + {nb})"
 
 
+@functools.cache
+def _places_of(n: int, k: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n), k)), np.int64).reshape(-1, k)
+
+
 class Signatures:
     """The signatures of a set, so that two sets of Jaccard ``num / den`` or more share one.
 
-    Tokens are ordered by class, rare ones first, and by hash in a class. A token that is known to occur in
-    no other set comes first of all: it takes its place in the prefix but is no signature. With t the smallest overlap that a
-    partner can have, a prefix is extended until its tokens, less one short of a combination for each group
-    of a frequent class, exceed size - t: if in every group of both prefixes fewer tokens than a combination
-    were shared, the overlap could not reach t. So single tokens of the rare class and combinations within
-    the groups of frequent classes, taken from the prefix, are enough. Pairs with a set of at most SMALL
-    tokens use single tokens for all classes; sets that can have partners on either side give both kinds.
+    Tokens are ordered by class, rare ones first, and by hash in a class. A token that occurs in no other
+    set comes first of all: it takes its place in the prefix but is no signature. With t the smallest
+    overlap that a partner can have, a prefix is extended until its tokens, less one short of a combination
+    for each group of a frequent class, exceed size - t: if in every group of both prefixes fewer tokens
+    than a combination were shared, the overlap could not reach t. So single tokens of the rare class and
+    combinations within the groups of frequent classes, taken from the prefix, are enough. Groups grow in
+    number with the set, so a set has about as many combinations as its prefix has tokens; sets of a pair
+    use the groups of the larger one's level, so a set near a power of two gives signatures of two levels.
+    Tokens that were not counted come last, in the groups of the last class.
     """
 
-    def __init__(self, num: int, den: int, frequent: np.ndarray, classes: np.ndarray, repeated: np.ndarray):
-        self.num, self.den, self.frequent, self.classes, self.repeated = num, den, frequent, classes, repeated
-        self.counted = counted_share(num, den)
-
-    def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        size = len(tokens)
-        need = size - -(-self.num * size // self.den) + 1
-        order = order_of(tokens)
-        slot = slot_of(tokens)
-        twice = (self.repeated[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
-        kind = np.where(order >= self.counted, 1, 2 * twice).astype(np.int8)
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
-            kind = np.where(self.frequent[at] == tokens, self.classes[at] + 2, kind)
-        alone = int((kind == 0).sum())
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+
+    def __call__(self, size: int, tokens: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """``tokens``: the set's candidates; ``kind``: ALONE, RARE, RARE + number of the class, or UNCOUNTED."""
+        need = needed(size, self.num, self.den)
+        by = np.lexsort((order_of(tokens), kind))
+        tokens, kind = tokens[by], kind[by]
+        alone, known = (int(np.searchsorted(kind, k, side="right")) for k in (ALONE, RARE))
         if alone >= need:
             return np.zeros(0, np.uint64)
-        by = np.lexsort((order, kind))
-        tokens, kind = tokens[by], kind[by]
-        out = [np.zeros(0, np.uint64)]
-        if size * self.num <= SMALL * self.den:
-            out.append(mix(tokens[alone:need] + np.uint64(1)))
-        if size > SMALL:
-            rare = int(np.searchsorted(kind, 3))
-            out.append(mix(tokens[alone : min(need, rare)] + np.uint64(2)))
-            if rare < need:
-                out.append(np.array(self._combinations(tokens[rare:].tolist(), (kind[rare:] - 2).tolist(), need - rare), np.uint64))
+        out = [mix(tokens[alone : min(need, known)] + np.uint64(1))]
+        if known < need:
+            rest, classes = tokens[known:], np.minimum(kind[known:] - RARE, len(CLASSES)).tolist()
+            for level in levels(size, self.num, self.den):
+                out.append(self._combinations(rest, classes, need - known, level) if level else mix(rest[: need - known] + np.uint64(2)))
         return np.unique(np.concatenate(out))
 
-    def _combinations(self, tokens: list[int], kinds: list[int], need: int) -> list[int]:
+    def _combinations(self, tokens: np.ndarray, classes: list[int], need: int, level: int) -> np.ndarray:
+        parts = groups_of(level, self.num, self.den)
         groups: dict[tuple[int, int], list[int]] = {}
-        for token, kind in zip(tokens, kinds, strict=True):
+        for i, (part, c) in enumerate(zip((mix(tokens) % np.uint64(parts)).tolist(), classes, strict=True)):
             if need <= 0:
                 break
-            _, k, parts = CLASSES[kind - 1]
-            group = groups.setdefault((kind, (token >> 7) % parts), [])
-            group.append(token)
-            need -= len(group) >= k
-        found = []
-        for (kind, part), group in groups.items():
-            seed = kind * 100 + part
-            found += [xxhash.xxh3_64_intdigest(np.array(sorted(c), np.uint64).tobytes(), seed) for c in itertools.combinations(group, CLASSES[kind - 1][1])]
-        return found
-
-
-def _repeats(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return tokens[n >= REPORT], n[n >= REPORT]
-
-
-def _at_most_two(slots: np.ndarray) -> bytes:
-    slots, n = np.unique(slots, return_counts=True)
-    return np.repeat(slots, np.minimum(n, 2)).astype(np.uint32).tobytes()
-
-
-def _scan(docs: DataFrame, n_words: int, counted: np.uint64) -> DataFrame:
-    """First pass: rows of documents (size and keys of their sets), of tokens that a task found often, and of counted tokens' slots."""
+            group = groups.setdefault((c, part), [])
+            group.append(i)
+            need -= len(group) >= CLASSES[c - 1][1]
+        if need > 0:
+            raise RuntimeError("a set's candidates are too few")
+        out = [np.zeros(0, np.uint64)]
+        for (c, part), group in groups.items():
+            k = CLASSES[c - 1][1]
+            if len(group) >= k:
+                chosen = np.sort(tokens[group])[_places_of(len(group), k)]
+                h = np.full(len(chosen), (level * 16 + c) << 40 | part, np.uint64)
+                for j in range(k):
+                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + chosen[:, j])
+                out.append(h)
+        return np.concatenate(out)
+
+
+def _scan(docs: DataFrame, n_words: int, num: int, den: int, blocks: int) -> DataFrame:
+    """First pass: ``what`` 0 are rows of documents (size, keys and sketch of their sets), 1 a chunk's sets, 2 a chunk's counted tokens by block of their hashes."""
+    names = ["what", "doc_id", "d1", "d2", "size", "k1", "k2", "sketch", "chunk", "block", "first", "data", "more"]
+    kinds = [pa.int8(), *[pa.int64()] * 6, pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    share = counted_share(num, den)
+
+    def batch_of(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, held, count = WordHash(), set(), [], 0
-        names = ["doc_id", "d1", "d2", "size", "k1", "k2", "token", "sets", "block", "slots", "sketch"]
-        sketches = pa.list_(pa.int64())
+        hashes, seen = WordHash(), set()
+        held: list[tuple[int, int, int, np.ndarray]] = []
+        count = done = 0
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
 
         def report() -> Iterator[pa.RecordBatch]:
-            tokens, n = _repeats(held)
-            none = [pa.nulls(len(tokens), pa.int64())] * 6
-            yield pa.RecordBatch.from_arrays([*none, pa.array(signed(tokens)), pa.array(n), pa.nulls(len(tokens), pa.int32()), pa.nulls(len(tokens), pa.binary()), pa.nulls(len(tokens), sketches)], names=names)
-            found = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            slots = np.sort(slot_of(found[order_of(found) < counted]))
-            cut = np.searchsorted(slots, np.arange(0, SLOTS + 1, BLOCK_SLOTS))
-            used = np.flatnonzero(np.diff(cut))
-            data = [_at_most_two(slots[cut[b] : cut[b + 1]] - b * BLOCK_SLOTS) for b in used.tolist()]
-            none = [pa.nulls(len(used), pa.int64())] * 8
-            yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array(data, pa.binary()), pa.nulls(len(used), sketches)], names=names)
+            flat = np.concatenate([t for *_, t in held])
+            # Tokens in order of their hashes, so those of a block stand together and the counted ones come first.
+            order = order_of(flat)
+            distinct, first, place, sets = np.unique(order, return_index=True, return_inverse=True, return_counts=True)
+            tokens = flat[first]
+            ends = np.cumsum([len(t) for *_, t in held])
+            # A set's places, followed by the tokens of those that were not counted.
+            counted = int(np.searchsorted(distinct, share))
+            rows = []
+            for (_, _, _, t), e in zip(held, ends.tolist(), strict=True):
+                at = place[e - len(t) : e]
+                n = int((at < counted).sum())
+                rows.append(np.uint32(n).tobytes() + at[:n].astype(np.uint32).tobytes() + t[n:].tobytes())
+            chunk = (task << 32) + done
+            k1, k2, size = (np.array([h[i] for h in held], np.uint64) for i in range(3))
+            yield batch_of(len(held), what=np.ones(len(held), np.int8), chunk=np.full(len(held), chunk), k1=signed(k1), k2=signed(k2), size=size.astype(np.int64), data=rows)
+            block = (distinct[:counted] // (share // np.uint64(blocks) + np.uint64(1))).astype(np.int64)
+            cut = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])[:counted]), counted)
+            parts = [slice(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            # Few tokens are in several sets of a chunk: their places in the block, and the numbers of sets.
+            more = [(k := np.flatnonzero(sets[p] > 1).astype(np.uint32)).tobytes() + sets[p][k].astype(np.uint32).tobytes() for p in parts]
+            data = [tokens[p].tobytes() for p in parts]
+            yield batch_of(len(parts), what=np.full(len(parts), 2, np.int8), chunk=np.full(len(parts), chunk), block=block[cut[:-1]].astype(np.int32), first=cut[:-1].astype(np.int32), data=data, more=more)
 
         for batch in batches:
             sizes, k1, k2, bits = [], [], [], []
@@ -161,86 +197,82 @@ def _scan(docs: DataFrame, n_words: int, counted: np.uint64) -> DataFrame:
                 k1.append(a)
                 k2.append(b)
                 bits.append(sketch_of(tokens))
-                if a not in seen and len(tokens):
+                if len(tokens) and a not in seen:
                     if len(seen) > 1 << 20:
                         seen.clear()
                     seen.add(a)
-                    held.append(tokens)
-                    count += len(tokens)
-            none = pa.nulls(len(sizes), pa.int64())
-            keys = [pa.array(signed(np.array(k, np.uint64))) for k in (k1, k2)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int64()), *keys, none, none, pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary()), pa.array(bits, sketches)], names=names)
-            if count > HELD:
-                yield from report()
-                held, count = [], 0
-        yield from report()
+                    held.append((a, b, len(tokens), candidates(tokens, num, den)))
+                    count += len(held[-1][3])
+                if count > CHUNK:
+                    yield from report()
+                    held, count, done = [], 0, done + 1
+            keys = {n: signed(np.array(k, np.uint64)) for n, k in (("k1", k1), ("k2", k2))}
+            own = {n: batch.column(i) for i, n in enumerate(("doc_id", "d1", "d2"))}
+            yield batch_of(len(sizes), what=np.zeros(len(sizes), np.int8), size=sizes, sketch=bits, **keys, **own)
+        if held:
+            yield from report()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row_keys(), "text")
-    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, size long, k1 long, k2 long, token long, sets long, block int, slots binary, sketch array<long>")
+    return rows.mapInArrow(run, "what byte, doc_id long, d1 long, d2 long, size long, k1 long, k2 long, sketch array<long>, chunk long, block int, first int, data binary, more binary")
 
 
-def _repeated_slots(scan: DataFrame) -> np.ndarray:
-    """A bit for every slot, set where tokens of two sets fell. Tasks' slots are joined in two steps, so no group is large."""
+def _repeats(scan: DataFrame) -> DataFrame:
+    """(chunk, at, kind, tokens): the counted tokens that several sets hold, with their classes by the number of sets.
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        slots = np.frombuffer(b"".join(pdf["slots"]), np.uint32)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "slots": [_at_most_two(slots)]})
+    A block holds a range of hashes, so a group has the tokens of that range once for each chunk.
+    """
 
-    def bits(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = np.bincount(np.frombuffer(b"".join(pdf["slots"]), np.uint32), minlength=BLOCK_SLOTS)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "slots": [np.packbits(n > 1).tobytes()]})
-
-    rows = scan.where("block is not null").select("block", "slots")
-    few = rows.withColumn("salt", F.pmod(F.xxhash64("slots"), F.lit(4))).groupBy("block", "salt").applyInPandas(merge, "block int, slots binary")
-    out = np.zeros((SLOTS // BLOCK_SLOTS, BLOCK_SLOTS // 8), np.uint8)
-    for r in few.groupBy("block").applyInPandas(bits, "block int, slots binary").toLocalIterator():
-        out[r.block] = np.frombuffer(r.slots, np.uint8)
-    return out.ravel()
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(x, np.uint64) for x in pdf["data"]]
+        sets = []
+        for part, more in zip(parts, pdf["more"], strict=True):
+            sets.append(np.ones(len(part)))
+            k, n = np.frombuffer(more, np.uint32).reshape(2, -1)
+            sets[-1][k] = n
+        _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate(sets))
+        kind = np.searchsorted([2, *(c[0] for c in CLASSES)], n, side="right").astype(np.uint8)[inverse]
+        out, at = [], 0
+        for chunk, first, part in zip(pdf["chunk"], pdf["first"], parts, strict=True):
+            k = kind[at : at + len(part)]
+            at += len(part)
+            keep = np.flatnonzero(k)
+            if len(keep):
+                out.append((chunk, (keep + first).astype(np.uint32).tobytes(), k[keep].tobytes(), part[keep].tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "at", "kind", "tokens"])
+
+    return scan.where("what = 2").select("chunk", "block", "first", "data", "more").groupBy("block").applyInPandas(count, "chunk long, at binary, kind binary, tokens binary")
 
 
 def _row_keys() -> list:
     return [F.xxhash64(F.lit(k), "doc_id", "text").alias(f"d{k}") for k in (1, 2)]
 
 
-def _signature_rows(docs: DataFrame, n_words: int, sent, clash: frozenset[int]) -> DataFrame:
-    """Second pass: (sig, id, least). A task gives each signature's smallest id once (least null), and links others of its ids to it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sign, seen = WordHash(), sent.value, set()
-        held, count = [], 0
-
-        def write() -> Iterator[pa.RecordBatch]:
-            sig = np.concatenate([s for s, _ in held]) if held else np.zeros(0, np.uint64)
-            ids = np.repeat(np.array([i for _, i in held], np.uint64), [len(s) for s, _ in held]).view(np.int64) if held else np.zeros(0, np.int64)
-            by = np.lexsort((ids, sig))
-            sig, ids = sig[by], ids[by]
-            first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
-            least = ids[np.flatnonzero(first)][np.cumsum(first) - 1] if len(sig) else ids
-            for s in range(0, len(sig), 1 << 16):
-                e = slice(s, s + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(sig[e])), pa.array(ids[e]), pa.array(least[e], mask=first[e])], names=["sig", "id", "least"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = set_of(text, n_words, hashes)
-                if not len(tokens):
-                    continue
-                a, b = set_keys(tokens)
-                key = b if a in clash else a
-                if key in seen:
-                    continue
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                seen.add(key)
-                found = sign(tokens)
-                held.append((found, key))
-                count += len(found)
-            if count > HELD:
-                yield from write()
-                held, count = [], 0
-        yield from write()
-
-    return docs.select("text").mapInArrow(run, "sig long, id long, least long")
+def _signature_rows(scan: DataFrame, repeats: DataFrame, sign: Signatures, clash: frozenset[int]) -> DataFrame:
+    """Second pass, by chunk: (sig, id, least). A chunk gives each signature's smallest id once (least null), and links others of its ids to it."""
+
+    def run(sets: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        parts = [(n := int(np.frombuffer(x, np.uint32, 1)[0]), np.frombuffer(x, np.uint32, n, 4), np.frombuffer(x, np.uint64, -1, 4 + 4 * n)) for x in sets["data"]]
+        side = 1 + max((int(p.max()) for _, p, _ in parts if len(p)), default=0)
+        kind, token = np.zeros(side, np.uint8), np.zeros(side, np.uint64)
+        for at, k, t in zip(known["at"], known["kind"], known["tokens"], strict=True):
+            at = np.frombuffer(at, np.uint32)
+            kind[at], token[at] = np.frombuffer(k, np.uint8), np.frombuffer(t, np.uint64)
+        found, ids = [], []
+        for (n, p, t), k1, k2, size in zip(parts, sets["k1"], sets["k2"], sets["size"], strict=True):
+            key = k2 if k1 & (2**64 - 1) in clash else k1
+            s = sign(size, np.concatenate([token[p], t]), np.concatenate([kind[p], np.full(len(t), UNCOUNTED, np.uint8)]))
+            found.append(s)
+            ids.append(np.full(len(s), key, np.int64))
+        sig, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, ids))
+        by = np.lexsort((ids, sig))
+        sig, ids = sig[by], ids[by]
+        first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
+        least = ids[np.flatnonzero(first)][np.cumsum(first) - 1] if len(sig) else ids
+        return pd.DataFrame({"sig": signed(sig), "id": ids, "least": pd.arrays.IntegerArray(least, first)})
+
+    sets = scan.where("what = 1").select("chunk", "k1", "k2", "size", "data")
+    return sets.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInPandas(run, "sig long, id long, least long")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -263,40 +295,41 @@ def _stars(rows: DataFrame) -> DataFrame:
     return rows.select("sig", "id").repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "sig long, id long, least long")
 
 
-def _bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """A filter of fixed size over all values; tasks' bitmaps are combined block by block on the executors."""
-    blocks, size = 64, BLOOM_BITS // 64 // 8
+def _filter(keys: DataFrame, column: str, n: int) -> np.ndarray:
+    """Bits set at the places of all ``n`` values: FILTER_BITS for each, MOST_FILTER_BITS at most. Tasks' parts are joined in levels."""
+    size = min(MOST_FILTER_BITS, max(1 << 16, 1 << (FILTER_BITS * n).bit_length()))
+    width = max(1 << 16, size >> 6)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(BLOOM_BITS, bool)
+        bits = np.zeros(size, bool)
         for pdf in frames:
-            for at in _places(pdf[column].to_numpy()):
+            for at in _places(pdf[column].to_numpy(), size):
                 bits[at] = True
-        packed = np.packbits(bits).reshape(blocks, size)
-        used = np.flatnonzero(packed.any(1))
-        yield pd.DataFrame({"block": used, "bits": [packed[k].tobytes() for k in used]})
+        used = np.flatnonzero(bits.reshape(-1, width).any(1))
+        yield pd.DataFrame({"block": used, "part": TaskContext.get().partitionId(), "bits": [np.packbits(bits[k * width : (k + 1) * width]).tobytes() for k in used]})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
+        return pdf.head(1).assign(bits=[np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()])
 
-    out = np.zeros((blocks, size), np.uint8)
-    for r in keys.select(column).mapInPandas(run, "block int, bits binary").groupBy("block").applyInPandas(join, "block int, bits binary").toLocalIterator():
+    out = np.zeros((size // width, width // 8), np.uint8)
+    parts = keys.select(column).mapInPandas(run, "block int, part int, bits binary")
+    for r in add_in_levels(parts, ["block"], join, keys.rdd.getNumPartitions()).toLocalIterator():
         out[r.block] = np.frombuffer(r.bits, np.uint8)
-    return np.unpackbits(out.ravel()).view(bool)
+    return out.ravel()
 
 
-def _places(values: np.ndarray) -> list[np.ndarray]:
+def _places(values: np.ndarray, size: int) -> list[np.ndarray]:
     x = np.ascontiguousarray(values, np.int64).view(np.uint64)
-    return [(mix(x + np.uint64(k)) % np.uint64(BLOOM_BITS)).astype(np.int64) for k in (11, 12, 13)]
+    return [(mix(x + np.uint64(k)) % np.uint64(size)).astype(np.int64) for k in (11, 12, 13)]
 
 
 def _fetch(docs: DataFrame, n_words: int, chosen, clash: frozenset[int]) -> DataFrame:
     """(d1, id, tokens) of the rows whose key the filter ``chosen`` may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHash(), np.unpackbits(chosen.value).view(bool)
+        hashes, bits = WordHash(), chosen.value
         for batch in batches:
-            keep = np.logical_and.reduce([bits[at] for at in _places(batch.column(0).to_numpy())])
+            keep = np.logical_and.reduce([(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1 for at in _places(batch.column(0).to_numpy(), 8 * len(bits))])
             part = batch.filter(pa.array(keep))
             sets = [set_of(t, n_words, hashes) for t in part.column(1).to_pylist()]
             ids = [b if a in clash else a for a, b in map(set_keys, sets)]
@@ -311,36 +344,33 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
     """Every row's class of linked shingle sets: doc_id, d1, d2 (keys of the row), n_shingles, component_id, id.
 
     Two rows link when ``den`` * intersection >= ``num`` * union of their sets. Equal sets form a class
-    and are handled once. Signatures (see ``Signatures``) bring together all sets that can link. In each
-    signature, in each of a few rounds, a set meets a pivot that is still in another component; only sets
-    of one signature that remain in different components are compared pair by pair, after their sizes and
-    sketches. So groups of similar sets cost as many
-    comparisons as they have members, and no link between components is lost. Token statistics cover all
-    texts: a table of SLOTS bits tells which tokens surely occur in one set only, so most sets that are
-    like no other give no signature; when it fills up it tells less, and results stay the same. Nothing but counts, the list of frequent tokens and a
-    filter of fixed size passes through the driver.
+    and are handled once. Signatures (see ``Signatures``) bring together all sets that can link; the
+    classes of tokens come from their counts over all texts, exchanged by ranges of hashes, so they do not
+    depend on how rows are dealt. In each signature a set meets pivots that are still in another component,
+    round after round; only sets of one signature that remain in different components are compared pair by
+    pair, after their sizes and sketches. So groups of similar sets cost as many comparisons as they have
+    members, and no link between components is lost. Nothing but counts and a filter of bounded size
+    passes through the driver; when the filter is full, more texts are read again and results stay the same.
 
     Null texts and texts without words have no set: n_shingles 0, component_id their own doc_id. A null
-    doc_id takes part; it is a component's id only where no other is. Repeated rows are equal sets.
+    doc_id takes part; it is a component's id only where no other is. Repeated rows are equal sets. A long
+    text is a set like others, with signatures in proportion to its words. An empty table gives no rows.
     """
     if num * 4 <= den * 3:
         raise ValueError("a similarity above 0.75 is needed")
     spark = docs.sparkSession
     stage = Stage(spark, "jaccard")
-    scan = stage.write(_scan(docs, n_words, counted_share(num, den)), "scan")
-    rows = scan.where("size is not null")
+    blocks = max(64, 2 * docs.rdd.getNumPartitions())
+    scan = stage.write(_scan(docs, n_words, num, den, blocks), "scan")
+    rows = scan.where("what = 0")
     classes = rows.where("size > 0").groupBy("k1").agg(F.min("k2").alias("low"), F.max("k2").alias("high"))
     clash = frozenset(r[0] & (2**64 - 1) for r in classes.where("low <> high").select("k1").toLocalIterator())
     own = F.when(F.col("size") > 0, F.when(F.col("k1").isin([signed(np.array([c], np.uint64))[0].item() for c in clash]), F.col("k2")).otherwise(F.col("k1")) if clash else F.col("k1"))
     rows = rows.select("doc_id", "d1", "d2", "size", own.alias("id"), "sketch")
 
-    often = scan.where("token is not null").groupBy("token").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= CLASSES[0][0])
-    often = often.orderBy(F.desc("sets"), "token").limit(MOST_FREQUENT).toArrow().to_pandas()
-    tokens = often["token"].to_numpy(np.int64).view(np.uint64)
-    kinds = np.searchsorted([c[0] for c in CLASSES], often["sets"].to_numpy(np.int64), side="right").astype(np.int8)
-    by = np.argsort(tokens)
-    sent = spark.sparkContext.broadcast(Signatures(num, den, tokens[by], kinds[by], _repeated_slots(scan)))
-    found = stage.write(_signature_rows(docs, n_words, sent, clash), "signatures")
+    repeats = stage.write(_repeats(scan), "repeats")
+    found = stage.write(_signature_rows(scan, repeats, Signatures(num, den), clash), "signatures")
+    stage.drop("repeats")
     stars = _stars(found.where("least is null")).unionByName(found.where("least is not null and id <> least"))
     stars = stage.write(stars, "stars")
     stage.drop("signatures")
@@ -349,7 +379,7 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
     sizes = stage.write(sizes, "classes")
     taking_part = stars.select("id").union(stars.select("least")).distinct()
     involved = stage.write(sizes.join(taking_part, "id", "left_semi"), "involved")
-    chosen = spark.sparkContext.broadcast(np.packbits(_bloom(involved, "d1")))
+    chosen = spark.sparkContext.broadcast(_filter(involved, "d1", involved.count()))
     sets = _fetch(docs, n_words, chosen, clash).join(involved.select("id", "d1"), ["id", "d1"], "left_semi").dropDuplicates(["id"]).select("id", "tokens")
     sets = stage.write(sets, "sets")
 
@@ -364,24 +394,30 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
         common = F.size(F.array_intersect("su", "sv"))
         return both.where(den * common >= num * (F.col("nu") + F.col("nv") - common)).select("u", "v")
 
-    # Rounds: in each signature whose sets are in several components, every set meets a pivot of another
-    # component; of the pivots that are possible for it, a set is compared with one.
+    # Rounds: in each signature whose sets are in several components, every set meets pivots of other
+    # components, first one that is the same in all signatures, then some that each signature draws for
+    # itself; of those that are possible for it, a set is compared with two.
     members = stage.write(stars.select("sig", "id").union(stars.select("sig", "least")).distinct(), "members-0")
     of = members.select(F.col("id").alias("node"), F.col("id").alias("component")).where("false")
     tried = links = None
     for k in range(ROUNDS):
         labelled = members.join(of.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
-        pick = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "c"))
-        per = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), pick.alias("p")).where("low <> high").select("sig", "p")
+        draw = lambda j, k=k: F.min(F.struct(F.xxhash64("id", *([F.lit(j), F.lit(k), "sig"] if k else [])).alias("h"), "id", "c"))
+        per = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), *[draw(j).alias(f"p{j}") for j in range(2 if k else 1)]).where("low <> high").drop("low", "high")
         mixed = stage.write(labelled.join(per, "sig"), f"members-{k + 1}")
         stage.drop(f"members-{k}")
         members = mixed.select("sig", "id")
-        other = mixed.where("c <> p.c").groupBy("sig").agg(pick.alias("q"))
-        pairs = mixed.join(other, "sig").select(F.col("id").alias("u"), F.when(F.col("c") == F.col("p.c"), F.col("q.id")).otherwise(F.col("p.id")).alias("v")).distinct()
+        if k:
+            pairs = mixed.select(F.col("id").alias("u"), "c", F.explode(F.array("p0", "p1")).alias("p")).where("c <> p.c").select("u", F.col("p.id").alias("v"))
+        else:
+            other = mixed.where("c <> p0.c").groupBy("sig").agg(draw(0).alias("q"))
+            pairs = mixed.join(other, "sig").select(F.col("id").alias("u"), F.when(F.col("c") == F.col("p0.c"), F.col("q.id")).otherwise(F.col("p0.id")).alias("v"))
+        pairs = pairs.groupBy("u").agg(*[F.min(F.struct(F.xxhash64("v", "u", F.lit(j)).alias("h"), "v")).alias(f"m{j}") for j in range(PIVOTS)])
+        pairs = pairs.select("u", F.explode(F.array_distinct(F.array(*[F.col(f"m{j}.v") for j in range(PIVOTS)]))).alias("v"))
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        one = possible(pairs).groupBy("u").agg(F.min(F.struct(F.xxhash64("v", "u").alias("h"), "v", "nu", "nv")).alias("m")).select("u", "m.v", "m.nu", "m.nv")
-        now = stage.write(one, f"tried-{k}")
+        two = possible(pairs).groupBy("u").agg(*[F.min(F.struct(F.xxhash64("v", "u", F.lit(j)).alias("h"), "v", "nu", "nv")).alias(f"m{j}") for j in (8, 9)])
+        now = stage.write(two.select("u", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{m}.{c}").alias(c) for c in ("v", "nu", "nv")]) for m in ("m8", "m9")]))).alias("m")).select("u", "m.*"), f"tried-{k}")
         good = stage.write(verified(now), f"links-{k}")
         tried = now.select("u", "v") if tried is None else tried.unionByName(now.select("u", "v"))
         links = good if links is None else links.unionByName(good)

@@ -213,11 +213,11 @@ def brute_components(rows, n, num, den):
     return [(len(s), label.get(f.find(i)) if s else rows[i][0]) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("n, num, den, classes", [(4, 85, 100, None), (5, 4, 5, ((2, 2, 3), (5, 3, 4)))])
+@pytest.mark.parametrize("n, num, den, classes", [(4, 85, 100, None), (5, 4, 5, ((2, 2), (5, 3)))])
 def test_jaccard_equals_brute_force(spark, docs, monkeypatch, n, num, den, classes):
     if classes:
         monkeypatch.setattr(jaccard, "CLASSES", classes)
-        monkeypatch.setattr(jaccard, "REPORT", 1)
+        monkeypatch.setattr(jaccard, "CHUNK", 2000)
         monkeypatch.setattr(jaccard, "ROUNDS", 1)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = sorted(zip(rows, brute_components(rows, n, num, den)), key=str)
@@ -235,14 +235,34 @@ def test_jaccard_equals_brute_force(spark, docs, monkeypatch, n, num, den, class
 @given(st.integers(0, 10**6))
 def test_signatures_never_miss_a_pair(seed):
     rng = np.random.default_rng(seed)
-    size = int(rng.integers(100, 260))
+    size = int(rng.integers(5, 260))
     x = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
     y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.07], rng.integers(0, 2**63, int(size * 0.05), dtype=np.uint64)]))
-    frequent = np.sort(rng.choice(x, len(x) * 3 // 4, replace=False))
-    sign = jaccard.Signatures(4, 5, frequent, rng.integers(1, 3, len(frequent)).astype(np.int8), np.full(jaccard.SLOTS // 8, 255, np.uint8) if seed % 2 else np.frombuffer(bytes([255]) * (jaccard.SLOTS // 8), np.uint8))
-    common_ = len(np.intersect1d(x, y))
-    if 5 * common_ >= 4 * (len(x) + len(y) - common_):
-        assert len(np.intersect1d(sign(x), sign(y)))
+    kind_of = dict(zip(x.tolist(), rng.choice([0, 1, 2, 3], len(x), p=[0.2, 0.1, 0.3, 0.4] if seed % 2 else [0.9, 0.1, 0, 0]).tolist()))
+    shared = set(np.intersect1d(x, y).tolist())
+
+    def sign(tokens):
+        tokens = jaccard.candidates(tokens, 4, 5)
+        kind = [jaccard.UNCOUNTED if o >= jaccard.counted_share(4, 5) else max(kind_of.get(t, 0), int(t in shared)) for t, o in zip(tokens.tolist(), jaccard.order_of(tokens))]
+        return jaccard.Signatures(4, 5)(size_of, tokens, np.array(kind, np.uint8))
+
+    if 5 * len(shared) >= 4 * (len(x) + len(y) - len(shared)):
+        size_of = len(x)
+        a = sign(x)
+        size_of = len(y)
+        assert len(np.intersect1d(a, sign(y)))
+
+
+@pytest.mark.parametrize("num, den", [(4, 5), (85, 100), (76, 100)])
+def test_prefixes_fit_into_their_sets(num, den):
+    assert all(jaccard.most_needed(n, num, den) <= n for n in [*range(1, 3000), 10**5, 10**6])
+
+
+def test_signatures_grow_with_the_set():
+    rng = np.random.default_rng(4)
+    for n in (1000, 50_000):
+        tokens = jaccard.candidates(np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)), 4, 5)
+        assert len(jaccard.Signatures(4, 5)(n, tokens, np.full(len(tokens), 3, np.uint8))) < 3 * n
 
 
 # 4: suffix arrays
