@@ -17,8 +17,12 @@ from .common import Stage, WordHash, mix, signed, utf8, words
 LENGTH = 400
 #: Bytes of an anchor: within every string of LENGTH bytes the anchor of least hash decides on the string's shard.
 ANCHOR = 32
-#: Bytes of text hashed together, of a shard, and variants of one anchor beyond which its strings are compared by key.
-CHUNK, SHARD_BYTES, MOST_VARIANTS = 2 << 20, 2 << 20, 16_384
+#: Bytes of text hashed together, of a shard, and starting places of a segment.
+CHUNK, SHARD_BYTES, SEGMENT = 2 << 20, 2 << 20, 1 << 14
+#: Variants of one anchor beyond which its segments are divided, and the starting places of their parts, step by step.
+MOST_VARIANTS, NARROW = 16_384, (64, 8, 1)
+#: Partitions of the shards at most; beyond, a partition has several shards, one after another.
+PARTITIONS = 32_768
 #: Words of an anchor of a run of words, and words hashed together.
 WORD_ANCHOR, CHUNK_WORDS = 16, 1 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -27,19 +31,38 @@ _PLACE = np.uint64((1 << 24) - 1)
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of starting places of strings of ``length`` bytes that have the same anchor: first place, number, anchor hash.
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starting places of strings of ``length`` bytes whose anchors have one hash: first place, number, anchor hash, and whether the run has several anchors.
 
-    ``data`` joins texts that end at ``ends``; no string crosses an end.
+    ``data`` joins texts that end at ``ends``; no string crosses an end. A run has SEGMENT starting places at most.
     """
     return _anchored(_TABLE[data], ends, length, ANCHOR)
 
 
-def _anchored(h: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchored(h: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The same for symbols given by their hashes; ``anchor`` is a power of two."""
+    place, h, inside = _places(h, ends, length, anchor)
+    if not len(place):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    moved = np.append(False, place[1:] != place[:-1])
+    edge = np.append(True, (h[place[1:]] != h[place[:-1]]) | (inside[1:] != inside[:-1]))
+    first = np.flatnonzero(edge)
+    n = len(place)
+    if (np.diff(np.append(first, n)) > SEGMENT).any():
+        at = np.arange(n)
+        edge |= (at - np.maximum.accumulate(np.where(edge, at, 0))) % SEGMENT == 0
+        first = np.flatnonzero(edge)
+    count = np.diff(np.append(first, n))
+    use = inside[first]
+    several = np.add.reduceat(moved & ~edge, first) > 0
+    return first[use], count[use], h[place[first[use]]], several[use]
+
+
+def _places(h: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every starting place the first place of its anchor; the hashes of all anchors; and which starting places have a whole string."""
     n = len(h) - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     k = 1
     while k < anchor:
         h = (h[:-k] ^ (h[:-k] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[k:]
@@ -56,11 +79,7 @@ def _anchored(h: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tupl
     inside = np.ones(n, bool)
     for e in ends[:-1].tolist():
         inside[max(0, e - length + 1) : e] = False
-    edge = np.append(True, (place[1:] != place[:-1]) | (inside[1:] != inside[:-1]))
-    first = np.flatnonzero(edge)
-    count = np.diff(np.append(first, n))
-    use = inside[first]
-    return first[use], count[use], h[place[first[use]]]
+    return place, h, inside
 
 
 def pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
@@ -83,21 +102,16 @@ def pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarra
         yield np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held]), names
 
 
-def segments(texts: list[bytes], length: int = LENGTH) -> tuple[list, ...]:
-    """For all texts: text number, first starting place, number of starting places, anchor, and the segment's bytes."""
-    out: tuple[list, ...] = ([], [], [], [], [])
+def segments(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple]:
+    """Chunk by chunk: text number, first starting place, number of starting places, anchor, whether it has several anchors, and the segment's bytes."""
     for data, ends, names in pieces(texts, length):
-        first, count, anchor = anchors(data, ends, length)
+        first, count, anchor, several = anchors(data, ends, length)
         which = np.searchsorted(ends, first, side="right")
         begin = ends - np.diff(np.append(0, ends))
         base = np.array([s for _, s in names], np.int64) - begin
-        raw = data.tobytes()
-        out[0].extend(np.array([i for i, _ in names], np.int64)[which].tolist())
-        out[1].extend((first + base[which]).tolist())
-        out[2].extend(count.tolist())
-        out[3].append(anchor)
-        out[4].extend(raw[a : a + c + length - 1] for a, c in zip(first.tolist(), count.tolist(), strict=True))
-    return out
+        raw = memoryview(data)
+        text = np.array([i for i, _ in names], np.int64)[which]
+        yield text, first + base[which], count, anchor, several, (raw[a : a + c + length - 1] for a, c in zip(first.tolist(), count.tolist(), strict=True))
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -140,30 +154,60 @@ def _names(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _rank_recursively(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of the reduced string: ranks are refined by the ranks of what follows, twice as far each time."""
-    n, h = len(names), 1
-    order = np.argsort(names, kind="stable")
-    s = names[order]
-    new = np.append(True, s[1:] != s[:-1])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    while True:
-        group = np.diff(np.append(np.flatnonzero(new), n))
-        tied = np.flatnonzero(np.repeat(group > 1, group))
-        if not len(tied):
-            return order
-        items = order[tied]
-        follow = np.where(items + h < n, rank[np.minimum(items + h, n - 1)], -1)
-        by = np.lexsort((follow, rank[items]))
-        items, follow = items[by], follow[by]
-        order[tied] = items
-        r = rank[items]
-        edge = np.append(True, (r[1:] != r[:-1]) | (follow[1:] != follow[:-1]))
-        new[tied] = edge
-        fresh = tied[np.maximum.accumulate(np.where(edge, np.arange(len(tied)), 0))]
-        rank[items] = fresh
-        h *= 2
+def _sort_recursively(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of the reduced string, which ends with its only smallest name: at once where all names differ, else by induced sorting again."""
+    distinct, dense = np.unique(names, return_inverse=True)
+    if len(distinct) == len(names):
+        return np.argsort(names)
+    return np.array(_induced(dense.tolist(), len(distinct)), np.int64)
+
+
+def _induced(t: list[int], size: int) -> list[int]:
+    """Suffix array of integers 0 to ``size`` - 1 of which 0 is the last and occurs once."""
+    n = len(t)
+    small = [True] * n
+    for i in range(n - 2, -1, -1):
+        small[i] = t[i] < t[i + 1] or (t[i] == t[i + 1] and small[i + 1])
+    count = np.bincount(np.array(t, np.int64), minlength=size)
+    tails = np.cumsum(count)
+    heads = (tails - count).tolist()
+    tails = tails.tolist()
+
+    def induce(seeds: list[int]) -> list[int]:
+        sa, end = [-1] * n, tails.copy()
+        for i in reversed(seeds):
+            end[t[i]] -= 1
+            sa[end[t[i]]] = i
+        begin = heads.copy()
+        for k in range(n):
+            i = sa[k] - 1
+            if i >= 0 and not small[i]:
+                c = t[i]
+                sa[begin[c]] = i
+                begin[c] += 1
+        end = tails.copy()
+        for k in range(n - 1, -1, -1):
+            i = sa[k] - 1
+            if i >= 0 and small[i]:
+                c = t[i]
+                end[c] -= 1
+                sa[end[c]] = i
+        return sa
+
+    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
+    if not lms:
+        return induce(lms) if n > 1 else [0]
+    stop = dict(zip(lms, [*lms[1:], n - 1], strict=True))
+    ordered = [i for i in induce(lms) if i in stop]
+    name, last, rank = {}, None, -1
+    for i in ordered:
+        part = t[i : stop[i] + 1]
+        if part != last:
+            rank, last = rank + 1, part
+        name[i] = rank
+    if rank + 1 < len(lms):
+        ordered = [lms[k] for k in _induced([name[i] for i in lms], rank + 1)]
+    return induce(ordered)
 
 
 def _push(queues: list[list[np.ndarray]], places: np.ndarray, symbols: np.ndarray) -> None:
@@ -180,7 +224,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n, size = len(t), 257
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    order = lms[_rank_recursively(_names(t, lms))] if len(lms) else lms
+    order = lms[_sort_recursively(_names(t, lms))] if len(lms) else lms
     seeds: list[list[np.ndarray]] = [[] for _ in range(size)]
     _push(seeds, order, t[order])
     large: list[list[np.ndarray]] = [[] for _ in range(size)]
@@ -282,44 +326,101 @@ def _text_keys(text) -> list:
     return [F.xxhash64(F.lit(k), text).alias(f"t{k}") for k in (1, 2)]
 
 
+def _keys(parts) -> np.ndarray:
+    """128-bit keys of byte strings, two numbers each."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in parts), np.int64).reshape(-1, 2)
+
+
 def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, first, count, anchor, raw = segments([utf8(t) for t in batch.column(2).to_pylist()], length)
-            keys = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in raw), np.int64).reshape(-1, 2)
-            at = pa.array(which, pa.int64())
-            hashes = np.concatenate(anchor) if anchor else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int64()), pa.array(count, pa.int32()), pa.array(signed(hashes)), pa.array(keys[:, 0]), pa.array(keys[:, 1])],
-                names=["t1", "t2", "first", "n", "anchor", "s1", "s2"],
-            )
+            for which, first, count, anchor, several, raw in segments([utf8(t) for t in batch.column(2).to_pylist()], length):
+                keys, at = _keys(raw), pa.array(which)
+                cols = [batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, (first, count.astype(np.int32), signed(anchor), several, keys[:, 0], keys[:, 1]))]
+                yield pa.RecordBatch.from_arrays(cols, names=["t1", "t2", "first", "n", "anchor", "self", "s1", "s2"])
 
     rows = docs.select(*_text_keys("text"), "text").where(F.octet_length("text") >= length)
-    return rows.mapInArrow(run, "t1 long, t2 long, first long, n int, anchor long, s1 long, s2 long")
+    return rows.mapInArrow(run, "t1 long, t2 long, first long, n int, anchor long, self boolean, s1 long, s2 long")
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted segments (t1, t2, first, n, ...), each from one row that has the text."""
+    """Bytes of the wanted segments (t1, t2, first, n, ...). Copies of a text become one row before it meets its segments."""
     by_text = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "n", "anchor", "s1", "s2")).alias("parts"))
-    rows = docs.select(*_text_keys("text"), F.col("text").cast("binary").alias("data")).join(by_text, ["t1", "t2"])
+    rows = docs.where(F.octet_length("text") >= length).groupBy(*_text_keys("text")).agg(F.first("text").cast("binary").alias("data")).join(by_text, ["t1", "t2"])
     part = F.explode("parts").alias("p")
     cut = rows.select("data", part).select("p.anchor", "p.s1", "p.s2", F.expr(f"substring(data, cast(p.first + 1 as int), p.n + {length - 1})").alias("bytes"))
     return cut
 
 
+def _narrow(cut: DataFrame, length: int, width: int) -> DataFrame:
+    """Segments of one anchor (anchor, s1, s2, bytes) in parts of ``width`` starting places: anchor, p1, p2, s1, s2, low, n, bytes.
+
+    The new anchor is made of the old one, of the part's distance from it, and of the bytes that all of the
+    part's strings have in common, so equal strings still meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, s1, s2, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                place, _, _ = _places(_TABLE[np.frombuffer(data, np.uint8)], np.array([len(data)]), length, ANCHOR)
+                back = (place - np.arange(len(place))) // width
+                low = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (back[1:] != back[:-1])))
+                n = np.diff(np.append(low, len(place)))
+                # Common to a part of full width, whatever of it is here: the bytes from its last start to its first string's end.
+                last = place[low] - back[low] * width
+                own = [anchor.to_bytes(8, "little", signed=True) + b.to_bytes(4, "little") + data[e : e + length - width + 1] for b, e in zip(back[low].tolist(), last.tolist(), strict=True)]
+                parts = [data[a : a + k + length - 1] for a, k in zip(low.tolist(), n.tolist(), strict=True)]
+                new, keys = _keys(own), _keys(parts)
+                cols = (new[:, 0], keys[:, 0], keys[:, 1], np.full(len(low), s1), np.full(len(low), s2), low.astype(np.int32), n.astype(np.int32), parts)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) if c is parts else pa.array(c) for c in cols], names=["anchor", "p1", "p2", "s1", "s2", "low", "n", "bytes"])
+
+    return cut.select("anchor", "s1", "s2", "bytes").mapInArrow(run, "anchor long, p1 long, p2 long, s1 long, s2 long, low int, n int, bytes binary")
+
+
+def _repeats_in(stage: Stage, cut: DataFrame, length: int, step: int = 0) -> DataFrame:
+    """(s1, s2, low, high): starting places of the segments (anchor, s1, s2, bytes) whose strings start elsewhere in a segment of the anchor.
+
+    Anchors make shards of bounded size, each with a suffix array. Segments of an anchor with more than
+    MOST_VARIANTS of them are divided into narrower parts with longer anchors, which are treated alike.
+    """
+    hot = cut.groupBy("anchor").count().where(F.col("count") > MOST_VARIANTS).select("anchor", F.lit(True).alias("hot"))
+    cut = stage.write(cut.join(hot, "anchor", "left"), f"cut-{step}")
+    size, many = cut.agg(F.coalesce(F.sum(F.when(F.col("hot").isNull(), F.length("bytes"))), F.lit(0)), F.count("hot")).first()
+    shards = max(1, -(-size // SHARD_BYTES))
+
+    def sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["anchor", "s1", "s2"], kind="stable")
+        rows = [(s1, s2, a, b) for s1, s2, flags in zip(pdf["s1"], pdf["s2"], repeated_starts(list(pdf["bytes"]), length), strict=True) for a, b in runs(flags)]
+        return pd.DataFrame(rows, columns=["s1", "s2", "low", "high"])
+
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
+    out = cut.where("hot is null").select("anchor", "s1", "s2", "bytes", shard).repartition(min(shards, PARTITIONS), "shard").groupBy("shard").applyInPandas(sort_shard, "s1 long, s2 long, low int, high int")
+    if not many:
+        return out
+    parts = stage.write(_narrow(cut.where("hot"), length, NARROW[step]), f"parts-{step}")
+    kinds = parts.groupBy("anchor", "p1", "p2").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.first("bytes").alias("bytes"))
+    kinds = stage.write(kinds, f"kinds-{step}")
+    whole = kinds.where("copies > 1").select(F.col("p1").alias("s1"), F.col("p2").alias("s2"), F.lit(0).alias("low"), (F.col("n") - 1).cast("int").alias("high"))
+    if step + 1 < len(NARROW):
+        several = kinds.groupBy("anchor").count().where("count > 1").select("anchor")
+        whole = whole.unionByName(_repeats_in(stage, kinds.join(several, "anchor").select("anchor", F.col("p1").alias("s1"), F.col("p2").alias("s2"), "bytes"), length, step + 1))
+    found = whole.select(F.col("s1").alias("p1"), F.col("s2").alias("p2"), F.col("low").alias("l"), F.col("high").alias("h"))
+    return out.unionByName(parts.join(found, ["p1", "p2"]).select("s1", "s2", (F.col("low") + F.col("l")).alias("low"), (F.col("low") + F.col("h")).alias("high")))
+
+
 def _word_segments(docs: DataFrame, n_words: int) -> DataFrame:
-    """For every text (t1, t2) its runs of starting words whose runs of ``n_words`` words share an anchor: first word, number, anchor."""
+    """For every text (t1, t2) its runs of starting words whose runs of ``n_words`` words share an anchor: first word, number, anchor, and whether they hold it several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
 
         def rows(held: list[np.ndarray], names: list[tuple[int, int, int]]) -> pa.RecordBatch:
             ends = np.cumsum([len(x) for x in held])
-            first, count, anchor = _anchored(np.concatenate(held), ends, n_words, WORD_ANCHOR)
+            first, count, anchor, several = _anchored(np.concatenate(held), ends, n_words, WORD_ANCHOR)
             which = np.searchsorted(ends, first, side="right")
             t1, t2, s = np.array(names, np.int64).T
             base = s - (ends - np.diff(np.append(0, ends)))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[which], t2[which], first + base[which], count, signed(anchor))], names=["t1", "t2", "first", "n", "anchor"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[which], t2[which], first + base[which], count, signed(anchor), several)], names=["t1", "t2", "first", "n", "anchor", "self"])
 
         for batch in batches:
             held, names, size = [], [], 0
@@ -337,7 +438,7 @@ def _word_segments(docs: DataFrame, n_words: int) -> DataFrame:
                 yield rows(held, names)
 
     texts = docs.select(*_text_keys("text"), "text").where(F.octet_length("text") >= 2 * n_words - 1)
-    return texts.mapInArrow(run, "t1 long, t2 long, first long, n long, anchor long")
+    return texts.mapInArrow(run, "t1 long, t2 long, first long, n long, anchor long, self boolean")
 
 
 def repeated_word_runs(docs: DataFrame, stage: Stage, n_words: int) -> DataFrame:
@@ -348,7 +449,7 @@ def repeated_word_runs(docs: DataFrame, stage: Stage, n_words: int) -> DataFrame
     whose anchor occurs twice are then counted themselves, by a 128-bit key.
     """
     found = stage.write(_word_segments(docs, n_words), "word-segments")
-    twice = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("self").alias("any")).where("n > 1 or any").select("anchor")
     chosen = found.join(twice, "anchor").select("t1", "t2", "first", "n").distinct()
     by_text = chosen.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "n")).alias("parts"))
 
@@ -380,58 +481,34 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, n_words: int = 0) -
     Every string of ``length`` bytes has an anchor, the 32 bytes of least hash in it, so equal strings have
     equal anchors. A text is divided into segments: runs of starting places whose strings share the anchor.
     Equal segments are counted, not gathered; one that occurs twice is repeated as a whole. Anchors with
-    several different segments make shards of bounded size; a shard's segments (one of each kind) get a
-    suffix array by induced sorting and the permuted shared prefixes, which give the starting places that
-    repeat. An anchor with more than MOST_VARIANTS kinds of segments is too large for a shard: its strings
-    are counted by a 128-bit key in an aggregate instead, without loss. With ``n_words``, runs of so many
-    words that repeat are added to the ranges, however few bytes they have.
+    several different segments, and segments that hold their anchor several times, make shards of bounded
+    size (see ``_repeats_in``); a shard's segments (one of each kind) get a suffix array by induced sorting
+    and the permuted shared prefixes, which give the starting places that repeat. With ``n_words``, runs of
+    so many words that repeat are added to the ranges, however few bytes they have.
     """
     stage = Stage(docs.sparkSession, "suffixes")
     found = stage.write(_segment_rows(docs, length), "segments")
-    kinds = found.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "first", "n")).alias("at"))
+    kinds = found.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("copies"), F.max("self").alias("self"), F.min(F.struct("t1", "t2", "first", "n")).alias("at"))
     kinds = stage.write(kinds, "kinds")
-    shared = kinds.groupBy("anchor").agg(F.count("*").alias("variants"), F.sum("copies").alias("total"), F.sum("at.n").alias("starts")).where("variants > 1")
-    several = stage.write(kinds.select("anchor", "s1", "s2", "at.*").join(shared, "anchor"), "several")
+    shared = kinds.groupBy("anchor").agg(F.count("*").alias("variants"), F.max("self").alias("any")).where("variants > 1 or any").select("anchor")
+    several = kinds.select("anchor", "s1", "s2", "at.*").join(shared, "anchor")
     whole = kinds.where("copies > 1").select("s1", "s2", F.lit(0).alias("low"), (F.col("at.n") - 1).cast("int").alias("high"))
-    size = several.agg(F.coalesce(F.sum(F.col("n") + length), F.lit(0))).first()[0]
-    shards = max(1, -(-size // SHARD_BYTES))
-    cut = _cut_out(docs, several, length).dropDuplicates(["s1", "s2"])
-    hot = several.where(F.col("variants") > MOST_VARIANTS).select("anchor").distinct()
-    cut = stage.write(cut.join(hot.withColumn("hot", F.lit(True)), "anchor", "left"), "cut")
-
-    def sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["anchor", "s1", "s2"], kind="stable")
-        rows = [(s1, s2, a, b) for s1, s2, flags in zip(pdf["s1"], pdf["s2"], repeated_starts(list(pdf["bytes"]), length), strict=True) for a, b in runs(flags)]
-        return pd.DataFrame(rows, columns=["s1", "s2", "low", "high"])
-
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    out = cut.where("hot is null").select("anchor", "s1", "s2", "bytes", shard).repartition(min(shards, 4096), "shard").groupBy("shard").applyInPandas(sort_shard, "s1 long, s2 long, low int, high int")
-    spans = whole.unionByName(out)
-    if not hot.isEmpty():
-        place = F.explode(F.sequence(F.lit(1), F.length("bytes") - length + 1)).alias("place")
-        strings = cut.where("hot").select("s1", "s2", "bytes", place).select("s1", "s2", "place", F.unhex(F.md5(F.expr(f"substring(bytes, place, {length})"))).alias("key"))
-        twice = strings.groupBy("key").count().where("count > 1").select("key")
-        spans = spans.unionByName(strings.join(twice, "key").select("s1", "s2", (F.col("place") - 1).cast("int").alias("low"), (F.col("place") - 1).cast("int").alias("high")))
-    spans = stage.write(spans, "spans")
+    spans = stage.write(whole.unionByName(_repeats_in(stage, _cut_out(docs, several, length), length)), "spans")
+    stage.drop("kinds")
+    stage.drop("cut-0")
     of_text = found.join(spans, ["s1", "s2"]).select("t1", "t2", (F.col("first") + F.col("low")).alias("begin"), (F.col("first") + F.col("high") + length).alias("end")).distinct()
     if n_words:
         of_text = of_text.unionByName(repeated_word_runs(docs, stage, n_words)).distinct()
-    merged = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("begin", "end"))),
-        F.array().cast("array<struct<begin:bigint,end:bigint>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["begin"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.try_element_at(acc, F.lit(-1))["begin"].alias("begin"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return stage.write(of_text.groupBy("t1", "t2").agg(merged.alias("spans")), "merged")
+    # Ranges that meet make one: a new one begins behind the end of all before it.
+    order = Window.partitionBy("t1", "t2").orderBy("begin", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = of_text.withColumn("new", F.coalesce(F.col("begin") > before, F.lit(True)).cast("long")).withColumn("range", F.sum("new").over(order))
+    ranges = ranges.groupBy("t1", "t2", "range").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return stage.write(ranges.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans")), "merged")
 
 
 def cut_repeats(docs: DataFrame, *, length: int = LENGTH, n_words: int = 0) -> DataFrame:
-    """Every row as ``row`` (a struct of all its columns), its ``spans``, n_bytes and the ``kept`` bytes.
+    """Every row as ``row`` (a struct of all its columns), its ``spans``, n_bytes, the ``kept`` bytes and the remaining ``text``.
 
     A null text is empty. Copies of a text of ``length`` bytes or more lose all of it; shorter texts keep
     all. Repeated ids are rows of their own; an empty table gives an empty result.
@@ -444,9 +521,12 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, n_words: int = 0) -> D
     # What is kept lies between the spans: from each end (or 0) to the next begin (or the text's end).
     ends = F.concat(F.array(F.lit(0).cast("long")), F.col("spans.end"))
     begins = F.concat(F.col("spans.begin"), F.array(size.cast("long")))
-    gaps = F.zip_with(ends, begins, lambda a, b: F.substring(data, (a + 1).cast("int"), (b - a).cast("int")))
-    kept = F.when(F.col("spans").isNull(), data).otherwise(F.aggregate(gaps, F.lit(b""), lambda acc, x: F.concat(acc, x)))
-    return joined.select("row", F.coalesce("spans", F.array().cast("array<struct<begin:bigint,end:bigint>>")).alias("spans"), size.cast("long").alias("n_bytes"), kept.alias("kept"))
+    gaps = F.zip_with(ends, begins, lambda a, b: F.decode(F.substring(data, (a + 1).cast("int"), (b - a).cast("int")), "ISO-8859-1"))
+    kept = F.when(F.col("spans").isNull(), data).otherwise(F.encode(F.array_join(gaps, ""), "ISO-8859-1"))
+    # In the text, a cut inside a character takes all of it: what is left of one at a gap's ends goes.
+    gaps = F.transform(gaps, lambda g: F.regexp_replace(F.regexp_replace(g, r"^[\x80-\xBF]{1,3}", ""), r"([\xC2-\xDF]|[\xE0-\xEF][\x80-\xBF]?|[\xF0-\xF4][\x80-\xBF]{0,2})\z", ""))
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.decode(F.encode(F.array_join(gaps, ""), "ISO-8859-1"), "UTF-8"))
+    return joined.select("row", F.coalesce("spans", F.array().cast("array<struct<begin:bigint,end:bigint>>")).alias("spans"), size.cast("long").alias("n_bytes"), kept.alias("kept"), text.alias("text"))
 
 
 def drop_repeats(docs: DataFrame, *, length: int = LENGTH, n_words: int = 0) -> DataFrame:
@@ -455,12 +535,11 @@ def drop_repeats(docs: DataFrame, *, length: int = LENGTH, n_words: int = 0) ->
     A cut inside a character drops what is left of it. A row whose whole text repeats keeps an empty text.
     """
     kept = cut_repeats(docs, length=length, n_words=n_words)
-    text = F.when(F.col("row.text").isNull(), None).when(F.size("spans") == 0, F.col("row.text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    return kept.withColumn("text", text).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    """What every document keeps when strings of 400 bytes that repeat anywhere are removed."""
+    """What every document keeps when strings of 400 bytes that repeat anywhere are removed; ``text`` is the rest without halves of characters."""
     out = cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["begin"])
-    return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "text")

@@ -297,6 +297,7 @@ def brute_cut(rows, length):
 
 @pytest.mark.parametrize("variants", [16_384, 1])
 def test_repeats_equal_brute_force(spark, docs, monkeypatch, variants):
+    monkeypatch.setattr(suffixes, "NARROW", (16, 4, 1))
     monkeypatch.setattr(suffixes, "MOST_VARIANTS", variants)
     monkeypatch.setattr(suffixes, "CHUNK", 3000)
     rows = docs.select("text").collect()
@@ -307,6 +308,32 @@ def test_repeats_equal_brute_force(spark, docs, monkeypatch, variants):
     assert suffixes.cut_repeats(empty(docs)).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=80))
+def test_reduced_strings_are_sorted_by_induction(symbols):
+    t = [*symbols, 0]
+    assert suffixes._induced(t, 4) == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+def test_cuts_keep_whole_characters(spark):
+    rng = random.Random(2)
+    shared = "".join(rng.choices("éÅ日本🙂\ufffd a", k=90))
+    rows = ["\ufffdAé" + shared + "\ufffd end\u0085", "Ã" + shared + "ß" + shared, "own \ufffd"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = [r.text for r in suffixes.drop_repeats(df, length=60).orderBy("doc_id").collect()]
+    assert got == ["\ufffdAé\ufffd end\u0085", "Ãß", "own \ufffd"]
+
+
+def test_long_uniform_texts_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "MOST_VARIANTS", 500)
+    texts = ["a" * 5_000_000, "ab" * 1000, "".join(random.Random(1).choices("abcd", k=900))]
+    copies = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit(texts[2]).alias("text"))
+    df = copies.union(spark.createDataFrame([(20_000 + i, t) for i, t in enumerate([*texts[:2], "a" * 399, "own", None])], "doc_id long, text string"))
+    got = suffixes.cut_repeats(df.repartition(6)).select("row.doc_id", F.length("kept").alias("n"), F.size("spans").alias("spans")).collect()
+    assert {(r.n, r.spans) for r in got if r.doc_id < 10_000} == {(0, 1)}
+    assert {r.doc_id: (r.n, r.spans) for r in got if r.doc_id >= 20_000} == {20_000: (0, 1), 20_001: (0, 1), 20_002: (399, 0), 20_003: (3, 0), 20_004: (0, 0)}
+
+
 def brute_word_cut(rows, length, n):
     """Kept bytes under both rules: strings of ``length`` bytes and runs of ``n`` words that also start elsewhere."""
     data = [(t or "").encode() for t in rows]
@@ -507,7 +534,7 @@ def test_pipeline_equals_brute_force(spark):
     comp = brute_components(rows, 5, 4, 5)
     assert sorted(r.doc_id for r in single) == sorted(d for (d, _), (s, c) in zip(rows, comp) if not s or c == d)
     order = sorted(single, key=lambda r: r.doc_id)
-    want = {r.doc_id: b[3].decode("utf-8", "ignore") for r, b in zip(order, brute_cut([r.text for r in order], 400))}
+    want = {r.doc_id: b.decode("utf-8", "ignore") for r, b in zip(order, brute_word_cut([r.text for r in order], 400, 51))}
     assert {r.doc_id: r.text for r in cut} == want and all(r.n_chars == len(r.text) for r in cut)
     assert {r.doc_id for r in packed} == {r.doc_id for r in clean} <= {r.doc_id for r in cut}
 
