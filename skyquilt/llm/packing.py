@@ -53,18 +53,21 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def dual_bound(lengths: np.ndarray, capacity: int) -> int:
-    """A lower bound on the number of bins: the best of a family of dual feasible functions.
+    return histogram_bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def histogram_bound(count: np.ndarray, capacity: int) -> int:
+    """A lower bound on the number of bins for ``count[n]`` items of each length n: the best of a family of dual feasible functions.
 
     For each threshold t up to half the capacity, items above capacity - t count as whole bins, items
     below t as nothing, the others as their length (Martello and Toth's L2); t = 0 is the volume bound.
     """
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     volume = count * np.arange(capacity + 1)
     c_upto, v_upto = np.cumsum(count), np.cumsum(volume)
     t = np.arange(0, capacity // 2 + 1)
     large = c_upto[-1] - c_upto[capacity - t]
     middle = v_upto[capacity - t] - np.where(t > 0, v_upto[np.maximum(t - 1, 0)], 0)
-    return int((large + -(-middle // capacity)).max()) if len(lengths) else 0
+    return int((large + -(-middle // capacity)).max())
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,8 +136,10 @@ def _pack_buckets(items: DataFrame, capacity: int) -> DataFrame:
 
 def least_bins(pieces: DataFrame, capacity: int) -> int:
     """The dual-feasible bound for all pieces, from the counts of the at most ``capacity`` different lengths."""
-    sizes = pieces.groupBy("length").count().collect()
-    return dual_bound(np.repeat([r[0] for r in sizes], [r[1] for r in sizes]).astype(np.int64), capacity) if sizes else 0
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in pieces.groupBy("length").count().collect():
+        count[length] = n
+    return histogram_bound(count, capacity)
 
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, bucket_rows: int = 10_000, keep_ids: bool = False) -> DataFrame:
