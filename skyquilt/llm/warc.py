@@ -20,6 +20,8 @@ from .common import Stage, utf8
 
 #: Equal payloads below this size are written out each time.
 REVISIT_BYTES = 100
+#: Bytes of records that a task reads back.
+TASK_BYTES = 8 << 20
 #: zlib level of the records.
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
@@ -113,7 +115,8 @@ def write_archives(pages: DataFrame, stage: Stage) -> DataFrame:
 def read_records(index: DataFrame, root: str, *, gap: int = 1 << 16, most: int = 8 << 20, tasks: int | None = None) -> DataFrame:
     """Reads the records that ``index`` selects: key, page_id, url, record_type, refers_to_key, payload_digest, payload_bytes, payload.
 
-    The index is dealt by archive and sorted by offset; ranges less than ``gap`` bytes apart are read at
+    The index is dealt by archive and ranges of offsets, to ``tasks`` (by default one for each TASK_BYTES of
+    records), and sorted by offset; ranges less than ``gap`` bytes apart are read at
     once, up to ``most`` bytes. Every payload's digest is checked. A revisit has no payload (null).
     """
 
@@ -148,15 +151,21 @@ def read_records(index: DataFrame, root: str, *, gap: int = 1 << 16, most: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     chosen = index.select("archive", "offset", "length", "page_id", "url")
-    chosen = chosen.repartition(tasks, "archive") if tasks else chosen.repartition("archive")
+    tasks = tasks or 1 + chosen.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] // TASK_BYTES
+    chosen = chosen.repartition(tasks, "archive", F.expr(f"offset div {TASK_BYTES}"))
     schema = "key string, page_id long, url string, record_type string, refers_to_key string, payload_digest string, payload_bytes long, payload binary"
     return chosen.sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Adds ``refers_to``, the page_id of the response that a revisit points to; checks nothing is left dangling."""
-    heads = records.where("record_type = 'response'").select(F.col("key").alias("refers_to_key"), F.col("page_id").alias("refers_to"))
-    return records.join(heads, "refers_to_key", "left")
+    """Adds ``refers_to``, the page_id of the response that a revisit points to.
+
+    A revisit whose response is not among the records raises an error; null where the response's page has no id.
+    """
+    heads = records.where("record_type = 'response'").select(F.col("key").alias("refers_to_key"), F.struct("page_id").alias("head"))
+    found = records.join(heads, "refers_to_key", "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit "), F.col("key"))).cast("long")
+    return found.withColumn("refers_to", F.when((F.col("record_type") == "revisit") & F.col("head").isNull(), lost).otherwise(F.col("head.page_id"))).drop("head")
 
 
 def op5_indexed_warc(spark, sf_dir: str) -> DataFrame:
