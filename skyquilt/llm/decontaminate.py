@@ -206,22 +206,20 @@ class Index:
 
 
 def indexes(benchmark: DataFrame) -> Iterator[tuple[list[int | None], Index]]:
-    """Indexes of at most BLOCK_ITEMS items each; word statistics are those of the whole benchmark."""
+    """Indexes of about BLOCK_ITEMS items each, one of them at a time on the driver; word statistics are those of the whole benchmark."""
     items = benchmark.select("item_id", "text", F.monotonically_increasing_id().alias("place"))
     items = Stage(benchmark.sparkSession, "benchmark").write(items, "items")
-    n = items.count()
-    blocks = max(1, -(-n // BLOCK_ITEMS))
-    parts = [items.where(F.pmod(F.xxhash64("place"), F.lit(blocks)) == k).orderBy("place").limit(2 * BLOCK_ITEMS).collect() for k in range(blocks)] if blocks > 1 else [items.orderBy("place").collect()]
-    if sum(map(len, parts)) != n:
-        raise ValueError("the benchmark's items are not spread evenly over blocks")
+    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    block = lambda k: items.where(F.pmod(F.xxhash64("place"), F.lit(blocks)) == k).orderBy("place").collect()
     frequency: Counter = Counter()
-    words = 0
-    for part in parts:
-        for r in part:
+    words = n = 0
+    for k in range(blocks):
+        for r in block(k):
             found = terms_of(r.text)
-            words += len(found)
+            words, n = words + len(found), n + 1
             frequency.update(set(found))
-    for part in parts:
+    for k in range(blocks):
+        part = block(k)
         yield [r.item_id for r in part], Index([r.text for r in part], n, frequency, words / max(n, 1))
 
 
