@@ -10,10 +10,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, utf8, words
+from .common import Stage, add_in_levels, utf8, words
 
 #: Hidden states; words with an emission of their own; classes of the other words; words whose counts are sent to tasks.
 STATES, HEAD, TAIL_CLASSES, TABLE = 8, 8192, 1024, 1 << 19
@@ -144,6 +145,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, kind int, c long").groupBy("h").agg(F.first("kind").alias("kind"), F.sum("c").alias("c"))
 
 
+def _least_count(counts: DataFrame, most: int) -> int:
+    """The least count from which on there are at most ``most`` words, on a scale of sixteenths of a power of two."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    left, cut = most, None
+    for s, n in sorted(map(tuple, counts.groupBy(step).count().collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        cut = s
+    return int(np.ceil(2 ** (cut / 16) - 1e-9)) if cut is not None else 2**62
+
+
 @dataclass
 class Table:
     """The most frequent words: their place by hash, counts and symbols; and the log of each tail class's total."""
@@ -251,12 +264,13 @@ def baum_welch_round(training: DataFrame, model: Model, frequency: np.ndarray) -
         if held:
             add()
         blocks = [np.vstack([start, move]), *(emit[s : s + rows] for s in range(0, SYMBOLS, rows))]
-        yield pd.DataFrame({"block": range(len(blocks)), "sums": [b.tobytes() for b in blocks]})
+        yield pd.DataFrame({"block": range(len(blocks)), "part": TaskContext.get().partitionId(), "sums": [b.tobytes() for b in blocks]})
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "sums": [np.sum([np.frombuffer(s) for s in pdf["sums"]], axis=0).tobytes()]})
+        return pdf.head(1).assign(sums=[np.sum([np.frombuffer(s) for s in pdf["sums"]], axis=0).tobytes()])
 
-    got = {r.block: np.frombuffer(r.sums).reshape(-1, STATES) for r in training.select("codes").mapInPandas(count, "block int, sums binary").groupBy("block").applyInPandas(total, "block int, sums binary").collect()}
+    sums = add_in_levels(training.select("codes").mapInPandas(count, "block int, part int, sums binary"), ["block"], total, training.rdd.getNumPartitions())
+    got = {r.block: np.frombuffer(r.sums).reshape(-1, STATES) for r in sums.collect()}
     if not got:
         return model
     emit = np.vstack([got[k] for k in range(1, len(got))])
@@ -284,7 +298,8 @@ def score_texts(docs: DataFrame, *, mod: int = 7, rest: int = 2, seed: int = 3)
     ends = train.count()
     n_words, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, types = n_words + ends, n_types + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(TABLE).select("h", "kind", "c").toArrow().to_pandas()
+    top = counts.where(F.col("c") >= _least_count(counts, TABLE)).select("h", "kind", "c").toArrow().to_pandas()
+    top = top.sort_values(["c", "h"], ascending=[False, True], kind="stable").reset_index(drop=True)
     head = top.head(HEAD)
     symbols = np.where(np.arange(len(top)) < HEAD, np.arange(len(top)), HEAD + top["kind"].to_numpy(np.int64)).astype(np.uint16)
     class_total, class_tokens = np.ones(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
@@ -299,7 +314,9 @@ def score_texts(docs: DataFrame, *, mod: int = 7, rest: int = 2, seed: int = 3)
     coded = stage.write(encode(docs, sent, mod, rest).withColumn("uid", F.monotonically_increasing_id()), "coded")
 
     training = coded.where(~F.col("held_out"))
-    sample = training.select("codes", F.xxhash64("uid").alias("o")).orderBy("o").limit(START_DOCS).toArrow().column("codes").to_pylist()
+    # About START_DOCS texts of least hash; a task passes on those below the bound only.
+    below = -(2**63) + min(2**64 - 1, 2**64 * START_DOCS // max(1, ends))
+    sample = training.where(F.xxhash64("uid") <= F.lit(below)).select("codes").toArrow().column("codes").to_pylist()
     model, texts = Model.random(frequency, seed), _texts(sample)
     for _ in range(START_ROUNDS if texts else 0):
         model = Model.fitted(*expected_counts(model, texts), frequency, weight=20.0)
