@@ -240,7 +240,10 @@ def _links(stage: Stage, classes: DataFrame, cosine: float, name: str) -> DataFr
     """(cid, links) and (u, v) rows: weighted link counts and spanning links between classes of one width."""
     spark = stage.spark
     far = math.sqrt(2 - 2 * cosine)
-    sample = classes.orderBy(F.xxhash64("key")).limit(TOP_SAMPLE).select("embedding").toArrow().column("embedding").to_pylist()
+    # About TOP_SAMPLE classes of least hash; a task passes on those below the bound only.
+    below = -(2**63) + min(2**64 - 1, 2**64 * TOP_SAMPLE // max(1, classes.count()))
+    sample = classes.where(F.xxhash64("key") <= F.lit(below)).select("embedding").toArrow().column("embedding").to_pylist()
+    sample = sample or [classes.select("embedding").first()[0]]
     centres = top_centres(unit(np.array(sample)))
 
     def nearest(frames):
