@@ -9,10 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Stage, utf8
+from .common import Stage, add_in_levels, utf8
 
 FEATURES = 256
 FOLDS = 4
@@ -45,7 +47,7 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in b.split(b"\n") if x.strip()]
     repeated = len(lines) - len(set(lines))
     p = hist[hist > 0] / n
-    packed = len(zlib.compress(b[: 1 << 22], 1)) / min(n, 1 << 22) if n < 1 << 22 else np.mean([len(zlib.compress(b[i : i + (1 << 20)], 1)) / min(n - i, 1 << 20) for i in range(0, n, 1 << 20)])
+    packed = len(zlib.compress(b, 1)) / n
     return [
         float(np.log1p(n)),
         float(np.log1p(k)),
@@ -79,14 +81,21 @@ def statistics(text: str | None) -> list[float]:
 WIDTH = len(statistics(None))
 
 
+def _lists(texts: list[str | None]) -> pa.ListArray:
+    stats = np.array([statistics(t) for t in texts], np.float32).reshape(-1, WIDTH)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, WIDTH, dtype=np.int32)), pa.array(stats.ravel()))
+
+
+def _flat(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, WIDTH)
+
+
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the array ``stats`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = np.array([statistics(t) for t in batch.column(1).to_pylist()], np.float32).reshape(-1, WIDTH)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, WIDTH, dtype=np.int32)), pa.array(stats.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(batch.column(1).to_pylist())], names=["doc_id", "stats"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, stats array<float>")
@@ -129,11 +138,11 @@ def _array(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, WIDTH))
 
 
-def fit(train: DataFrame, *, seed: int = 5, ridge: float = 1e-4, tasks: int = 64) -> Model:
+def fit(train: DataFrame, *, seed: int = 5, ridge: float = 1e-4) -> Model:
     """Fits the model to ``train`` (stats, y, fold).
 
-    Every task sums the outer products of its rows, fold by fold; the sums of all tasks are added by
-    matrix row on the executors, and one (features + 1)-square system for each fold reaches the driver.
+    Every task sums the outer products of its rows, fold by fold; the sums of all tasks are added in
+    levels on the executors, and one (features + 1)-square system for each fold reaches the driver.
     Calibration uses each row's score from the weights fitted without its fold.
     """
     wide = train.select("stats", "y", "fold")
@@ -160,14 +169,14 @@ def fit(train: DataFrame, *, seed: int = 5, ridge: float = 1e-4, tasks: int = 64
             for f in range(FOLDS):
                 m = fold == f
                 sums[f] += z[m].T @ np.hstack([z[m], y[m, None]])
-        yield pd.DataFrame({"fold": np.repeat(np.arange(FOLDS), side), "i": np.tile(np.arange(side), FOLDS), "v": list(sums.reshape(-1, side + 1))})
+        yield pd.DataFrame({"fold": np.arange(FOLDS), "part": TaskContext.get().partitionId(), "sums": [x.tobytes() for x in sums]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "i": [pdf["i"].iloc[0]], "v": [np.sum(pdf["v"].tolist(), axis=0)]})
+        return pdf.head(1).assign(sums=[np.sum([np.frombuffer(x) for x in pdf["sums"]], axis=0).tobytes()])
 
     sums = np.zeros((FOLDS, side, side + 1))
-    for r in wide.mapInPandas(normal, "fold int, i int, v array<double>").groupBy("fold", "i").applyInPandas(add, "fold int, i int, v array<double>").toLocalIterator():
-        sums[r.fold, r.i] = r.v
+    for r in add_in_levels(wide.mapInPandas(normal, "fold int, part int, sums binary"), ["fold"], add, train.rdd.getNumPartitions()).collect():
+        sums[r.fold] = np.frombuffer(r.sums).reshape(side, side + 1)
     whole = sums.sum(0)
     for f in range(FOLDS + 1):
         part = whole - sums[f] if f < FOLDS else whole
@@ -215,25 +224,33 @@ def apply_quality(stats: DataFrame, model: Model, threshold: float, held_out_mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(flat))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_flat(batch.column(1))))], names=["doc_id", "score"])
 
     out = stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {kind}, score double")
     return out.select("doc_id", (_residue("doc_id", held_out_mod) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, all columns as they were."""
+    """The rows of ``docs`` whose score reaches ``threshold``, all columns as they were; statistics are worked out once, next to the rows.
+
+    Null and empty texts are judged by the score of the empty text, repeated rows each; an empty table stays empty.
+    """
     stage = Stage(docs.sparkSession, "quality")
-    model = fit_quality(stage, stage.write(document_statistics(docs), "stats"), labels)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("stats", T.ArrayType(T.FloatType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).field("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(texts)], names=["row", "stats"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            stats = np.array([statistics(t) for t in texts], np.float32).reshape(-1, WIDTH).astype(float)
-            yield batch.filter(pa.array(model.score(stats) >= threshold))
+            yield batch.filter(pa.array(model.score(_flat(batch.column(1))) >= threshold)).select(["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = stage.write(docs.select(row).mapInArrow(measure, schema), "stats")
+    model = fit_quality(stage, rows.select("row.doc_id", "stats"), labels)
+    return rows.mapInArrow(keep, schema[:1]).select("row.*")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
