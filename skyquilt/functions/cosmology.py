@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Speed of light in km/s, rest frequency in MHz, Gyr of 1/(km/s/Mpc).
 LIGHT, LINE_MHZ, GYR = 299792.458, 1420.40575177, 977.7922216807892
+# Published Pade coefficients of the growth factor, numerator and denominator, from the constant on.
+GROWTH = ((1.0, 1.175, 0.3064, 0.005355), (1.0, 1.857, 1.021, 0.1530))
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
 
 
@@ -65,8 +67,13 @@ class Cosmology:
         return self.hubble_distance(z) * self.transverse_distance(z) ** 2
 
     def comoving_volume(self, z: Column) -> Column:
-        """Volume within z of a flat universe."""
-        return 4 * np.pi / 3 * self.comoving_distance(z) ** 3
+        """Volume within z, of any curvature."""
+        k, reach = self.curvature, LIGHT / self.h0
+        if abs(k) < 1e-12:
+            return 4 * np.pi / 3 * self.comoving_distance(z) ** 3
+        d, root = self.transverse_distance(z) / reach, abs(k) ** 0.5
+        arc = F.asinh(root * d) if k > 0 else F.asin(root * d)
+        return 2 * np.pi * reach**3 / k * (d * F.sqrt(1 + k * d * d) - arc / root)
 
     def lookback_time(self, z: Column, z0: float = 0.0) -> Column:
         return GYR / self.h0 * self._integral(lambda x: 1 / ((1 + x) * self.e_z(x)), F.lit(float(z0)), z)
@@ -83,18 +90,22 @@ class Cosmology:
         """Closed form without curvature."""
         return GYR / self.h0 * 2 / (3 * self.dark**0.5) * F.asinh((self.dark / self.matter) ** 0.5 * (1 + z) ** -1.5)
 
-    def growth_factor(self, z: Column) -> Column:
-        """Growth of structure relative to now, by the fitting form of Carroll, Press and Turner."""
-
-        def g(zz: Column) -> Column:
-            m = self.matter * (1 + zz) ** 3 / self.e_z(zz) ** 2
-            d = self.dark / self.e_z(zz) ** 2
-            return 2.5 * m / (m ** (4 / 7) - d + (1 + m / 2) * (1 + d / 70)) / (1 + zz)
+    def _growth(self, z: Column) -> tuple[Column, list[Column], list[Column]]:
+        """The ratio x of dark energy to matter, both polynomials in it, and x times their derivatives."""
+        x = (1 / self.matter - 1) / (1 + z) ** 3
+        sums = [sum((c * x**k for k, c in enumerate(p)), F.lit(0.0)) for p in GROWTH]
+        slopes = [sum((k * c * x**k for k, c in enumerate(p) if k), F.lit(0.0)) for p in GROWTH]
+        return x, sums, slopes
 
-        return g(z) / g(F.lit(0.0))
+    def growth_factor(self, z: Column) -> Column:
+        """Growth of structure, 1 / (1 + z) in the early universe."""
+        x, (num, den), _ = self._growth(z)
+        return F.sqrt(1 + x) / (1 + z) * num / den
 
     def growth_rate(self, z: Column) -> Column:
-        return (self.matter * (1 + z) ** 3 / self.e_z(z) ** 2) ** 0.55
+        """Logarithmic derivative of the growth factor by the scale factor."""
+        x, (num, den), (dnum, dden) = self._growth(z)
+        return 1 + 1.5 * x / (1 + x) + 3 * dnum / num - 3 * dden / den
 
     def brightness_temperature(self, z: Column) -> Column:
         """Mean 21 cm brightness (mK)."""

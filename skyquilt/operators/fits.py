@@ -70,6 +70,11 @@ def gaussian_beam(rows: DataFrame, keys: list[str], steps: int = 60) -> DataFram
         x, y, v = (pdf[c].to_numpy(float) for c in ("x", "y", "value"))
         at = np.isfinite(v)
         x, y, v = x[at], y[at], v[at]
+        if not len(v):  # nothing finite: a row of nulls
+            out = pd.DataFrame([[None] * 6], columns=["amplitude", "x0", "y0", "sigma", "offset", "residual"], dtype=float)
+            for k2 in keys:
+                out[k2] = pdf[k2].iloc[0]
+            return out[[*keys, "amplitude", "x0", "y0", "sigma", "offset", "residual"]]
         base = np.median(v)
         top = int(v.argmax())
         p = np.array([v[top] - base, x[top], y[top], max(np.std(x), 1e-6), base])

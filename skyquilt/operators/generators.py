@@ -30,12 +30,19 @@ def thermal_noise(grid: DataFrame, temperature: Column, bandwidth: float, time:
     return grid.withColumn("value", normal(seed, "fi", "ri", "di") * temperature / F.sqrt(F.lit(float(bandwidth)) * time))
 
 
-def poisson_counts(grid: DataFrame, expected: Column, seed: int, most: int = 60) -> DataFrame:
-    """Poisson number of each row by inversion, exact for expectations well below ``most``."""
-    u = uniform(seed, *grid.columns)
-    state = F.struct(F.exp(-expected).alias("p"), F.exp(-expected).alias("c"), F.lit(0).alias("n"))
-    step = lambda a, k: F.when(u >= a["c"], F.struct((a["p"] * expected / k).alias("p"), (a["c"] + a["p"] * expected / k).alias("c"), k.cast("int").alias("n"))).otherwise(a)
-    return grid.withColumn("n", F.aggregate(F.sequence(F.lit(1), F.lit(most)), state, step, lambda a: a["n"]))
+def poisson_counts(grid: DataFrame, expected: Column, seed: int, part: float = 16.0, steps: int = 120) -> DataFrame:
+    """Poisson number of each row: a sum of draws by inversion with expectations of ``part`` at most, so any expectation will do."""
+    keys = grid.columns
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_mean") / part).cast("int"))
+
+    def draw(k: Column) -> Column:
+        u, mean = uniform(seed, *keys, k), F.col("_mean") / parts
+        state = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
+        step = lambda a, n: F.when(u >= a["c"], F.struct((a["p"] * mean / n).alias("p"), (a["c"] + a["p"] * mean / n).alias("c"), n.cast("int").alias("n"))).otherwise(a)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, step, lambda a: a["n"])
+
+    counted = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, k: acc + draw(k))
+    return grid.withColumn("_mean", expected.cast("double")).withColumn("n", F.when(F.col("_mean").isNotNull(), counted)).drop("_mean")
 
 
 def gaussian_fields(spark: SparkSession, n_fields: int, shape: tuple[int, int, int], spacing: tuple[float, float, float], power, seed: int) -> DataFrame:

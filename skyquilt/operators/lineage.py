@@ -17,6 +17,13 @@ def add_history(df: DataFrame, entry: str, details: list[str] | None = None, col
     return df.withColumn(column, F.array_append(F.coalesce(F.col(column), F.array().cast("array<struct<entry:string,details:array<string>>>")), new))
 
 
+def collect_history(rows: DataFrame, keys: list[str], order: str, entry: Column) -> DataFrame:
+    """One history for each key from rows that are its entries, in order and numbered."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), entry.alias("entry"))))
+    numbered = F.transform(listed, lambda x: F.struct(F.concat(F.format_string("%03d: ", x["i"]), x["entry"]).alias("entry"), F.array().cast("array<string>").alias("details")))
+    return rows.groupBy(*keys).agg(numbered.alias("history"))
+
+
 def merge_histories(rows: DataFrame, keys: list[str], column: str = "history") -> DataFrame:
     """One history for each key: entries must agree (else an error), details are joined without repeats."""
     one = rows.select(*keys, F.posexplode(column).alias("i", "h"), F.size(column).alias("n"))

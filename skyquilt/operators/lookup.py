@@ -73,11 +73,12 @@ def bracket_interpolate(left: DataFrame, right: DataFrame, keys: list[str], x: s
 
 
 def range_average(left: DataFrame, right: DataFrame, key: str, x: str, y: str, width: float) -> DataFrame:
-    """Mean of right y within half a width of each left x. Rows meet by bucket, so no range is compared across the table."""
+    """Mean of right y within half a width of each left x. Right rows of one x are summed first; sums meet left rows by bucket, so no range is compared across the table."""
     bucket = lambda c: F.floor(c / width).cast("long")
-    r = right.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(F.array(*[bucket(F.col(x)) + k for k in (-1, 0, 1)])).alias("_b"))
+    sums = right.where(F.col(y).isNotNull()).groupBy(F.col(x).alias("_x")).agg(F.sum(y).alias("_y"), F.count(y).alias("_n"))
+    r = sums.select("*", F.explode(F.array(*[bucket(F.col("_x")) + k for k in (-1, 0, 1)])).alias("_b"))
     pairs = left.withColumn("_b", bucket(F.col(x))).join(r, "_b", "left").where(F.abs(F.col("_x") - F.col(x)) <= width / 2)
-    mean = pairs.groupBy(key).agg(F.avg("_y").alias(y))
+    mean = pairs.groupBy(key).agg(F.try_divide(F.sum("_y"), F.sum("_n")).alias(y))
     return left.join(mean, key, "left")
 
 

@@ -18,6 +18,16 @@ def hit_map(samples: DataFrame, keys: list[str] = PIXEL) -> DataFrame:
     return samples.where("value is not null").groupBy(*keys).agg(F.count("*").alias("hits"))
 
 
+def brightest(samples: DataFrame, name: str, size: Column, keys: list[str] = PIXEL) -> DataFrame:
+    """The ``name`` of the largest sample of each pixel."""
+    return samples.groupBy(*keys).agg(F.max_by(name, size).alias("best"))
+
+
+def best_frequencies(maps: DataFrame, n: int, digits: int = 5) -> DataFrame:
+    """The n frequencies of largest total weight, the lower one first where weights agree to ``digits``."""
+    return maps.groupBy("fi").agg(F.round(F.sum("weight"), digits).alias("weight")).orderBy(F.desc("weight"), "fi").limit(n)
+
+
 def add_to_map(samples: DataFrame, keys: list[str] = PIXEL, weight: Column | None = None) -> DataFrame:
     """Weighted sums of samples and of weights in each pixel."""
     w = F.lit(1.0) if weight is None else weight

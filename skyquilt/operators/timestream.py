@@ -44,11 +44,19 @@ def hanning(rows: DataFrame, keys: Keys) -> DataFrame:
     return rows.withColumn("value", 0.25 * near[0] + 0.5 * near[1] + 0.25 * near[2])
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x worked out once: written plainly, a lambda inside f works it out again for each of its elements."""
+    return F.transform(F.array(x), f)[0]
+
+
 def hanning_array(spec: Column) -> Column:
     """The same on an array column, without a window or an exchange."""
-    n = F.size(spec)
-    get = lambda i: F.try_element_at(spec, i)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.when((i > 1) & (i < n), 0.25 * get(i - 1) + 0.5 * get(i) + 0.25 * get(F.least(i + 1, n))))
+
+    def smooth(s: Column) -> Column:
+        get = lambda i: F.try_element_at(s, i)
+        return F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.when((i > 1) & (i < F.size(s)), 0.25 * get(i - 1) + 0.5 * get(i) + 0.25 * get(F.least(i + 1, F.size(s)))))
+
+    return bound(spec, smooth)
 
 
 def rebin_frequency(rows: DataFrame, keys: Keys, n: int, how: str = "mean") -> DataFrame:
@@ -65,16 +73,19 @@ def rebin_frequency_width(rows: DataFrame, keys: Keys, width: float, freq: str =
 
 def rebin_array(spec: Column, n: int) -> Column:
     """Mean of n neighbours in an array; null ones do not count, a short tail is dropped."""
-    part = lambda i: F.filter(F.slice(spec, i * n + 1, n), lambda x: x.isNotNull())
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(F.sequence(F.lit(0), F.floor(F.size(spec) / n).cast("int") - 1), lambda i: F.try_divide(total(part(i)), F.size(part(i))))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    add = lambda acc, x: F.struct((acc["sum"] + F.coalesce(x, F.lit(0.0))).alias("sum"), (acc["n"] + x.isNotNull().cast("int")).alias("n"))
+    mean = lambda acc: F.try_divide(acc["sum"], acc["n"])
+    bins = lambda s: F.transform(F.sequence(F.lit(0), F.floor(F.size(s) / n).cast("int") - 1), lambda i: F.aggregate(F.slice(s, i * n + 1, n), start, add, mean))
+    return bound(spec, lambda s: F.when(F.size(s) >= n, bins(s)).otherwise(F.array().cast("array<double>")))
 
 
 def rebin_time(rows: DataFrame, keys: Keys, n: int, t: str = "t") -> DataFrame:
     """Mean of n consecutive times; the tail that fills no bin is dropped. Times are numbered from 0 in each key."""
-    last = F.max(t).over(Window.partitionBy(*[k for k in keys if k != "chan"]))
-    kept = rows.withColumn("_n", last + 1).where(F.col(t) < F.floor(F.col("_n") / n) * n).drop("_n")
-    return kept.groupBy(*keys, "chan", F.floor(F.col(t) / n).cast("long").alias(t)).agg(F.avg("value").alias("value"))
+    scan = [k for k in keys if k != "chan"]
+    last = rows.groupBy(*scan).agg((F.floor((F.max(t) + 1) / n) * n).alias("_end"))
+    kept = (rows.join(last, scan) if scan else rows.crossJoin(F.broadcast(last))).where(F.col(t) < F.col("_end"))
+    return kept.groupBy(*scan, "chan", F.floor(F.col(t) / n).cast("long").alias(t)).agg(F.avg("value").alias("value"))
 
 
 def split_bands(rows: DataFrame, n_bands: int, width: int, offset: int = 0) -> DataFrame:

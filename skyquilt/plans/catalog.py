@@ -139,10 +139,7 @@ def rebin_frequency_width(spark, sf_dir):
 
 @query(f"with {SPEC}, n as (select max(t) + 1 as n from spec) select chan, t // 7 as t, round(avg(value), 6) as value from spec, n where t < n // 7 * 7 group by chan, t // 7")
 def rebin_time_mean(spark, sf_dir):
-    rows = spectra_rows(spark, sf_dir)
-    last = rows.agg((F.floor((F.max("t") + 1) / 7) * 7).alias("end"))
-    kept = rows.join(F.broadcast(last), F.col("t") < F.col("end"))
-    return kept.groupBy("chan", F.floor(F.col("t") / 7).cast("long").alias("t")).agg(r(F.avg("value")).alias("value"))
+    return ts.rebin_time(spectra_rows(spark, sf_dir), [], 7).select("chan", "t", r("value").alias("value"))
 
 
 @query(f"with {SPEC} select scan, t, (chan - 4) // 20 as band, (chan - 4) % 20 as chan, round(value, 6) as value from spec where chan >= 4 and chan < 64")
@@ -341,12 +338,12 @@ def convolve_map(spark, sf_dir):
 
 @query(f"with {SAMPLES} select fi, ri, di, arg_max(l_suppkey, value * 1000000 + l_suppkey) as best from samples group by all")
 def brightest_source(spark, sf_dir):
-    return samples(spark, sf_dir).groupBy("fi", "ri", "di").agg(F.max_by("l_suppkey", F.col("value") * 1000000 + F.col("l_suppkey")).alias("best"))
+    return maps.brightest(samples(spark, sf_dir), "l_suppkey", F.col("value") * 1000000 + F.col("l_suppkey"))
 
 
 @query(f"with {SAMPLES} select fi, round(sum(weight), 5) as weight from samples group by fi order by weight desc, fi limit 3")
 def best_frequencies(spark, sf_dir):
-    return samples(spark, sf_dir).groupBy("fi").agg(r(F.sum("weight"), 5).alias("weight")).orderBy(F.desc("weight"), "fi").limit(3)
+    return maps.best_frequencies(samples(spark, sf_dir), 3)
 
 
 # Lookups.
@@ -382,21 +379,21 @@ def map_lookup_cubic(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", r("map_value", 4).alias("map_value"))
 
 
-@query("""with l as (select o_orderkey, o_custkey % 50 as k, o_orderdate as t from orders), p as (select o_custkey % 50 as k, o_orderdate as t, max(o_totalprice) as price from orders where o_orderkey % 3 = 0 group by all)
+@query("""with l as (select o_orderkey, o_custkey % 50 as k, o_orderdate as t from orders), p as (select o_custkey % 50 as k, o_orderdate as t, max(o_totalprice) as price from orders where o_orderpriority = '1-URGENT' group by all)
 select o_orderkey, price from l asof left join p on l.k = p.k and l.t >= p.t""")
 def cal_asof_join(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 50)
     left = o.select("o_orderkey", "k", F.col("o_orderdate").alias("t"))
-    right = o.where("o_orderkey % 3 = 0").groupBy("k", F.col("o_orderdate").alias("t")).agg(F.max("o_totalprice").alias("price"))
+    right = o.where("o_orderpriority = '1-URGENT'").groupBy("k", F.col("o_orderdate").alias("t")).agg(F.max("o_totalprice").alias("price"))
     return lookup.asof_join(left, right, ["k"], "t", "price").select("o_orderkey", "price")
 
 
-@query(f"""with {HOURLY}, c as (select event_type, t, value as y from hourly where t % 6 = 0), l as (select event_type, t from hourly),
+@query(f"""with {HOURLY}, c as (select event_type, t, value as y from hourly where value > 60), l as (select event_type, t from hourly),
 a as (select l.*, c.t as x0, c.y as y0 from l asof left join c on l.event_type = c.event_type and l.t >= c.t), b as (select l.*, c.t as x1, c.y as y1 from l asof left join c on l.event_type = c.event_type and l.t <= c.t)
 select a.event_type, a.t, round(case when x0 = x1 then y0 else y0 + (y1 - y0) / nullif(x1 - x0, 0) * (a.t - x0) end, 6) as y from a join b using (event_type, t)""")
 def cal_interpolate(spark, sf_dir):
     h = hourly(spark, sf_dir)
-    out = lookup.bracket_interpolate(h.select("event_type", "t"), h.where("t % 6 = 0").select("event_type", "t", F.col("value").alias("y")), ["event_type"], "t", "y")
+    out = lookup.bracket_interpolate(h.select("event_type", "t"), h.where("value > 60").select("event_type", "t", F.col("value").alias("y")), ["event_type"], "t", "y")
     return out.select("event_type", "t", r("y").alias("y"))
 
 
@@ -406,12 +403,10 @@ def range_scan_match(spark, sf_dir):
     return lookup.interval_join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), s, "c_acctbal", "lo", "hi", 10.0).select("s_suppkey", "c_custkey")
 
 
-@query("select p.p_partkey, round(avg(q.p_retailprice), 6) as price from part p left join part q on abs(q.p_size - p.p_size) <= 1 and q.p_partkey % 10 = 0 group by p.p_partkey")
+@query("with q as (select p_size, sum(p_retailprice) as total, count(*) as n from part group by p_size), m as (select s.p_size, sum(q.total) / sum(q.n) as price from q s join q on abs(q.p_size - s.p_size) <= 1 group by s.p_size) select p_partkey, round(price, 6) as price from part join m using (p_size)")
 def range_average(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    left = p.select("p_partkey", F.col("p_size").cast("double").alias("x"))
-    right = p.where("p_partkey % 10 = 0").groupBy(F.col("p_size").cast("double").alias("x"), "p_partkey").agg(F.first("p_retailprice").alias("price"))
-    return lookup.range_average(left, right, "p_partkey", "x", "price", 2.0).select("p_partkey", r("price").alias("price"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("price"))
+    return lookup.range_average(p.drop("price"), p, "p_partkey", "x", "price", 2.0).select("p_partkey", r("price").alias("price"))
 
 
 @query("select s.s_suppkey, c.c_custkey from supplier s join customer c on abs(s.s_acctbal - c.c_acctbal) <= 1.0")
@@ -527,10 +522,10 @@ def azimuthal_average(spark, sf_dir):
     return spectra.azimuthal_average(grid(spark, sf_dir), [], ["ri", "di"], [4, 5], 1.5).select("ring", r("mean", 4).alias("mean"), "n")
 
 
-@query(f"with {TRIALS} select sim, max(power) filter (where bin = 1) as b1, max(power) filter (where bin = 2) as b2 from (select sim, bin, round(power, 4) as power from trials) group by sim")
+@query(f"with {TRIALS} select sim, {', '.join(f'max(power) filter (where bin = {k}) as b{k}' for k in range(11))} from (select sim, bin, round(power, 4) as power from trials) group by sim")
 def pivot_bins(spark, sf_dir):
-    t = trials(spark, sf_dir).withColumn("power", r("power", 4))
-    return t.groupBy("sim").pivot("bin", [1, 2]).agg(F.first("power")).select("sim", F.col("1").alias("b1"), F.col("2").alias("b2"))
+    t = trials(spark, sf_dir).select("sim", F.concat(F.lit("b"), "bin").alias("combination"), r("power", 4).alias("power"))
+    return spectra.pivot_combinations(t, ["sim"], [f"b{k}" for k in range(11)])
 
 
 @query()
@@ -647,9 +642,8 @@ def first_tags(spark, sf_dir):
 
 @query("select conv_id, count(*) as n, string_agg(printf('%03d: ', turn) || role, ';' order by turn) as history from conversations group by conv_id")
 def history_of_turns(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    entry = F.struct("turn", F.concat(F.format_string("%03d: ", "turn"), "role").alias("e"))
-    return c.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]), ";").alias("history"))
+    h = lineage.collect_history(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.col("role"))
+    return h.select("conv_id", F.size("history").cast("long").alias("n"), F.array_join("history.entry", ";").alias("history"))
 
 
 @query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)")

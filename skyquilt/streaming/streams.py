@@ -42,6 +42,9 @@ def flag_jumps(stream: DataFrame, key: str, sigma: float = 5.0, memory: int = 20
             pdf = pdf.sort_values("ts")
             flags = []
             for v in pdf["value"]:
+                if pd.isna(v):  # a masked sample neither flags nor counts
+                    flags.append(False)
+                    continue
                 dev = (m2 / n) ** 0.5 if n > 1 else 0.0
                 bad = n >= 10 and abs(v - mean) > sigma * dev
                 flags.append(bool(bad))
