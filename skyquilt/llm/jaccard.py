@@ -19,13 +19,15 @@ from .common import Stage, WordHash, add_in_levels, components, mix, shingles, s
 #: A token is frequent from so many sets on: (sets, tokens in a combination). Below SMALL tokens a set uses single tokens for all.
 CLASSES, SMALL = ((64, 2), (4096, 3)), 16
 #: Counted tokens of a chunk, the unit in which tasks hand over sets and get back the classes of their tokens.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: Bits of the filter that chooses texts to be read again, for each chosen set, and at most.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 #: Words of 64 bits in a set's parity sketch: bit b tells whether an odd number of its tokens fall on b.
 SKETCH = 16
 #: Pivots that a set meets in a round after the first, and rounds before what is still apart is compared pair by pair.
 PIVOTS, ROUNDS = 8, 4
+#: Sixteenths of the signatures up to which pairs are compared in one go: sets that share many meet in the first.
+SLICES = (1, 4, 16)
 ALONE, RARE, UNCOUNTED = 0, 1, 9
 
 
@@ -424,16 +426,23 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
         if good.isEmpty():
             break
         of = stage.write(components(stage, links, f"cc{k}"), f"of-{k}")
-    # What is still apart, pair by pair.
-    labelled = members.join(of.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
-    several = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    left = stage.write(labelled.join(several, "sig", "left_semi").join(involved.drop("d1", "doc_id"), "id"), "left")
-    other = left.select("sig", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("size").alias("nv"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(SKETCH)])
-    apart = F.expr(f"id > v and c <> cv and {may_link('x', 'y', 'size', 'nv', num, den)}")
-    rest = left.withColumnRenamed("sig", "s").join(other, (F.col("s") == F.col("sig")) & apart).select(F.col("id").alias("u"), "v", F.col("size").alias("nu"), "nv").distinct()
-    last = stage.write(verified(rest), "links-last")
-    if not last.isEmpty():
-        of = components(stage, last if links is None else links.unionByName(last), "cc-last")
+    # What is still apart, pair by pair: first in a few signatures, then in more, so that sets which share
+    # many of them are in one component by then and are not paired in each.
+    before = 0
+    for k, end in enumerate(SLICES):
+        part = members.where(F.pmod(F.xxhash64("sig"), F.lit(SLICES[-1])).between(before, end - 1))
+        before = end
+        labelled = part.join(of.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
+        several = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
+        left = stage.write(labelled.join(several, "sig", "left_semi").join(involved.drop("d1", "doc_id"), "id"), f"left-{k}")
+        other = left.select("sig", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("size").alias("nv"), *[F.col(f"x{j}").alias(f"y{j}") for j in range(SKETCH)])
+        apart = F.expr(f"id > v and c <> cv and {may_link('x', 'y', 'size', 'nv', num, den)}")
+        rest = left.withColumnRenamed("sig", "s").join(other, (F.col("s") == F.col("sig")) & apart).select(F.col("id").alias("u"), "v", F.col("size").alias("nu"), "nv").distinct()
+        last = stage.write(verified(rest), f"links-rest-{k}")
+        stage.drop(f"left-{k}")
+        if not last.isEmpty():
+            links = last if links is None else links.unionByName(last)
+            of = stage.write(components(stage, links, f"cc-rest-{k}"), f"of-rest-{k}")
 
     of_class = sizes.join(of.withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("c"))
     least = of_class.groupBy("c").agg(F.min("doc_id").alias("component_id"))
