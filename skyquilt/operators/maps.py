@@ -176,37 +176,15 @@ def solve_channels(rows: DataFrame, blocks: DataFrame, keys: list[str], prior: f
     return rows.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(run, f"{kinds}, p long, value double, noise double")
 
 
-def correlated_map(samples: DataFrame, keys: list[str], modes: int = 2, big: float = 1e4) -> tuple[DataFrame, DataFrame]:
-    """Dirty map and inverse covariance of streams with thermal noise and heavily deweighted low time modes.
+def correlated_map(samples: DataFrame, keys: list[str], slope: bool = True, big: float = 1e4) -> tuple[DataFrame, DataFrame]:
+    """Dirty map and inverse covariance of streams with thermal noise and an unknown mean, and slope, of each (keys, scan).
 
-    Each (key, scan) stream is one task: N = diag(var) + big * (orthonormal polynomials up to ``modes``) and
-    by the matrix inversion lemma N^-1 d and P^T N^-1 P need only the modes. The scans' sums are then added
-    in an exchange by pixel. Samples: keys, scan, t, p (pixel), value, var.
+    Samples: keys, scan, t, p (pixel), value, var. Everything is sums over samples, pixels of a scan and pairs
+    of such pixels; no task holds a stream.
     """
-    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
-
-    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["value"]).sort_values("t")
-        if not len(pdf):
-            return pd.DataFrame({k: [] for k in [*keys, "p", "q", "value"]})
-        t, w = pdf["t"].to_numpy(float), 1 / pdf["var"].to_numpy(float)
-        x = (t - t.mean()) / max(np.ptp(t), 1e-12)
-        u = np.linalg.qr(np.vander(x, modes, increasing=True))[0][:, :modes]
-        wu = w[:, None] * u
-        core = np.linalg.inv(np.eye(u.shape[1]) / big + u.T @ wu)
-        d = pdf["value"].to_numpy(float)
-        nd = w * d - wu @ (core @ (wu.T @ d))
-        pix, at = np.unique(pdf["p"].to_numpy(), return_inverse=True)
-        proj = np.zeros((len(pix), u.shape[1]))
-        np.add.at(proj, at, wu)
-        m = np.diag(np.bincount(at, w)) - proj @ core @ proj.T
-        out = pd.DataFrame({"p": np.concatenate([pix, np.repeat(pix, len(pix))]), "q": np.concatenate([np.full(len(pix), -1), np.tile(pix, len(pix))]), "value": np.concatenate([np.bincount(at, nd), m.ravel()])})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "p", "q", "value"]]
-
-    sums = samples.groupBy(*keys, "scan").applyInPandas(parts, f"{kinds}, p long, q long, value double").groupBy(*keys, "p", "q").agg(F.sum("value").alias("value"))
-    return sums.where("q = -1").select(*keys, "p", F.col("value").alias("dirty")), sums.where("q >= 0")
+    from .noise_model import deweight_time, dirty_and_inverse
+
+    return dirty_and_inverse(deweight_time(samples, keys, slope, big), keys)
 
 
 def region(bounds: dict[str, tuple[float, float]], fwhm: float, samples_per_beam: float = 3.0) -> dict[str, tuple[float, float, int]]:

@@ -751,3 +751,7 @@ def mueller_correction(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 2).alias("chan"), F.array(F.lit(1.0), F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double"), F.lit(0.0)).alias("pols"))
     m = spark.createDataFrame([(k, [[1.0, 2.0, 2.0, 0.0], [0.0, 2.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]]) for k in (0, 1)], "chan long, m array<array<double>>")
     return lookup.mueller(c, m, ["c_custkey"]).select("c_custkey", r(F.col("pols")[0], 5).alias("p0"), r(F.col("pols")[1], 5).alias("p1"))
+
+
+# Further queries register themselves here.
+from . import array_queries  # noqa: E402, F401
