@@ -20,10 +20,11 @@ class Cosmology:
     h0: float = 70.2
     matter: float = 0.274
     dark: float = 0.726
+    radiation: float = 0.0
 
     @property
     def curvature(self) -> float:
-        return 1 - self.matter - self.dark
+        return 1 - self.matter - self.dark - self.radiation
 
     @staticmethod
     def physical(ombh2: float = 0.02255, omch2: float = 0.1126, h0: float = 70.2, omk: float = 0.0) -> Cosmology:
@@ -33,7 +34,7 @@ class Cosmology:
 
     def e_z(self, z: Column) -> Column:
         s = 1 + z
-        return F.sqrt(self.matter * s**3 + self.curvature * s**2 + F.lit(self.dark))
+        return F.sqrt(self.radiation * s**4 + self.matter * s**3 + self.curvature * s**2 + F.lit(self.dark))
 
     def hubble(self, z: Column) -> Column:
         return self.h0 * self.e_z(z)
@@ -84,7 +85,7 @@ class Cosmology:
     def age(self, z: Column) -> Column:
         """Age at z: an integral over the root of the scale factor, which is smooth at 0."""
         top = F.sqrt(1 / (1 + z))
-        return GYR / self.h0 * self._integral(lambda x: 2 * x * x / F.sqrt(self.matter + self.curvature * x**2 + self.dark * x**6), F.lit(0.0), top)
+        return GYR / self.h0 * self._integral(lambda x: 2 * x**3 / F.sqrt(self.radiation + self.matter * x**2 + self.curvature * x**4 + self.dark * x**8), F.lit(0.0), top)
 
     def age_flat(self, z: Column) -> Column:
         """Closed form without curvature."""

@@ -132,3 +132,71 @@ def source_spectrum(freq_mhz: Column, coefficients: list[float], gain: float = 2
     for k, c in enumerate(coefficients):
         out = out + c * x**k
     return F.pow(F.lit(10.0), out) * gain
+
+
+def cross_given_auto(signal: DataFrame, cross: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Log likelihood of each signal amplitude ``x`` of a short grid from a cross power (value, error, model) whose correlation is unknown between 0 and 1: the mean over ``r`` of a short table."""
+    chi = (F.col("value") - F.col("r") * F.col("x") * F.col("model")) / F.col("error")
+    j = cross.crossJoin(F.broadcast(grid)).crossJoin(F.broadcast(signal))
+    each = j.groupBy(*keys, "x", "r").agg(F.sum(-0.5 * chi * chi).alias("l"))
+    return each.groupBy(*keys, "x").agg(F.log(F.avg(F.exp("l"))).alias("loglike"))
+
+
+def auto_signal_likelihood(points: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Log likelihood of signal amplitudes from two auto powers that bound the signal from above: the product of both survival probabilities in every bin."""
+    low = lambda k: F.log(F.greatest(1 - survival(F.col("x") * F.col("model"), F.col(f"auto{k}"), F.col(f"error{k}")), F.lit(1e-300)))
+    return points.crossJoin(F.broadcast(grid)).groupBy(*keys, "x").agg(F.sum(low(1) + low(2)).alias("loglike"))
+
+
+def simpson_normalised(table: DataFrame, keys: list[str], x: str = "x", p: str = "p") -> DataFrame:
+    """A density over its integral by Simpson's rule on an odd number of equal steps' points."""
+    w = Window.partitionBy(*keys).orderBy(x)
+    whole = Window.partitionBy(*keys)
+    i, n = F.row_number().over(w), F.count("*").over(whole)
+    rows = table.withColumn("_i", i).withColumn("_n", n).withColumn("_h", (F.max(x).over(whole) - F.min(x).over(whole)) / (n - 1))
+    odd = F.when(F.col("_n") % 2 == 0, F.raise_error(F.lit("Simpson's rule needs an odd number of points")).cast("double")).otherwise(1.0)
+    factor = F.when((F.col("_i") == 1) | (F.col("_i") == F.col("_n")), 1.0).when(F.col("_i") % 2 == 0, 4.0).otherwise(2.0)
+    total = F.sum(F.col(p) * factor * F.col("_h") / 3 * odd).over(whole)
+    return rows.withColumn(p, F.try_divide(F.col(p), total)).drop("_i", "_n", "_h")
+
+
+def mueller_fit(rows: DataFrame, keys: list[str], model: list[Column]) -> DataFrame:
+    """The 4 by 4 matrix of each channel that takes the source's polarisation (I, Q, U, V as ``model``) to the measured one: four least-squares fits from sums of products.
+
+    Rows hold the on-less-off medians of each pointing: keys, pol (0 to 3), value. Returns keys, m (four arrays of four).
+    """
+    fits = linear_fit(rows, [*keys, "pol"], model)
+    return fits.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pol", "coefficients"))), lambda x: x["coefficients"]).alias("m"))
+
+
+def on_off_medians(rows: DataFrame, keys: list[str], on: Column) -> DataFrame:
+    """Median on the source less that off it."""
+    return rows.groupBy(*keys).agg((F.median(F.when(on, F.col("value"))) - F.median(F.when(~on, F.col("value")))).alias("value"))
+
+
+def differential_gains(rows: DataFrame, keys: list[str], flux: Column) -> DataFrame:
+    """Gains of XX and YY of each channel: source flux over measured on-less-off."""
+    g = lambda p: F.try_divide(F.avg(F.when(F.col("pol") == p, flux)), F.avg(F.when(F.col("pol") == p, F.col("value"))))
+    return rows.groupBy(*keys).agg(g("XX").alias("gx"), g("YY").alias("gy"))
+
+
+def scan_weights(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``weight``, 1 / system temperature of the (keys) scan; negative powers are masked."""
+    w = Window.partitionBy(*keys)
+    kept = F.when(F.col("value") >= 0, F.col("value"))
+    return rows.withColumn("value", kept).withColumn("weight", F.try_divide(F.lit(1.0), F.avg(kept).over(w)))
+
+
+def bright_passages(rows: DataFrame, keys: list[str], reach: int, t: str = "t") -> DataFrame:
+    """Mean within ``reach`` of each key's brightest time less the mean within ``reach`` of its faintest: the passage of a bright source through the beam."""
+    ends = rows.where("value is not null").groupBy(*keys).agg(F.max_by(t, "value").alias("_on"), F.min_by(t, "value").alias("_off"))
+    near = lambda c: F.avg(F.when(F.abs(F.col(t) - F.col(c)) <= reach, F.col("value")))
+    return rows.join(ends, keys).groupBy(*keys).agg((near("_on") - near("_off")).alias("value"))
+
+
+def subtract_correlation_modes(corr: DataFrame, modes: DataFrame) -> DataFrame:
+    """A correlation (f1, f2, lag, corr) less its parts along modes (mode, chan, v) of channels, for each lag: C - sum of a v v'."""
+    left, right = modes.select("mode", F.col("chan").alias("f1"), F.col("v").alias("_v")), modes.select("mode", F.col("chan").alias("f2"), F.col("v").alias("_u"))
+    amp = corr.join(F.broadcast(left), "f1").join(F.broadcast(right), ["mode", "f2"]).groupBy("lag", "mode").agg(F.sum(F.col("corr") * F.col("_v") * F.col("_u")).alias("_a"))
+    part = amp.join(F.broadcast(left), "mode").join(F.broadcast(right), "mode").groupBy("lag", "f1", "f2").agg(F.sum(F.col("_a") * F.col("_v") * F.col("_u")).alias("_p"))
+    return corr.join(part, ["lag", "f1", "f2"], "left").withColumn("corr", F.col("corr") - F.coalesce("_p", F.lit(0.0))).drop("_p")

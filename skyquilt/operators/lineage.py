@@ -53,7 +53,7 @@ def first_tags(rows: DataFrame, key: str, divider: str = ";", ignore: list[str]
 
 def sub_directory(path: Column, name: str) -> Column:
     """The path with a directory put before its last part."""
-    return F.regexp_replace(path, r"([^/]*)$", f"{name}/$1") if name else path
+    return F.regexp_replace(path, r"([^/]+)$", f"{name}/$1") if name else path
 
 
 def scan_range(path: Column) -> tuple[Column, Column]:

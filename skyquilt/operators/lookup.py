@@ -152,3 +152,30 @@ def piecewise(x: Column, xs: list[float], ys: list[float], outside: float) -> Co
     from skyquilt.functions.cosmology import interpolate
 
     return interpolate(x, xs, ys, outside)
+
+
+def differential_gain(rows: DataFrame, gains: DataFrame, keys: list[str]) -> DataFrame:
+    """XX and YY times their gains (keys, gx, gy), the cross terms times the root of their product; null where a gain is missing or not positive."""
+    gx, gy = F.when(F.col("gx") > 0, F.col("gx")), F.when(F.col("gy") > 0, F.col("gy"))
+    by = F.when(F.col("pol") == "XX", gx).when(F.col("pol") == "YY", gy).when(F.col("pol").isin("XY", "YX"), F.sqrt(gx * gy))
+    return rows.join(small(gains), keys, "left").withColumn("value", F.col("value") * by).drop("gx", "gy")
+
+
+def nearest_on_sky(points: DataFrame, table: DataFrame, key: str, value: str, within: float) -> DataFrame:
+    """The ``value`` of the nearest table row (ra, dec in degrees) within an angle of each point; null without one.
+
+    Both sides meet by declination stripe as wide as the angle, so no point is compared with the whole sky.
+    """
+    stripe = lambda c: F.floor(c / within).cast("int")
+    t = table.select(F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), F.col(value), F.explode(F.array(*[stripe(F.col("dec")) + k for k in (-1, 0, 1)])).alias("_s"))
+    a, b = F.radians("dec"), F.radians("_dec")
+    cosine = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(F.col("ra") - F.col("_ra")))
+    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    met = points.select(key, "ra", "dec", stripe(F.col("dec")).alias("_s")).join(t, "_s").withColumn("_a", angle).where(F.col("_a") <= within)
+    near = met.groupBy(key).agg(F.min_by(value, F.struct("_a", "_ra", "_dec")).alias(value))
+    return points.join(near, key, "left")
+
+
+def restore_fields(processed: DataFrame, raw: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Processed samples with fields of their raw ones; samples must be there on both sides."""
+    return processed.drop(*fields).join(raw.select(*keys, *fields), keys)

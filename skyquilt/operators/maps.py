@@ -199,3 +199,67 @@ def region(bounds: dict[str, tuple[float, float]], fwhm: float, samples_per_beam
 def covariance_gigabytes(nf: int, nra: int, ndec: int) -> float:
     """Size of a block-diagonal covariance of four-byte numbers."""
     return nf * nra**2 * ndec**2 * 4 / 2**30
+
+
+def apply_weights(maps: DataFrame) -> DataFrame:
+    return maps.withColumn("value", F.col("value") * F.col("weight"))
+
+
+def unapply_weights(maps: DataFrame) -> DataFrame:
+    """Inverse of ``apply_weights``; null where there is no weight."""
+    return maps.withColumn("value", F.try_divide("value", "weight"))
+
+
+def wcs_coordinates(maps: DataFrame, axes: dict[str, tuple[str, float, float, float]]) -> DataFrame:
+    """Adds coordinates of index axes: axis -> (name, reference pixel, its value, spacing)."""
+    from skyquilt.functions.columns import wcs_axis
+
+    return maps.withColumns({name: wcs_axis(F.col(a), F.lit(p), F.lit(v), F.lit(d)) for a, (name, p, v, d) in axes.items()})
+
+
+def calibrate_against_first(maps: DataFrame, sections: str, first: str, by: list[str]) -> DataFrame:
+    """All sections over their gain against the first one: means are removed, gains fitted pixel by pixel for each of ``by``."""
+    flat = subtract_weighted_mean(maps, [sections, *by])
+    template = flat.where(F.col(sections) == first).select(*PIXEL, "value")
+    gain = template_gain(flat, template, PIXEL, [sections, *by])
+    return apply_gain(maps, gain, [sections, *by])
+
+
+def mode_ratio_gain(cross: DataFrame) -> DataFrame:
+    """Gain of each channel (chan, chan2, cov of left and right maps) as the ratio of the leading left and right modes."""
+    from .modes import svd_modes
+
+    chans, s, left, right = svd_modes(cross, 1)
+    root = [(c, float(a), float(b)) for c, a, b in zip(chans, left[0], right[0])]
+    table = cross.sparkSession.createDataFrame(root, f"chan {cross.schema['chan'].dataType.simpleString()}, left_mode double, right_mode double")
+    return table.select("chan", F.try_divide("left_mode", "right_mode").alias("gain"))
+
+
+def selection_from_mocks(mocks: DataFrame, data: DataFrame, n_mocks: int) -> DataFrame:
+    """Mean counts of the mock catalogs and the data in each pixel."""
+    return mocks.unionByName(data).groupBy(*PIXEL).agg((F.sum("n") / (n_mocks + 1)).alias("nbar"))
+
+
+def selection_by_simulation(catalog: DataFrame, draws: int, edges: tuple[float, float, int], sigma: Column, seed: int) -> DataFrame:
+    """Selection along redshift by scattering every object ``draws`` times: (ri, di, bin, nbar). Draws depend on the object and a seed, so a retried task draws the same."""
+    from .generators import normal
+
+    low, high, n = edges
+    drawn = catalog.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_z", F.col("z") + sigma * normal(seed, "object_id", "k"))
+    at = F.floor((F.col("_z") - low) / (high - low) * n).cast("int")
+    return drawn.withColumn("bin", at).where((F.col("bin") >= 0) & (F.col("bin") < n)).groupBy("ri", "di", "bin").agg((F.count("*") / draws).alias("nbar"))
+
+
+def glue(parts: DataFrame, band: str, lowest_first: bool = True) -> DataFrame:
+    """Maps of neighbouring bands as one: channels are numbered through, band after band in order of their frequency."""
+    order = F.asc("freq") if lowest_first else F.desc("freq")
+    chans = parts.select(band, "fi", "freq").distinct()
+    numbered = chans.withColumn("chan", F.row_number().over(Window.orderBy(order)) - 1)
+    return parts.join(F.broadcast(numbered), [band, "fi", "freq"]).withColumn("fi", F.col("chan").cast("int")).drop("chan", band)
+
+
+def extended_stack(maps: DataFrame, external: DataFrame) -> DataFrame:
+    """External maps as further channels behind those of the pair, for finding modes over both."""
+    last = maps.agg((F.max("fi") + 1).alias("_n"))
+    moved = external.crossJoin(F.broadcast(last)).withColumn("fi", F.col("fi") + F.col("_n")).drop("_n")
+    return maps.select(*PIXEL, "value", "weight").unionByName(moved.select(*PIXEL, "value", "weight"))

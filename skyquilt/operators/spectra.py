@@ -188,3 +188,64 @@ def pivot_combinations(power: DataFrame, keys: list[str], combinations: list[str
 
 def ranked_bins(power: DataFrame, keys: list[str]) -> DataFrame:
     return power.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("power"))))
+
+
+def subtract_power(total: DataFrame, part: DataFrame, keys: list[str]) -> DataFrame:
+    """Power of one spectrum less that of another in the same bins."""
+    return total.join(part.select(*keys, F.col("power").alias("_p")), keys).withColumn("power", F.col("power") - F.col("_p")).drop("_p")
+
+
+def mock_weights(mocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Inverse variance of each bin over mock catalogs; 0 where it is undefined."""
+    return mocks.groupBy(*keys).agg(F.coalesce(F.try_divide(F.lit(1.0), F.var_samp("power")), F.lit(0.0)).alias("weight"))
+
+
+def cross_power_summary(power: DataFrame, mocks: DataFrame, keys: list[str], edges: list[float], transfer: DataFrame | None = None) -> DataFrame:
+    """A catalog-map cross power in one dimension: transfer functions are divided out, bins (bx, by with centres kx, ky) weighted by the mocks' inverse variance."""
+    done = power if transfer is None else apply_transfer(power, transfer, ["bx", "by"])
+    weighted = done.join(mock_weights(mocks, ["bx", "by"]), ["bx", "by"])
+    return collapse_2d(weighted, keys, edges, "weight")
+
+
+def simulation_summary(sims: DataFrame, keys: list[str], k_range: tuple[float, float], transfer: DataFrame | None = None, less: DataFrame | None = None) -> DataFrame:
+    """All realisations (sim_id, treatment, bins) within a range of k, less another set and over a transfer function where they are given."""
+    out = sims.where((F.col("k") >= k_range[0]) & (F.col("k") < k_range[1]))
+    if less is not None:
+        out = subtract_power(out, less, [*keys, "sim_id"])
+    return out if transfer is None else apply_transfer(out, transfer, keys)
+
+
+def mean_diagonal(matrix: DataFrame, keys: list[str]) -> DataFrame:
+    return matrix.where("chan = chan2").groupBy(*keys).agg(F.avg("cov").alias("mean"))
+
+
+def pseudo_inverse(mixing: DataFrame, least: float = 1e-10) -> DataFrame:
+    """Pseudo-inverse of a mixing matrix (row, col, value) over the bins that have entries: (row, col, value). The matrix has as many rows as bins."""
+    pdf = mixing.where("value <> 0").toPandas()
+    side = sorted(set(pdf["row"]) | set(pdf["col"]))
+    if len(side) > 4096:
+        raise ValueError("too many bins")
+    at = {b: i for i, b in enumerate(side)}
+    a = np.zeros((len(side), len(side)))
+    a[pdf["row"].map(at).to_numpy(int), pdf["col"].map(at).to_numpy(int)] = pdf["value"]
+    inverse = np.linalg.pinv(a, rcond=least)
+    return mixing.sparkSession.createDataFrame([(side[i], side[j], float(inverse[i, j])) for i in range(len(side)) for j in range(len(side))], "row int, col int, value double")
+
+
+def unmix(power: DataFrame, inverse: DataFrame, keys: list[str]) -> DataFrame:
+    """Power in bins with their mixing undone."""
+    j = power.join(F.broadcast(inverse.select("row", F.col("col").alias("bin"), F.col("value").alias("_v"))), "bin")
+    return j.groupBy(*keys, F.col("row").alias("bin")).agg(F.sum(F.col("power") * F.col("_v")).alias("power"))
+
+
+def lag_product(power: DataFrame, window: DataFrame, keys: list[str], n: int, divide: bool = False) -> DataFrame:
+    """Power (keys, i of n) convolved with a window's power, or with ``divide`` deconvolved: a product, or ratio, in lags. Three sums over pairs of (frequency, lag) of a bounded n."""
+
+    def transform(rows: DataFrame, out: str, by: str, scale: float) -> DataFrame:
+        spread = rows.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        return spread.groupBy(*keys, out).agg((F.sum(F.col("power") * F.cos(F.col(by) * F.col(out) * (2 * math.pi / n))) * scale).alias("power"))
+
+    a, b = (transform(x, "lag", "i", 1 / n) for x in (power, window))
+    j = a.join(b.withColumnRenamed("power", "_w"), [*keys, "lag"])
+    v = F.try_divide("power", F.when(F.abs("_w") > 1e-9, F.col("_w"))) if divide else F.col("power") * F.col("_w")
+    return transform(j.withColumn("power", F.coalesce(v, F.lit(0.0))), "i", "lag", 1.0)

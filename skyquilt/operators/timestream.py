@@ -322,3 +322,23 @@ def scan_quality(rows: DataFrame, keys: Keys) -> DataFrame:
         F.coalesce(F.sum((v == 0).cast("int")), F.lit(0)).alias("n_zero"),
         F.coalesce(F.sum((v < 0).cast("int")), F.lit(0)).alias("n_negative"),
     )
+
+
+def unrotate_polarisation(rows: DataFrame, keys: Keys) -> DataFrame:
+    """Stokes I, Q, U back to linear XX, YY, XY, YX (the cross terms without V)."""
+    wide = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("pol") == p, F.col("value"))).alias(p) for p in ("I", "Q", "U")])
+    values = {"XX": F.col("I") - F.col("Q"), "YY": F.col("I") + F.col("Q"), "XY": F.col("U"), "YX": F.col("U")}
+    return wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(p).alias("pol"), v.alias("value")) for p, v in values.items()])).alias("s")).select(*keys, "s.*").where("value is not null")
+
+
+def separate_cal(rows: DataFrame, keys: Keys, period: int, states: DataFrame, t: str = "t") -> DataFrame:
+    """Means of the noise source's on and off bins in every period: (keys, period number, state, value). ``states`` gives the state of a phase."""
+    at = rows.withColumn("phase", (F.col(t) % period).cast("long")).withColumn("n", F.floor(F.col(t) / period).cast("long"))
+    return at.join(F.broadcast(states.select(F.col("phase").cast("long").alias("phase"), "state")), "phase").where("state <> 'blank'").groupBy(*keys, "n", "state").agg(F.avg("value").alias("value"))
+
+
+def scale_by_cal_spectrum(rows: DataFrame, keys: Keys, scan: Keys) -> DataFrame:
+    """Values over the mean over channels of (cal on - cal off) at each time; masked where that is not positive."""
+    on, off = (F.avg(F.when(F.col("cal") == c, F.col("value"))) for c in ("T", "F"))
+    gain = rows.groupBy(*scan, *keys).agg((on - off).alias("_g"))
+    return rows.join(gain, [*scan, *keys]).withColumn("value", F.when(F.col("_g") > 0, F.col("value") / F.col("_g"))).drop("_g")
