@@ -126,3 +126,8 @@ def polarisation_name(code: Column) -> Column:
 
 def nearest_multiple(x: Column, step: float) -> Column:
     return F.rint(x / step) * step
+
+
+def julian_date(ts: Column) -> Column:
+    """Days since noon of 1 January 4713 BC."""
+    return seconds_2000(ts) / 86400 + 2451544.5

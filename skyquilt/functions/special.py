@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Nodes (from the middle outwards) and weights of the nested rules of 3 and 7 points on [-1, 1].
 RULE_3 = ((0.0, 0.7745966692414834), (8 / 9, 5 / 9))
@@ -84,7 +85,7 @@ def romberg(f: Callable[[Column], Column], low: Column, high: Column, levels: in
     return sum((F.lit(float(w)) * t for w, t in zip(table[0], rows)), F.lit(0.0))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _second_derivatives(x: pd.Series, y: pd.Series) -> pd.Series:
     def one(x, y) -> np.ndarray:
         x, y = np.asarray(x, float), np.asarray(y, float)

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def tiles(entries: DataFrame, side: int) -> DataFrame:
@@ -34,37 +35,37 @@ def _square(a) -> np.ndarray:
     return a.reshape(n, n)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _factor(a: pd.Series) -> pd.Series:
     return pd.Series([np.linalg.cholesky(_square(x)).ravel() for x in a])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve_panel(a: pd.Series, diagonal: pd.Series) -> pd.Series:
     return pd.Series([np.linalg.solve(_square(d), _square(x).T).T.ravel() for x, d in zip(a, diagonal)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _less_product(a: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([(_square(x) - _square(p) @ _square(q).T).ravel() for x, p, q in zip(a, left, right)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _apply(a: pd.Series, v: pd.Series) -> pd.Series:
     return pd.Series([_square(x) @ np.asarray(y, float) for x, y in zip(a, v)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _apply_transposed(a: pd.Series, v: pd.Series) -> pd.Series:
     return pd.Series([_square(x).T @ np.asarray(y, float) for x, y in zip(a, v)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve_tile(a: pd.Series, v: pd.Series) -> pd.Series:
     return pd.Series([np.linalg.solve(_square(x), np.asarray(y, float)) for x, y in zip(a, v)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve_tile_transposed(a: pd.Series, v: pd.Series) -> pd.Series:
     return pd.Series([np.linalg.solve(_square(x).T, np.asarray(y, float)) for x, y in zip(a, v)])
 
@@ -114,16 +115,16 @@ def cholesky_solve(factor: DataFrame, b: DataFrame, n: int, stage: Callable[[Dat
 def inverse_diagonal(factor: DataFrame, n: int, side: int, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(i, part): the diagonal of the inverse from the factor. The inverse factor is built tile row by tile row; its columns' squares add up."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def next_tile(d: pd.Series, s: pd.Series, same: pd.Series) -> pd.Series:
         eye = np.eye(side)
         return pd.Series([np.linalg.solve(_square(a), (eye if e else 0) - (0 if b is None else _square(b))).ravel() for a, b, e in zip(d, s, same)])
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def product(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([(_square(x) @ _square(y)).ravel() for x, y in zip(a, b)])
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def squares(a: pd.Series) -> pd.Series:
         return pd.Series([(_square(x) ** 2).sum(0) for x in a])
 

@@ -1,19 +1,24 @@
 """FITS tables and images, and .npy cubes with their axis files, as Spark data sources and sinks.
 
 ``sdfits`` reads binary tables into one row for each record; ``npycube`` reads .npy cubes whose ``.meta``
-file holds a Python literal with axis centres and spacings. Files are listed once; a file is one partition.
+file holds a Python literal with axis centres and spacings; ``fitsimage`` reads images. Files are listed once and
+divided into parts of bounded size; batches of columns are handed over, and only those that the schema names.
 """
 
 from __future__ import annotations
 
 import ast
 import io
+import tempfile
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 BLOCK = 2880
@@ -121,50 +126,190 @@ def image_bytes(cube: np.ndarray, values: dict | None = None) -> bytes:
     return header(head | (values or {})) + _padded(data.tobytes(), b"\0")
 
 
-class _Files(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Bytes of a file that one task reads.
+PART_BYTES = 32 << 20
+
+
+def filesystem(path: str):
+    """The file system and place of a folder or file that all executors share."""
+    import pyarrow.fs as fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+
+
+def headers(file, size: int) -> Iterator[tuple[dict, list[str], int]]:
+    """Header, history and place of the data of every unit, without reading the data."""
+    at = 0
+    while at + BLOCK <= size:
+        text = b""
+        while True:
+            text += file.read_at(BLOCK, at + len(text))
+            if any(text[k : k + 8].strip() == b"END" for k in range(len(text) - BLOCK, len(text), 80)):
+                break
+            if at + len(text) + BLOCK > size:
+                raise ValueError("the header is cut short")
+        head, history, length = _cards(text, 0)
+        at += length
+        yield head, history, at
+        at += -(-_data_size(head) // BLOCK) * BLOCK
+
+
+class _Part(InputPartition):
+    def __init__(self, path: str, place: int, low: int, high: int, head: dict, history: list[str], unit: int = 0):
+        self.path, self.place, self.low, self.high, self.head, self.history, self.unit = path, place, low, high, head, history, unit
 
 
 class _Reader(DataSourceReader):
+    """Lists files once; a file's rows or slabs are divided into parts of PART_BYTES."""
+
+    suffix = ""
+
     def __init__(self, options: dict, schema: StructType):
         import pyarrow.fs as fs
 
-        self.schema = schema
+        self.options, self.schema = options, schema
         path = options["path"]
-        files, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        files, root = filesystem(path)
         info = files.get_file_info(root)
         found = files.get_file_info(fs.FileSelector(root, recursive=True)) if info.type == fs.FileType.Directory else [info]
         self.uri = path.split("://")[0] + "://" if "://" in path else "file://"
-        self.paths = sorted(f.path for f in found if f.is_file and f.path.endswith(self.suffix))
-
-    suffix = ""
+        self.found = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(self.suffix))
 
     def partitions(self):
-        return [_Files(self.uri + p) for p in self.paths]
-
-    def content(self, path: str) -> bytes:
-        import pyarrow.fs as fs
+        return [p for path, size in self.found for p in self.parts(self.uri + path, size)]
 
-        files, at = fs.FileSystem.from_uri(path)
+    def bytes_of(self, part: _Part, width: int) -> bytes:
+        files, at = filesystem(part.path)
         with files.open_input_file(at) as f:
-            return f.read()
+            return f.read_at((part.high - part.low) * width, part.place + part.low * width)
+
+    def batch(self, columns: dict, n: int):
+        """An Arrow batch of the schema's columns; those that the file lacks are null."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(self.schema)
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 class _TableReader(_Reader):
     suffix = ".fits"
 
-    def read(self, partition):
-        for head, history, data in units(self.content(partition.path)):
-            if head.get("XTENSION") == "BINTABLE":
-                rows = table(head, data)
-                for k, r in enumerate(rows):
-                    values = {n: (r[n].decode().rstrip() if isinstance(r[n], bytes) else r[n].tolist()) for n in rows.dtype.names}
-                    yield tuple(partition.path if f.name == "file" else k if f.name == "record" else history if f.name == "history" else values.get(f.name) for f in self.schema.fields)
+    def __init__(self, options: dict, schema: StructType):
+        super().__init__(options, schema)
+        self.wanted: dict[str, set] = {}
+
+    def pushFilters(self, filters):
+        """Equalities on columns are used to leave out records early; Spark still checks them."""
+        from pyspark.sql.datasource import EqualTo, In
+
+        for f in filters:
+            if isinstance(f, EqualTo) and len(f.attribute) == 1:
+                self.wanted.setdefault(f.attribute[0], set()).add(f.value)
+            elif isinstance(f, In) and len(f.attribute) == 1:
+                self.wanted.setdefault(f.attribute[0], set()).update(f.value)
+            yield f
+
+    def parts(self, path: str, size: int):
+        files, at = filesystem(path)
+        with files.open_input_file(at) as f:
+            for unit, (head, history, place) in enumerate(headers(f, size)):
+                if head.get("XTENSION") == "BINTABLE":
+                    step = max(1, PART_BYTES // max(1, head["NAXIS1"]))
+                    for low in range(0, head["NAXIS2"], step):
+                        yield _Part(path, place, low, min(low + step, head["NAXIS2"]), head, history, unit)
+
+    def read(self, part):
+        n = part.high - part.low
+        rows = table(part.head | {"NAXIS2": n}, self.bytes_of(part, part.head["NAXIS1"]))
+        record = np.arange(part.low, part.high, dtype=np.int32)
+        keep = np.ones(n, bool)
+        for name, values in self.wanted.items():
+            if name in rows.dtype.names and rows.dtype[name].shape == ():
+                column = np.char.rstrip(rows[name].astype(str)) if rows.dtype[name].kind == "S" else rows[name]
+                keep &= np.isin(column, list(values))
+        rows, record = rows[keep], record[keep]
+        n = len(rows)
+        columns = {"file": [part.path] * n, "record": record, "history": [part.history] * n}
+        for name in set(rows.dtype.names) & {f.name for f in self.schema.fields}:
+            v = rows[name]
+            if v.dtype.kind == "S":
+                columns[name] = np.char.rstrip(v.astype(str)).tolist()
+            else:
+                native = v.astype(v.dtype.newbyteorder("="))
+                columns[name] = list(native) if native.ndim > 1 else native
+        yield self.batch(columns, n)
+
+
+class _TableWriter(DataSourceWriter):
+    """Every task writes a file of its own; those of failed attempts are removed."""
+
+    def __init__(self, options: dict, schema: StructType, overwrite: bool):
+        self.path, self.schema, self.name = options["path"], schema, uuid.uuid4().hex[:12]
+        files, root = filesystem(self.path)
+        if overwrite:
+            import pyarrow.fs as fs
+
+            if files.get_file_info(root).type == fs.FileType.Directory:
+                files.delete_dir_contents(root)
+        files.create_dir(root, recursive=True)
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        rows = list(iterator)
+        if not rows:
+            return _Written(None)
+        kinds = {"int": ">i4", "bigint": ">i8", "double": ">f8", "float": ">f4", "smallint": ">i2"}
+        dtype, history = [], []
+        for f in self.schema.fields:
+            kind = f.dataType.simpleString()
+            if f.name in ("file", "record", "history"):
+                continue
+            if kind == "string":
+                dtype.append((f.name, f"S{max(1, max(len(r[f.name] or '') for r in rows))}"))
+            elif kind.startswith("array<"):
+                sizes = {len(r[f.name]) for r in rows}
+                if len(sizes) > 1:
+                    raise ValueError(f"{f.name} has arrays of lengths {sorted(sizes)}")
+                dtype.append((f.name, kinds[kind[6:-1]], (sizes.pop(),)))
+            else:
+                dtype.append((f.name, kinds[kind]))
+        out = np.zeros(len(rows), dtype)
+        for name, *rest in dtype:
+            if len(rest) > 1:
+                out[name] = [[np.nan if x is None else x for x in r[name]] for r in rows]
+            else:
+                out[name] = [((r[name] or "").encode() if rest[0][0] == "S" else np.nan if r[name] is None and "f" in rest[0] else r[name]) for r in rows]
+        if "history" in self.schema.names:
+            history = list(dict.fromkeys(h for r in rows for h in r["history"] or []))
+        task = TaskContext.get()
+        files, root = filesystem(self.path)
+        name = f"{root}/part-{task.partitionId():05d}-{self.name}-{task.taskAttemptId()}.fits"
+        with files.open_output_stream(name) as f:
+            f.write(table_bytes(out, history))
+        return _Written(name)
+
+    def commit(self, messages):
+        pass
+
+    def abort(self, messages):
+        files, _ = filesystem(self.path)
+        for m in messages:
+            if m and m.name:
+                files.delete_file(m.name)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    name: str | None
 
 
 class FitsTable(DataSource):
-    """``spark.read.format("sdfits").schema(...).load(path)``: columns of the schema by name; also file, record and history."""
+    """``spark.read.format("sdfits").schema(...).load(path)``: columns of the schema by name; also file, record and history.
+
+    Equalities on columns, such as the scan, are tested before rows are built. ``df.write.format("sdfits")`` writes tables; history entries are joined.
+    """
 
     @classmethod
     def name(cls):
@@ -176,37 +321,177 @@ class FitsTable(DataSource):
     def reader(self, schema):
         return _TableReader(self.options, schema)
 
+    def writer(self, schema, overwrite):
+        return _TableWriter(self.options, schema, overwrite)
+
+
+def _cells(shape: tuple[int, ...], low: int, values: np.ndarray) -> tuple[list[np.ndarray], list]:
+    """Indices of every axis of a slab that begins at ``low`` of the first one, and the values with null for those not finite."""
+    at = [i.ravel().astype(np.int32) for i in np.indices((len(values), *shape[1:]))]
+    at[0] = at[0] + low
+    flat = values.ravel().astype(float)
+    import pyarrow as pa
+
+    return at, pa.array(flat, mask=~np.isfinite(flat))
+
+
+class _ImageReader(_Reader):
+    suffix = ".fits"
+
+    def parts(self, path: str, size: int):
+        files, at = filesystem(path)
+        with files.open_input_file(at) as f:
+            for unit, (head, history, place) in enumerate(headers(f, size)):
+                if head.get("NAXIS", 0) and head.get("XTENSION", "IMAGE") == "IMAGE":
+                    shape = [head[f"NAXIS{k}"] for k in range(head["NAXIS"], 0, -1)]
+                    width = int(np.prod(shape[1:])) * abs(head["BITPIX"]) // 8
+                    step = max(1, PART_BYTES // 8 // max(1, width))
+                    for low in range(0, shape[0], step):
+                        yield _Part(path, place, low, min(low + step, shape[0]), head | {"shape": shape, "width": width}, history, unit)
+
+    def read(self, part):
+        shape = part.head["shape"]
+        values = np.frombuffer(self.bytes_of(part, part.head["width"]), PIXELS[part.head["BITPIX"]]).reshape(-1, *shape[1:])
+        at, flat = _cells(tuple(shape), part.low, values)
+        n = len(at[0])
+        yield self.batch({"file": [part.path] * n, "unit": np.full(n, part.unit, np.int32), "at": list(np.stack(at, 1)), "value": flat}, n)
+
+
+class FitsImage(DataSource):
+    """``spark.read.format("fitsimage").load(path)``: one row for each pixel of every image, with its indices from the slowest axis on."""
+
+    @classmethod
+    def name(cls):
+        return "fitsimage"
+
+    def schema(self):
+        return "file string, unit int, at array<int>, value double"
+
+    def reader(self, schema):
+        return _ImageReader(self.options, schema)
+
 
 class _CubeReader(_Reader):
     suffix = ".npy"
 
-    def read(self, partition):
-        cube = np.load(io.BytesIO(self.content(partition.path)), allow_pickle=False)
-        meta = ast.literal_eval(self.content(partition.path + ".meta").decode())
-        axes = meta["axes"]
-        coords = [meta.get(f"{a}_delta", 1.0) * (np.arange(n) - n // 2) + meta.get(f"{a}_centre", 0.0) for a, n in zip(axes, cube.shape)]
-        for at in np.ndindex(cube.shape):
-            v = float(cube[at])
-            yield (partition.path, *(int(i) for i in at), *(float(c[i]) for c, i in zip(coords, at)), v if np.isfinite(v) else None)
+    def parts(self, path: str, size: int):
+        files, at = filesystem(path)
+        with files.open_input_file(at) as f:
+            start = io.BytesIO(f.read_at(min(size, 1 << 16), 0))
+            version = np.lib.format.read_magic(start)
+            shape, fortran, dtype = np.lib.format.read_array_header_1_0(start) if version == (1, 0) else np.lib.format.read_array_header_2_0(start)
+            place = start.tell()
+        if fortran or dtype.hasobject:
+            raise ValueError(f"{path}: only plain arrays in C order are read")
+        with files.open_input_file(at + ".meta") as f:
+            meta = ast.literal_eval(f.read().decode())
+        width = int(np.prod(shape[1:], dtype=np.int64)) * dtype.itemsize
+        step = max(1, PART_BYTES // 8 // max(1, width))
+        for low in range(0, shape[0], step):
+            yield _Part(path, place, low, min(low + step, shape[0]), {"shape": shape, "dtype": dtype.str, "width": width, "meta": meta}, [])
+
+    def read(self, part):
+        shape, meta = part.head["shape"], part.head["meta"]
+        values = np.frombuffer(self.bytes_of(part, part.head["width"]), part.head["dtype"]).reshape(-1, *shape[1:])
+        at, flat = _cells(shape, part.low, values)
+        n = len(at[0])
+        columns = {"file": [part.path] * n, "value": flat}
+        for axis, i, size in zip(meta["axes"], at, shape):
+            columns[{"freq": "fi", "ra": "ri", "dec": "di"}.get(axis, f"{axis}_i")] = i
+            columns[axis] = meta.get(f"{axis}_delta", 1.0) * (i - size // 2) + meta.get(f"{axis}_centre", 0.0)
+        yield self.batch(columns, n)
 
 
 class NpyCube(DataSource):
-    """``spark.read.format("npycube").load(path)``: one row for each cell of three-axis cubes; non-finite cells are null."""
+    """``spark.read.format("npycube").load(path)``: one row for each cell of .npy cubes; non-finite cells are null.
+
+    A cube is read in slabs of its first axis. Axes other than freq, ra and dec are named by the option
+    ``axes`` (comma-separated); an axis a gives the columns a_i and a.
+    """
 
     @classmethod
     def name(cls):
         return "npycube"
 
     def schema(self):
-        return "file string, fi int, ri int, di int, freq double, ra double, dec double, value double"
+        axes = [a for a in self.options.get("axes", "freq,ra,dec").split(",") if a]
+        index = {"freq": "fi", "ra": "ri", "dec": "di"}
+        return "file string, " + ", ".join(f"{index.get(a, a + '_i')} int" for a in axes) + ", " + ", ".join(f"{a} double" for a in axes) + ", value double"
 
     def reader(self, schema):
         return _CubeReader(self.options, schema)
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(FitsTable)
-    spark.dataSource.register(NpyCube)
+    """Makes the formats known to the session and lets filters reach them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (FitsTable, FitsImage, NpyCube):
+        spark.dataSource.register(source)
+
+
+def _write_cubes(cells: DataFrame, path: str, key: str, axes: list[str], suffix: str, make) -> DataFrame:
+    """One file for each ``key`` from its cells (``axes`` indices, value); a cube is one task's and of bounded size. Returns key, file, cells."""
+    kind = cells.schema[key].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf[key].iloc[0]
+        cube = np.full([int(pdf[a].max()) + 1 for a in axes], np.nan)
+        cube[tuple(pdf[a] for a in axes)] = pdf["value"].astype(float)
+        files, root = filesystem(path)
+        files.create_dir(root, recursive=True)
+        for end, data in make(cube).items():
+            with files.open_output_stream(f"{root}/{name}{end}") as f:
+                f.write(data)
+        return pd.DataFrame({key: [name], "file": [f"{path}/{name}{suffix}"], "cells": [len(pdf)]})
+
+    return cells.select(key, *axes, "value").groupBy(key).applyInPandas(run, f"{key} {kind}, file string, cells long")
+
+
+def write_images(cells: DataFrame, path: str, key: str, axes: list[str], values: dict | None = None) -> DataFrame:
+    """FITS images; cells that are masked or missing are NaN."""
+    return _write_cubes(cells, path, key, axes, ".fits", lambda cube: {".fits": image_bytes(cube, values)})
+
+
+def write_npy(cells: DataFrame, path: str, key: str, axes: dict[str, str], meta: dict | None = None) -> DataFrame:
+    """.npy cubes with their ``.meta`` file; ``axes`` maps index columns to names of axes. ``meta`` must be plain values."""
+    text = repr({"axes": tuple(axes.values())} | (meta or {}))
+    if ast.literal_eval(text) != {"axes": tuple(axes.values())} | (meta or {}):
+        raise ValueError("the axis information is not made of plain values")
+
+    def make(cube: np.ndarray) -> dict[str, bytes]:
+        out = io.BytesIO()
+        np.save(out, cube)
+        return {".npy": out.getvalue(), ".npy.meta": text.encode()}
+
+    return _write_cubes(cells, path, key, list(axes), ".npy", make)
+
+
+def write_tree(trees: DataFrame, path: str) -> None:
+    """Nested tables of arrays (tree_path, values) as one Parquet table, dealt by the first part of the path."""
+    trees.withColumn("top", F.split("tree_path", "/")[0]).write.mode("overwrite").partitionBy("top").parquet(path)
+
+
+def read_tree(spark: SparkSession, path: str, below: str = "") -> DataFrame:
+    """The arrays below a path of a tree; only the files of its first part are read."""
+    rows = spark.read.parquet(path)
+    if below:
+        rows = rows.where((F.col("top") == below.split("/")[0]) & F.col("tree_path").startswith(below))
+    return rows.drop("top")
+
+
+def array_list(rows: DataFrame, keys: list[str], place: str, value: str) -> DataFrame:
+    """Rows of a list's numbered entries back to one array for each key, in order."""
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(place, value))), lambda x: x[value]).alias("values"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="skyquilt-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def spectra(records: DataFrame) -> DataFrame:
@@ -238,3 +523,16 @@ def decode_samples(raw: np.ndarray) -> np.ndarray:
     out = raw.view(np.int8).astype(np.float32)
     out[:, 0] = raw[:, 0].view(np.uint8)
     return out
+
+
+def stager(spark: SparkSession, name: str):
+    """A function that writes a table to the shared folder and reads it again, so that a long chain of steps keeps a short plan."""
+    root, count = shared_folder(spark, name), [0]
+
+    def stage(df: DataFrame) -> DataFrame:
+        count[0] += 1
+        path = f"{root}/{count[0]}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return stage
