@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once; long texts make large batches.
 BATCH_ROWS = 1000
+#: Links that one task may contract; more are contracted in rounds of joins.
+FEW_LINKS = 1 << 18
 #: Staged tables after which the driver's garbage is collected.
 COLLECT_EVERY = 4
 
@@ -162,12 +164,15 @@ def components(stage: Stage, edges: DataFrame, name: str = "cc", most_rounds: in
     ``edges`` has columns u, v of one orderable type. Returns (node, component) for every node with an
     edge to another; component is the smallest node reachable. A round is aggregates and equi-joins, so
     a node with very many links is split by adaptive execution; no group is gathered. Rows: at most two
-    for each edge. Null ends and self links are ignored; an empty input gives an empty result.
+    for each edge. When FEW_LINKS or fewer are left, which is counted, one task contracts them. Null ends and self links are ignored; an empty input gives an empty result.
     """
     kind = edges.schema["u"].dataType.simpleString()
     plain = edges.where("u is not null and v is not null and u <> v").select("u", "v")
     now = stage.write(plain.mapInArrow(_contract, f"u {kind}, v {kind}").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), f"{name}-0")
     for k in range(1, most_rounds):
+        if now.count() <= FEW_LINKS:
+            now = stage.write(now.coalesce(1).select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_contract, f"u {kind}, v {kind}").select(F.col("u").alias("a"), F.col("v").alias("b")), f"{name}-few")
+            break
         if _is_forest(now):
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

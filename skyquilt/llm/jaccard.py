@@ -26,8 +26,8 @@ FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 SKETCH = 16
 #: Pivots that a set meets in a round after the first, and rounds before what is still apart is compared pair by pair.
 PIVOTS, ROUNDS = 8, 4
-#: Sixteenths of the signatures up to which pairs are compared in one go: sets that share many meet in the first.
-SLICES = (1, 4, 16)
+#: Eighths of the signatures up to which pairs are compared in one go: sets that share many meet in the first.
+SLICES = (1, 8)
 ALONE, RARE, UNCOUNTED = 0, 1, 9
 
 

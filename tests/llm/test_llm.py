@@ -506,7 +506,9 @@ def test_quality_edges(spark, docs):
 # Components and the pipeline
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_LINKS", few)
     rng = random.Random(0)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(200, 200), (None, 1)]
     f = embeddings.Forest(201)
