@@ -83,8 +83,12 @@ def cholesky(a: DataFrame, n: int, stage: Callable[[DataFrame], DataFrame]) -> D
         column = stage(column.unionByName(diagonal.select(F.lit(k).alias("i"), F.lit(k).alias("j"), F.col("d").alias("tile"))))
         done = column if done is None else done.unionByName(column)
         below = column.where(F.col("i") > k)
+        # Tiles that are all zero need not be there, and products may fill them.
         left, right = below.select("i", F.col("tile").alias("p")), below.select(F.col("i").alias("j"), F.col("tile").alias("q"))
-        rest = stage(rest.where(F.col("j") > k).join(left, "i").join(right, "j").select("i", "j", _less_product("tile", "p", "q").alias("tile")))
+        both = left.join(right, F.col("i") >= F.col("j"))
+        tile = F.coalesce("tile", F.transform("p", lambda x: F.lit(0.0)))
+        rest = rest.where(F.col("j") > k).join(both, ["i", "j"], "full")
+        rest = stage(rest.select("i", "j", F.when(F.col("p").isNull(), F.col("tile")).otherwise(_less_product(tile, F.coalesce("p", tile), F.coalesce("q", tile))).alias("tile")))
     return done
 
 
