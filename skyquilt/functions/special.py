@@ -102,8 +102,8 @@ def spline(knots: DataFrame, keys: list[str], x: str, y: str, log: bool = False)
     """Natural cubic spline of each key as one array of knots (x, y, m); a key's table is short. With ``log`` in the logarithms of both."""
     own = (lambda c: F.log(F.col(c))) if log else (lambda c: F.col(c).cast("double"))
     listed = F.array_sort(F.collect_list(F.struct(own(x).alias("x"), own(y).alias("y"))))
-    rows = knots.groupBy(*keys).agg(listed.alias("k")).withColumn("m", _second_derivatives("k.x", "k.y"))
-    return rows.select(*keys, F.zip_with("k", "m", lambda k, m: F.struct(k["x"].alias("x"), k["y"].alias("y"), m.alias("m"))).alias("spline"))
+    rows = knots.groupBy(*keys).agg(listed.alias("_knots")).withColumn("_m", _second_derivatives("_knots.x", "_knots.y"))
+    return rows.select(*keys, F.zip_with("_knots", "_m", lambda k, m: F.struct(k["x"].alias("x"), k["y"].alias("y"), m.alias("m"))).alias("spline"))
 
 
 def spline_value(spline: Column, x: Column, log: bool = False) -> Column:

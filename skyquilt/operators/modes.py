@@ -2,46 +2,108 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Channels of a covariance that may come to the driver for a decomposition.
 MOST_CHANNELS = 4096
+#: Sums that a task holds before it hands them over.
+MOST_CELLS = 1 << 25
+
+
+def pair_sums(spectra: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chan, chan2, xx, ww): sums over rows of x x' and w w' for every pair of channels of the row's list ``s`` of (c, x, w).
+
+    A task multiplies its rows' matrices and hands over one sum for each pair of channels and key, so what is
+    exchanged does not grow with the rows. Sums are handed over early when a task holds many keys.
+    """
+    kinds = {k: spectra.schema[k].dataType.simpleString() for k in keys}
+    chan = spectra.schema["s"].dataType.elementType["c"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[dict, np.ndarray, np.ndarray]] = {}
+        cells = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for key, (index, xx, ww) in held.items():
+                c = np.array(list(index))
+                i, j = np.nonzero(ww[: len(c), : len(c)])
+                own = [pa.array([k] * len(i), schema.field(n).type) for n, k in zip(keys, key)]
+                kind = schema.field("s").type.value_type.field("c").type
+                yield pa.RecordBatch.from_arrays([*own, pa.array(c[i], kind), pa.array(c[j], kind), pa.array(xx[i, j]), pa.array(ww[i, j])], names=[*keys, "chan", "chan2", "xx", "ww"])
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            listed = batch.column(len(keys))
+            starts, flat = listed.offsets.to_numpy(), listed.flatten()
+            starts = starts - starts[0]
+            c, x, w = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("c", "x", "w"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))))) if keys else [()] * batch.num_rows
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(names):
+                groups.setdefault(key, []).append(i)
+            for key, members in groups.items():
+                at = np.isin(row, members) if len(groups) > 1 else slice(None)
+                index, xx, ww = held.setdefault(key, ({}, np.zeros((0, 0)), np.zeros((0, 0))))
+                for v in np.unique(c[at]).tolist():
+                    index.setdefault(v, len(index))
+                if len(index) > len(xx):
+                    grow = ((0, 2 * len(index) - len(xx)),) * 2
+                    xx, ww = np.pad(xx, grow), np.pad(ww, grow)
+                    held[key] = (index, xx, ww)
+                    cells = sum(2 * m.size for _, m, _ in held.values())
+                place = np.array([index[v] for v in c[at].tolist()], np.int64)
+                local = np.unique(row[at], return_inverse=True)[1]
+                dense = np.zeros((2, int(local.max(initial=-1)) + 1, len(index)))
+                dense[0, local, place], dense[1, local, place] = x[at], w[at]
+                n = len(index)
+                xx[:n, :n] += dense[0].T @ dense[0]
+                ww[:n, :n] += dense[1].T @ dense[1]
+            if cells > MOST_CELLS:
+                yield from rows()
+                held.clear()
+                cells = 0
+        if schema is not None:
+            yield from rows()
+
+    out = spectra.select(*keys, "s").mapInArrow(run, ", ".join([f"{k} {v}" for k, v in kinds.items()] + [f"chan {chan}, chan2 {chan}, xx double, ww double"]))
+    return out.groupBy(*keys, "chan", "chan2").agg(F.sum("xx").alias("xx"), F.sum("ww").alias("ww"))
 
 
 def freq_covariance(maps: DataFrame, pixel: list[str], chan: str = "chan") -> DataFrame:
     """sum (w1 m1)(w2 m2) / sum w1 w2 over pixels, for every pair of channels (chan, chan2).
 
-    A pixel's channels are gathered into one array (its length is the number of channels), so pairs are
-    formed in a row and sums are combined before the exchange by pair.
+    A pixel's channels are gathered into one list, whose length is the number of channels; see ``pair_sums``.
     """
     wm = F.when(F.col("weight") >= 1e-20, F.col("weight") * F.col("value")).otherwise(0.0)
-    w = F.when(F.col("weight") >= 1e-20, F.col("weight")).otherwise(0.0)
+    w = F.when(F.col("weight") >= 1e-20, F.col("weight").cast("double")).otherwise(0.0)
     spec = maps.where("value is not null and weight is not null").groupBy(*pixel).agg(F.collect_list(F.struct(F.col(chan).alias("c"), wm.alias("x"), w.alias("w"))).alias("s"))
-    one = spec.select("s", F.explode("s").alias("a")).select("a", F.explode("s").alias("b"))
-    return one.groupBy(F.col("a.c").alias("chan"), F.col("b.c").alias("chan2")).agg(F.try_divide(F.sum(F.col("a.x") * F.col("b.x")), F.sum(F.col("a.w") * F.col("b.w"))).alias("cov"))
+    return pair_sums(spec, []).select("chan", "chan2", F.try_divide("xx", "ww").alias("cov"))
 
 
 def masked_covariance(rows: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     """Sums and counts of products of channels over times at which both are unmasked."""
-    ones = rows.where("value is not null").withColumn("weight", F.lit(1.0))
-    spec = ones.groupBy(*keys, t).agg(F.collect_list(F.struct("chan", "value")).alias("s"))
-    pair = spec.select(*keys, "s", F.explode("s").alias("a")).select(*keys, "a", F.explode("s").alias("b"))
-    return pair.groupBy(*keys, F.col("a.chan").alias("chan"), F.col("b.chan").alias("chan2")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("total"), F.count("*").alias("n"))
+    one = F.struct(F.col("chan").alias("c"), F.col("value").cast("double").alias("x"), F.lit(1.0).alias("w"))
+    spec = rows.where("value is not null").groupBy(*keys, t).agg(F.collect_list(one).alias("s"))
+    return pair_sums(spec, keys).select(*keys, "chan", "chan2", F.col("xx").alias("total"), F.col("ww").cast("long").alias("n"))
 
 
 def matrix(cov: DataFrame, value: str = "cov") -> tuple[list, np.ndarray]:
     """The covariance on the driver; the number of channels is checked."""
     if (n := cov.select("chan").distinct().count()) > MOST_CHANNELS:
         raise ValueError(f"{n} channels are too many for one decomposition")
-    pdf = cov.select("chan", "chan2", value).toPandas()
-    chans = sorted(set(pdf["chan"]) | set(pdf["chan2"]))
-    at = {c: i for i, c in enumerate(chans)}
+    pdf = cov.select("chan", "chan2", value).toArrow().to_pandas()
+    chans = np.unique(np.concatenate([pdf["chan"], pdf["chan2"]]))
     out = np.zeros((len(chans), len(chans)))
-    out[[at[c] for c in pdf["chan"]], [at[c] for c in pdf["chan2"]]] = pdf[value].fillna(0).to_numpy(float)
-    return chans, out
+    out[np.searchsorted(chans, pdf["chan"]), np.searchsorted(chans, pdf["chan2"])] = pdf[value].fillna(0).to_numpy(float)
+    return chans.tolist(), out
 
 
 def svd_modes(cov: DataFrame, n: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:

@@ -22,10 +22,10 @@ def fourier_low(rows: DataFrame, keys: list[str], n_time: int, n_freq: int, t: s
 def low_power_matrix(rows: DataFrame, keys: list[str], n_time: int, n_freq: int, t: str = "t") -> DataFrame:
     """Mean cross power of every pair of channels over the lowest frequencies: (keys, chan, chan2, cov)."""
     f = fourier_low(rows, [*keys, "chan"], n_time, n_freq, t)
-    spec = f.groupBy(*keys, "f").agg(F.collect_list(F.struct("chan", "re", "im")).alias("s"))
-    pair = spec.select(*keys, "f", "s", F.explode("s").alias("a")).select(*keys, "f", "a", F.explode("s").alias("b"))
-    power = (F.col("a.re") * F.col("b.re") + F.col("a.im") * F.col("b.im")) / n_time
-    return pair.groupBy(*keys, F.col("a.chan").alias("chan"), F.col("b.chan").alias("chan2")).agg(F.avg(power).alias("cov"))
+    # Real and imaginary parts are rows of their own; a pair's weight counts both.
+    parts = f.select(*keys, "f", "chan", F.posexplode(F.array("re", "im")).alias("part", "x"))
+    spec = parts.groupBy(*keys, "f", "part").agg(F.collect_list(F.struct(F.col("chan").alias("c"), "x", F.lit(1.0).alias("w"))).alias("s"))
+    return _modes.pair_sums(spec, keys).select(*keys, "chan", "chan2", (2 * F.col("xx") / F.col("ww") / n_time).alias("cov"))
 
 
 def noise_modes(rows: DataFrame, n_time: int, n_freq: int, n_modes: int, t: str = "t") -> tuple[list, np.ndarray, np.ndarray]:

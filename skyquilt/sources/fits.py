@@ -160,7 +160,7 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """Lists files once; a file's rows or slabs are divided into parts of PART_BYTES."""
+    """Lists files once; a file's rows or slabs are divided into parts of PART_BYTES, or of the option ``partBytes``."""
 
     suffix = ""
 
@@ -168,6 +168,7 @@ class _Reader(DataSourceReader):
         import pyarrow.fs as fs
 
         self.options, self.schema = options, schema
+        self.part_bytes = int(options.get("partbytes", PART_BYTES))
         path = options["path"]
         files, root = filesystem(path)
         info = files.get_file_info(root)
@@ -215,7 +216,7 @@ class _TableReader(_Reader):
         with files.open_input_file(at) as f:
             for unit, (head, history, place) in enumerate(headers(f, size)):
                 if head.get("XTENSION") == "BINTABLE":
-                    step = max(1, PART_BYTES // max(1, head["NAXIS1"]))
+                    step = max(1, self.part_bytes // max(1, head["NAXIS1"]))
                     for low in range(0, head["NAXIS2"], step):
                         yield _Part(path, place, low, min(low + step, head["NAXIS2"]), head, history, unit)
 
@@ -345,7 +346,7 @@ class _ImageReader(_Reader):
                 if head.get("NAXIS", 0) and head.get("XTENSION", "IMAGE") == "IMAGE":
                     shape = [head[f"NAXIS{k}"] for k in range(head["NAXIS"], 0, -1)]
                     width = int(np.prod(shape[1:])) * abs(head["BITPIX"]) // 8
-                    step = max(1, PART_BYTES // 8 // max(1, width))
+                    step = max(1, self.part_bytes // 8 // max(1, width))
                     for low in range(0, shape[0], step):
                         yield _Part(path, place, low, min(low + step, shape[0]), head | {"shape": shape, "width": width}, history, unit)
 
@@ -386,7 +387,7 @@ class _CubeReader(_Reader):
         with files.open_input_file(at + ".meta") as f:
             meta = ast.literal_eval(f.read().decode())
         width = int(np.prod(shape[1:], dtype=np.int64)) * dtype.itemsize
-        step = max(1, PART_BYTES // 8 // max(1, width))
+        step = max(1, self.part_bytes // 8 // max(1, width))
         for low in range(0, shape[0], step):
             yield _Part(path, place, low, min(low + step, shape[0]), {"shape": shape, "dtype": dtype.str, "width": width, "meta": meta}, [])
 
