@@ -200,3 +200,12 @@ def subtract_correlation_modes(corr: DataFrame, modes: DataFrame) -> DataFrame:
     amp = corr.join(F.broadcast(left), "f1").join(F.broadcast(right), ["mode", "f2"]).groupBy("lag", "mode").agg(F.sum(F.col("corr") * F.col("_v") * F.col("_u")).alias("_a"))
     part = amp.join(F.broadcast(left), "mode").join(F.broadcast(right), "mode").groupBy("lag", "f1", "f2").agg(F.sum(F.col("_a") * F.col("_v") * F.col("_u")).alias("_p"))
     return corr.join(part, ["lag", "f1", "f2"], "left").withColumn("corr", F.col("corr") - F.coalesce("_p", F.lit(0.0))).drop("_p")
+
+
+def diagonal_amplitude(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Amplitude of a template (value, theory, variance) with its error, chi squared and degrees of freedom, where errors do not correlate: sums only."""
+    t, d, v = F.col("theory"), F.col("value"), F.col("variance")
+    ok = rows.where(v > 0)
+    sums = ok.groupBy(*keys).agg(F.sum(t * d / v).alias("a"), F.sum(t * t / v).alias("b"), F.sum(d * d / v).alias("c"), F.count("*").alias("n"))
+    amp = F.try_divide("a", "b")
+    return sums.select(*keys, amp.alias("amplitude"), (1 / F.sqrt("b")).alias("error"), (F.col("c") - amp * F.col("a")).alias("chi2"), (F.col("n") - 1).alias("dof"))
