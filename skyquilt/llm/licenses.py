@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +36,97 @@ SENTENCES = {
     "cc-by-nc": "licensed under cc by nc 4 0",
     "cc-by-nd": "licensed under cc by nd 4 0",
     "cc0": "licensed under cc0 1 0",
-    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl-notice": "licensed under the mozilla public license 2 0",
+    "apache-header-whole": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "apache-copy-at": "you may obtain a copy of the license at",
+    "apache-url": "http www apache org licenses license 2 0",
+    "apache-url-s": "https www apache org licenses license 2 0",
+    "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-title": "isc license",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-liability": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-liability": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "gpl-details": "see the gnu general public license for more details",
+    "gpl-received": "you should have received a copy of the gnu general public license along with this program",
+    "lgpl-header-2": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-header-3": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-warranty": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-details": "see the gnu lesser general public license for more details",
+    "agpl-header-3": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-details": "see the gnu affero general public license for more details",
+    "unlicense-free": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-liability": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib-origin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "zlib-altered": "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    "boost-title": "boost software license version 1 0 august 17th 2003",
+    "boost-notice": "distributed under the boost software license version 1 0",
+    "epl-notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "wtfpl-title": "do what the fuck you want to public license",
     "isc-notice": "licensed under the isc license",
     "unlicense": "this is free and unencumbered software released into the public domain",
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-apache": "spdx license identifier apache 2 0",
-    "spdx-gpl-2": "spdx license identifier gpl 2 0 only",
-    "spdx-gpl-3": "spdx license identifier gpl 3 0 only",
     "all-rights": "all rights reserved",
 }
 
+# SPDX identifiers that a file may declare.
+SPDX = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+]
+# Names of the Creative Commons licences of version 4.
+COMMONS = {"by": "attribution", "by-sa": "attribution sharealike", "by-nd": "attribution noderivatives", "by-nc": "attribution noncommercial", "by-nc-sa": "attribution noncommercial sharealike", "by-nc-nd": "attribution noncommercial noderivatives"}
+
+
+def _plain(name: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", name.lower()).strip()
+
+
+SENTENCES |= {f"spdx-{x.lower()}": f"spdx license identifier {_plain(x)}" for x in SPDX}
+SENTENCES |= {f"cc-{k}-notice": f"licensed under cc {_plain(k)} 4 0" for k in COMMONS if f"cc-{k}" not in SENTENCES}
+SENTENCES |= {f"cc-{k}-named": f"this work is licensed under a creative commons {v} 4 0 international license" for k, v in COMMONS.items()}
+
 # Ordered rules, the more specific first; a rule takes the sentences it matches from those after it.
 RULES = [
+    ("Apache-2.0", ["apache-header-whole", "apache-copy-at", "apache-url", "apache-as-is", "apache-limits"]),
+    ("Apache-2.0", ["apache-header", "apache-comply", "apache-copy-at", "apache-url"]),
+    ("Apache-2.0", ["apache-header", "apache-comply", "apache-copy-at", "apache-url-s"]),
+    ("Apache-2.0", ["apache-header-whole"]),
+    ("MIT", ["mit-title", "mit-grant", "mit-condition", "mit-as-is", "mit-liability"]),
+    ("MIT", ["mit-title-2", "mit-grant", "mit-condition", "mit-as-is", "mit-liability"]),
+    ("MIT", ["mit-grant", "mit-condition", "mit-as-is", "mit-liability"]),
+    ("MIT", ["mit-grant", "mit-condition"]),
+    ("ISC", ["isc-title", "isc-grant", "isc-as-is", "isc-liability"]),
+    ("ISC", ["isc-grant", "isc-as-is", "isc-liability"]),
+    ("ISC", ["isc-grant"]),
+    ("0BSD", ["0bsd-grant", "isc-as-is", "isc-liability"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is", "bsd-liability"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability"]),
+    ("AGPL-3.0-or-later", ["agpl-header-3", "gpl-warranty", "agpl-details"]),
+    ("AGPL-3.0-or-later", ["agpl-header-3"]),
+    ("LGPL-2.1-or-later", ["lgpl-header-2", "lgpl-warranty", "lgpl-details"]),
+    ("LGPL-2.1-or-later", ["lgpl-header-2"]),
+    ("LGPL-3.0-or-later", ["lgpl-header-3", "lgpl-warranty", "lgpl-details"]),
+    ("LGPL-3.0-or-later", ["lgpl-header-3"]),
+    ("GPL-2.0-or-later", ["gpl-header-2", "gpl-warranty", "gpl-details", "gpl-received"]),
+    ("GPL-3.0-or-later", ["gpl-header-3", "gpl-warranty", "gpl-details", "gpl-received"]),
+    ("Unlicense", ["unlicense", "unlicense-free"]),
+    ("Zlib", ["zlib-as-is", "zlib-liability", "zlib-grant", "zlib-origin", "zlib-altered"]),
+    ("Zlib", ["zlib-grant"]),
+    ("MPL-2.0", ["mpl", "mpl-copy"]),
+    ("MPL-2.0", ["mpl-notice"]),
+    ("BSL-1.0", ["boost-title"]),
+    ("BSL-1.0", ["boost-notice"]),
+    ("EPL-2.0", ["epl-notice"]),
+    ("WTFPL", ["wtfpl-title"]),
     ("Apache-2.0", ["apache-header", "apache-comply", "apache-copy"]),
     ("Apache-2.0", ["apache-header", "apache-comply"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
@@ -59,14 +140,10 @@ RULES = [
     ("MIT", ["mit-condition"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-notice-2"]),
-    ("MIT", ["spdx-mit"]),
     ("Apache-2.0", ["apache-header"]),
     ("Apache-2.0", ["apache-notice"]),
-    ("Apache-2.0", ["spdx-apache"]),
     ("GPL-2.0-only", ["gpl-2"]),
-    ("GPL-2.0-only", ["spdx-gpl-2"]),
     ("GPL-3.0-only", ["gpl-3"]),
-    ("GPL-3.0-only", ["spdx-gpl-3"]),
     ("LGPL-3.0-only", ["lgpl-3"]),
     ("AGPL-3.0-only", ["agpl-3"]),
     ("BSD-3-Clause", ["bsd-notice"]),
@@ -81,8 +158,11 @@ RULES = [
     ("LicenseRef-All-Rights-Reserved", ["all-rights"]),
 ]
 
+RULES += [(x, [f"spdx-{x.lower()}"]) for x in SPDX]
+RULES += [(f"CC-{k.upper()}-4.0", [f"cc-{k}-{kind}"]) for k in sorted(COMMONS, key=len, reverse=True) for kind in ("notice", "named") if f"cc-{k}-{kind}" in SENTENCES]
+
 # Every known sentence holds one of these, so a text without any of them has no known sentence.
-ANCHORS = ["licen", "permission", "redistribut", "warranty", "public domain", "rights reserved"]
+ANCHORS = ["licen", "permission", "redistribut", "warrant", "liab", "the mpl", "source versions", "must not be misrepresented", "this software", "public domain", "rights reserved"]
 
 #: Where a sentence ends: by lines, and across wrapped lines.
 BREAKS = ["[.!?]+[ \\t\\n\\r\\f]+|\\n+", "[.!?]+[ \\t\\n\\r\\f]+|\\n[ \\t\\r]*\\n+"]
