@@ -211,11 +211,11 @@ def paired_catalogs(spark, sf_dir):
 # Calibration.
 
 
-@query(f"with {STREAM}, g as (select chan, avg(value) / 100 as gx, avg(value) filter (where pol = 'YY') / 100 as gy from stream group by chan) select s.t, s.pol, s.cal, s.chan, round(s.value * case pol when 'XX' then gx when 'YY' then gy else sqrt(gx * gy) end, 6) as value from stream s left join g using (chan)")
+@query(f"with {STREAM}, g as (select chan, avg(value) / 100 as gx, avg(value) filter (where pol = 'YY') / 100 as gy from stream group by chan) select s.t, s.pol, s.cal, s.chan, round(s.value * case pol when 'XX' then gx when 'YY' then gy else sqrt(gx * gy) end, 3) as value from stream s left join g using (chan)")
 def differential_gain(spark, sf_dir):
     s = stream_rows(spark, sf_dir)
     g = s.groupBy("chan").agg((F.avg("value") / 100).alias("gx"), (F.avg(F.when(F.col("pol") == "YY", F.col("value"))) / 100).alias("gy"))
-    return lookup.differential_gain(s, g, ["chan"]).select("t", "pol", "cal", "chan", r("value").alias("value"))
+    return lookup.differential_gain(s, g, ["chan"]).select("t", "pol", "cal", "chan", r("value", 3).alias("value"))
 
 
 _SKY = "t as (select s_suppkey, s_suppkey * 37 % 360 + 0.25 as ra, s_suppkey * 11 % 60 - 30.0 as dec, s_acctbal as rm from supplier), p as (select c_custkey, c_custkey * 53 % 360 + 0.75 as ra, c_custkey * 17 % 60 - 29.5 as dec from customer)"
@@ -332,14 +332,14 @@ def map_coordinates(spark, sf_dir):
 _SECTIONS = SAMPLES + ", sec as (select l_linenumber as s, fi, ri, di, sum(value * weight) / sum(weight) as value, sum(weight) as weight from samples where l_linenumber <= 3 group by all), flat as (select *, value - sum(weight * value) over w / sum(weight) over w as v from sec window w as (partition by s, fi))"
 
 
-@query(f"with {_SECTIONS}, t as (select fi, ri, di, v as t from flat where s = 1), g as (select s, fi, sum(v * weight * t) / sum(t * weight * t) as gain from flat join t using (fi, ri, di) group by all) select s, fi, ri, di, round(value / gain, 3) as value from flat join g using (s, fi) where gain > 0.02 or gain < -0.02")
+@query(f"with {_SECTIONS}, t as (select fi, ri, di, v as t from flat where s = 1), g as (select s, fi, sum(v * weight * t) / sum(t * weight * t) as gain from flat join t using (fi, ri, di) group by all) select s, fi, ri, di, round(value / gain, 1) as value from flat join g using (s, fi) where gain > 0.02 or gain < -0.02")
 def section_gains(spark, sf_dir):
     s = samples(spark, sf_dir).where("l_linenumber <= 3").withColumn("s", F.col("l_linenumber"))
     m = maps.weighted_stack(s, ["s", "fi", "ri", "di"])
     flat = maps.subtract_weighted_mean(m, ["s", "fi"])
     gain = maps.template_gain(flat, flat.where("s = 1").select("fi", "ri", "di", "value"), maps.PIXEL, ["s", "fi"])
     out = maps.calibrate_against_first(m, "s", F.lit(1), ["fi"]).join(gain, ["s", "fi"]).where("abs(gain) > 0.02")
-    return out.select("s", "fi", "ri", "di", r("value", 3).alias("value"))
+    return out.select("s", "fi", "ri", "di", r("value", 1).alias("value"))
 
 
 @query(f"with {SAMPLES} select fi, ri, di, round(count(*) / 8.0, 6) as nbar from samples group by all")
@@ -438,10 +438,10 @@ def pair_mean_and_deviation(spark, sf_dir):
     return modes.pair_statistics(trials(spark, sf_dir), ["bin"], "power").select("bin", r("mean", 4).alias("mean"), r("deviation", 4).alias("deviation"))
 
 
-@query("select o_orderkey, round(greatest(o_totalprice / 1e5, 0.8), 6) as thermal from orders")
+@query("select o_orderkey, round(greatest(o_totalprice / 1e5, 0.8), 7) as thermal from orders")
 def radiometer_limit(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1e5).alias("thermal"))
-    return lookup.floor_at_radiometer(o, "thermal", F.lit(0.8)).select("o_orderkey", r("thermal").alias("thermal"))
+    return lookup.floor_at_radiometer(o, "thermal", F.lit(0.8)).select("o_orderkey", r("thermal", 7).alias("thermal"))
 
 
 @query(f"with {HOURLY}, m as (select event_type, t, value, 60 + 0.01 * (t - 757000) + value / 2 as m from hourly), f as (select event_type, regr_slope(value, t) as a, regr_intercept(value, t) as b, regr_slope(m, t) as c, regr_intercept(m, t) as d from m group by 1), h as (select event_type, value - (a * t + b) as v, m - (c * t + d) as m from m join f using (event_type)) select event_type, round(sum(v * m) / sum(m * m), 4) as gain from h group by event_type")

@@ -41,10 +41,14 @@ def test_cosmology_agrees_with_sums(spark):
     x = np.linspace(0, z, 200_001)
     e = np.sqrt(0.274 * (1 + x) ** 3 + 0.726)
     want = 299792.458 / 70.2 * np.trapezoid(1 / e, x)
-    got = spark.range(1).select(c.comoving_distance(F.lit(z)), c.age(F.lit(z)), c.age_flat(F.lit(z)), c.growth_factor(F.lit(0.0))).first()
+    got = spark.range(1).select(c.comoving_distance(F.lit(z)), c.age(F.lit(z)), c.age_flat(F.lit(z)), c.growth_factor(F.lit(0.0)), c.growth_factor(F.lit(99.0)), c.growth_rate(F.lit(99.0))).first()
     assert got[0] == pytest.approx(want, rel=1e-8)
     assert got[1] == pytest.approx(got[2], rel=1e-9)
-    assert got[3] == pytest.approx(1.0)
+    # Growth from its integral; it follows the scale factor in the early universe.
+    a = np.linspace(1e-6, 1, 200_001)
+    growth = 2.5 * 0.274 * np.trapezoid((a / (0.274 + 0.726 * a**3)) ** 1.5, a)
+    assert got[3] == pytest.approx(growth, rel=1e-3)
+    assert got[4] * 100 == pytest.approx(1.0, abs=1e-4) and got[5] == pytest.approx(1.0, abs=1e-4)
     xs, ys = inverse_table(lambda v: v * v, 0, 2, 5)
     assert ys[-1] == 4.0 and len(xs) == 5
 
