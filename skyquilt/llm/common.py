@@ -42,10 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stage:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation and lineage stays short."""
+    """Tables written to the shared folder, so that a lost executor costs no recomputation and lineage stays short.
+
+    What an operator returns still reads its tables, so they stay; ``made`` lists the stages for a caller that
+    has written the result elsewhere and can drop them.
+    """
+
+    made: list[Stage] = []
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.name = spark, name
+        Stage.made.append(self)
         self.writes = 0
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -63,10 +70,10 @@ class Stage:
             self.spark.sparkContext._jvm.System.gc()
         return out
 
-    def drop(self, name: str) -> None:
-        """Deletes a staged table that nothing reads any more."""
+    def drop(self, name: str = "") -> None:
+        """Deletes a staged table that nothing reads any more, or all of them."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -364,7 +364,7 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
     stage = Stage(spark, "jaccard")
     blocks = max(64, 2 * docs.rdd.getNumPartitions())
     scan = stage.write(_scan(docs, n_words, num, den, blocks), "scan")
-    rows = scan.where("what = 0")
+    rows = stage.write(scan.where("what = 0").select("doc_id", "d1", "d2", "size", "k1", "k2", "sketch"), "rows")
     classes = rows.where("size > 0").groupBy("k1").agg(F.min("k2").alias("low"), F.max("k2").alias("high"))
     clash = frozenset(r[0] & (2**64 - 1) for r in classes.where("low <> high").select("k1").toLocalIterator())
     own = F.when(F.col("size") > 0, F.when(F.col("k1").isin([signed(np.array([c], np.uint64))[0].item() for c in clash]), F.col("k2")).otherwise(F.col("k1")) if clash else F.col("k1"))
@@ -373,6 +373,7 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
     repeats = stage.write(_repeats(scan), "repeats")
     found = stage.write(_signature_rows(scan, repeats, Signatures(num, den), clash), "signatures")
     stage.drop("repeats")
+    stage.drop("scan")
     stars = _stars(found.where("least is null")).unionByName(found.where("least is not null and id <> least"))
     stars = stage.write(stars, "stars")
     stage.drop("signatures")
