@@ -2,11 +2,14 @@
 
 Every stage is one operator of ``skyquilt.llm`` over all rows that its predecessor kept. It takes
 (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of ``documents``.
+stage's docs; so each stage begins by deleting what the stage before it has staged. All but the last return
+the columns of ``documents``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,29 +21,44 @@ from skyquilt.llm.quality import keep_good
 from skyquilt.llm.suffixes import drop_repeats
 
 
+_left: list[Stage] = []
+
+
+def _apply(spark: SparkSession, operator: Callable[..., DataFrame], *args, **kwargs) -> DataFrame:
+    """Calls a stage's operator. What the last stage's operator staged goes first: its result has been written by now."""
+    while _left:
+        stage = _left.pop()
+        if stage.spark.sparkContext is spark.sparkContext:
+            stage.drop()
+    before = len(Stage.made)
+    out = operator(*args, **kwargs)
+    _left.extend(Stage.made[before:])
+    return out
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _apply(spark, keep_good, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 over five-word shingles, the document with the smallest id stays."""
-    return drop_near_copies(docs, n_words=5, num=4, den=5)
+    return _apply(spark, drop_near_copies, docs, n_words=5, num=4, den=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes or of 51 words or more that repeat anywhere in what is left are cut out of the texts; n_chars follows."""
-    return drop_repeats(docs, n_words=51).withColumn("n_chars", F.length("text").cast("long"))
+    return _apply(spark, drop_repeats, docs, n_words=51).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item's question and answer go."""
-    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _apply(spark, drop_leaks, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, in sequences of at most 2048 tokens."""
-    return pack(docs)
+    return _apply(spark, pack, docs)
 
 
 STAGES = [
