@@ -127,11 +127,11 @@ def signal_products(spark, sf_dir):
     return D.signal_products(sig, kernel, g, F.lit(0.0), 3).withColumn("value", r("value"))
 
 
-@query(f"with {GRID} select s as sim_id, fi, ri, di, round(value * 0.5, 2) as signal, true as whole from grid, (select unnest([0, 1, 2]) as s)")
+@query(f"with {GRID} select s as sim_id, fi, ri, di, round(value * 0.3, 4) as signal, true as whole from grid, (select unnest([0, 1, 2]) as s)")
 def simulated_maps(spark, sf_dir):
-    out = D.simulated_maps(grid(spark, sf_dir), 3, F.lit(25.0), 1e6, F.lit(100.0), 0.5, 7)
+    out = D.simulated_maps(grid(spark, sf_dir), 3, F.lit(25.0), 1e6, F.lit(100.0), 0.3, 7)
     whole = F.abs(F.col("value") - F.col("signal") - F.col("thermal")) < 1e-6
-    return out.select("sim_id", "fi", "ri", "di", r("signal", 2).alias("signal"), whole.alias("whole"))
+    return out.select("sim_id", "fi", "ri", "di", r("signal", 4).alias("signal"), whole.alias("whole"))
 
 
 # Catalogs of files.

@@ -332,14 +332,14 @@ def map_coordinates(spark, sf_dir):
 _SECTIONS = SAMPLES + ", sec as (select l_linenumber as s, fi, ri, di, sum(value * weight) / sum(weight) as value, sum(weight) as weight from samples where l_linenumber <= 3 group by all), flat as (select *, value - sum(weight * value) over w / sum(weight) over w as v from sec window w as (partition by s, fi))"
 
 
-@query(f"with {_SECTIONS}, t as (select fi, ri, di, v as t from flat where s = 1), g as (select s, fi, sum(v * weight * t) / sum(t * weight * t) as gain from flat join t using (fi, ri, di) group by all) select s, fi, ri, di, round(value / gain, 1) as value from flat join g using (s, fi) where gain > 0.02 or gain < -0.02")
+@query(f"with {_SECTIONS}, t as (select fi, ri, di, v as t from flat where s = 1), g as (select s, fi, sum(v * weight * t) / sum(t * weight * t) as gain from flat join t using (fi, ri, di) group by all) select s, fi, ri, di, round(value / gain / 10000, 3) as value from flat join g using (s, fi) where gain > 0.02 or gain < -0.02")
 def section_gains(spark, sf_dir):
     s = samples(spark, sf_dir).where("l_linenumber <= 3").withColumn("s", F.col("l_linenumber"))
     m = maps.weighted_stack(s, ["s", "fi", "ri", "di"])
     flat = maps.subtract_weighted_mean(m, ["s", "fi"])
     gain = maps.template_gain(flat, flat.where("s = 1").select("fi", "ri", "di", "value"), maps.PIXEL, ["s", "fi"])
     out = maps.calibrate_against_first(m, "s", F.lit(1), ["fi"]).join(gain, ["s", "fi"]).where("abs(gain) > 0.02")
-    return out.select("s", "fi", "ri", "di", r("value", 1).alias("value"))
+    return out.select("s", "fi", "ri", "di", r(F.col("value") / 10000, 3).alias("value"))
 
 
 @query(f"with {SAMPLES} select fi, ri, di, round(count(*) / 8.0, 6) as nbar from samples group by all")
