@@ -390,11 +390,11 @@ def cal_asof_join(spark, sf_dir):
 
 @query(f"""with {HOURLY}, c as (select event_type, t, value as y from hourly where value > 60), l as (select event_type, t from hourly),
 a as (select l.*, c.t as x0, c.y as y0 from l asof left join c on l.event_type = c.event_type and l.t >= c.t), b as (select l.*, c.t as x1, c.y as y1 from l asof left join c on l.event_type = c.event_type and l.t <= c.t)
-select a.event_type, a.t, round(case when x0 = x1 then y0 else y0 + (y1 - y0) / nullif(x1 - x0, 0) * (a.t - x0) end, 4) as y from a join b using (event_type, t)""")
+select a.event_type, a.t, round(case when x0 = x1 then y0 else y0 + (y1 - y0) / nullif(x1 - x0, 0) * (a.t - x0) end, 9) as y from a join b using (event_type, t)""")
 def cal_interpolate(spark, sf_dir):
     h = hourly(spark, sf_dir)
     out = lookup.bracket_interpolate(h.select("event_type", "t"), h.where("value > 60").select("event_type", "t", F.col("value").alias("y")), ["event_type"], "t", "y")
-    return out.select("event_type", "t", r("y", 4).alias("y"))
+    return out.select("event_type", "t", r("y", 9).alias("y"))
 
 
 @query("select s.s_suppkey, c.c_custkey from supplier s join customer c on c.c_acctbal between s.s_acctbal - 2 and s.s_acctbal + 2")
@@ -538,7 +538,7 @@ def pair_power_spectra(spark, sf_dir):
 @query()
 def series_power_spectrum(spark, sf_dir):
     rows = ts.time_grid(hourly(spark, sf_dir).withColumn("t_sec", F.col("t") * 3600.0), ["event_type"], 3600.0, 720)
-    return spectra.series_power(rows, ["event_type"], 720, dt=3600.0).select("event_type", "i", r("power", 3).alias("power"))
+    return spectra.series_power(rows, ["event_type"], 720, dt=3600.0).select("event_type", "i", r(F.col("power") / 100000, 3).alias("power"))
 
 
 # Scalars.

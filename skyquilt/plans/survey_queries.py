@@ -477,4 +477,4 @@ select 'A_with_B' as pair, bin, round(avg(power), 3) as power, count(*) as count
 ORACLE["series_power_spectrum"] = f"""with {HOURLY}, first as (select event_type, min(t) as t0 from hourly group by 1), s as (select event_type, t - t0 as i, value from hourly join first using (event_type) where t - t0 < 720), l as (select lag from generate_series(0, 719) as g(lag)),
 c as (select a.event_type, l.lag, sum(a.value * b.value) as v, count(*) as w from s a join s b on a.event_type = b.event_type, l where (b.i - a.i + 720) % 720 = l.lag group by all), m as (select event_type, max(w) as m from c group by 1),
 q as (select c.event_type, lag, v / w as q from c), f as (select i from generate_series(0, 359) as g(i))
-select event_type, cast(f.i as integer) as i, round(sum(q * cos(2 * pi() * lag * f.i / 720)) * 3600, 3) as power from q, f group by all"""
+select event_type, cast(f.i as integer) as i, round(sum(q * cos(2 * pi() * lag * f.i / 720)) * 0.036, 3) as power from q, f group by all"""
