@@ -677,7 +677,9 @@ def over_f_series(spark, sf_dir):
 
 @query()
 def correlated_noise_map(spark, sf_dir):
-    s = samples(spark, sf_dir).select((F.col("fi") % 3).alias("chan"), F.pmod(F.xxhash64("l_suppkey"), F.lit(50)).alias("scan"), F.col("l_orderkey").alias("t"), (F.col("ri") * 11 + F.col("di")).cast("long").alias("p"), (F.col("value") / 1e4).alias("value"), F.lit(1.0).alias("var"))
+    li, ship = table(spark, sf_dir, "lineitem"), F.col("l_shipdate")
+    pixel = (F.floor(F.col("l_quantity") / 5) * 11 + F.rint(F.col("l_discount") * 100)).cast("long")
+    s = li.select(F.col("l_returnflag").alias("chan"), (F.year(ship) * 12 + F.month(ship)).alias("scan"), F.dayofmonth(ship).alias("t"), pixel.alias("p"), (F.col("l_extendedprice") / 1e4).alias("value"), F.lit(1.0).alias("var"))
     dirty, inverse = maps.correlated_map(s, ["chan"])
     return maps.solve_channels(dirty, inverse, ["chan"], 1e-6).select("chan", "p", r("value", 3).alias("value"))
 
