@@ -46,7 +46,7 @@ def pair_covariance(spark, sf_dir):
     return D.pair_covariance(D.prepare_pairs(sections(spark, sf_dir), "tag")).withColumn("cov", r("cov"))
 
 
-@query(f"with {_MEMBERS} select pair, cast(sum(value * 0) + 0 as double) as none, count(*) as cells from members where side = 1 group by pair")
+@query(f"with {_MEMBERS} select pair, 0.0::double as none, count(*) as cells from members where side = 1 group by pair")
 def cleaned_pairs_keep_cells(spark, sf_dir):
     """Cleaned maps for 0 and 2 modes: with none, cells are those of the members; the mean of what all modes leave is nothing."""
     out = D.clean_map_pairs(sections(spark, sf_dir), "tag", 0, 2)
@@ -63,9 +63,7 @@ def cleaned_map_pairs(spark, sf_dir):
 _CUBES = SECTIONS + ", win as (select cast(i as integer) + 1 as fi, 0.42 - 0.5 * cos(2 * pi() * i / 11) + 0.08 * cos(4 * pi() * i / 11) as b from generate_series(0, 11) as g(i)), cube as (select tag, treatment, fi, ri, di, value / treatment as value, weight * b as w from sec join win using (fi), (select unnest([1, 2]) as treatment))"
 
 
-def _totals(pairs: str) -> str:
-    """Parseval: the power of all cells adds up to the number of cells times the sum of products, over the norm."""
-    return f"with {_CUBES}, pairs as ({pairs}) select p.pair, a.treatment, round(1452 * sum(a.value * a.w * b.value * b.w) / (select sum(x.w * y.w) from cube x join cube y using (treatment, fi, ri, di) where x.tag = any_value(p.l) and y.tag = any_value(p.r) and x.treatment = a.treatment), 4) as total from pairs p join cube a on a.tag = p.l join cube b on b.tag = p.r and b.treatment = a.treatment and b.fi = a.fi and b.ri = a.ri and b.di = a.di group by p.pair, a.treatment"
+# Parseval: the power of all cells adds up to the number of cells times the sum of products, over the norm.
 
 
 def _totals_of(spark, sf_dir, pairs):

@@ -407,7 +407,7 @@ def simulation_summary(spark, sf_dir):
     return out.select("sim_id", "bin", r("power", 4).alias("power"))
 
 
-@query(f"with {TRIALS} select bin, round(1000 * power(bin, 3) * 4 * pi() / power(2 * pi(), 3) / 2, 6) * 0 + round(avg(power) * power(bin, 3) / (2 * pi() * pi()), 3) as power from trials where bin > 0 group by bin")
+@query(f"with {TRIALS} select bin, round(avg(power) * power(bin, 3) / (2 * pi() * pi()), 3) as power from trials where bin > 0 group by bin")
 def unitless_power(spark, sf_dir):
     m = trials(spark, sf_dir).where("bin > 0").groupBy("bin").agg(F.avg("power").alias("p"))
     return m.select("bin", r(spectra.unitless(F.col("p"), F.col("bin").cast("double")), 3).alias("power"))
