@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, negatives
 from .decontaminate import op1_benchmark_decontamination
 from .embeddings import op6_cover_tree_links
 from .hmm import op8_hidden_markov_model
 from .jaccard import op7_token_combination_join
 from .licenses import op2_license_scan
+from .negatives import op11_product_quantised_negatives
 from .packing import op9_best_fit_packing
 from .quality import op10_quality_classifier
 from .sharding import op3_hypergeometric_sharding
@@ -27,6 +28,7 @@ QUERIES = {
         op8_hidden_markov_model,
         op9_best_fit_packing,
         op10_quality_classifier,
+        op11_product_quantised_negatives,
     )
 }
-ORACLE: dict[str, str] = {"op2_license_scan": licenses.oracle()}
+ORACLE: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op11_product_quantised_negatives": negatives.oracle()}
