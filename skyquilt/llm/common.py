@@ -10,8 +10,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once; long texts make large batches.
@@ -230,3 +232,41 @@ def _is_forest(edges: DataFrame) -> bool:
     """Whether every node either has links to it only or one link from it."""
     ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select(F.col("b").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("in")))
     return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out = 1 and in = 1)").isEmpty()
+
+
+def number_in_order(stage: Stage, rows: DataFrame, key: str, order: list, name: str) -> DataFrame:
+    """Adds ``pos``, a row's place from 0 among the rows of its ``key`` by ``order``; null keys count as one key.
+
+    Rows are sorted by ranges of (key, order), so a key with many rows is spread over tasks and none holds a group;
+    a task counts as rows pass by. Only the key that a task begins with may have rows in earlier tasks; these
+    counts, at most one row a task, are added afterwards. Rows that are equal in ``order`` are numbered arbitrarily.
+    """
+    schema = rows.schema.add("_part", "integer").add("_at", "long")
+    by = [F.col(key).asc_nulls_first(), *order]
+    parts = int(stage.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, n = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            k = batch.column(batch.schema.get_field_index(key))
+            new = np.zeros(len(k), bool)
+            new[1:] = pc.fill_null(pc.not_equal(k[1:], k[:-1]), False).to_numpy(zero_copy_only=False)
+            null = k.is_null().to_numpy(zero_copy_only=False)
+            new[1:] |= null[1:] != null[:-1]
+            first = k[0].as_py()
+            carried = n if last == (first,) else 0
+            starts = np.flatnonzero(new)
+            at = np.arange(len(k)) - np.concatenate([[-carried], starts])[np.cumsum(new)]
+            last, n = (k[-1].as_py(),), int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(k), part), pa.int32()), pa.array(at, pa.int64())], names=[*batch.schema.names, "_part", "_at"])
+
+    local = stage.write(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(count, schema), name)
+    # Each task's last row of its first key tells how many rows of it the task has.
+    begins = local.groupBy("_part").agg(F.min(F.struct(F.col(key).isNotNull().alias("n"), F.col(key).alias("k"))).alias("f")).select("_part", F.col("f.k").alias("_k"))
+    straddling = F.broadcast(begins.select("_k").distinct())
+    counts = local.join(straddling, F.col(key).eqNullSafe(F.col("_k"))).groupBy("_part", "_k").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_k").orderBy("_part")) - F.col("_n")).where("_before > 0").select(F.col("_part").alias("_p"), "_k", "_before")
+    out = local.join(F.broadcast(before), (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+    return out.select(*rows.columns, (F.col("_at") + F.coalesce("_before", F.lit(0))).alias("pos"))

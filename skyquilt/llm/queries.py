@@ -8,6 +8,7 @@ from .embeddings import op6_cover_tree_links
 from .hmm import op8_hidden_markov_model
 from .jaccard import op7_token_combination_join
 from .licenses import op2_license_scan
+from .mixing import op12_entropy_balancing
 from .negatives import op11_product_quantised_negatives
 from .packing import op9_best_fit_packing
 from .quality import op10_quality_classifier
@@ -29,6 +30,7 @@ QUERIES = {
         op9_best_fit_packing,
         op10_quality_classifier,
         op11_product_quantised_negatives,
+        op12_entropy_balancing,
     )
 }
 ORACLE: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op11_product_quantised_negatives": negatives.oracle()}
