@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import licenses, negatives
+from . import conversations, licenses, negatives
+from .conversations import op13_conversation_trie
 from .decontaminate import op1_benchmark_decontamination
 from .embeddings import op6_cover_tree_links
 from .hmm import op8_hidden_markov_model
@@ -31,6 +32,7 @@ QUERIES = {
         op10_quality_classifier,
         op11_product_quantised_negatives,
         op12_entropy_balancing,
+        op13_conversation_trie,
     )
 }
-ORACLE: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op11_product_quantised_negatives": negatives.oracle()}
+ORACLE: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op11_product_quantised_negatives": negatives.oracle(), "op13_conversation_trie": conversations.oracle()}
