@@ -160,8 +160,8 @@ def scan_noise(model: NoiseModel, t: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out
 
 
-def weigh_scan(model: NoiseModel, t: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """N^-1 d and the diagonal of N^-1 of a scan without forming N: the matrix inversion lemma over all modes."""
+def scan_core(model: NoiseModel, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Time modes (mode, t), frequency modes (mode, chan) and the matrix S^-1 + U' W U that joins all their amplitudes: those of every channel's time modes, then those of every frequency mode's times."""
     n_chan, n = w.shape
     u, var = model.time_basis(t)
     cov = model.covariances(t, n_chan)
@@ -181,15 +181,30 @@ def weigh_scan(model: NoiseModel, t: np.ndarray, w: np.ndarray, d: np.ndarray) -
         cross = np.einsum("ct,kt,c->ckt", w, u, f[a]).reshape(n_chan * k, n)
         core[:base, base + a * n : base + (a + 1) * n] = cross
         core[base + a * n : base + (a + 1) * n, :base] = cross.T
-    wd = w * d
-    right = np.concatenate([(wd @ u.T).ravel(), *[(wd * v[:, None]).sum(0) for v in f]]) if side else np.zeros(0)
-    inverse = np.linalg.inv(core) if side else core
+    return u, f, core
+
+
+def weighed(u: np.ndarray, f: np.ndarray, inverse: np.ndarray, w: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """N^-1 d from the modes and the inverse of ``scan_core``."""
+    n_chan, n = w.shape
+    k, base, wd = len(u), n_chan * len(u), w * d
+    right = np.concatenate([(wd @ u.T).ravel(), *[(wd * v[:, None]).sum(0) for v in f]])
     x = inverse @ right
-    fit = (x[:base].reshape(n_chan, k) @ u if k else 0) + sum(f[a][:, None] * x[base + a * n : base + (a + 1) * n] for a in range(j))
+    fit = (x[:base].reshape(n_chan, k) @ u if k else 0) + sum(f[a][:, None] * x[base + a * n : base + (a + 1) * n] for a in range(len(f)))
+    return wd - w * fit
+
+
+def weigh_scan(model: NoiseModel, t: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """N^-1 d and the diagonal of N^-1 of a scan without forming N: the matrix inversion lemma over all modes."""
+    n_chan, n = w.shape
+    u, f, core = scan_core(model, t, w)
+    k, j = len(u), len(f)
+    base = n_chan * k
+    inverse = np.linalg.inv(core) if len(core) else core
     diagonal = w.copy()
     for c in range(n_chan):
         # Row (c, t) of U has k time modes and one entry of each frequency mode.
-        cols = np.concatenate([np.arange(c * k, (c + 1) * k)])
+        cols = np.arange(c * k, (c + 1) * k)
         own = inverse[np.ix_(cols, cols)]
         quad = np.einsum("kt,kl,lt->t", u, own, u) if k else np.zeros(n)
         for a in range(j):
@@ -198,7 +213,7 @@ def weigh_scan(model: NoiseModel, t: np.ndarray, w: np.ndarray, d: np.ndarray) -
             for b in range(j):
                 quad = quad + f[a][c] * f[b][c] * inverse[at, base + b * n + np.arange(n)]
         diagonal[c] -= w[c] ** 2 * quad
-    return wd - w * fit, diagonal
+    return weighed(u, f, inverse, w, d), diagonal
 
 
 def weight_stream(samples: DataFrame, keys: list[str], model: NoiseModel, n_chan: int) -> DataFrame:
