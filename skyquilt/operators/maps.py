@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import math
 
 import numpy as np
@@ -250,6 +252,29 @@ def selection_by_simulation(catalog: DataFrame, draws: int, edges: tuple[float,
     return drawn.withColumn("bin", at).where((F.col("bin") >= 0) & (F.col("bin") < n)).groupBy("ri", "di", "bin").agg((F.count("*") / draws).alias("nbar"))
 
 
+def settled_selection(stage: Callable[[DataFrame], DataFrame], catalog: DataFrame, edges: tuple[float, float, int], sigma: Column, seed: int, *, bound: float, per_round: int = 20, least: float = 5.0, most_rounds: int = 200) -> tuple[DataFrame, int]:
+    """Selection (ri, di, bin, nbar, a, b, draws) from as many draws as it takes, and their number.
+
+    Objects are scattered ``per_round`` times a round, and counts are added to those of earlier rounds. Even and odd
+    draws are two halves with counts a and b; rounds end when these differ by no more than ``bound`` of their sum
+    in every cell that has ``least`` objects or more in the mean. Draws depend on the object, the draw and the seed.
+    """
+    from .generators import normal
+
+    low, high, n = edges
+    cells, total, draws = ["ri", "di", "bin"], None, 0
+    for _ in range(most_rounds):
+        drawn = catalog.withColumn("k", F.explode(F.sequence(F.lit(draws + 1), F.lit(draws + per_round)))).withColumn("_z", F.col("z") + sigma * normal(seed, "object_id", "k"))
+        at = drawn.withColumn("bin", F.floor((F.col("_z") - low) / (high - low) * n).cast("int")).where((F.col("bin") >= 0) & (F.col("bin") < n))
+        new = at.groupBy(*cells).agg(F.count(F.when(F.col("k") % 2 == 0, 1)).alias("a"), F.count(F.when(F.col("k") % 2 == 1, 1)).alias("b"))
+        total = stage(new if total is None else total.unionByName(new).groupBy(*cells).agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+        draws += per_round
+        filled = total.where((F.col("a") + F.col("b")) >= least * draws)
+        if filled.where(F.abs(F.col("a") - F.col("b")) > bound * (F.col("a") + F.col("b"))).isEmpty():
+            return total.select(*cells, ((F.col("a") + F.col("b")) / draws).alias("nbar"), "a", "b", F.lit(draws).alias("draws")), draws
+    raise RuntimeError("the selection did not settle")
+
+
 def glue(parts: DataFrame, band: str, lowest_first: bool = True) -> DataFrame:
     """Maps of neighbouring bands as one: channels are numbered through, band after band in order of their frequency."""
     order = F.asc("freq") if lowest_first else F.desc("freq")
