@@ -122,7 +122,7 @@ def inverse_diagonal(factor: DataFrame, n: int, side: int, stage: Callable[[Data
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def next_tile(d: pd.Series, s: pd.Series, same: pd.Series) -> pd.Series:
         eye = np.eye(side)
-        return pd.Series([np.linalg.solve(_square(a), (eye if e else 0) - (0 if b is None else _square(b))).ravel() for a, b, e in zip(d, s, same)])
+        return pd.Series([np.linalg.solve(_square(a), (eye if e else 0 * eye) - (0 if b is None else _square(b))).ravel() for a, b, e in zip(d, s, same)])
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def product(a: pd.Series, b: pd.Series) -> pd.Series:
