@@ -756,4 +756,4 @@ def mueller_correction(spark, sf_dir):
 
 
 # Further queries register themselves here.
-from . import array_queries, chain_queries, extra_queries, joint_queries, model_queries, survey_queries  # noqa: E402, F401
+from . import array_queries, chain_queries, extra_queries, joint_queries, model_queries, survey_queries, telescope_queries  # noqa: E402, F401
