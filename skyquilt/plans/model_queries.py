@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from skyquilt.functions.special import patterson
-from skyquilt.operators import maps, mixing, nonlinear
+from skyquilt.operators import maps, mixing, noise_fit, nonlinear, spectra
 from skyquilt.sources import fits as files
 
-from .catalog import query, r, table
+from .catalog import HOURLY, hourly, query, r, table
 
 # Receivers: exact data give back the parameters that they were made of, and SQL makes the data.
 
@@ -149,3 +149,35 @@ def selection_until_settled(spark, sf_dir):
     near = F.abs(F.coalesce("nbar", F.lit(0.0)) - F.col("expected")) <= 6 * F.sqrt(F.col("expected") / 20) + 1e-3
     agree = F.coalesce(F.abs(F.col("a") - F.col("b")) <= 0.05 * (F.col("a") + F.col("b")), F.lit(True)) | (F.col("nbar") < 5)
     return out.select("ri", F.col("bin").cast("int").alias("bin"), r("expected", 3).alias("expected"), near.alias("near"), agree.alias("halves_agree"))
+
+
+# Spectra of masked series, and fits through the mask's window.
+
+_SLOTS = HOURLY + ", s as (select event_type, t - min(t) over (partition by event_type) as slot, value / 100 as value from hourly)"
+
+
+def slots(spark, sf_dir):
+    h = hourly(spark, sf_dir)
+    slot = (F.col("t") - F.min("t").over(Window.partitionBy("event_type"))).cast("int")
+    return h.select("event_type", slot.alias("slot"), (F.col("value") / 100).alias("value"), F.lit(1.0).alias("mask"))
+
+
+@query(f"""with {_SLOTS}, p as (select event_type, cast(i as integer) as i, sum(value * cos(2 * pi() * i * slot / 720)) as re, sum(value * sin(2 * pi() * i * slot / 720)) as im, sum(cos(2 * pi() * i * slot / 720)) as wr, sum(sin(2 * pi() * i * slot / 720)) as wi from s, generate_series(0, 719) as g(i) where slot < 720 group by all)
+select event_type, i, round((re * re + im * im) / 360, 5) as power, round((wr * wr + wi * wi) / (720 * 720), 7) as window from p""")
+def masked_window_power(spark, sf_dir):
+    p = noise_fit.window_power(slots(spark, sf_dir).where("slot < 720"), ["event_type"], 720, 1.0)
+    return p.select("event_type", "i", r("power", 5).alias("power"), r("window", 7).alias("window"))
+
+
+@query("select distinct event_type, round(0.02 + length(event_type) / 100.0, 6) as amplitude, round(-0.8 - length(event_type) / 20.0, 4) as index, round(0.5::double, 4) as thermal from events")
+def windowed_over_f_fit(spark, sf_dir):
+    """Planted 1/f spectra seen through the windows of the hours that have events, by sums over lags, give the parameters back."""
+    stage = files.stager(spark, "over-f")
+    w = stage(noise_fit.window_power(slots(spark, sf_dir).where("slot < 720"), ["event_type"], 720, 1.0))
+    size = F.length("event_type")
+    f = F.greatest(F.abs(F.col("freq")), F.lit(1 / 720))
+    planted = (0.02 + size / 100) * F.pow(f / 0.01, -0.8 - size / 20) + 0.5
+    seen = spectra.lag_product(w.select("event_type", "i", planted.alias("power")), w.select("event_type", "i", F.col("window").alias("power")), ["event_type"], 720)
+    both = w.select("event_type", "i", "window").join(seen.select("event_type", "i", (F.col("power") * 720).alias("power")), ["event_type", "i"])
+    out = noise_fit.fit_windows(both, ["event_type"], 1.0, 0.01)
+    return out.select("event_type", r("amplitude").alias("amplitude"), r("index", 4).alias("index"), r("thermal", 4).alias("thermal"))
