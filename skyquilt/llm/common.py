@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -43,18 +45,31 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def stages_made() -> Iterator[list[Stage]]:
+    """Collects the stages that this thread makes in the block; those of other threads and callers are not seen."""
+    made: list[Stage] = []
+    _scopes.open = [*getattr(_scopes, "open", []), made]
+    try:
+        yield made
+    finally:
+        _scopes.open = [held for held in _scopes.open if held is not made]
+
+
 class Stage:
     """Tables written to the shared folder, so that a lost executor costs no recomputation and lineage stays short.
 
-    What an operator returns still reads its tables, so they stay; ``made`` lists the stages for a caller that
-    has written the result elsewhere and can drop them.
+    What an operator returns still reads its tables, so they stay, until a caller that collects the stages made
+    meanwhile (``stages_made``) and has written the result elsewhere drops them.
     """
 
-    made: list[Stage] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
-        Stage.made.append(self)
+        for held in getattr(_scopes, "open", []):
+            held.append(self)
         self.writes = 0
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -25,6 +25,8 @@ MOST_VARIANTS, NARROW = 16_384, (64, 8, 1)
 PARTITIONS = 32_768
 #: Words of an anchor of a run of words, and words hashed together.
 WORD_ANCHOR, CHUNK_WORDS = 16, 1 << 20
+#: A run of words is hot when it has more than one in so many of all starts; so there are fewer hot runs than that.
+MOST_HOT_RUNS = 1000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SEPARATOR = 0xF9  # never occurs in UTF-8
 _PLACE = np.uint64((1 << 24) - 1)
@@ -468,8 +470,13 @@ def repeated_word_runs(docs: DataFrame, stage: Stage, n_words: int) -> DataFrame
 
     texts = docs.select(*_text_keys("text"), "text").join(by_text, ["t1", "t2"])
     starts = stage.write(texts.mapInArrow(run, "t1 long, t2 long, place long, begin long, end long, k1 long, k2 long"), "word-runs")
-    repeated = starts.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2")
-    hits = starts.join(repeated, ["k1", "k2"]).select("t1", "t2", "place", "begin", "end").distinct()
+    counts = stage.write(starts.groupBy("k1", "k2").count().where("count > 1"), "word-counts")
+    # Runs with more than a share of all starts are few, whatever the corpus: they go to all tasks, and their starts stay where they are.
+    share = max(MOST_HOT_RUNS, starts.count() // MOST_HOT_RUNS)
+    hot = F.broadcast(counts.where(F.col("count") > share).select("k1", "k2"))
+    rest = starts.join(hot, ["k1", "k2"], "left_anti").join(counts.where(F.col("count") <= share).select("k1", "k2"), ["k1", "k2"])
+    places = ["t1", "t2", "place", "begin", "end"]
+    hits = starts.join(hot, ["k1", "k2"], "left_semi").select(*places).unionByName(rest.select(*places)).distinct()
     # Neighbouring starts make one range.
     order = F.row_number().over(Window.partitionBy("t1", "t2").orderBy("place"))
     return hits.withColumn("island", F.col("place") - order).groupBy("t1", "t2", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")

@@ -146,3 +146,42 @@ def test_word_table_follows_the_counts(spark):
         cut = hmm._least_count(df, most)
         n = df.where(F.col("c") >= cut).count()
         assert n <= most and (most < 73 or n == 73)
+
+
+def test_stages_of_other_threads_are_not_collected(spark):
+    import threading
+
+    other = []
+    with common.stages_made() as outer:
+        first = common.Stage(spark, "a")
+        with common.stages_made() as inner:
+            second = common.Stage(spark, "b")
+            t = threading.Thread(target=lambda: other.append(common.Stage(spark, "c")))
+            t.start()
+            t.join()
+        third = common.Stage(spark, "d")
+    common.Stage(spark, "e")
+    assert outer == [first, second, third] and inner == [second] and len(other) == 1
+
+
+def test_two_pipelines_leave_each_others_tables_alone(spark):
+    import corpus_pipeline as P
+
+    docs = read(spark, "documents")
+    stage = common.Stage(spark, "two")
+    a = stage.write(P.quality(spark, docs, SF), "a")
+    lazy = P.near_copies(spark, a, SF)
+    b = P.quality(spark, docs, SF)  # a second pipeline begins before the first one's result is read
+    assert lazy.count() > 0 and b.count() == a.count()
+
+
+def test_hot_word_runs_are_found_like_others(spark, monkeypatch):
+    from skyquilt.llm import suffixes
+
+    rng = random.Random(3)
+    passage = " ".join(f"w{rng.randrange(1000)}" for _ in range(40))
+    rows = [(i, f"own{i} " + passage + f" end{i}") for i in range(40)] + [(100 + i, f"a{i % 2} " + " ".join(f"b{k}" for k in range(25)) + f" l{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, suffixes.repeated_word_runs(df, common.Stage(spark, "w"), 20).collect()))
+    monkeypatch.setattr(suffixes, "MOST_HOT_RUNS", 5)
+    assert sorted(map(tuple, suffixes.repeated_word_runs(df, common.Stage(spark, "w"), 20).collect())) == want and len(want) >= 42
