@@ -297,13 +297,6 @@ def fold_on_cal(rows: DataFrame, keys: Keys, period: int, t: str = "t") -> DataF
     return profile.withColumn("state", F.when(z > 0.8, "on").when(z < -0.7, "off").otherwise("blank"))
 
 
-def separate_cal(rows: DataFrame, phases: DataFrame, keys: Keys, period: int, t: str = "t") -> DataFrame:
-    """Means over the on and off phases of every period."""
-    at = rows.withColumn("phase", F.pmod(F.col(t), F.lit(period))).withColumn("cycle", F.floor(F.col(t) / period))
-    states = phases.where("state <> 'blank'").select(*keys, "phase", "state")
-    return at.join(states, [*keys, "phase"]).groupBy(*keys, "cycle").agg(F.avg(F.when(F.col("state") == "on", F.col("value"))).alias("on"), F.avg(F.when(F.col("state") == "off", F.col("value"))).alias("off"))
-
-
 def sessions(rows: DataFrame, keys: Keys, gap: float, t: str = "t_sec") -> DataFrame:
     """Numbers blocks that follow each other within ``gap``."""
     w = Window.partitionBy(*keys).orderBy(t)
@@ -334,9 +327,10 @@ def unrotate_polarisation(rows: DataFrame, keys: Keys) -> DataFrame:
 
 
 def separate_cal(rows: DataFrame, keys: Keys, period: int, states: DataFrame, t: str = "t") -> DataFrame:
-    """Means of the noise source's on and off bins in every period: (keys, period number, state, value). ``states`` gives the state of a phase."""
-    at = rows.withColumn("phase", (F.col(t) % period).cast("long")).withColumn("n", F.floor(F.col(t) / period).cast("long"))
-    return at.join(F.broadcast(states.select(F.col("phase").cast("long").alias("phase"), "state")), "phase").where("state <> 'blank'").groupBy(*keys, "n", "state").agg(F.avg("value").alias("value"))
+    """Means of the noise source's on and off bins in every period: (keys, n, state, value). ``states`` (keys, phase, state) are those of ``fold_on_cal``."""
+    at = rows.withColumn("phase", F.pmod(F.col(t), F.lit(period))).withColumn("n", F.floor(F.col(t) / period).cast("long"))
+    known = states.where("state <> 'blank'").select(*keys, "phase", "state")
+    return at.join(known, [*keys, "phase"]).groupBy(*keys, "n", "state").agg(F.avg("value").alias("value"))
 
 
 def scale_by_cal_spectrum(rows: DataFrame, keys: Keys, scan: Keys) -> DataFrame:

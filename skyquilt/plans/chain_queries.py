@@ -11,13 +11,13 @@ from skyquilt.sources import fits as files
 from . import drivers as D
 from .catalog import GRID, HOURLY, SAMPLES, SPEC, grid, hourly, query, r, samples, spectra_rows, table
 
-# Pairs of map sections: line numbers 1 to 3.
+# Pairs of map sections: all lines, dealt to three sections by their number.
 
-SECTIONS = SAMPLES + ", sec as (select 'S' || l_linenumber as tag, fi, ri, di, sum(value / 10000 * weight) / sum(weight) as value, sum(weight) as weight from samples where l_linenumber <= 3 and di < 11 group by all)"
+SECTIONS = SAMPLES + ", sec as (select 'S' || (l_linenumber % 3 + 1) as tag, fi, ri, di, sum(value / 10000 * weight) / sum(weight) as value, sum(weight) as weight from samples group by all)"
 
 
 def sections(spark, sf_dir):
-    s = samples(spark, sf_dir).where("l_linenumber <= 3 and di < 11").withColumn("tag", F.concat(F.lit("S"), "l_linenumber")).withColumn("value", F.col("value") / 10000)
+    s = samples(spark, sf_dir).withColumn("tag", F.concat(F.lit("S"), (F.col("l_linenumber") % 3 + 1).cast("string"))).withColumn("value", F.col("value") / 10000)
     return maps.weighted_stack(s, ["tag", *maps.PIXEL])
 
 
@@ -55,6 +55,39 @@ def cleaned_pairs_keep_cells(spark, sf_dir):
     return none.groupBy("pair").agg(r(F.max(F.abs(F.col("value") - F.col("v"))), 9).alias("none"), F.count("*").alias("cells"))
 
 
+@query(f"with {_MEMBERS}, n as (select pair, side, ri, di, count(*) = (select count(distinct fi) from members) as whole from members group by all) select pair, side, whole, count(*) as cells, round(sum(value * value) filter (whole), 5) as power, case when whole then 0.0::double end as along_modes from members join n using (pair, side, ri, di) group by all")
+def cleaned_pairs_power(spark, sf_dir):
+    """In pixels with all frequencies what three modes take out and what they leave add up to the members' power, and nothing is left along a removed mode."""
+    m = D.prepare_pairs(sections(spark, sf_dir), "tag")
+    found = D.pair_modes(D.pair_covariance(m), 3).select("pair", "side", "mode", "fi", "v")
+    left = D.clean_map_pairs(sections(spark, sf_dir), "tag", 3, 3)
+    pixel, half = ["pair", "side", "ri", "di"], ["pair", "side", "whole"]
+    number = m.agg(F.count_distinct("fi").alias("all"))
+    whole = m.groupBy(*pixel).agg(F.count("*").alias("c")).crossJoin(F.broadcast(number)).select(*pixel, (F.col("c") == F.col("all")).alias("whole"))
+    along = lambda cells: cells.join(found, ["pair", "side", "fi"]).groupBy(*pixel, "mode").agg(F.sum(F.col("value") * F.col("v")).alias("a")).join(whole, pixel)
+    taken = along(m).groupBy(*half).agg(F.sum(F.col("a") ** 2).alias("taken"))
+    rest = along(left).groupBy(*half).agg(r(F.max(F.abs("a")), 7).alias("along_modes"))
+    own = left.join(whole, pixel).groupBy(*half).agg(F.count("*").alias("cells"), F.sum(F.col("value") ** 2).alias("left"))
+    out = own.join(taken, half).join(rest, half)
+    return out.select(*half, "cells", F.when(F.col("whole"), r(F.col("left") + F.col("taken"), 5)).alias("power"), F.when(F.col("whole"), F.col("along_modes")).alias("along_modes"))
+
+
+@query(f"with {_MEMBERS}, c as (select a.pair, a.fi as f1, b.fi as f2, sum(a.weight * a.value * b.weight * b.value) / sum(a.weight * b.weight) as cov from members a join members b on a.pair = b.pair and a.side = 1 and b.side = 2 and a.ri = b.ri and a.di = b.di group by all) select pair, round(sum(cov * cov), 6) as power, 0.0::double as residual, 0.0::double as skew from c group by pair")
+def pair_mode_equations(spark, sf_dir):
+    """Left and right modes of every pair's covariance: C v = s u for all of them, squares of s add up to those of C, and modes of a side are orthonormal."""
+    c = D.pair_covariance(D.prepare_pairs(sections(spark, sf_dir), "tag"))
+    found = D.pair_modes(c, 64)
+    left = found.where("side = 1").select("pair", "mode", "value", F.col("fi").alias("f1"), F.col("v").alias("u"))
+    right = found.where("side = 2").select("pair", "mode", F.col("fi").alias("f2"), "v")
+    cv = c.join(right, ["pair", "f2"]).groupBy("pair", "mode", "f1").agg(F.sum(F.col("cov") * F.col("v")).alias("cv"))
+    residual = cv.join(left, ["pair", "mode", "f1"]).groupBy("pair").agg(r(F.max(F.abs(F.col("cv") - F.col("value") * F.col("u"))), 9).alias("residual"))
+    power = left.select("pair", "mode", "value").distinct().groupBy("pair").agg(r(F.sum(F.col("value") ** 2)).alias("power"))
+    other = found.select("pair", "side", "fi", F.col("mode").alias("other"), F.col("v").alias("w"))
+    product = found.join(other, ["pair", "side", "fi"]).groupBy("pair", "side", "mode", "other").agg(F.sum(F.col("v") * F.col("w")).alias("p"))
+    skew = product.groupBy("pair").agg(r(F.max(F.abs(F.col("p") - F.when(F.col("mode") == F.col("other"), 1.0).otherwise(0.0))), 9).alias("skew"))
+    return power.join(residual, "pair").join(skew, "pair")
+
+
 @query()
 def cleaned_map_pairs(spark, sf_dir):
     return D.combine_cleaned(D.clean_map_pairs(sections(spark, sf_dir), "tag", 1, 3))
@@ -90,9 +123,9 @@ def cross_power_totals(spark, sf_dir):
     return _totals_of(spark, sf_dir, lambda c: D.cross_pairs(c, "tag", "S1"))
 
 
-@query(f"with {SPEC}, f as (select scan, chan, i as f, sum(value * cos(t * i * (2 * pi() / 500))) as re, sum(-value * sin(t * i * (2 * pi() / 500))) as im from spec, generate_series(1, 3) as g(i) group by all), m as (select scan, a.chan, b.chan as chan2, avg((a.re * b.re + a.im * b.im) / 500) as cov from f a join f b using (scan, f) where a.chan < 8 and b.chan < 8 group by all) select chan, chan2, round(avg(cov), 6) as cov from m group by all")
+@query(f"with {SPEC}, f as (select scan, chan, i as f, sum(value * cos(t * i * (2 * pi() / 500))) as re, sum(-value * sin(t * i * (2 * pi() / 500))) as im from spec, generate_series(1, 3) as g(i) group by all), m as (select scan, a.chan, b.chan as chan2, avg((a.re * b.re + a.im * b.im) / 500) as cov from f a join f b using (scan, f) group by all) select chan, chan2, round(avg(cov), 6) as cov from m group by all")
 def power_matrices_by_scan(spark, sf_dir):
-    m = D.power_matrices(spectra_rows(spark, sf_dir).where("chan < 8"), [], 500, 3, "scan")
+    m = D.power_matrices(spectra_rows(spark, sf_dir), [], 500, 3, "scan")
     return m.select(F.col("chan").cast("long").alias("chan"), F.col("chan2").cast("long").alias("chan2"), r("cov").alias("cov"))
 
 
@@ -333,6 +366,18 @@ def tree_round_trip(spark, sf_dir):
     return back.select("tree_path", r(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
+@query("select n_name as entry, count(*) as n from nation group by all")
+def history_round_trip(spark, sf_dir):
+    """Histories written into the headers of tables; every entry comes back once, in whichever files it stands."""
+    files.register(spark)
+    path = files.shared_folder(spark, "history")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("SCAN"), F.array(F.col("n_name")).alias("history"))
+    n.write.format("sdfits").mode("overwrite").option("path", path).save()
+    back = spark.read.format("sdfits").schema("file string, SCAN int, history array<string>").load(path)
+    heads = back.groupBy("file").agg(F.first("history").alias("history"))
+    return heads.select(F.explode("history").alias("entry")).groupBy("entry").agg(F.count("*").alias("n"))
+
+
 # Solves whose answer is known: a matrix with 4 on the diagonal and -1 beside it, times a known vector.
 
 
@@ -391,10 +436,10 @@ def condition_numbers(spark, sf_dir):
 @query()
 def joint_noise_weights(spark, sf_dir):
     """Streams over thermal noise, mean and slope of each channel, and a shared 1/f mode."""
-    s = spectra_rows(spark, sf_dir).where("chan < 4").withColumnRenamed("scan", "label").withColumn("scan", F.floor(F.col("t") / 25).cast("int"))
+    s = spectra_rows(spark, sf_dir).withColumnRenamed("scan", "label").withColumn("scan", F.floor(F.col("t") / 25).cast("int"))
     s = s.select("scan", "chan", F.col("t").cast("long").alias("t"), (F.col("t") % 9).cast("long").alias("p"), "value", F.lit(0.5).alias("var"))
-    model = noise_model.NoiseModel(dt=1.0, time_modes=2, frequency_modes=[([1.0, 0.5, 0.25, 0.1], (0.3, -1.0, 0.1))])
-    return noise_model.make_map(noise_model.weight_stream(s, [], model, 4), [])
+    model = noise_model.NoiseModel(dt=1.0, time_modes=2, frequency_modes=[([1 / (1 + c) for c in range(64)], (0.3, -1.0, 0.1))])
+    return noise_model.make_map(noise_model.weight_stream(s, [], model, 64), [])
 
 
 @query(f"with {GRID}, e as (select 0.047 as lo) select cast(floor(ln(weight / lo) / ln(2) + 1e-9) as integer) as bin, count(*) as n from grid, e where weight >= lo and weight < lo * 64 group by all")

@@ -93,8 +93,9 @@ def clean_map_pairs(sections: DataFrame, tag: str, first: int, last: int, extern
     if external is None:
         return clean_pairs(members, pair_modes(pair_covariance(members), last), first, last)
     shift = members.agg((F.max("fi") + 1).alias("_n"))
-    more = members.select("pair", "side").distinct().crossJoin(F.broadcast(shift)).join(external.withColumn("_k", F.lit(1)), F.lit(True))
-    more = more.select("pair", "side", (F.col("fi") + F.col("_n")).cast("int").alias("fi"), "ri", "di", "value", "weight")
+    # The few pairs and sides are one list, which every external cell is spread over.
+    sides = members.groupBy("pair", "side").agg(F.max("fi").alias("m")).agg((F.max("m") + 1).alias("_n"), F.collect_list(F.struct("pair", "side")).alias("_sides"))
+    more = external.crossJoin(F.broadcast(sides)).select(F.explode("_sides").alias("s"), (F.col("fi") + F.col("_n")).cast("int").alias("fi"), "ri", "di", "value", "weight").select("s.*", "fi", "ri", "di", "value", "weight")
     own = members.select("pair", "side", *PIXEL, "value", "weight")
     both = own.unionByName(more)
     out = clean_pairs(both, pair_modes(pair_covariance(both), last), first, last)

@@ -131,11 +131,11 @@ def chained_steps(spark, sf_dir):
     return out.select("scan", "t", F.col("chan").cast("long").alias("chan"), r("value").alias("value"))
 
 
-_SIMS = SAMPLES + ", sec as (select l_suppkey % 3 as sim_id, 'S' || l_linenumber as tag, fi, ri, di, sum(value / 10000 * weight) / sum(weight) as value, sum(weight) as weight from samples where l_linenumber <= 2 and di < 11 group by all), win as (select cast(i as integer) + 1 as fi, 0.42 - 0.5 * cos(2 * pi() * i / 11) + 0.08 * cos(4 * pi() * i / 11) as b from generate_series(0, 11) as g(i)), cube as (select sim_id, tag, fi, ri, di, value, weight * b as w from sec join win using (fi))"
+_SIMS = SAMPLES + ", sec as (select l_suppkey % 3 as sim_id, 'S' || (l_linenumber % 2 + 1) as tag, fi, ri, di, sum(value / 10000 * weight) / sum(weight) as value, sum(weight) as weight from samples group by all), win as (select cast(i as integer) + 1 as fi, 0.42 - 0.5 * cos(2 * pi() * i / 11) + 0.08 * cos(4 * pi() * i / 11) as b from generate_series(0, 11) as g(i)), cube as (select sim_id, tag, fi, ri, di, value, weight * b as w from sec join win using (fi))"
 
 
 def _simulations(spark, sf_dir):
-    s = samples(spark, sf_dir).where("l_linenumber <= 2 and di < 11").withColumn("tag", F.concat(F.lit("S"), "l_linenumber")).withColumn("sim_id", F.col("l_suppkey") % 3).withColumn("value", F.col("value") / 10000)
+    s = samples(spark, sf_dir).withColumn("tag", F.concat(F.lit("S"), (F.col("l_linenumber") % 2 + 1).cast("string"))).withColumn("sim_id", F.col("l_suppkey") % 3).withColumn("value", F.col("value") / 10000)
     return maps.weighted_stack(s, ["sim_id", "tag", *maps.PIXEL]).withColumn("fi", F.col("fi") - 1)
 
 
@@ -159,12 +159,12 @@ def simulated_cross_power_totals(spark, sf_dir):
     return _simulated(spark, sf_dir, lambda c: D.cross_pairs(c, "tag", "S2"))
 
 
-@query(f"with {SPEC}, s as (select scan, chan, t, value, 0.5 as var from spec where chan < 4), d as (select chan, t % 9 as p, sum(value / var) as dirty, sum(1 / var) + 1e-4 as noise_inv from s group by all) select chan, p, round(dirty, 5) as dirty, round(noise_inv, 6) as noise_inv from d")
+@query(f"with {SPEC}, s as (select scan, chan, t, value, 0.5 as var from spec), d as (select chan, t % 9 as p, sum(value / var) as dirty, sum(1 / var) + 1e-4 as noise_inv from s group by all) select chan, p, round(dirty, 5) as dirty, round(noise_inv, 6) as noise_inv from d")
 def thermal_noise_map(spark, sf_dir):
     """The joint noise model without any mode is plain weighting."""
-    s = spectra_rows(spark, sf_dir).where("chan < 4")
+    s = spectra_rows(spark, sf_dir)
     s = s.select("scan", "chan", F.col("t").cast("long").alias("t"), (F.col("t") % 9).cast("long").alias("p"), "value", F.lit(0.5).alias("var"))
-    out = noise_model.make_map(noise_model.weight_stream(s, [], noise_model.NoiseModel(time_modes=0), 4), [])
+    out = noise_model.make_map(noise_model.weight_stream(s, [], noise_model.NoiseModel(time_modes=0), 64), [])
     return out.select(F.col("chan").cast("long").alias("chan"), "p", r("dirty", 5).alias("dirty"), r("noise_inv").alias("noise_inv"))
 
 

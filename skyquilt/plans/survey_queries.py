@@ -247,11 +247,10 @@ def unrotate_polarisation(spark, sf_dir):
     return ts.unrotate_polarisation(iq, ["t", "cal", "chan"]).withColumn("value", r("value"))
 
 
-@query(f"with {STREAM}, p as (select pol, t % 24 as phase, avg(value) as v from stream group by all), s as (select pol, phase, case when (v - avg(v) over w) / stddev_pop(v) over w > 0.8 then 'on' when (v - avg(v) over w) / stddev_pop(v) over w < -0.7 then 'off' else 'blank' end as state from p window w as (partition by pol)) select pol, t // 24 as n, state, round(avg(value), 6) as value from stream join s using (pol) where s.phase = t % 24 and pol = 'XX' and state <> 'blank' group by all")
+@query(f"with {STREAM}, p as (select pol, t % 24 as phase, avg(value) as v from stream group by all), s as (select pol, phase, case when (v - avg(v) over w) / stddev_pop(v) over w > 0.8 then 'on' when (v - avg(v) over w) / stddev_pop(v) over w < -0.7 then 'off' else 'blank' end as state from p window w as (partition by pol)) select pol, t // 24 as n, state, round(avg(value), 6) as value from stream join s using (pol) where s.phase = t % 24 and state <> 'blank' group by all")
 def separate_cal(spark, sf_dir):
-    rows = stream_rows(spark, sf_dir).where("pol = 'XX'")
-    states = ts.fold_on_cal(rows, ["pol"], 24).select("phase", "state")
-    return ts.separate_cal(rows, ["pol"], 24, states).withColumn("value", r("value"))
+    rows = stream_rows(spark, sf_dir)
+    return ts.separate_cal(rows, ["pol"], 24, ts.fold_on_cal(rows, ["pol"], 24)).withColumn("value", r("value"))
 
 
 @query(f"with {STREAM}, m as (select t, pol, chan, median(value) filter (where cal = 'T') - median(value) filter (where cal = 'F') as v from stream group by all) select chan, pol, round(avg(v), 6) as value from m group by all")
@@ -329,12 +328,12 @@ def map_coordinates(spark, sf_dir):
     return out.select("fi", "ri", "di", r("value", 4).alias("value"), r("ra").alias("ra"), r("dec").alias("dec"))
 
 
-_SECTIONS = SAMPLES + ", sec as (select l_linenumber as s, fi, ri, di, sum(value * weight) / sum(weight) as value, sum(weight) as weight from samples where l_linenumber <= 3 group by all), flat as (select *, value - sum(weight * value) over w / sum(weight) over w as v from sec window w as (partition by s, fi))"
+_SECTIONS = SAMPLES + ", sec as (select l_linenumber % 3 + 1 as s, fi, ri, di, sum(value * weight) / sum(weight) as value, sum(weight) as weight from samples group by all), flat as (select *, value - sum(weight * value) over w / sum(weight) over w as v from sec window w as (partition by s, fi))"
 
 
 @query(f"with {_SECTIONS}, t as (select fi, ri, di, v as t from flat where s = 1), g as (select s, fi, sum(v * weight * t) / sum(t * weight * t) as gain from flat join t using (fi, ri, di) group by all) select s, fi, ri, di, round(value / gain / 10000, 3) as value from flat join g using (s, fi) where gain > 0.02 or gain < -0.02")
 def section_gains(spark, sf_dir):
-    s = samples(spark, sf_dir).where("l_linenumber <= 3").withColumn("s", F.col("l_linenumber"))
+    s = samples(spark, sf_dir).withColumn("s", F.col("l_linenumber") % 3 + 1)
     m = maps.weighted_stack(s, ["s", "fi", "ri", "di"])
     flat = maps.subtract_weighted_mean(m, ["s", "fi"])
     gain = maps.template_gain(flat, flat.where("s = 1").select("fi", "ri", "di", "value"), maps.PIXEL, ["s", "fi"])
@@ -425,11 +424,11 @@ def correlation_by_frequency_lag(spark, sf_dir):
     return modes.by_frequency_lag(modes.correlation(g, g, [0.0, 0.5, 1.2], 1, 1.0)).select("df", "lag", r("corr", 5).alias("corr"))
 
 
-@query(f"with {SPEC}, c as (select a.chan as f1, b.chan as f2, 0 as lag, avg(a.value * b.value) as corr from spec a join spec b on a.t = b.t where a.chan < 8 and b.chan < 8 group by all), m as (select cast(c as bigint) as chan, 1 / sqrt(8) as v from generate_series(0, 7) as g(c)), a as (select sum(corr * x.v * y.v) as a from c join m x on x.chan = f1 join m y on y.chan = f2) select f1, f2, round(corr - a / 8, 6) as corr from c, a")
+@query(f"with {SPEC}, c as (select a.chan as f1, b.chan as f2, 0 as lag, avg(a.value * b.value) as corr from spec a join spec b on a.t = b.t group by all), m as (select cast(c as bigint) as chan, 1 / 8.0 as v from generate_series(0, 63) as g(c)), a as (select sum(corr * x.v * y.v) as a from c join m x on x.chan = f1 join m y on y.chan = f2) select f1, f2, round(corr - a / 64, 6) as corr from c, a")
 def correlation_without_mode(spark, sf_dir):
-    rows = spectra_rows(spark, sf_dir).where("chan < 8").withColumn("weight", F.lit(1.0))
+    rows = spectra_rows(spark, sf_dir).withColumn("weight", F.lit(1.0))
     c = modes.freq_covariance(rows, ["t"]).select(F.col("chan").cast("long").alias("f1"), F.col("chan2").cast("long").alias("f2"), F.lit(0).alias("lag"), F.col("cov").alias("corr"))
-    m = spark.range(8).select(F.lit(0).alias("mode"), F.col("id").alias("chan"), F.lit(8**-0.5).alias("v"))
+    m = spark.range(64).select(F.lit(0).alias("mode"), F.col("id").alias("chan"), F.lit(1 / 8).alias("v"))
     return fits.subtract_correlation_modes(c, m).select("f1", "f2", r("corr").alias("corr"))
 
 
