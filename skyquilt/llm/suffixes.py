@@ -127,20 +127,21 @@ def _types(t: np.ndarray) -> np.ndarray:
     return sign[at] > 0
 
 
-def _names(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Ranks of the leftmost-smaller substrings (equal ones share a rank), by blocks of seven symbols.
+def _names(t: np.ndarray, lms: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """Ranks of the leftmost-smaller substrings (equal ones share a rank), by blocks of ``width`` symbols of ``bits`` bits.
 
     A substring that another one continues ranks behind it, since its last suffix is of S type and the other's is of L type.
     """
     sizes = np.append(np.diff(lms) + 1, 1)
-    padded = np.append(t, np.zeros(8, t.dtype)).astype(np.uint64)
+    padded = np.append(t, np.zeros(width + 1, t.dtype)).astype(np.uint64)
+    end, shift = np.uint64((1 << bits) - 1), np.uint64(bits)
     rank, open_, depth = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
     while len(open_):
         key = np.zeros(len(open_), np.uint64)
-        for k in range(7):
+        for k in range(width):
             within = depth + k < sizes[open_]
             at = np.minimum(lms[open_] + depth + k, len(padded) - 1)
-            key = (key << np.uint64(9)) | np.where(within, padded[at], np.uint64(511))
+            key = (key << shift) | np.where(within, padded[at], end)
         by = np.lexsort((key, rank[open_]))
         r, k = rank[open_][by], key[by]
         new_group = np.append(True, r[1:] != r[:-1])
@@ -150,7 +151,7 @@ def _names(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
         rank[open_[by]] = r + first - start
         many = np.diff(np.append(np.flatnonzero(new_key), len(by))) > 1
         tied = np.repeat(many, np.diff(np.append(np.flatnonzero(new_key), len(by))))
-        depth += 7
+        depth += width
         left = open_[by[tied]]
         open_ = left[sizes[left] > depth]
     return rank
@@ -161,55 +162,48 @@ def _sort_recursively(names: np.ndarray) -> np.ndarray:
     distinct, dense = np.unique(names, return_inverse=True)
     if len(distinct) == len(names):
         return np.argsort(names)
-    return np.array(_induced(dense.tolist(), len(distinct)), np.int64)
+    return _induced(dense, len(distinct))
 
 
-def _induced(t: list[int], size: int) -> list[int]:
-    """Suffix array of integers 0 to ``size`` - 1 of which 0 is the last and occurs once."""
+def _induced(t: np.ndarray, size: int) -> np.ndarray:
+    """Suffix array of integers 0 to ``size`` - 1 of which 0 is the last and occurs once.
+
+    Substrings are named by whole arrays, as on the first level; what remains symbol by symbol is the one pass that
+    induces the large suffixes and the one that induces the small ones.
+    """
     n = len(t)
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = t[i] < t[i + 1] or (t[i] == t[i + 1] and small[i + 1])
-    count = np.bincount(np.array(t, np.int64), minlength=size)
+    if n == 1:
+        return np.zeros(1, np.int64)
+    s_type = _types(t)
+    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    order = lms[_sort_recursively(_names(t, lms, 31, 2))].tolist()
+    count = np.bincount(t, minlength=size)
     tails = np.cumsum(count)
-    heads = (tails - count).tolist()
-    tails = tails.tolist()
-
-    def induce(seeds: list[int]) -> list[int]:
-        sa, end = [-1] * n, tails.copy()
-        for i in reversed(seeds):
-            end[t[i]] -= 1
-            sa[end[t[i]]] = i
-        begin = heads.copy()
-        for k in range(n):
-            i = sa[k] - 1
-            if i >= 0 and not small[i]:
-                c = t[i]
-                sa[begin[c]] = i
+    begin, tails = (tails - count).tolist(), tails.tolist()
+    # Of every place the symbol before it, if that suffix is large or small, else -1.
+    before = np.append(-1, t[:-1])
+    large = np.where(np.append(False, ~s_type[:-1]), before, -1).tolist()
+    little = np.where(np.append(False, s_type[:-1]), before, -1).tolist()
+    sa, end, symbol = [-1] * n, tails.copy(), t.tolist()
+    for i in reversed(order):
+        c = symbol[i]
+        end[c] -= 1
+        sa[end[c]] = i
+    for k in range(n):
+        i = sa[k]
+        if i > 0:
+            c = large[i]
+            if c >= 0:
+                sa[begin[c]] = i - 1
                 begin[c] += 1
-        end = tails.copy()
-        for k in range(n - 1, -1, -1):
-            i = sa[k] - 1
-            if i >= 0 and small[i]:
-                c = t[i]
-                end[c] -= 1
-                sa[end[c]] = i
-        return sa
-
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    if not lms:
-        return induce(lms) if n > 1 else [0]
-    stop = dict(zip(lms, [*lms[1:], n - 1], strict=True))
-    ordered = [i for i in induce(lms) if i in stop]
-    name, last, rank = {}, None, -1
-    for i in ordered:
-        part = t[i : stop[i] + 1]
-        if part != last:
-            rank, last = rank + 1, part
-        name[i] = rank
-    if rank + 1 < len(lms):
-        ordered = [lms[k] for k in _induced([name[i] for i in lms], rank + 1)]
-    return induce(ordered)
+    for k in range(n - 1, -1, -1):
+        i = sa[k]
+        if i > 0:
+            c = little[i]
+            if c >= 0:
+                tails[c] -= 1
+                sa[tails[c]] = i - 1
+    return np.array(sa, np.int64)
 
 
 def _push(queues: list[list[np.ndarray]], places: np.ndarray, symbols: np.ndarray) -> None:
@@ -226,7 +220,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n, size = len(t), 257
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    order = lms[_sort_recursively(_names(t, lms))] if len(lms) else lms
+    order = lms[_sort_recursively(_names(t, lms, 9, 7))] if len(lms) else lms
     seeds: list[list[np.ndarray]] = [[] for _ in range(size)]
     _push(seeds, order, t[order])
     large: list[list[np.ndarray]] = [[] for _ in range(size)]
