@@ -134,9 +134,13 @@ def cell_census(spark, sf_dir):
     return A.census(rows, ["c_nationkey"]).withColumn("total", r("total", 2))
 
 
-@query("select i // 6 as ri, i % 6 as di, round((i % 6 - 3) * 0.5 + 2.0, 8) as dec, round((i // 6 - 4) * 0.25 / cos(radians((i % 6 - 3) * 0.5 + 2.0)) + 218.0, 8) as ra from generate_series(0, 47) as g(i)")
+@query(f"with {SAMPLES}, shape as (select max(ri) + 1 as nr, max(di) + 1 as nd from samples), cells as (select cast(i as bigint) as ri, cast(j as bigint) as di, nr, nd from shape, generate_series(0, 20) as g(i), generate_series(0, 20) as h(j) where i < nr and j < nd), n as (select ri, di, count(*) as n from samples group by all) select c.ri, c.di, round((c.di - nd // 2) * 0.5 + 2.0, 8) as dec, round((c.ri - nr // 2) * 0.25 / cos(radians((c.di - nd // 2) * 0.5 + 2.0)) + 218.0, 8) as ra, coalesce(n.n, 0) as n from cells c left join n on n.ri = c.ri and n.di = c.di")
 def map_pixel_grid(spark, sf_dir):
-    return A.map_grid(spark, (218.0, 2.0), (8, 6), (0.25, 0.5)).select(F.col("ri").cast("long").alias("ri"), F.col("di").cast("long").alias("di"), r("dec", 8).alias("dec"), r("ra", 8).alias("ra"))
+    """The pixels of a map as large as the samples ask for, with the number of samples in each."""
+    s = samples(spark, sf_dir)
+    shape = tuple(s.agg(F.max("ri") + 1, F.max("di") + 1).first())
+    cells = A.map_grid(spark, (218.0, 2.0), shape, (0.25, 0.5)).select(F.col("ri").cast("long").alias("ri"), F.col("di").cast("long").alias("di"), r("dec", 8).alias("dec"), r("ra", 8).alias("ra"))
+    return cells.join(s.groupBy("ri", "di").agg(F.count("*").alias("n")), ["ri", "di"], "left").fillna(0, ["n"])
 
 
 @query(f"with {SAMPLES} select cast(max(ri) + 1 as integer) as ri_n, cast(max(di) + 1 as integer) as di_n, -0.25::double as ri_delta, 0.5::double as di_delta, round(218.0 - 0.25 * ((max(ri) + 1) // 2), 6) as ri_centre, round(2.0 + 0.5 * ((max(di) + 1) // 2), 6) as di_centre from samples")
@@ -282,9 +286,10 @@ def angular_power_flat(spark, sf_dir):
     return angular.angular_power_flat(p, angular.k_table(spark, 0.0, 4.0, 200), decay).withColumn("cl", r("cl", 10))
 
 
-@query("with k as (select (i + 0.5) * pi() / 32 as k from generate_series(0, 15) as g(i)) select cast(l as integer) as l, cast(lag as integer) as lag, round(sum(exp(-sqrt(k * k + power(l / 80.0, 2))) * cos(k * lag * 2.0) * pi() / 32 / (pi() * 6400)), 10) as cl from k, (select unnest([10, 50]) as l), generate_series(0, 15) as g(lag) group by l, lag")
+@query("with k as (select (i + 0.5) * pi() / 32 as k from generate_series(0, 15) as g(i)) select cast(l as integer) as l, cast(lag as integer) as lag, round(sum(exp(-sqrt(k * k + power(l / 80.0, 2))) * cos(k * lag * 2.0) * pi() / 32 / (pi() * 6400)), 10) as cl from k, (select distinct p_size as l from part), generate_series(0, 15) as g(lag) group by l, lag")
 def angular_power_lags(spark, sf_dir):
-    return angular.angular_power_lags(spark, [10, 50], 80.0, 16, 2.0, decay).withColumn("cl", r("cl", 10))
+    ls = [x[0] for x in table(spark, sf_dir, "part").select("p_size").distinct().orderBy("p_size").collect()]  # some fifty sizes
+    return angular.angular_power_lags(spark, ls, 80.0, 16, 2.0, decay).withColumn("cl", r("cl", 10))
 
 
 @query(f"with {GRID}, x as (select cast(i as integer) as i, cast(di as integer) as di from generate_series(1, 12) as a(i), generate_series(0, 10) as b(di)) select x.i as xi, 5 as yi, x.di as zi, round(coalesce(g.value, 0), 3) as value, g.value is not null as observed from x left join grid g on g.fi = x.i and g.ri = 5 and g.di = x.di")

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyquilt.functions import columns as C
@@ -653,26 +654,46 @@ def unmatched_keys(spark, sf_dir):
     return lineage.unmatched(o, li, "o_orderkey").where("fault = 'no group'").select("o_orderkey")
 
 
-@query()
+@query(f"with {GRID} select fi, count(*) as n, true as centred, true as scaled from grid group by fi")
 def thermal_noise_cube(spark, sf_dir):
-    g = generators.pixels(spark, 8, 16, 16)
-    return generators.thermal_noise(g, thermal_temperature(700 + F.col("fi")), 1e6, F.lit(1.0), 1).withColumn("value", r("value", 9))
+    """Noise of the grid's cells, whose weights are their times: over what is expected of each it has no mean and unit variance in every channel, up to six deviations."""
+    noisy = generators.thermal_noise(grid(spark, sf_dir).select("fi", "ri", "di", "weight"), thermal_temperature(700 + F.col("fi")), 1e6, F.col("weight"), 1)
+    z = F.col("value") / (thermal_temperature(700 + F.col("fi")) / F.sqrt(1e6 * F.col("weight")))
+    sums = noisy.groupBy("fi").agg(F.count("*").alias("n"), F.sum(z).alias("s"), F.sum(z * z).alias("q"))
+    return sums.select("fi", "n", (F.abs("s") <= 6 * F.sqrt("n")).alias("centred"), (F.abs(F.col("q") - F.col("n")) <= 6 * F.sqrt(2 * F.col("n"))).alias("scaled"))
 
 
-@query()
+@query(f"with {GRID} select fi, count(*) as n, round(sum(weight * 20), 4) as expected, true as near from grid group by fi")
 def poisson_galaxies(spark, sf_dir):
-    g = generators.pixels(spark, 8, 16, 16)
-    return generators.poisson_counts(g, F.lit(2.5), 3)
+    """Poisson numbers of the grid's cells with twenty times their weight expected: their sum in a channel is that of what is expected, up to six deviations."""
+    g = grid(spark, sf_dir).select("fi", "ri", "di", "weight")
+    drawn = generators.poisson_counts(g, F.col("weight") * 20, 3).groupBy("fi").agg(F.sum("n").alias("drawn"), F.count("*").alias("n"), F.sum(F.col("weight") * 20).alias("e"))
+    return drawn.select("fi", "n", r("e", 4).alias("expected"), (F.abs(F.col("drawn") - F.col("e")) <= 6 * F.sqrt("e")).alias("near"))
 
 
-@query()
+@query(f"with {GRID} select count(*) * (select count(*) from nation) as n, true as near from grid")
 def gaussian_field(spark, sf_dir):
-    return generators.gaussian_fields(spark, 2, (8, 8, 8), (1.0, 1.0, 1.0), lambda k: k**-1.5, 5).withColumn("value", r("value"))
+    """A field for every nation, seen in the grid's cells: its variance there is near that of the spectrum."""
+    n, shape = table(spark, sf_dir, "nation").count(), (12, 11, 11)
+    fields = generators.gaussian_fields(spark, n, shape, (1.0, 1.0, 1.0), lambda k: k**-1.5, 5)
+    cells = grid(spark, sf_dir).select((F.col("fi") - 1).alias("fi"), "ri", "di")
+    k = np.sqrt(sum(x**2 for x in spectra.wave_numbers(shape, (1.0, 1.0, 1.0))))
+    expected = float((k[k > 0] ** -1.5).sum() / k.size)
+    return fields.join(cells, ["fi", "ri", "di"]).agg(F.count("*").alias("n"), (F.abs(F.avg(F.col("value") ** 2) / expected - 1) < 0.5).alias("near"))
 
 
-@query()
+@query(f"with {HOURLY} select count(*) as n, true as near from hourly")
 def over_f_series(spark, sf_dir):
-    return generators.over_f_noise(spark, 2, 256, 1.0, -1.0, 0.1, 1.0, 9).withColumn("value", r("value"))
+    """1/f noise for the hours of every type of event: its variance over all of them is near that of the spectrum."""
+    h = hourly(spark, sf_dir)
+    slot = F.col("t") - F.min("t").over(Window.partitionBy("event_type"))
+    number = h.select("event_type").distinct().withColumn("stream", F.dense_rank().over(Window.orderBy("event_type")) - 1)
+    seen = h.withColumn("t", slot.cast("int")).join(F.broadcast(number), "event_type").select("stream", "t")
+    length, streams = seen.agg(F.max("t") + 1, F.max("stream") + 1).first()
+    made = generators.over_f_noise(spark, streams, length, 1.0, -0.5, 0.1, 1.0, 9)
+    expected = float(spectra.over_f_spectrum(1.0, -0.5, 0.1, 1.0, 2 * length).mean() / 2)
+    both = seen.join(made.select(F.col("stream").cast("int").alias("stream"), F.col("t").cast("int").alias("t"), "value"), ["stream", "t"])
+    return both.agg(F.count("*").alias("n"), (F.abs(F.avg(F.col("value") ** 2) / expected - 1) < 0.5).alias("near"))
 
 
 @query()

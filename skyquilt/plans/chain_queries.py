@@ -142,9 +142,10 @@ def preprocessed_streams(spark, sf_dir):
     return out.select(F.col("chan").alias("event_type"), "t", r("value", 5).alias("value"), r("var", 4).alias("var"))
 
 
-@query("select cast(a as integer) as f1, cast(b as integer) as f2, cast(i as integer) as dr, cast(j as integer) as dd, round(exp(-sqrt(i * i + j * j) * 0.25) / (1 + abs(a - b)) * exp(-(i * i + j * j) * 0.0625 / (2 * (0.09 + 0.16))), 8) as value from generate_series(0, 5) as x(a), generate_series(0, 5) as y(b), generate_series(-3, 3) as z(i), generate_series(-3, 3) as w(j)")
+@query("select cast(a as integer) as f1, cast(b as integer) as f2, cast(i as integer) as dr, cast(j as integer) as dd, round(exp(-sqrt(i * i + j * j) * 0.25) / (1 + abs(a - b)) * exp(-(i * i + j * j) * 0.0625 / (2 * (0.09 + 0.16))), 8) as value from (select distinct l_linenumber - 1 as a from lineitem) x, (select distinct l_linenumber - 1 as b from lineitem) y, generate_series(-3, 3) as z(i), generate_series(-3, 3) as w(j)")
 def pixel_covariance(spark, sf_dir):
-    return D.pixel_covariance(spark, 6, 3, 0.25, lambda d, f: F.exp(-d) / (1 + f), (0.3, 0.4)).withColumn("value", r("value", 8))
+    n = table(spark, sf_dir, "lineitem").agg(F.max("l_linenumber")).first()[0]
+    return D.pixel_covariance(spark, n, 3, 0.25, lambda d, f: F.exp(-d) / (1 + f), (0.3, 0.4)).withColumn("value", r("value", 8))
 
 
 _SIG = GRID + ", sig as (select s as sim_id, fi, ri, di, value / 10000 + s as value from grid, (select unnest([0, 1]) as s)), kern as (select i, j, case when i = 0 and j = 0 then 0.5 else 0.125 end as w from (values (0,0),(1,0),(-1,0),(0,1),(0,-1)) as t(i, j)), beam as (select g.sim_id, g.fi, g.ri, g.di, sum(h.value * w) as value from sig g, kern join sig h on h.sim_id = g.sim_id and h.fi = g.fi and h.ri = g.ri - i and h.di = g.di - j group by all)"
@@ -174,9 +175,11 @@ def file_family(spark, sf_dir):
     return D.file_family(spark, "run:{region};{kind}", "maps/{region}_{kind}.npy", {"region": names, "kind": ["map", "weight"]})
 
 
-@query("select 'gbt_cleaned:' || s || ';' || k || ';' || m || 'modes' as db_key, 'me/gbt/' || k || '_' || s || '_' || m || 'modes.npy' as path from (select unnest(['map', 'weight', 'noise_inv']) as k), (select unnest(['A', 'B']) as s), (select unnest(['5', '10', '15']) as m)")
+@query("select 'gbt_cleaned:' || s || ';' || k || ';' || m || 'modes' as db_key, 'me/gbt/' || k || '_' || s || '_' || m || 'modes.npy' as path from (select unnest(['map', 'weight', 'noise_inv']) as k), (select distinct l_returnflag as s from lineitem), (select distinct l_linenumber * 5 as m from lineitem)")
 def mode_family(spark, sf_dir):
-    return D.mode_family(spark, "gbt", "me", [5, 10, 15], ["A", "B"]).select("db_key", "path")
+    li = table(spark, sf_dir, "lineitem")
+    names = lambda c: [x[0] for x in li.select(c).distinct().orderBy(c).collect()]  # noqa: E731  # a handful
+    return D.mode_family(spark, "gbt", "me", [5 * n for n in names("l_linenumber")], names("l_returnflag")).select("db_key", "path")
 
 
 _FILES = "files as (select 'part:' || p_partkey as db_key, 'm/' || p_brand || '_' || p_size || '.fits' as path from part)"
@@ -283,9 +286,11 @@ def plotted_slice(spark, sf_dir):
     return D.plot_slice(grid(spark, sf_dir), "fi", 6, "ri", "di").withColumn("value", r("value", 4))
 
 
-@query("select cast(f as integer) as fi, round(700.0 - 2 * f, 6) as freq, cast(i // 3 as integer) as ri, cast(i % 3 as integer) as di, round((i % 3 - 1) * 0.5 + 2.0, 8) as dec, cast(null as double) as value from generate_series(0, 3) as g(f), generate_series(0, 11) as h(i)")
+@query(f"with {GRID}, shape as (select max(fi) as nf, max(ri) + 1 as nr, max(di) + 1 as nd from grid) select cast(f as integer) as fi, round(700.0 - 2 * f, 6) as freq, cast(i as integer) as ri, cast(j as integer) as di, round((j - nd // 2) * 0.5 + 2.0, 8) as dec, cast(null as double) as value from shape, generate_series(0, 20) as g(f), generate_series(0, 20) as h(i), generate_series(0, 20) as k(j) where f < nf and i < nr and j < nd")
 def empty_map(spark, sf_dir):
-    m = D.empty_map(spark, 4, (700.0, -2.0), (218.0, 2.0), (4, 3), (0.25, 0.5))
+    """A template as large as the samples ask for."""
+    nf, nr, nd = grid(spark, sf_dir).agg(F.max("fi"), F.max("ri") + 1, F.max("di") + 1).first()
+    m = D.empty_map(spark, nf, (700.0, -2.0), (218.0, 2.0), (nr, nd), (0.25, 0.5))
     return m.select("fi", r("freq").alias("freq"), "ri", "di", r("dec", 8).alias("dec"), "value")
 
 
