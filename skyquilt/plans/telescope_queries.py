@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyquilt.operators import factor
+from skyquilt.operators import timestream as ts
 from skyquilt.sources import fits as files
 from skyquilt.sources import telescope
 
+from . import steps
 from .catalog import query, r, table
 
 
@@ -66,3 +68,30 @@ def updated_tiles(spark, sf_dir):
     for flag in ("N", "R"):
         telescope.update_tiles(stage, sums(li.where(F.col("l_returnflag") == flag)), path, 2, add=True)
     return factor.entries(telescope.read_tiles(spark, path), 4).select("row", "col", r("value", 3).alias("value"))
+
+
+_SMOOTH = "spec as (select cast(label as integer) as scan, cast(vec_id as integer) as t, unnest(generate_series(0, 63)) as chan, cast(unnest(embedding) as double) as value from embeddings), h as (select scan, t, chan, 0.25 * lag(value) over w + 0.5 * value + 0.25 * lead(value) over w as value from spec window w as (partition by t order by chan))"
+
+
+@query(f"with {_SMOOTH} select scan, cast(row_number() over (partition by scan, chan // 4 order by t) - 1 as integer) as t, cast(chan // 4 as integer) as chan, round(avg(value), 6) as value, '0: hanning' as step from h group by scan, t, chan // 4")
+def files_through_chain(spark, sf_dir):
+    """One file for each scan, smoothed and rebinned into files of the same names; half of them in a first run, all that is missing in a second, nothing in a third."""
+    source, target = files.shared_folder(spark, "in"), files.shared_folder(spark, "out")
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.concat(F.lit("scan-"), "label", F.lit(".fits")).alias("file"), F.col("label").cast("int").alias("scan"), F.lit(700).alias("band"), F.col("vec_id").cast("int").alias("t"), F.lit(-5).alias("pol"), F.lit("T").alias("cal"), F.lit(7e8).alias("crval1"), F.lit(1e5).alias("cdelt1"), F.lit(32.0).alias("crpix1"), F.transform("embedding", lambda x: x.cast("double")).alias("spec"), F.array().cast("array<string>").alias("history"))
+    chain = steps.Chain(
+        [
+            steps.Step("hanning", lambda df: df.withColumn("spec", ts.hanning_array(F.col("spec")))),
+            steps.Step("rebin", lambda df, n: df.withColumn("spec", ts.rebin_array(F.col("spec"), n)), {"n": 2}),
+        ]
+    )
+    stage = files.stager(spark, "files")
+    for half in (rows.where("scan < 5"), rows):
+        stage(steps.write_records(half, source))
+        stage(steps.run_files(spark, chain, source, target, {"n": 4}))
+    again = stage(steps.run_files(spark, chain, source, target, {"n": 4})).count()
+    files.register(spark)
+    back = files.spectra(spark.read.format("sdfits").load(target))
+    told = spark.read.format("sdfits").load(target).groupBy("file").agg(F.element_at(F.first("history"), 1).alias("h"))
+    long = back.join(told, "file").select("scan", F.col("t").cast("int").alias("t"), F.posexplode("spec").alias("chan", "value"), F.substring("h", 1, 10).alias("step"))
+    return long.where(F.lit(again) == 0).withColumn("value", r("value"))
