@@ -115,7 +115,7 @@ def mixing_of_all_bins(spark, sf_dir):
     return total.join(same, ["pair", "row"])
 
 
-@query(f"with {_MIXING}, p as (select cast(p_size % 12 as integer) as bin, avg(p_retailprice) / 1000 as power from part group by all), first as (select min(pair) as pair from mix) select row as bin, round(sum(value * p.power), 6) as mixed, round(min(o.power), 6) as power from mix join first using (pair) join p on p.bin = col join p o on o.bin = row group by row")
+@query(f"with {_MIXING}, p as (select cast(p_size % 12 as integer) as bin, avg(p_retailprice) / 700 as power from part group by all), first as (select min(pair) as pair from mix) select row as bin, round(sum(value * p.power), 6) as mixed, round(min(o.power), 6) as power from mix join first using (pair) join p on p.bin = col join p o on o.bin = row group by row")
 def unmixed_power(spark, sf_dir):
     """Powers of the bins mixed by the first pair's weights, and what unmixing makes of that: the powers."""
     stage = files.stager(spark, "unmix")
@@ -123,7 +123,7 @@ def unmixed_power(spark, sf_dir):
     kernels = stage(mixing.window_kernels(left, right, ["pair"], SHAPE))
     first = kernels.agg(F.min("pair").alias("pair"))
     m = stage(mixing.mixing_matrix(kernels.join(first, "pair"), ["pair"], SHAPE, SPACING, PERP, PAR).drop("pair"))
-    power = table(spark, sf_dir, "part").groupBy((F.col("p_size") % 12).cast("int").alias("bin")).agg((F.avg("p_retailprice") / 1000).alias("power"))
+    power = table(spark, sf_dir, "part").groupBy((F.col("p_size") % 12).cast("int").alias("bin")).agg((F.avg("p_retailprice") / 700).alias("power"))
     mixed = stage(m.join(power, F.col("col") == F.col("bin")).groupBy(F.col("row").alias("bin")).agg(F.sum(F.col("value") * F.col("power")).alias("power")))
     back = mixing.unmix(mixed, mixing.pseudo_inverse(stage, m, 12, side=4), [])
     return mixed.withColumnRenamed("power", "mixed").join(back, "bin").select("bin", r("mixed").alias("mixed"), r("power").alias("power"))
