@@ -149,7 +149,7 @@ def foreground_fields(spark: SparkSession, covariance: np.ndarray, n_pixels: int
     root = v[:, keep] * np.sqrt(w[keep])
     fields = gaussian_fields(spark, int(keep.sum()), (1, n_pixels, n_pixels), (1.0, 1.0, 1.0), angular, seed)
     table = spark.createDataFrame([(f, m, float(root[f, m])) for f in range(len(root)) for m in range(root.shape[1])], "fi int, field long, root double")
-    return fields.drop("fi").join(F.broadcast(table), "field").groupBy("fi", "ri", "di").agg(F.sum(F.col("value") * F.col("root")).alias("value"))
+    return fields.drop("fi").join(table, "field").groupBy("fi", "ri", "di").agg(F.sum(F.col("value") * F.col("root")).alias("value"))
 
 
 def synchrotron_fields(spark: SparkSession, n_freq: int, n_pixels: int, freq: tuple[float, float], f0: float, amplitude: tuple[float, float], index: tuple[float, float], angular, seed: int, slabs: int = 1) -> DataFrame:

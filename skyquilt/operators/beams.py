@@ -57,8 +57,8 @@ def beam_on_grid(coefficients: DataFrame, keys: list[str], n_side: int, size: fl
     side = spark.range(n_side).select(F.col("id").cast("int").alias("p"), ((F.col("id") - (n_side - 1) / 2) * step).alias("x"))
     basis = side.select("p", F.posexplode(F.array(*[hermite_gauss(k, F.col("x"), F.lit(float(sigma))) for k in range(orders)])).alias("n", "b"))
     bx, by = basis.select(F.col("p").alias("xi"), F.col("n").alias("i"), F.col("b").alias("bx")), basis.select(F.col("p").alias("yi"), F.col("n").alias("j"), F.col("b").alias("by"))
-    along = coefficients.join(F.broadcast(bx), "i").groupBy(*keys, "j", "xi").agg(F.sum(F.col("value") * F.col("bx")).alias("v"))
-    return along.join(F.broadcast(by), "j").groupBy(*keys, "xi", "yi").agg(F.sum(F.col("v") * F.col("by")).alias("value"))
+    along = coefficients.join(bx, "i").groupBy(*keys, "j", "xi").agg(F.sum(F.col("value") * F.col("bx")).alias("v"))
+    return along.join(by, "j").groupBy(*keys, "xi", "yi").agg(F.sum(F.col("v") * F.col("by")).alias("value"))
 
 
 def linear_beam(basis: DataFrame, coefficients: DataFrame, keys: list[str]) -> DataFrame:

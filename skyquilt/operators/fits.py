@@ -197,8 +197,8 @@ def bright_passages(rows: DataFrame, keys: list[str], reach: int, t: str = "t")
 def subtract_correlation_modes(corr: DataFrame, modes: DataFrame) -> DataFrame:
     """A correlation (f1, f2, lag, corr) less its parts along modes (mode, chan, v) of channels, for each lag: C - sum of a v v'."""
     left, right = modes.select("mode", F.col("chan").alias("f1"), F.col("v").alias("_v")), modes.select("mode", F.col("chan").alias("f2"), F.col("v").alias("_u"))
-    amp = corr.join(F.broadcast(left), "f1").join(F.broadcast(right), ["mode", "f2"]).groupBy("lag", "mode").agg(F.sum(F.col("corr") * F.col("_v") * F.col("_u")).alias("_a"))
-    part = amp.join(F.broadcast(left), "mode").join(F.broadcast(right), "mode").groupBy("lag", "f1", "f2").agg(F.sum(F.col("_a") * F.col("_v") * F.col("_u")).alias("_p"))
+    amp = corr.join(left, "f1").join(right, ["mode", "f2"]).groupBy("lag", "mode").agg(F.sum(F.col("corr") * F.col("_v") * F.col("_u")).alias("_a"))
+    part = amp.join(left, "mode").join(right, "mode").groupBy("lag", "f1", "f2").agg(F.sum(F.col("_a") * F.col("_v") * F.col("_u")).alias("_p"))
     return corr.join(part, ["lag", "f1", "f2"], "left").withColumn("corr", F.col("corr") - F.coalesce("_p", F.lit(0.0))).drop("_p")
 
 

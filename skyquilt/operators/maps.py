@@ -67,7 +67,7 @@ def factorizable_weight(maps: DataFrame, prior: float = 2.0) -> DataFrame:
     noise = F.when(F.col("weight") > prior * TINY, 1 / F.col("weight"))
     f = maps.groupBy("fi").agg(F.avg(noise).alias("nf"))
     p = maps.withColumn("n", noise).join(f, "fi").groupBy(*pos).agg(F.avg(F.try_divide("n", "nf")).alias("np"))
-    out = maps.join(F.broadcast(f), "fi").join(p, pos)
+    out = maps.join(f, "fi").join(p, pos)
     return out.withColumn("weight", F.coalesce(F.try_divide(F.lit(1.0), F.col("nf") * F.col("np")), F.lit(0.0))).drop("nf", "np")
 
 
@@ -280,7 +280,7 @@ def glue(parts: DataFrame, band: str, lowest_first: bool = True) -> DataFrame:
     order = F.asc("freq") if lowest_first else F.desc("freq")
     chans = parts.select(band, "fi", "freq").distinct()
     numbered = chans.withColumn("chan", F.row_number().over(Window.orderBy(order)) - 1)
-    return parts.join(F.broadcast(numbered), [band, "fi", "freq"]).withColumn("fi", F.col("chan").cast("int")).drop("chan", band)
+    return parts.join(numbered, [band, "fi", "freq"]).withColumn("fi", F.col("chan").cast("int")).drop("chan", band)
 
 
 def extended_stack(maps: DataFrame, external: DataFrame) -> DataFrame:

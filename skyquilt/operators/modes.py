@@ -157,13 +157,13 @@ def subtract_modes(spectra: DataFrame, array: str, modes: list[list[float]], mas
 
 def mode_amplitudes(rows: DataFrame, modes: DataFrame, keys: list[str], chan: str = "chan") -> DataFrame:
     """Amplitude of each mode (mode, chan, v) in each key of long rows."""
-    return rows.join(F.broadcast(modes.select("mode", chan, "v")), chan).groupBy(*keys, "mode").agg(F.sum(F.col("value") * F.col("v")).alias("amplitude"))
+    return rows.join(modes.select("mode", chan, "v"), chan).groupBy(*keys, "mode").agg(F.sum(F.col("value") * F.col("v")).alias("amplitude"))
 
 
 def project_out(rows: DataFrame, modes: DataFrame, keys: list[str], chan: str = "chan") -> DataFrame:
     """Removes all modes at once from long rows."""
     amp = mode_amplitudes(rows, modes, keys, chan)
-    model = amp.join(F.broadcast(modes.select("mode", chan, "v")), "mode").groupBy(*keys, chan).agg(F.sum(F.col("amplitude") * F.col("v")).alias("_m"))
+    model = amp.join(modes.select("mode", chan, "v"), "mode").groupBy(*keys, chan).agg(F.sum(F.col("amplitude") * F.col("v")).alias("_m"))
     return rows.join(model, [*keys, chan], "left").withColumn("value", F.col("value") - F.coalesce("_m", F.lit(0.0))).drop("_m")
 
 

@@ -234,7 +234,7 @@ def pseudo_inverse(mixing: DataFrame, least: float = 1e-10) -> DataFrame:
 
 def unmix(power: DataFrame, inverse: DataFrame, keys: list[str]) -> DataFrame:
     """Power in bins with their mixing undone."""
-    j = power.join(F.broadcast(inverse.select("row", F.col("col").alias("bin"), F.col("value").alias("_v"))), "bin")
+    j = power.join(inverse.select("row", F.col("col").alias("bin"), F.col("value").alias("_v")), "bin")
     return j.groupBy(*keys, F.col("row").alias("bin")).agg(F.sum(F.col("power") * F.col("_v")).alias("power"))
 
 
