@@ -64,3 +64,55 @@ def beam_on_grid(coefficients: DataFrame, keys: list[str], n_side: int, size: fl
 def linear_beam(basis: DataFrame, coefficients: DataFrame, keys: list[str]) -> DataFrame:
     """A beam as a sum of tabulated basis beams: basis (mode, xi, yi, b), coefficients (keys, mode, value)."""
     return coefficients.join(basis, "mode").groupBy(*keys, "xi", "yi").agg(F.sum(F.col("value") * F.col("b")).alias("value"))
+
+
+# Polarised beams: sums of Hermite polynomials times a Gaussian, with a width and a centre of each channel.
+
+
+def hermite_pattern(n: int, u: Column) -> Column:
+    """The physicists' Hermite polynomial of order n over the root of 2^n n!, without the Gaussian."""
+    low, high = F.lit(1.0), 2 * u
+    for k in range(1, n):
+        low, high = high, 2 * u * high - 2 * k * low
+    return (high if n else low) / math.sqrt(2**n * math.factorial(n))
+
+
+def polarised_patterns(x: Column, y: Column, width: Column, orders: int, triangle: bool = True) -> dict[tuple[int, int], Column]:
+    """Patterns of the orders (i, j) at places off the beam's centre, for a beam of full width ``width`` at half its height; with ``triangle`` only those with i + j < ``orders``."""
+    sigma = sigma_of(width)
+    u, v = x / sigma, y / sigma
+    gauss = F.exp(-(u * u + v * v) / 2)
+    return {(i, j): hermite_pattern(i, u) * hermite_pattern(j, v) * gauss for i in range(orders) for j in range(orders - i if triangle else orders)}
+
+
+def polarised_beam(coefficients: DataFrame, channels: DataFrame, n_side: int, size: float, orders: int, triangle: bool = True) -> DataFrame:
+    """(chan, pol, xi, yi, value): beams of every channel and polarisation on a square grid about the pointing.
+
+    ``coefficients`` are rows (chan, pol, i, j, value), ``channels`` (chan, width, cx, cy). Patterns separate, so rows meet
+    ``n_side`` places along x, are summed over i, and meet those along y: orders * n_side values an axis and channel.
+    """
+    used = coefficients.where((F.col("i") < orders) & (F.col("j") < orders))
+    if triangle:
+        used = used.where(F.col("i") + F.col("j") < orders)
+    place = lambda k: (k + 0.5 - n_side / 2) / n_side * size
+    sigma = sigma_of(F.col("width"))
+
+    def axis(centre: str, order: str, at: str, value: str) -> DataFrame:
+        u = F.lit(1.0) * (place(F.col("_k")) - F.col(centre)) / sigma
+        spread = channels.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n_side - 1))))
+        along = F.posexplode(F.array(*[hermite_pattern(n, u) * F.exp(-u * u / 2) for n in range(orders)])).alias(order, value)
+        return spread.select("chan", F.col("_k").alias(at), along)
+
+    along = used.join(axis("cx", "i", "xi", "_bx"), ["chan", "i"]).groupBy("chan", "pol", "j", "xi").agg(F.sum(F.col("value") * F.col("_bx")).alias("_v"))
+    return along.join(axis("cy", "j", "yi", "_by"), ["chan", "j"]).groupBy("chan", "pol", "xi", "yi").agg(F.sum(F.col("_v") * F.col("_by")).alias("value"))
+
+
+def fit_polarised_beam(rows: DataFrame, channels: DataFrame, orders: int, triangle: bool = True) -> DataFrame:
+    """(chan, pol, i, j, value): coefficients of every channel and polarisation by least squares over samples (chan, pol, x, y, value)."""
+    from .fits import linear_fit
+
+    near = rows.join(channels, "chan").withColumns({"_x": F.col("x") - F.col("cx"), "_y": F.col("y") - F.col("cy")})
+    patterns = polarised_patterns(F.col("_x"), F.col("_y"), F.col("width"), orders, triangle)
+    fitted = linear_fit(near, ["chan", "pol"], list(patterns.values()))
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in patterns])
+    return fitted.select("chan", "pol", F.explode(F.arrays_zip(names.alias("n"), "coefficients")).alias("s")).select("chan", "pol", "s.n.i", "s.n.j", F.col("s.coefficients").alias("value"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from skyquilt.functions.special import patterson
-from skyquilt.operators import maps, mixing, noise_fit, nonlinear, spectra
+from skyquilt.operators import beams, maps, mixing, noise_fit, nonlinear, spectra
 from skyquilt.sources import fits as files
 
 from .catalog import HOURLY, hourly, query, r, table
@@ -181,3 +181,40 @@ def windowed_over_f_fit(spark, sf_dir):
     both = w.select("event_type", "i", "window").join(seen.select("event_type", "i", (F.col("power") * 720).alias("power")), ["event_type", "i"])
     out = noise_fit.fit_windows(both, ["event_type"], 1.0, 0.01)
     return out.select("event_type", r("amplitude").alias("amplitude"), r("index", 4).alias("index"), r("thermal", 4).alias("thermal"))
+
+
+# Polarised beams: coefficients are discounts by supplier and part, a channel's width and centre come from its flag.
+
+_ORDERS = 3
+_BEAMS = (
+    "lens as (select l_returnflag as chan, 1.0 + case l_returnflag when 'A' then 0.0 when 'N' then 0.25 else 0.5 end as width from lineitem), "
+    "ch as (select distinct chan, width, (width - 1) / 10 as cx, -0.05 as cy from lens), "
+    "co as (select l_returnflag as chan, cast(l_linenumber % 4 as integer) as pol, cast(l_suppkey % 3 as integer) as i, cast(l_partkey % 3 as integer) as j, avg(l_discount) * 10 as value from lineitem group by all), "
+    "g as (select k, (k + 0.5 - 4) / 8 * 4 as x from generate_series(0, 7) as g(k)), "
+    "ax as (select chan, k, n, case n when 0 then 1 when 1 then 2 * u / sqrt(2) else (4 * u * u - 2) / sqrt(8) end * exp(-u * u / 2) as b from (select chan, k, (x - cx) / (width / (2 * sqrt(2 * ln(2)))) as u from ch, g), (select unnest([0, 1, 2]) as n)), "
+    "ay as (select chan, k, n, case n when 0 then 1 when 1 then 2 * u / sqrt(2) else (4 * u * u - 2) / sqrt(8) end * exp(-u * u / 2) as b from (select chan, k, (x - cy) / (width / (2 * sqrt(2 * ln(2)))) as u from ch, g), (select unnest([0, 1, 2]) as n))"
+)
+
+
+def beam_tables(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    width = 1.0 + F.when(F.col("chan") == "A", 0.0).when(F.col("chan") == "N", 0.25).otherwise(0.5)
+    channels = li.select(F.col("l_returnflag").alias("chan")).distinct().withColumn("width", width).withColumn("cx", (F.col("width") - 1) / 10).withColumn("cy", F.lit(-0.05))
+    by = [F.col("l_returnflag").alias("chan"), (F.col("l_linenumber") % 4).cast("int").alias("pol"), (F.col("l_suppkey") % 3).cast("int").alias("i"), (F.col("l_partkey") % 3).cast("int").alias("j")]
+    return li.groupBy(*by).agg((F.avg("l_discount") * 10).alias("value")), channels
+
+
+@query(f"with {_BEAMS} select chan, pol, cast(x.k as integer) as xi, cast(y.k as integer) as yi, round(sum(value * x.b * y.b), 6) as value from co join ax x using (chan) join ay y using (chan) where x.n = i and y.n = j and i + j < 3 group by all")
+def polarised_beam(spark, sf_dir):
+    c, channels = beam_tables(spark, sf_dir)
+    return beams.polarised_beam(c, channels, 8, 4.0, _ORDERS).withColumn("value", r("value"))
+
+
+@query(f"with {_BEAMS} select chan, pol, i, j, round(value, 5) as value from co")
+def polarised_beam_fit(spark, sf_dir):
+    """All orders' beams on the grid are fitted, which gives the coefficients back."""
+    c, channels = beam_tables(spark, sf_dir)
+    grid = beams.polarised_beam(c, channels, 8, 4.0, _ORDERS, triangle=False)
+    at = lambda k: (F.col(k) + 0.5 - 4) / 8 * 4.0
+    rows = grid.select("chan", "pol", at("xi").alias("x"), at("yi").alias("y"), "value")
+    return beams.fit_polarised_beam(rows, channels, _ORDERS, triangle=False).withColumn("value", r("value", 5))
