@@ -231,7 +231,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = THRESHOL
     shingles (fewer words: the whole) of both the question and the answer must stand in the passage. A part
     of under 25 shingles and of three words or more also counts with that share of its words in their
     places, or with all but one. No exchange: a document is judged in the task that reads it. Null or empty texts and items match
-    nothing; equal documents and equal items each get their rows.
+    nothing; equal documents and equal items each get their rows. Without documents or without items there are no rows.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
@@ -252,7 +252,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = THRESHOL
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, all columns as they were; judged row by row, so ids may repeat or be null."""
+    """The rows of ``docs`` that hold no test item, all columns as they were; judged row by row, so ids may repeat or be null. Without items all rows stay; an empty table stays empty."""
     spark = docs.sparkSession
     for _, index in indexes(benchmark):
         sent = spark.sparkContext.broadcast(index)

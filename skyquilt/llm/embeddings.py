@@ -202,7 +202,7 @@ def link_embeddings(table: DataFrame, *, cosine: float = 0.9) -> DataFrame:
     dual traversal that emits link counts and a spanning forest of its links rather than all pairs.
     Vectors that are null, empty, zero, or hold nulls or non-finite numbers link with nothing. Rows that
     repeat an id count as vectors of their own. A null id takes part; it is nobody's component unless alone.
-    Vectors of different lengths do not link.
+    Vectors of different lengths do not link. An empty table gives no rows.
     """
     stage = Stage(table.sparkSession, "embeddings")
     spark = table.sparkSession

@@ -453,7 +453,7 @@ def shingle_links(docs: DataFrame, *, n_words: int = 5, num: int = 4, den: int =
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component stays: that with the smallest doc_id (then row key); rows without words all stay."""
+    """One row of each component stays: that with the smallest doc_id (then row key); rows without words all stay. An empty table stays empty."""
     stage = Stage(docs.sparkSession, "near-copies")
     found = stage.write(shingle_links(docs, **options), "rows")
     best = found.where("id is not null").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "d1", "d2")).alias("m"))

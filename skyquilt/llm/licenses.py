@@ -183,7 +183,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     sentence ends at its mark or line; a second reading lets sentences run over single line ends, for
     wrapped texts. Known sentences, in order and without those unknown between them, form a sequence; rules
     are tried in order, and a match takes its sentences away from later rules. One pass, no exchange; a
-    null or empty text has no licence.
+    null or empty text has no licence. Repeated rows get a row each, an empty table gives none; a long text is read whole
+    like others.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lower = F.lower(text)

@@ -203,7 +203,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3,
 
     Labels teach only where crc32(doc_id as text) mod ``held_out_mod`` is not 0; only the text's
     statistics enter a score. A document's labels are averaged; null labels and ids teach nothing. With
-    no label at all every score is 0.5. Null texts score as empty ones; repeated rows are scored each.
+    no label at all every score is 0.5. Null texts score as empty ones; repeated rows are scored each. An
+    empty table gives no rows; of a text of any length only its statistics are kept.
     """
     stage = Stage(docs.sparkSession, "quality")
     stats = stage.write(document_statistics(docs), "stats")

@@ -75,7 +75,8 @@ def write_archives(pages: DataFrame, stage: Stage) -> DataFrame:
     and the others revisit it; smaller payloads are always responses. Of rows that repeat that smallest
     page_id, the first by url is the response. A null page_id comes after all others; where all are null,
     every such row is a response. A null html is an empty payload. Every task attempt writes a file of
-    its own, and the index holds only those of finished attempts, so a lost executor leaves no trace.
+    its own, and the index holds only those of finished attempts, so a lost executor leaves no trace. An empty
+    table makes no record.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
