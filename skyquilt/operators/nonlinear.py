@@ -69,6 +69,9 @@ class Dual:
     def cos(self) -> Dual:
         return self._with(F.cos(self.value), -F.sin(self.value))
 
+    def exp(self) -> Dual:
+        return self._with(F.exp(self.value), F.exp(self.value))
+
 
 def choose(cases: list[tuple[Column, Dual]]) -> Dual:
     """The first case whose condition holds, with its derivatives."""
@@ -202,3 +205,28 @@ def fit_total_mueller(stage: Callable[[DataFrame], DataFrame], rows: DataFrame,
     value = F.coalesce(*[F.when(F.col("stokes") == k, s) for k, s in enumerate(source)])
     start = [1.0 if k % 5 == 0 else 0.0 for k in range(16)]
     return least_squares(stage, seen.withColumn("value", value), keys, total_mueller_model(F.col("stokes"), F.col("theta"), [F.col(f"m{k}") for k in range(4)]), start)
+
+
+# Beams of two polarisations.
+
+#: Names of the parameters of ``beam_model``: offsets and full width at half height, amplitudes, system temperatures.
+BEAM = ("x0", "y0", "width", "amp_xx", "amp_yy", "tsys_xx", "tsys_yy")
+
+
+def beam_model(x: Column, y: Column, yy: Column) -> Callable[[list[Dual]], Dual]:
+    """A round Gaussian that both polarisations share but for amplitude and base; ``yy`` tells the second from the first."""
+
+    def model(p: list[Dual]) -> Dual:
+        dx, dy = Dual.of(x) - p[0], Dual.of(y) - p[1]
+        # exp(-r^2 / (2 sigma^2)) by the full width at half height
+        gauss = (-4 * float(np.log(2)) * (dx * dx + dy * dy).over(p[2] * p[2])).exp()
+        return choose([(yy, p[4] * gauss + p[6]), (~yy, p[3] * gauss + p[5])])
+
+    return model
+
+
+def fit_beam(stage: Callable[[DataFrame], DataFrame], rows: DataFrame, keys: list[str], start: list[Column | float], *, weight: str | None = None) -> DataFrame:
+    """The seven parameters of each key's beam from samples (keys, x, y, pol, value) about the source; of the polarisations XX and YY are used."""
+    used = rows.where(F.col("pol").isin("XX", "YY"))
+    out = least_squares(stage, used, keys, beam_model(F.col("x"), F.col("y"), F.col("pol") == "YY"), start, weight=weight)
+    return out.withColumn("parameters", F.transform("parameters", lambda v, k: F.when(k == 2, F.abs(v)).otherwise(v)))

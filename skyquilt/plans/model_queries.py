@@ -61,6 +61,22 @@ def mueller_noisy_fit(spark, sf_dir):
     return out.select("chan", r("gradient", 5).alias("gradient"), "settled", "dof", ok.alias("error_bars"))
 
 
+_BEAM_ROWS = "planted as (select cast(c as integer) as chan, 0.01 * c as x0, -0.02 * c as y0, 0.5 + 0.02 * c as width, 5.0 + c as ax, 6.0 + c as ay, 20.0 + c as tx, 22.0 as ty from generate_series(1, 7) as s(c)), seen as (select chan, case when l_suppkey % 2 = 0 then ax * g + tx else ay * g + ty end as value from (select *, exp(-4 * ln(2) * (power(l_discount * 10 - 0.5 - x0, 2) + power(l_tax * 10 - 0.4 - y0, 2)) / (width * width)) as g from lineitem join planted on chan = l_linenumber))"
+
+
+@query(f"with {_BEAM_ROWS} select p.chan, " + ", ".join(f"round({a}, 5) as {b}" for a, b in zip(("x0", "y0", "width", "ax", "ay", "tx", "ty"), nonlinear.BEAM)) + ", t.total, t.dof from planted p join (select chan, round(sum(value), 3) as total, count(*) - 7 as dof from seen group by chan) t on t.chan = p.chan")
+def two_polarisation_beam(spark, sf_dir):
+    """Beams seen at the discounts and taxes of lineitem; both polarisations of a channel give centre and width back together."""
+    c = F.col("chan")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("chan"), (F.col("l_discount") * 10 - 0.5).alias("x"), (F.col("l_tax") * 10 - 0.4).alias("y"), F.when(F.col("l_suppkey") % 2 == 0, "XX").otherwise("YY").alias("pol"))
+    planted_beam = [0.01 * c, -0.02 * c, 0.5 + 0.02 * c, 5.0 + c, 6.0 + c, 20.0 + c, F.lit(22.0)]
+    value = nonlinear.beam_model(F.col("x"), F.col("y"), F.col("pol") == "YY")([nonlinear.Dual.of(p) for p in planted_beam]).value
+    seen = li.withColumn("value", value)
+    out = nonlinear.fit_beam(files.stager(spark, "beam"), seen, ["chan"], [0.0, 0.0, 0.4, 10.0, 10.0, 10.0, 10.0])
+    total = seen.groupBy("chan").agg(r(F.sum("value"), 3).alias("total"))
+    return out.join(total, "chan").select("chan", *[r(F.col("parameters")[k], 5).alias(n) for k, n in enumerate(nonlinear.BEAM)], "total", "dof")
+
+
 # Mixing of bins by the weights of map sections.
 
 SHAPE, PERP, PAR = (12, 11, 11), [0.0, 2.1, 4.1, 6.1, 8.1], [0.0, 2.5, 4.5, 6.5]
@@ -218,3 +234,23 @@ def polarised_beam_fit(spark, sf_dir):
     at = lambda k: (F.col(k) + 0.5 - 4) / 8 * 4.0
     rows = grid.select("chan", "pol", at("xi").alias("x"), at("yi").alias("y"), "value")
     return beams.fit_polarised_beam(rows, channels, _ORDERS, triangle=False).withColumn("value", r("value", 5))
+
+
+# Statistics over realisations in two dimensions, and combinations side by side.
+
+_POWER_2D = "t as (select l_suppkey % 20 as sim, cast(floor(l_quantity / 5) as integer) as bx, cast(round(l_discount * 100) as integer) as by_, avg(l_extendedprice) / 1000 as power from lineitem group by all)"
+
+
+@query(f"with {_POWER_2D} select bx, by_ as by, round(avg(power), 5) as mean, round(stddev_samp(power), 5) as std, count(power) as n from t group by all")
+def power_statistics_2d(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    t = li.groupBy((F.col("l_suppkey") % 20).alias("sim"), F.floor(F.col("l_quantity") / 5).cast("int").alias("bx"), F.rint(F.col("l_discount") * 100).cast("int").alias("by")).agg((F.avg("l_extendedprice") / 1000).alias("power"))
+    return spectra.statistics(t, ["bx", "by"]).select("bx", "by", r("mean", 5).alias("mean"), r("std", 5).alias("std"), "n")
+
+
+@query("select cast(floor(l_quantity / 5) as integer) as bx, cast(round(l_discount * 100) as integer) as by, " + ", ".join(f"round(avg(l_extendedprice) filter (where l_returnflag = '{f}') / 1000, 5) as {f.lower()}_power" for f in "ANR") + " from lineitem group by 1, 2")
+def power_by_combination(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    p = li.groupBy(F.floor(F.col("l_quantity") / 5).cast("int").alias("bx"), F.rint(F.col("l_discount") * 100).cast("int").alias("by"), F.col("l_returnflag").alias("combination")).agg((F.avg("l_extendedprice") / 1000).alias("power"))
+    out = spectra.pivot_combinations(p, ["bx", "by"], ["A", "N", "R"])
+    return out.select("bx", "by", *[r(f, 5).alias(f"{f.lower()}_power") for f in "ANR"])
