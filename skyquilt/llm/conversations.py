@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import Stage, number_in_order
 
 #: Turns of distinct conversations that one task's tries hold: larger subtries are dealt again by the next turn.
-TASK_TURNS = 1 << 17
+TASK_TURNS = 1 << 15
 #: Ids that are joined to a text at once.
 IDS_AT_ONCE = 1 << 13
 NO_ENDS = hashlib.sha256(b"").hexdigest()
