@@ -184,3 +184,12 @@ def suggested_edges(cells: DataFrame, radius: str, n: int, log: bool = True) ->
     if log:
         return [second * (high / second) ** (k / n) for k in range(n + 1)]
     return [second + (high - second) * k / n for k in range(n + 1)]
+
+
+def edge_table(cells: DataFrame, radius: str, n: int, log: bool = True) -> DataFrame:
+    """(k, edge): the same edges as a table, without anything on the driver."""
+    low = cells.agg(F.min(radius).alias("_low"))
+    ends = cells.crossJoin(F.broadcast(low)).where(F.col(radius) > F.col("_low")).agg(F.min(radius).alias("_a"), F.max(radius).alias("_b"))
+    k = ends.select("_a", "_b", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k"))
+    edge = F.col("_a") * F.pow(F.col("_b") / F.col("_a"), F.col("k") / n) if log else F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("k") / n
+    return k.select("k", edge.alias("edge"))

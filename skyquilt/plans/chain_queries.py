@@ -171,15 +171,14 @@ def simulated_maps(spark, sf_dir):
 
 @query("select 'run:' || r_name || ';' || k as db_key, 'maps/' || r_name || '_' || k || '.npy' as path, r_name as region, k as kind from region, (select unnest(['map', 'weight']) as k)")
 def file_family(spark, sf_dir):
-    names = [x[0] for x in table(spark, sf_dir, "region").select("r_name").collect()]  # five names
+    names = table(spark, sf_dir, "region").select("r_name")
     return D.file_family(spark, "run:{region};{kind}", "maps/{region}_{kind}.npy", {"region": names, "kind": ["map", "weight"]})
 
 
 @query("select 'gbt_cleaned:' || s || ';' || k || ';' || m || 'modes' as db_key, 'me/gbt/' || k || '_' || s || '_' || m || 'modes.npy' as path from (select unnest(['map', 'weight', 'noise_inv']) as k), (select distinct l_returnflag as s from lineitem), (select distinct l_linenumber * 5 as m from lineitem)")
 def mode_family(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    names = lambda c: [x[0] for x in li.select(c).distinct().orderBy(c).collect()]  # noqa: E731  # a handful
-    return D.mode_family(spark, "gbt", "me", [5 * n for n in names("l_linenumber")], names("l_returnflag")).select("db_key", "path")
+    return D.mode_family(spark, "gbt", "me", li.select(F.col("l_linenumber") * 5), li.select("l_returnflag")).select("db_key", "path")
 
 
 _FILES = "files as (select 'part:' || p_partkey as db_key, 'm/' || p_brand || '_' || p_size || '.fits' as path from part)"
@@ -457,5 +456,4 @@ def logarithmic_edges(spark, sf_dir):
 @query("with p as (select distinct p_size as v from part where p_size > 0), b as (select min(v) filter (where v > (select min(v) from p)) as lo, max(v) as hi from p) select cast(k as integer) as k, round(lo * power(hi / lo, k / 8.0), 6) as edge from b, generate_series(0, 8) as g(k)")
 def suggested_edges(spark, sf_dir):
     p = table(spark, sf_dir, "part").where("p_size > 0").select(F.col("p_size").cast("double").alias("v"))
-    edges = algebra.suggested_edges(p, "v", 8)
-    return spark.createDataFrame([(k, round(e, 6)) for k, e in enumerate(edges)], "k int, edge double")
+    return algebra.edge_table(p, "v", 8).withColumn("edge", r("edge"))

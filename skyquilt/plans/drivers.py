@@ -248,12 +248,17 @@ def simulated_maps(signal: DataFrame, sims: int, temperature: Column, bandwidth:
 # Files, keys and results kept by their parameters.
 
 
-def file_family(spark: SparkSession, key: str, path: str, lists: dict[str, list[str]]) -> DataFrame:
-    """A registered set of files: one row (db_key, path, names...) for every combination of short lists; ``{name}`` in both templates is replaced."""
-    rows = None
+def file_family(spark: SparkSession, key: str, path: str, lists: dict[str, list[str] | DataFrame]) -> DataFrame:
+    """A registered set of files: one row (db_key, path, names...) for every combination of short lists; ``{name}`` in both templates is replaced.
+
+    A list is given as such or as the one column of a table, which is not collected.
+    """
+    rows = spark.range(1).select()
     for name, values in lists.items():
-        part = spark.createDataFrame([(v,) for v in values], f"`{name}` string")
-        rows = part if rows is None else rows.crossJoin(F.broadcast(part))
+        if isinstance(values, DataFrame):
+            rows = rows.crossJoin(values.select(F.col(values.columns[0]).cast("string").alias(name)).distinct())
+        else:
+            rows = rows.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
 
     def fill(text: str) -> Column:
         out = F.lit(text)
@@ -264,9 +269,9 @@ def file_family(spark: SparkSession, key: str, path: str, lists: dict[str, list[
     return rows.select(fill(key).alias("db_key"), fill(path).alias("path"), *lists)
 
 
-def mode_family(spark: SparkSession, source: str, user: str, modes: list[int], sections: list[str]) -> DataFrame:
+def mode_family(spark: SparkSession, source: str, user: str, modes: list[int] | DataFrame, sections: list[str] | DataFrame) -> DataFrame:
     """The files of a run that removes modes: map, weight and noise of every section and number of modes."""
-    lists = {"kind": ["map", "weight", "noise_inv"], "section": sections, "modes": [str(m) for m in modes]}
+    lists = {"kind": ["map", "weight", "noise_inv"], "section": sections, "modes": modes if isinstance(modes, DataFrame) else [str(m) for m in modes]}
     return file_family(spark, source + "_cleaned:{section};{kind};{modes}modes", f"{user}/{source}/{{kind}}_{{section}}_{{modes}}modes.npy", lists)
 
 
