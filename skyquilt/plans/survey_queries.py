@@ -13,7 +13,7 @@ from .catalog import GRID, HOURLY, ORACLE, SAMPLES, SPEC, STREAM, TRIALS, grid,
 
 # Cosmology: integrals in SQL are sums over the same nodes.
 
-NODES = "nodes as (select * from (values " + ", ".join(f"({float(x)!r}::double, {float(w)!r}::double)" for x, w in zip(cosmo._NODES, cosmo._WEIGHTS)) + ") as t(x, w))"
+NODES = "nodes as (select -1 + i / 200.0 as x, (case when i in (0, 400) then 1 when i % 2 = 1 then 4 else 2 end) / 600.0 as w from generate_series(0, 400) as g(i))"  # Simpson's rule
 
 
 def _e(z: str, m: float, d: float) -> str:
@@ -27,7 +27,7 @@ def _integral(f: str, z: str = "z") -> str:
 
 def _growth(z: str, m: float) -> str:
     x = f"(({1 / m - 1}) / power(1 + {z}, 3))"
-    num, den = ("(" + " + ".join(f"{c} * power({x}, {k})" for k, c in enumerate(p)) + ")" for p in cosmo.GROWTH)
+    num, den = ("(" + " + ".join(f"{c} * power({x}, {k})" for k, c in enumerate(p)) + ")" for p in ((1.0, 1.175, 0.3064, 0.005355), (1.0, 1.857, 1.021, 0.153)))
     return f"sqrt(1 + {x}) / (1 + {z}) * {num} / {den}"
 
 
@@ -76,29 +76,37 @@ def physical_densities(spark, sf_dir):
     return table(spark, sf_dir, "part").select(z.alias("z"), r(cosmo.Cosmology.physical().hubble(z)).alias("h")).distinct()
 
 
-def _segments(xs, ys) -> str:
-    return "seg as (select * from (values " + ", ".join(f"({a!r}::double, {b!r}::double, {p!r}::double, {q!r}::double)" for a, b, p, q in zip(xs, xs[1:], ys, ys[1:])) + ") as t(a, b, p, q))"
+def _segments(y: str, n: int, back: bool) -> str:
+    """Segments between ``n`` even steps of z up to 3 of y(@), worked out in SQL; ``back`` goes from y to z."""
+    ends = "y0 as a, y1 as b, z0 as p, z1 as q" if back else "z0 as a, z1 as b, y0 as p, y1 as q"
+    low, high = (f"(3.0 * {i} / {n - 1})" for i in ("i", "(i + 1)"))
+    return f"steps as (select {low} as z0, {high} as z1, i from generate_series(0, {n - 2}) as g(i)), seg as (select {ends} from (select z0, z1, {y.replace('@', 'z0')} as y0, {y.replace('@', 'z1')} as y1 from steps))"
 
 
 _XS, _YS = cosmo.inverse_table(lambda z: 4000 * z / (1 + 0.3 * z), 0.0, 3.0, 40)
 
 
-@query(f"with {_segments(_YS, _XS)}, d as (select distinct p_size * 50.0 as d from part) select d, round(min(p + (q - p) * (d - a) / (b - a)), 6) as z from d left join seg on d between a and b group by d")
+@query(f"with {_segments('4000 * @ / (1 + 0.3 * @)', 40, True)}, d as (select distinct p_size * 50.0 as d from part) select d, round(min(p + (q - p) * (d - a) / (b - a)), 6) as z from d left join seg on d between a and b group by d")
 def inverse_lookup(spark, sf_dir):
     d = table(spark, sf_dir, "part").select((F.col("p_size") * 50.0).alias("d")).distinct()
     return d.withColumn("z", r(cosmo.interpolate(F.col("d"), _YS, _XS)))
 
 
-@query(f"with {_segments(_XS, _YS)}, d as (select distinct p_size / 20.0 as z from part) select z, round(min(p + (q - p) * (z - a) / (b - a)), 4) as d from d left join seg on z between a and b group by z")
+@query(f"with {_segments('4000 * @ / (1 + 0.3 * @)', 40, False)}, d as (select distinct p_size / 20.0 as z from part) select z, round(min(p + (q - p) * (z - a) / (b - a)), 4) as d from d left join seg on z between a and b group by z")
 def distance_lookup(spark, sf_dir):
     z = table(spark, sf_dir, "part").select((F.col("p_size") / 20.0).alias("z")).distinct()
     return z.withColumn("d", r(cosmo.interpolate(F.col("z"), _XS, _YS), 4))
 
 
 _LD, _LZ = angular.distance_table(cosmo.Cosmology(), 3.0)
+_TRAPEZOIDS = (
+    "te as (select i, 3.0 * i / 199 as z, 1 / sqrt(0.274 * power(1 + 3.0 * i / 199, 3) + 0.726) as e from generate_series(0, 199) as g(i)), "
+    f"td as (select i, z, coalesce(sum((e + le) / 2 * (z - lz)) over (order by i), 0) * {_C} / 70.2 as d from (select *, lag(e) over (order by i) as le, lag(z) over (order by i) as lz from te)), "
+    "seg as (select * from (select lag(d) over (order by i) as a, d as b, lag(z) over (order by i) as p, z as q from td) where a is not null)"
+)
 
 
-@query(f"with {_segments(_LD, _LZ)}, d as (select distinct p_size * 60.0 as d from part) select d, round(min(p + (q - p) * (d - a) / (b - a)), 6) as z from d left join seg on d between a and b group by d")
+@query(f"with {_TRAPEZOIDS}, d as (select distinct p_size * 60.0 as d from part) select d, round(min(p + (q - p) * (d - a) / (b - a)), 6) as z from d left join seg on d between a and b group by d")
 def redshift_of_distance(spark, sf_dir):
     d = table(spark, sf_dir, "part").select((F.col("p_size") * 60.0).alias("d")).distinct()
     return d.withColumn("z", r(cosmo.interpolate(F.col("d"), _LD, _LZ)))
