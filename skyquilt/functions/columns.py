@@ -67,8 +67,8 @@ def seconds_2000(ts: Column) -> Column:
 
 
 def time_text(seconds: Column) -> Column:
-    """Text of seconds since 2000-01-01, to hundredths, cut not rounded."""
-    stamp = F.timestamp_micros(F.floor(seconds * 1e6).cast("long") + EPOCH_2000 * 1_000_000)
+    """Text of seconds since 2000-01-01, to hundredths, cut not rounded. A double holds whole microseconds only nearly, so the nearest is taken."""
+    stamp = F.timestamp_micros(F.rint(seconds * 1e6).cast("long") + EPOCH_2000 * 1_000_000)
     return F.substring(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SS"), 1, 22)
 
 

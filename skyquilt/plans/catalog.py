@@ -548,7 +548,9 @@ def series_power_spectrum(spark, sf_dir):
 @query("select event_id, round(epoch_us(ts) / 1000000.0 - 946684800, 2) as seconds, substr(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 1, 22) as text, round(fmod(fmod(280.46061837 + ((epoch_us(ts) / 1000000.0 - 946684800) - 43200) / 86400 * 360.98564736629 - 79.83983, 360) + 360, 360), 4) as lst from events")
 def time_codec(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", r(C.seconds_2000(F.col("ts")), 2).alias("seconds"), C.time_text(C.seconds_2000(F.col("ts"))).alias("text"), r(C.sidereal_degrees(F.col("ts")), 4).alias("lst"))
+    # Ties are rounded as the SQL does, on the product with 100: seconds since 2000 carry the error of a larger number.
+    seconds = F.round(C.seconds_2000(F.col("ts")) * 100) / 100
+    return e.select("event_id", seconds.alias("seconds"), C.time_text(C.seconds_2000(F.col("ts"))).alias("text"), r(C.sidereal_degrees(F.col("ts")), 4).alias("lst"))
 
 
 @query("select event_id, case event_id % 4 when 0 then 'I' when 1 then 'XX' when 2 then 'YY' else 'RL' end as name from events")
