@@ -2,6 +2,7 @@
 
 A model is written over ``Dual`` columns, which carry their derivatives, so its Jacobian is exact and stays in the
 engine. A step sums J'J, J'r and r'r by key, with partial sums in every task; what is kept between steps is one row a key.
+Samples that a model cannot tell apart enter the steps as few rows (``condensed``), so all samples are read once.
 """
 
 from __future__ import annotations
@@ -103,15 +104,57 @@ def _covariance(a: pd.Series) -> pd.Series:
     return pd.Series([one(m) for m in a])
 
 
-def least_squares(stage: Callable[[DataFrame], DataFrame], rows: DataFrame, keys: list[str], model: Callable[[list[Dual]], Dual], start: list[Column | float], *, weight: str | None = None, close: float = 1e-10) -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _root(a: pd.Series) -> pd.Series:
+    """Rows R with R'R = A of a matrix A without negative eigenvalues."""
+
+    def one(m):
+        m = np.array(m, float)
+        n = int(len(m) ** 0.5)
+        m = m.reshape(n, n)
+        scale = np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0))
+        e, v = np.linalg.eigh(m / np.outer(scale, scale))
+        return (np.sqrt(np.maximum(e, 0))[:, None] * v.T * scale).tolist()
+
+    return pd.Series([one(m) for m in a])
+
+
+def condensed(rows: DataFrame, keys: list[str], by: list[str], linear: list[str] | None = None) -> DataFrame:
+    """(keys, by, linear, value, _weight, _n, _apart): rows whose sums of w r^2, plus ``_apart``, are those of ``rows`` (with ``_weight``) for all parameters.
+
+    ``by`` are the columns that the model reads. Equal ones become one row, the mean, with what stands apart from it.
+    With ``linear``, the model is a sum of these columns by coefficients of parameters and ``by``; then a group becomes
+    as many rows as there are such columns and one more, a root of the sums of their products and of the value.
+    """
+    if not linear:
+        one = rows.groupBy(*keys, *by, "_weight").agg(F.avg("value").alias("value"), F.count("*").alias("_n"), F.var_pop("value").alias("_var"))
+        return one.select(*keys, *by, "value", (F.col("_weight") * F.col("_n")).alias("_weight"), "_n", (F.col("_weight") * F.col("_n") * F.col("_var")).alias("_apart"))
+    names = [*linear, "value"]
+    m = len(names)
+    # A sample without one of the columns counts, but has no residual.
+    whole = F.col(names[0]).isNotNull()
+    for c in names[1:]:
+        whole = whole & F.col(c).isNotNull()
+    sums = rows.groupBy(*keys, *by).agg(*[F.sum(F.when(whole, F.col("_weight") * F.col(names[a]) * F.col(names[b]))).alias(f"_s{a}_{b}") for a in range(m) for b in range(a, m)], F.count("*").alias("_n"))
+    root = _root(F.array(*[F.coalesce(f"_s{min(a, b)}_{max(a, b)}", F.lit(0.0)) for a in range(m) for b in range(m)]))
+    row = sums.select(*keys, *by, "_n", F.posexplode(root).alias("_k", "_row"))
+    return row.select(*keys, *by, *[F.col("_row")[k].alias(c) for k, c in enumerate(names)], F.lit(1.0).alias("_weight"), F.when(F.col("_k") == 0, F.col("_n")).otherwise(0).alias("_n"), F.lit(0.0).alias("_apart"))
+
+
+def least_squares(stage: Callable[[DataFrame], DataFrame], rows: DataFrame, keys: list[str], model: Callable[[list[Dual]], Dual], start: list[Column | float], *, weight: str | None = None, close: float = 1e-10, by: list[str] | None = None, linear: list[str] | None = None) -> DataFrame:
     """(keys, parameters, covariance, chi2, dof, gradient, settled): the fit of ``value`` by ``model`` over parameters that begin at ``start``.
 
     ``start`` may use the keys. ``weight`` is an inverse variance; without one the covariance is scaled by chi2 / dof.
     Rows without value take no part. Steps that make chi2 larger are taken back and damped ten times as much.
     ``gradient`` is the largest part of J'r over the roots of J'J's diagonal and of chi2, which a minimum brings to 0.
+    With ``by``, all columns that the model reads, and ``linear`` the steps run over ``condensed`` rows.
     """
     n = len(start)
     rows = rows.where("value is not null").withColumn("_weight", F.col(weight) if weight else F.lit(1.0))
+    if by is not None:
+        rows = stage(condensed(rows, keys, by, linear))
+    else:
+        rows = rows.withColumn("_n", F.lit(1)).withColumn("_apart", F.lit(0.0))
     first = F.array(*[F.lit(s).cast("double") if isinstance(s, (int, float)) else s.cast("double") for s in start])
     none = F.lit(None).cast("array<double>")
     state = stage(rows.select(*keys).distinct().select(*keys, first.alias("trial"), none.alias("best"), none.alias("a"), none.alias("y"), F.lit(float("inf")).alias("chi2"), F.lit(0).cast("long").alias("n"), F.lit(1e-3).alias("damping"), F.lit(False).alias("settled")))
@@ -120,10 +163,10 @@ def least_squares(stage: Callable[[DataFrame], DataFrame], rows: DataFrame, keys
     for _ in range(MOST_STEPS):
         open_ = state.where("not settled").select(*keys, "trial")
         bound = rows.join(small(open_), keys)
-        bound = bound.select(*keys, "_weight", (F.col("value") - fitted.value).alias("_r"), *[fitted.slope.get(k, F.lit(0.0)).alias(f"_j{k}") for k in range(n)])
+        bound = bound.select(*keys, "_weight", F.col("_n").alias("_m"), "_apart", (F.col("value") - fitted.value).alias("_r"), *[fitted.slope.get(k, F.lit(0.0)).alias(f"_j{k}") for k in range(n)])
         w, j = F.col("_weight"), [F.col(f"_j{k}") for k in range(n)]
         upper = {(a, b): F.sum(w * j[a] * j[b]).alias(f"_a{a}_{b}") for a in range(n) for b in range(a, n)}
-        sums = bound.groupBy(*keys).agg(*upper.values(), *[F.sum(w * j[k] * F.col("_r")).alias(f"_y{k}") for k in range(n)], F.sum(w * F.col("_r") ** 2).alias("_chi2"), F.count("*").alias("_n"))
+        sums = bound.groupBy(*keys).agg(*upper.values(), *[F.sum(w * j[k] * F.col("_r")).alias(f"_y{k}") for k in range(n)], F.sum(w * F.col("_r") ** 2 + F.col("_apart")).alias("_chi2"), F.sum("_m").alias("_n"))
         sums = sums.select(*keys, F.array(*[F.col(f"_a{min(a, b)}_{max(a, b)}") for a in range(n) for b in range(n)]).alias("_a"), F.array(*[F.col(f"_y{k}") for k in range(n)]).alias("_y"), "_chi2", "_n")
         now = state.join(sums, keys, "left")
         better = ~F.col("settled") & (F.col("_chi2") < F.col("chi2"))
@@ -152,23 +195,27 @@ MUELLER = ("gain_difference", "alpha", "psi", "phi", "epsilon", "q_source", "u_s
 
 
 def mueller_model(stokes: Column, theta: Column) -> Callable[[list[Dual]], Dual]:
-    """Measured Q, U and V over I (``stokes`` is 1, 2 or 3) of a source at the parallactic angle ``theta``; ``stokes`` 0 is the source's U over Q.
+    """Measured Q, U and V over I (``stokes`` is 1, 2 or 3) of a source at the parallactic angle ``theta``; ``stokes`` 0 is the source's U over Q."""
+    return mueller_sums(stokes, F.lit(1.0), F.cos(2 * theta), F.sin(2 * theta))
+
+
+def mueller_sums(stokes: Column, one: Column, c: Column, s: Column) -> Callable[[list[Dual]], Dual]:
+    """``mueller_model``, which is linear in 1, cos(2 theta) and sin(2 theta), over sums of these.
 
     The receiver turns the source's polarisation, seen at the angle, by alpha and chi, its cross products by psi, and
     adds the gain difference and the cross-coupling epsilon at the phase phi.
     """
-    c, s = F.cos(2 * theta), F.sin(2 * theta)
 
     def model(p: list[Dual]) -> Dual:
         gain, alpha, psi, phi, eps, q0, u0, chi = p
         q, u = q0 * c + u0 * s, u0 * c - q0 * s
         ca, sa = alpha.cos(), alpha.sin()
         c2, s2 = ca * ca - sa * sa, 2 * sa * ca
-        first = 0.5 * gain + c2 * q + s2 * chi.cos() * u
+        first = 0.5 * gain * one + c2 * q + s2 * chi.cos() * u
         twice = psi + 2 * chi
-        second = 2 * eps * (psi + phi).cos() - s2 * (psi + chi).cos() * q + (ca * ca * psi.cos() - sa * sa * twice.cos()) * u
-        third = 2 * eps * (psi + phi).sin() - s2 * (psi + chi).sin() * q + (ca * ca * psi.sin() - sa * sa * twice.sin()) * u
-        return choose([(stokes == 1, first), (stokes == 2, second), (stokes == 3, third), (stokes == 0, u0.over(q0))])
+        second = 2 * eps * (psi + phi).cos() * one - s2 * (psi + chi).cos() * q + (ca * ca * psi.cos() - sa * sa * twice.cos()) * u
+        third = 2 * eps * (psi + phi).sin() * one - s2 * (psi + chi).sin() * q + (ca * ca * psi.sin() - sa * sa * twice.sin()) * u
+        return choose([(stokes == 1, first), (stokes == 2, second), (stokes == 3, third), (stokes == 0, u0.over(q0) * one)])
 
     return model
 
@@ -181,7 +228,9 @@ def fit_mueller(stage: Callable[[DataFrame], DataFrame], rows: DataFrame, keys:
     """
     known = rows.select(*keys).distinct().select(*keys, F.lit(0.0).alias("theta"), F.lit(0).alias("stokes"), F.lit(float(np.tan(2 * position_angle))).alias("value"))
     every = rows.select(*keys, "theta", F.col("stokes").cast("int").alias("stokes"), "value").unionByName(known)
-    out = least_squares(stage, every, keys, mueller_model(F.col("stokes"), F.col("theta")), start)
+    terms = {"_one": F.when(F.col("theta").isNotNull(), 1.0), "_c": F.cos(2 * F.col("theta")), "_s": F.sin(2 * F.col("theta"))}
+    every = every.select(*keys, "stokes", "value", *[c.alias(n) for n, c in terms.items()])
+    out = least_squares(stage, every, keys, mueller_sums(F.col("stokes"), *[F.col(n) for n in terms]), start, by=["stokes"], linear=list(terms))
     angles = [k in (1, 2, 3, 7) for k in range(8)]
     turn = lambda x: F.pmod(x + np.pi, F.lit(2 * np.pi)) - np.pi
     p = F.array(*[turn(F.col("parameters")[k]) if a else F.col("parameters")[k] for k, a in enumerate(angles)])
@@ -228,5 +277,5 @@ def beam_model(x: Column, y: Column, yy: Column) -> Callable[[list[Dual]], Dual]
 def fit_beam(stage: Callable[[DataFrame], DataFrame], rows: DataFrame, keys: list[str], start: list[Column | float], *, weight: str | None = None) -> DataFrame:
     """The seven parameters of each key's beam from samples (keys, x, y, pol, value) about the source; of the polarisations XX and YY are used."""
     used = rows.where(F.col("pol").isin("XX", "YY"))
-    out = least_squares(stage, used, keys, beam_model(F.col("x"), F.col("y"), F.col("pol") == "YY"), start, weight=weight)
+    out = least_squares(stage, used, keys, beam_model(F.col("x"), F.col("y"), F.col("pol") == "YY"), start, weight=weight, by=["x", "y", "pol"])
     return out.withColumn("parameters", F.transform("parameters", lambda v, k: F.when(k == 2, F.abs(v)).otherwise(v)))
