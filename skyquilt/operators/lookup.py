@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -161,19 +163,56 @@ def differential_gain(rows: DataFrame, gains: DataFrame, keys: list[str]) -> Dat
     return rows.join(small(gains), keys, "left").withColumn("value", F.col("value") * by).drop("gx", "gy")
 
 
-def nearest_on_sky(points: DataFrame, table: DataFrame, key: str, value: str, within: float) -> DataFrame:
+#: Table places that a cell of the finest grid of ``nearest_on_sky`` holds, unless cells would be narrower than its last level.
+CELL_PLACES = 16
+#: Grids of ``nearest_on_sky``; each one's cells are a quarter as wide as those of the one before.
+SKY_LEVELS = 7
+
+
+def nearest_on_sky(stage: Callable[[DataFrame], DataFrame], points: DataFrame, table: DataFrame, value: str, within: float) -> DataFrame:
     """The ``value`` of the nearest table row (ra, dec in degrees) within an angle of each point; null without one.
 
-    Both sides meet by declination stripe as wide as the angle, so no point is compared with the whole sky.
+    Of rows equally near, that with the smallest ra, then dec, counts, and of rows at one place the smallest value.
+    Both sides are brought to distinct places first. Places meet by cubic cells about the directions' unit vectors,
+    which have no poles: a point looks into its own cell and those next to it. It begins in the finest grid; one that
+    finds nothing as near as a cell is wide goes on to cells four times as wide, the last as wide as the angle.
     """
-    stripe = lambda c: F.floor(c / within).cast("int")
-    t = table.select(F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), F.col(value), F.explode(F.array(*[stripe(F.col("dec")) + k for k in (-1, 0, 1)])).alias("_s"))
+    widest = 2 * math.sin(math.radians(within) / 2) * (1 + 1e-9)
+    place = ["ra", "dec"]
+    finite = (F.abs("ra") < float("inf")) & (F.abs("dec") < float("inf"))
     a, b = F.radians("dec"), F.radians("_dec")
     cosine = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(F.col("ra") - F.col("_ra")))
     angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
-    met = points.select(key, "ra", "dec", stripe(F.col("dec")).alias("_s")).join(t, "_s").withColumn("_a", angle).where(F.col("_a") <= within)
-    near = met.groupBy(key).agg(F.min_by(value, F.struct("_a", "_ra", "_dec")).alias(value))
-    return points.join(near, key, "left")
+
+    def cell(width: Column | float, ra: Column, dec: Column) -> list[Column]:
+        d, r = F.radians(dec), F.radians(ra)
+        return [F.floor(x / width).cast("long") for x in (F.cos(d) * F.cos(r), F.cos(d) * F.sin(r), F.sin(d))]
+
+    rows = stage(table.where(finite).groupBy(F.col("ra").alias("_ra"), F.col("dec").alias("_dec")).agg(F.min(value).alias(value)))
+    open_ = stage(points.select(*place).where(finite).distinct())
+    width = F.lit(widest) / F.pow(F.lit(4.0), F.col("_level"))
+    levels = rows.select("_ra", "_dec", F.explode(F.sequence(F.lit(0), F.lit(SKY_LEVELS - 1))).alias("_level"))
+    full = levels.groupBy("_level", *[c.alias(f"_{k}") for k, c in enumerate(cell(width, F.col("_ra"), F.col("_dec")))]).count().groupBy("_level").agg(F.max("count").alias("n")).collect()
+    found = []
+    for level in range(min([x["_level"] for x in full if x["n"] <= CELL_PLACES], default=SKY_LEVELS - 1), -1, -1):
+        wide = widest / 4**level
+        t = rows.select("*", F.array(*cell(wide, F.col("_ra"), F.col("_dec"))).alias("_cell"))
+        shifts = [[F.lit(x) for x in shift] for shift in product((-1, 0, 1), repeat=3)]
+        near = F.array(*[F.array(*[c + k for c, k in zip(cell(wide, F.col("ra"), F.col("dec")), shift)]) for shift in shifts])
+        met = open_.select(*place, F.explode(near).alias("_cell")).join(t, "_cell").withColumn("_a", angle).where(F.col("_a") <= within)
+        best = met.groupBy(*place).agg(F.min(F.struct("_a", "_ra", "_dec", value)).alias("_best"))
+        # Angles from their cosines are good to some 1e-6 degrees.
+        sure = math.degrees(2 * math.asin(wide / 2)) - 1e-5 if level else within
+        done = stage(best.where(F.col("_best._a") <= sure).select(*place, F.col(f"_best.{value}").alias(value)))
+        found.append(done)
+        if level:
+            open_ = stage(open_.join(done, place, "left_anti"))
+            if open_.isEmpty():
+                break
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    return points.join(small(every), place, "left").select(*points.columns, value)
 
 
 def restore_fields(processed: DataFrame, raw: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from skyquilt.functions import columns as C
 from skyquilt.functions import cosmology as cosmo
 from skyquilt.operators import angular, fits, lineage, lookup, maps, modes, noise, spectra
 from skyquilt.operators import timestream as ts
+from skyquilt.sources import fits as files
 
 from .catalog import GRID, HOURLY, ORACLE, SAMPLES, SPEC, STREAM, TRIALS, grid, hourly, query, r, samples, spectra_rows, stream_rows, table, trials
 
@@ -233,7 +234,7 @@ _SKY = "t as (select s_suppkey, s_suppkey * 37 % 360 + 0.25 as ra, s_suppkey * 1
 def nearest_rotation_measure(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 37 % 360 + 0.25).alias("ra"), (F.col("s_suppkey") * 11 % 60 - 30.0).alias("dec"), F.col("s_acctbal").alias("rm"))
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 53 % 360 + 0.75).alias("ra"), (F.col("c_custkey") * 17 % 60 - 29.5).alias("dec"))
-    return lookup.nearest_on_sky(c, s, "c_custkey", "rm", 10.0).select("c_custkey", "rm")
+    return lookup.nearest_on_sky(files.stager(spark, "nearest"), c, s, "rm", 10.0).select("c_custkey", "rm")
 
 
 @query("select o_orderkey, o_totalprice, o_orderpriority from orders where o_orderkey in (select l_orderkey from lineitem)")
