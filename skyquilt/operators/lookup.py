@@ -20,10 +20,10 @@ def small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def stencil(position: dict[str, Column], kind: str) -> Column:
-    """Array of (pixel of each axis, weight) from fractional pixel positions: 1, 2^n or 4^n neighbours."""
+def neighbours(position: dict[str, Column], kind: str) -> list[tuple[dict[str, Column], Column]]:
+    """Pixel of each axis and weight of 1, 2^n or 4^n neighbours of a fractional pixel position."""
     if kind == "nearest":
-        return F.array(F.struct(*[F.rint(p).cast("int").alias(a) for a, p in position.items()], F.lit(1.0).alias("weight")))
+        return [({a: F.rint(p).cast("int") for a, p in position.items()}, F.lit(1.0))]
     steps = (0, 1) if kind == "linear" else (-1, 0, 1, 2)
     out = []
     for shift in product(steps, repeat=len(position)):
@@ -31,8 +31,38 @@ def stencil(position: dict[str, Column], kind: str) -> Column:
         for k, p in zip(shift, position.values()):
             s = p - (F.floor(p) + k)
             weight = weight * (1 - F.abs(s) if kind == "linear" else keys_weight(s))
-        out.append(F.struct(*[(F.floor(p) + k).cast("int").alias(a) for k, (a, p) in zip(shift, position.items())], weight.alias("weight")))
-    return F.array(*out)
+        out.append(({a: (F.floor(p) + k).cast("int") for k, (a, p) in zip(shift, position.items())}, weight))
+    return out
+
+
+def stencil(position: dict[str, Column], kind: str) -> Column:
+    """Array of (pixel of each axis, weight) of ``neighbours``."""
+    return F.array(*[F.struct(*[c.alias(a) for a, c in at.items()], w.alias("weight")) for at, w in neighbours(position, kind)])
+
+
+#: Pixels up to which a map is sent to all tasks, and those of them that a sample may have to choose from.
+SMALL_MAP, SMALL_ROW = 50_000, 64
+
+
+def is_small_map(grid: DataFrame, also: list[str]) -> bool:
+    """Whether a map fits ``at_small_map``; its pixels are counted by the columns that samples and map share."""
+    n = grid.groupBy(*also).count().agg(F.sum("count"), F.max("count")).first()
+    return (n[0] or 0) <= SMALL_MAP and (n[1] or 0) <= SMALL_ROW
+
+
+def at_small_map(samples: DataFrame, grid: DataFrame, position: dict[str, Column], kind: str, also: list[str]) -> DataFrame:
+    """Samples with ``map_value`` and ``_touched``, whether a pixel has weight. Neither samples nor their neighbours are exchanged, sorted or grouped."""
+    pixel = F.struct(*[F.col(a).cast("int").alias(a) for a in position])
+    pixels = grid.groupBy(*also).agg(F.map_from_entries(F.collect_list(F.struct(pixel, F.col("value").cast("double")))).alias("_map"))
+    joined = samples.join(F.broadcast(pixels), also, "left") if also else samples.crossJoin(F.broadcast(pixels))
+    total, touched = F.lit(0.0), F.lit(False)
+    for at, weight in neighbours(position, kind):
+        # A pixel that is missing or masked makes the sum null if it has weight.
+        value = F.try_element_at(F.col("_map"), F.struct(*[c.alias(a) for a, c in at.items()]))
+        has = F.coalesce(weight != 0, F.lit(False))
+        total = total + F.when(has, weight * value).otherwise(0.0)
+        touched = touched | has
+    return joined.withColumns({"map_value": F.when(touched, total), "_touched": touched}).select(*samples.columns, "map_value", "_touched")
 
 
 def lookup_map(samples: DataFrame, grid: DataFrame, keys: list[str], position: dict[str, Column], kind: str = "nearest", also: list[str] | None = None) -> DataFrame:
@@ -41,6 +71,8 @@ def lookup_map(samples: DataFrame, grid: DataFrame, keys: list[str], position: d
     ``keys`` identify a sample; ``also`` are columns that sample and map share, such as the channel.
     """
     also = also or []
+    if is_small_map(grid, also):
+        return at_small_map(samples, grid, position, kind, also).where("_touched").select(*keys, "map_value")
     spread = samples.select(*keys, *[c for c in also if c not in keys], F.explode(stencil(position, kind)).alias("s")).select("*", "s.*").drop("s").where("weight <> 0")
     joined = spread.join(grid.select(*also, *position, F.col("value").alias("_v")), [*also, *position], "left")
     return joined.groupBy(*keys).agg(F.when(F.count("_v") == F.count("*"), F.sum(F.col("weight") * F.col("_v"))).alias("map_value"))
@@ -48,6 +80,8 @@ def lookup_map(samples: DataFrame, grid: DataFrame, keys: list[str], position: d
 
 def subtract_map(samples: DataFrame, grid: DataFrame, keys: list[str], position: dict[str, Column], kind: str = "nearest", also: list[str] | None = None) -> DataFrame:
     """Samples less the map; those that the map does not cover are masked."""
+    if is_small_map(grid, also or []):
+        return at_small_map(samples, grid, position, kind, also or []).withColumn("value", F.col("value") - F.col("map_value")).drop("map_value", "_touched")
     return samples.join(lookup_map(samples, grid, keys, position, kind, also), keys, "left").withColumn("value", F.col("value") - F.col("map_value")).drop("map_value")
 
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skyquilt.operators import lookup
@@ -13,6 +14,25 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("kind", ["nearest", "linear", "cubic"])
+def test_small_maps_reach_samples_without_exchange(spark, monkeypatch, kind):
+    rng = np.random.default_rng(1)
+    pixels = [(c, i, None if (c, i) == (1, 5) else float(rng.normal())) for c in range(3) for i in range(9) if (c, i) != (2, 3)]
+    grid = spark.createDataFrame(pixels, "chan int, ri int, value double")
+    rows = [(k, int(rng.integers(0, 4)), float(rng.integers(-4, 44)) / 4, float(rng.normal())) for k in range(300)] + [(300, 1, None, 1.0)]
+    s = spark.createDataFrame(rows, "id int, chan int, x double, value double")
+    args = s, grid, ["id", "chan"], {"ri": F.col("x")}, kind, ["chan"]
+    near, less = lookup.lookup_map(*args), lookup.subtract_map(*args)
+    for df in (near, less):
+        assert "SortMergeJoin" not in plan(df) and "hashpartitioning(id" not in plan(df)
+    monkeypatch.setattr(lookup, "SMALL_MAP", -1)
+    for a, b in ((near, lookup.lookup_map(*args)), (less, lookup.subtract_map(*args))):
+        got, want = ({r.id: tuple(r) for r in df.select(a.columns).collect()} for df in (a, b))
+        assert got.keys() == want.keys()
+        for k, row in want.items():
+            assert all(x == y or (x is not None and y is not None and abs(x - y) < 1e-12) for x, y in zip(got[k], row)), (got[k], row)
+
+
 def test_nearest_on_sky_equals_all_pairs(spark):
     rng = np.random.default_rng(2)
     sky = lambda n: np.stack([rng.uniform(0, 360, n), np.degrees(np.arcsin(rng.uniform(-1, 1, n)))], 1).tolist()
