@@ -220,8 +220,11 @@ def weight_stream(samples: DataFrame, keys: list[str], model: NoiseModel, n_chan
     """(keys, scan, chan, t, p, nd, noise_inv): every sample over the scan's noise, and the diagonal of the inverse noise.
 
     A (keys, scan) block is one task's; times are whole numbers, channels 0 to ``n_chan`` - 1; samples that
-    a block lacks are masked.
+    a block lacks are masked. Without any mode samples do not act on each other, and no task holds a block.
     """
+    if not (model.time_modes or model.frequency_modes or model.low or model.common):
+        plain = thermal_weights(samples).withColumn("nd", F.col("w") * F.coalesce("value", F.lit(0.0)))
+        return plain.select(*keys, "scan", F.col("chan").cast("int").alias("chan"), F.col("t").cast("long").alias("t"), F.col("p").cast("long").alias("p"), "nd", F.col("w").alias("noise_inv"))
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in [*keys, "scan"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

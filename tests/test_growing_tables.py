@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyquilt.operators import lookup
+from skyquilt.operators import lookup, noise_model
 from skyquilt.sources import fits as files
 
 
@@ -52,3 +52,10 @@ def test_nearest_on_sky_equals_all_pairs(spark):
         seen = [x for x in seen if x[0] <= 10]
         assert got.pop(k) == (min(seen)[3] if seen else None), k
     assert not got
+
+
+def test_samples_without_modes_need_no_group(spark):
+    s = spark.createDataFrame([(1, 0, 3, 5, 2.0, 0.5), (1, 1, 3, 6, None, 0.5)], "scan int, chan int, t long, p long, value double, var double")
+    out = noise_model.weight_stream(s, [], noise_model.NoiseModel(time_modes=0), 2)
+    assert "InPandas" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 3, 5, 4.0, 2.0), (1, 1, 3, 6, 0.0, 0.0)]
