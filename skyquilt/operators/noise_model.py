@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import small
 from .spectra import over_f_spectrum
 
 #: Variance that stands for infinity, that of modes to be ignored, and the least one that is believed.
@@ -82,10 +83,10 @@ def dirty_and_inverse(weighted: DataFrame, keys: list[str]) -> tuple[DataFrame,
 def deweight_frequency(samples: DataFrame, keys: list[str], mode: DataFrame, big: float = HUGE) -> DataFrame:
     """Adds ``nd`` where one mode over channels (chan, f) has an unknown amplitude at every time of a scan: two sums for each time."""
     by = [*keys, "scan", "t"]
-    rows = thermal_weights(samples).join(mode, "chan")
+    rows = thermal_weights(samples).join(small(mode), "chan")
     w, d, f = F.col("w"), F.coalesce("value", F.lit(0.0)), F.col("f")
     sums = rows.groupBy(*by).agg(F.sum(w * f * d).alias("_m"), F.sum(w * f * f).alias("_g"))
-    return rows.join(sums, by).withColumn("nd", w * (d - f * F.col("_m") / (F.col("_g") + 1 / big))).drop("_m", "_g")
+    return rows.join(small(sums), by).withColumn("nd", w * (d - f * F.col("_m") / (F.col("_g") + 1 / big))).drop("_m", "_g")
 
 
 def over_f_correlation(amp: float, index: float, f0: float, dt: float, n_lags: int) -> np.ndarray:

@@ -59,3 +59,12 @@ def test_samples_without_modes_need_no_group(spark):
     out = noise_model.weight_stream(s, [], noise_model.NoiseModel(time_modes=0), 2)
     assert "InPandas" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [(1, 0, 3, 5, 4.0, 2.0), (1, 1, 3, 6, 0.0, 0.0)]
+
+
+def test_a_mode_over_channels_sorts_no_samples(spark):
+    s = spark.range(40).select((F.col("id") % 2).alias("scan"), F.floor(F.col("id") / 4).alias("t"), F.when(F.floor(F.col("id") / 2) % 2 == 0, "a").otherwise("b").alias("chan"), F.lit(1.0).alias("var"), F.col("id").cast("double").alias("value"))
+    mode = spark.createDataFrame([("a", 1.0), ("b", 0.5)], "chan string, f double")
+    out = noise_model.deweight_frequency(s, [], mode, big=1e12)
+    assert "SortMergeJoin" not in plan(out)
+    left = out.groupBy("scan", "t").agg(F.sum(F.col("f") * F.col("nd")).alias("x")).collect()
+    assert len(left) == 20 and all(abs(r.x) < 1e-9 for r in left)
