@@ -4,8 +4,8 @@ Samples are rows (scan, chan, t, p, value, var) of one polarisation and band, wi
 is spread over several pixels. The unknowns are the (chan, p) that data touch, numbered by channel and pixel, so that a
 block of rows is a stretch of the sky in one channel. A scan's noise is thermal noise and modes (``NoiseModel``), so
 its share of the inverse covariance is P' W P - B B' with B of as many columns as the scan has mode amplitudes. B is
-cut into blocks of rows; blocks of one scan meet and their products are summed tile by tile in each task. No list
-of pixel pairs is made, and a task holds one scan's B, or a bounded number of tiles.
+cut into blocks of rows, whose products are summed tile by tile over all scans of a task, so neither B nor a list of
+pixel pairs is kept or exchanged. A task holds one scan's B and a bounded number of tiles.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,86 +46,102 @@ def pointed(samples: DataFrame, rows: DataFrame) -> DataFrame:
     return thermal_weights(samples.withColumn("weight", weight)).join(rows, ["chan", "p"], "left").select("scan", "chan", "t", "row", "weight", "value", "w")
 
 
-def scan_factors(placed: DataFrame, model: NoiseModel, n_chan: int, side: int) -> DataFrame:
-    """(scan, i, at, rank, factor, dirty): of each scan and block of rows the scan's B and its share of the dirty map.
-
-    ``at`` are places within the block, ``factor`` the rows of B there. Channels are 0 to ``n_chan`` - 1.
-    """
-    kind = placed.schema["scan"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, at = np.unique(pdf["t"].to_numpy(), return_inverse=True)
-        if n_chan * model.time_modes + len(t) * (len(model.frequency_modes) + (model.common is not None)) > MOST_AMPLITUDES:
-            raise ValueError(f"scan {pdf['scan'].iloc[0]} has more than {MOST_AMPLITUDES} mode amplitudes: cut it")
-        chan = pdf["chan"].to_numpy()
-        w, d = np.zeros((n_chan, len(t))), np.zeros((n_chan, len(t)))
-        w[chan, at], d[chan, at] = pdf["w"], pdf["value"].fillna(0)
-        u, f, core = scan_core(model, t.astype(float), w)
-        good = (pdf["row"].notna() & (pdf["w"] > 0)).to_numpy()
-        row, cell = np.unique(pdf["row"].to_numpy()[good].astype(np.int64), return_inverse=True)
-        c, k, weight = chan[good], at[good], pdf["weight"].to_numpy()[good]
-        seen = np.zeros((len(row), len(core)))
-        for m in range(len(u)):
-            np.add.at(seen, (cell, c * len(u) + m), weight * w[c, k] * u[m, k])
-        for m in range(len(f)):
-            np.add.at(seen, (cell, n_chan * len(u) + m * len(t) + k), weight * w[c, k] * f[m, c])
-        if len(core):
-            half = np.linalg.cholesky(core)
-            seen = np.linalg.solve(half, seen.T).T
-            inverse = np.linalg.inv(core)
-        else:
-            inverse = core
-        dirty = np.bincount(cell, weight * weighed(u, f, inverse, w, d)[c, k], len(row))
-        block = row // side
-        out = []
-        for i in np.unique(block).tolist():
-            x = block == i
-            out.append((pdf["scan"].iloc[0], i, (row[x] % side).tolist(), len(core), seen[x].tobytes(), dirty[x].tolist()))
-        return pd.DataFrame(out, columns=["scan", "i", "at", "rank", "factor", "dirty"])
-
-    return placed.groupBy("scan").applyInPandas(run, f"scan {kind}, i int, at array<int>, rank int, factor binary, dirty array<double>")
-
-
-def dirty_map(factors: DataFrame, side: int) -> DataFrame:
-    """(row, dirty): P' N^-1 d."""
-    long = factors.select("i", F.explode(F.arrays_zip("at", "dirty")).alias("s"))
-    return long.groupBy((F.col("i").cast("long") * side + F.col("s.at")).alias("row")).agg(F.sum("s.dirty").alias("dirty"))
+def _scans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole scans of rows that are sorted by scan."""
+    rest: list[pd.DataFrame] = []
+    for pdf in frames:
+        scan = pdf["scan"].to_numpy()
+        if not len(scan):
+            continue
+        cuts = [0, *(np.flatnonzero(scan[1:] != scan[:-1]) + 1).tolist(), len(scan)]
+        for a, b in zip(cuts, cuts[1:]):
+            if rest and rest[0]["scan"].iloc[0] != scan[a]:
+                yield pd.concat(rest) if len(rest) > 1 else rest[0]
+                rest = []
+            rest.append(pdf.iloc[a:b])
+    if rest:
+        yield pd.concat(rest) if len(rest) > 1 else rest[0]
 
 
-def thermal_entries(placed: DataFrame, prior: float) -> DataFrame:
-    """(row, col, value): P' W P, which joins only cells that one sample touches, and the prior on its diagonal."""
-    touch = placed.where("row is not null and w > 0 and weight <> 0")
-    sample = touch.groupBy("scan", "chan", "t").agg(F.first("w").alias("w"), F.collect_list(F.struct("row", "weight")).alias("s"))
-    pairs = sample.select("w", "s", F.explode("s").alias("x")).select("w", "x", F.explode("s").alias("y"))
-    cells = pairs.select(F.col("x.row").alias("row"), F.col("y.row").alias("col"), (F.col("w") * F.col("x.weight") * F.col("y.weight")).alias("value"))
-    return cells.groupBy("row", "col").agg((F.sum("value") + F.when(F.col("row") == F.col("col"), prior).otherwise(0.0)).alias("value"))
-
+def scan_factors(placed: DataFrame, model: NoiseModel, n_chan: int, side: int) -> DataFrame:
+    """(part, i, j, tile): each task's sums of P' W P - B B' over its scans, tiles with i >= j; as j = -1, parts of the dirty map.
 
-def low_rank_tiles(factors: DataFrame, side: int) -> DataFrame:
-    """(part, i, j, tile): each task's sum of -B_i B_j' over the scans that it sees, for tiles with i >= j."""
-    left = factors.select("scan", "i", F.col("at").alias("a"), "rank", F.col("factor").alias("x"))
-    right = factors.select("scan", F.col("i").alias("j"), F.col("at").alias("b"), F.col("factor").alias("y"))
-    pairs = left.join(right, "scan").where("i >= j").withColumn("part", F.spark_partition_id())
+    Channels are 0 to ``n_chan`` - 1.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int, int], np.ndarray] = {}
+        part = TaskContext.get().partitionId()
+        held: dict[tuple[int, int], np.ndarray] = {}
 
         def rows() -> pd.DataFrame:
-            out = pd.DataFrame([(*key, tile.ravel()) for key, tile in held.items()], columns=["part", "i", "j", "tile"])
+            out = pd.DataFrame([(part, i, j, tile.ravel()) for (i, j), tile in held.items()], columns=["part", "i", "j", "tile"])
             held.clear()
             return out
 
-        for pdf in frames:
-            for part, i, j, a, b, rank, x, y in zip(*(pdf[c] for c in ("part", "i", "j", "a", "b", "rank", "x", "y")), strict=True):
-                if not rank:
-                    continue
-                tile = held.setdefault((part, i, j), np.zeros((side, side)))
-                tile[np.ix_(a, b)] -= np.frombuffer(x).reshape(-1, rank) @ np.frombuffer(y).reshape(-1, rank).T
-                if len(held) * side * side > MOST_CELLS:
-                    yield rows()
+        def tile(i: int, j: int) -> np.ndarray:
+            if (i, j) not in held:
+                held[i, j] = np.zeros((side, side) if j >= 0 else side)
+            return held[i, j]
+
+        for pdf in _scans(frames):
+            t, at = np.unique(pdf["t"].to_numpy(), return_inverse=True)
+            if n_chan * model.time_modes + len(t) * (len(model.frequency_modes) + (model.common is not None)) > MOST_AMPLITUDES:
+                raise ValueError(f"scan {pdf['scan'].iloc[0]} has more than {MOST_AMPLITUDES} mode amplitudes: cut it")
+            chan = pdf["chan"].to_numpy()
+            w, d = np.zeros((n_chan, len(t))), np.zeros((n_chan, len(t)))
+            w[chan, at], d[chan, at] = pdf["w"].to_numpy(), np.nan_to_num(pdf["value"].to_numpy(float))
+            u, f, core = scan_core(model, t.astype(float), w)
+            place, weight = pdf["row"].to_numpy(float), pdf["weight"].to_numpy(float)
+            good = ~np.isnan(place) & (pdf["w"].to_numpy() > 0) & (weight != 0)
+            row, cell = np.unique(place[good].astype(np.int64), return_inverse=True)
+            c, k, weight = chan[good], at[good], weight[good]
+            block, inner = row // side, row % side
+            inverse = core
+            if len(core):
+                seen = np.zeros((len(row), len(core)))
+                for m in range(len(u)):
+                    np.add.at(seen, (cell, c * len(u) + m), weight * w[c, k] * u[m, k])
+                for m in range(len(f)):
+                    np.add.at(seen, (cell, n_chan * len(u) + m * len(t) + k), weight * w[c, k] * f[m, c])
+                seen = np.linalg.solve(np.linalg.cholesky(core), seen.T).T
+                inverse = np.linalg.inv(core)
+            dirty = np.bincount(cell, weight * weighed(u, f, inverse, w, d)[c, k], len(row))
+            edges = np.searchsorted(block, np.unique(block)).tolist() + [len(row)]
+            spans = list(zip(edges, edges[1:]))
+            for x, (a, b) in enumerate(spans):
+                i = int(block[a])
+                tile(i, -1)[inner[a:b]] += dirty[a:b]
+                for a2, b2 in spans[: x + 1] if len(core) else []:
+                    tile(i, int(block[a2]))[inner[a:b, None], inner[a2:b2]] -= seen[a:b] @ seen[a2:b2].T
+                    if len(held) * side * side > MOST_CELLS:
+                        yield rows()
+            # Thermal noise joins only cells that one sample touches: each with itself, with the next of its sample, and so on.
+            sample = c * len(t) + k
+            order = np.argsort(sample, kind="stable")
+            sample, cell, value = sample[order], cell[order], weight[order] * np.sqrt(w[c, k][order])
+            for step in range(len(sample)):
+                same = np.flatnonzero(sample[step:] == sample[: len(sample) - step])
+                if not len(same):
+                    break
+                one, two, both = cell[same], cell[same + step], value[same] * value[same + step]
+                if step:
+                    one, two, both = np.concatenate([one, two]), np.concatenate([two, one]), np.concatenate([both, both])
+                keep = block[one] >= block[two]
+                one, two, both = one[keep], two[keep], both[keep]
+                for i, j in sorted(set(zip(block[one].tolist(), block[two].tolist()))):
+                    mine = (block[one] == i) & (block[two] == j)
+                    np.add.at(tile(i, j), (inner[one[mine]], inner[two[mine]]), both[mine])
+                    if len(held) * side * side > MOST_CELLS:
+                        yield rows()
         yield rows()
 
-    return pairs.mapInPandas(run, "part int, i int, j int, tile array<double>")
+    return placed.repartition("scan").sortWithinPartitions("scan").mapInPandas(run, "part int, i int, j int, tile array<double>")
+
+
+def dirty_map(factors: DataFrame, side: int) -> DataFrame:
+    """(row, dirty): P' N^-1 d."""
+    long = factors.where("j = -1").select("i", F.posexplode("tile").alias("_k", "_d"))
+    return long.groupBy((F.col("i").cast("long") * side + F.col("_k")).alias("row")).agg(F.sum("_d").alias("dirty"))
 
 
 def sum_tiles(stage: Stage, partial: DataFrame, fan: int = 64) -> DataFrame:
@@ -141,15 +158,12 @@ def sum_tiles(stage: Stage, partial: DataFrame, fan: int = 64) -> DataFrame:
             return partial.select("i", "j", "tile")
 
 
-def inverse_noise(stage: Stage, placed: DataFrame, factors: DataFrame, n: int, side: int, prior: float) -> DataFrame:
+def inverse_noise(stage: Stage, factors: DataFrame, n: int, side: int, prior: float) -> DataFrame:
     """Tiles with i >= j of P' N^-1 P plus the prior; rows that fill up the last tile are 1 on the diagonal."""
-    filled = -(-n // side) * side
-    entries = thermal_entries(placed, prior)
-    if filled > n:
-        pad = placed.sparkSession.range(n, filled).select(F.col("id").alias("row"), F.col("id").alias("col"), F.lit(1.0).alias("value"))
-        entries = entries.unionByName(pad)
-    thermal = factor.tiles(entries, side).where("i >= j").select(F.lit(0).alias("part"), "i", "j", "tile")
-    return sum_tiles(stage, stage(low_rank_tiles(factors, side).unionByName(thermal)))
+    row = F.col("id")
+    diagonal = factors.sparkSession.range(-(-n // side) * side).select(row.alias("row"), row.alias("col"), F.when(row < n, prior).otherwise(1.0).alias("value"))
+    own = factor.tiles(diagonal, side).select(F.lit(0).alias("part"), "i", "j", "tile")
+    return sum_tiles(stage, factors.where("j >= 0").unionByName(own))
 
 
 def tile_entries(tiles: DataFrame, n: int, side: int) -> DataFrame:
@@ -185,10 +199,9 @@ def joint_map(stage: Stage, samples: DataFrame, model: NoiseModel, n_chan: int,
     """
     rows = stage(unknowns(samples))
     n = rows.count()
-    placed = stage(pointed(samples, rows))
-    factors = stage(scan_factors(placed, model, n_chan, side))
+    factors = stage(scan_factors(pointed(samples, rows), model, n_chan, side))
     dirty = stage(dirty_map(factors, side))
-    tiles = inverse_noise(stage, placed, factors, n, side, prior)
+    tiles = inverse_noise(stage, factors, n, side, prior)
     clean = clean_rows(stage, tiles, dirty, n, side, noise)
     out = rows.join(dirty, "row").join(clean, "row").drop("row")
     return out if cells is None else cells.select("chan", "p").join(out, ["chan", "p"], "left")

@@ -52,9 +52,8 @@ def two_channels(spark, sf_dir, stage, side: int):
     model = NoiseModel(time_modes=1, frequency_modes=[([1.0, 0.5], None)])
     rows = stage(joint_map.unknowns(samples))
     n = rows.count()
-    placed = stage(joint_map.pointed(samples, rows))
-    factors = stage(joint_map.scan_factors(placed, model, 2, side))
-    return rows, n, joint_map.inverse_noise(stage, placed, factors, n, side, PRIOR)
+    factors = stage(joint_map.scan_factors(joint_map.pointed(samples, rows), model, 2, side))
+    return rows, n, joint_map.inverse_noise(stage, factors, n, side, PRIOR)
 
 
 @query(f"with {TWO} select cast(chan as integer) as chan, p, cast(chan2 as integer) as chan2, p2, round(value, 4) as value from entries")

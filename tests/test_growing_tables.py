@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyquilt.operators import lookup, noise_model
+from skyquilt.operators import joint_map, lookup, noise_model
 from skyquilt.sources import fits as files
 
 
@@ -68,3 +68,16 @@ def test_a_mode_over_channels_sorts_no_samples(spark):
     assert "SortMergeJoin" not in plan(out)
     left = out.groupBy("scan", "t").agg(F.sum(F.col("f") * F.col("nd")).alias("x")).collect()
     assert len(left) == 20 and all(abs(r.x) < 1e-9 for r in left)
+
+
+def test_tasks_hand_over_sums_of_scans(spark):
+    """Tables of tiles do not grow with the scans, whose sums they hold."""
+    s = spark.range(1200).select(F.floor(F.col("id") / 4).alias("scan"), (F.col("id") % 2).cast("int").alias("chan"), F.floor(F.col("id") % 4 / 2).cast("long").alias("t"), F.lit(0).cast("long").alias("p"), F.lit(3.0).alias("value"), F.lit(0.5).alias("var"))
+    model = noise_model.NoiseModel(time_modes=1, big=10.0)
+    out = joint_map.scan_factors(joint_map.pointed(s, joint_map.unknowns(s)), model, 2, 4).collect()
+    assert len(out) <= 4 * 3
+    n = noise_model.scan_noise(model, np.arange(2.0), np.full((2, 2), 2.0))
+    inverse, at = np.linalg.inv(n), np.kron(np.eye(2), np.ones((1, 2)))
+    tile, dirty = (sum(np.array(r.tile) for r in out if r.j == j) for j in (0, -1))
+    assert np.allclose(tile.reshape(4, 4)[:2, :2], 300 * at @ inverse @ at.T)
+    assert np.allclose(dirty[:2], 300 * at @ inverse @ np.full(4, 3.0))
