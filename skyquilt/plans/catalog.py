@@ -352,9 +352,15 @@ def best_frequencies(spark, sf_dir):
 POINTS = GRID + ", points as (select l_orderkey, l_linenumber, max(fi) as fi, max(di) as di, max(l_quantity) as l_quantity, max(value) as value from samples group by all)"
 
 
+#: Samples that a task groups at once.
+GROUPED_ROWS = 500_000
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples with unique keys."""
-    return samples(spark, sf_dir).groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("fi", "di", "l_quantity", "value")])
+    """Samples with unique keys, grouped in parts of about GROUPED_ROWS, so that a task's table does not grow with the input."""
+    s = samples(spark, sf_dir)
+    parts = max(1, -(-s.count() // GROUPED_ROWS))
+    return s.repartition(parts, "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("fi", "di", "l_quantity", "value")])
 
 
 @query(f"with {POINTS} select l_orderkey, l_linenumber, round(s.value - g.value, 6) as value from points s left join grid g on g.fi = s.fi and g.ri = cast(round_even(l_quantity / 5.0, 0) as integer) and g.di = s.di")

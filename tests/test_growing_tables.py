@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyquilt.operators import joint_map, lookup, noise_model
+from skyquilt.plans import catalog
 from skyquilt.sources import fits as files
 
 
@@ -81,3 +82,10 @@ def test_tasks_hand_over_sums_of_scans(spark):
     tile, dirty = (sum(np.array(r.tile) for r in out if r.j == j) for j in (0, -1))
     assert np.allclose(tile.reshape(4, 4)[:2, :2], 300 * at @ inverse @ at.T)
     assert np.allclose(dirty[:2], 300 * at @ inverse @ np.full(4, 3.0))
+
+
+def test_points_are_grouped_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "GROUPED_ROWS", 1000)
+    out = catalog.points(spark, "/root/testdata/sf0.001")
+    sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == -(-catalog.samples(spark, "/root/testdata/sf0.001").count() // 1000) and max(sizes) < 1500
