@@ -185,3 +185,46 @@ def test_hot_word_runs_are_found_like_others(spark, monkeypatch):
     want = sorted(map(tuple, suffixes.repeated_word_runs(df, common.Stage(spark, "w"), 20).collect()))
     monkeypatch.setattr(suffixes, "MOST_HOT_RUNS", 5)
     assert sorted(map(tuple, suffixes.repeated_word_runs(df, common.Stage(spark, "w"), 20).collect())) == want and len(want) >= 42
+
+
+def test_passages_of_over_50_short_words_are_shown(spark, tmp_path, monkeypatch):
+    """The contract's columns follow strings of 400 bytes; those of passages follow runs of 51 words too, in any case and white space."""
+    import re
+
+    from skyquilt.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "CHUNK", 3000)
+    monkeypatch.setattr(suffixes, "CHUNK_WORDS", 300)
+    monkeypatch.setattr(suffixes, "MOST_HOT_RUNS", 5)
+    rng = random.Random(8)
+    own = lambda k: " ".join("".join(rng.choices("abcdéfgh", k=6)) for _ in range(k))
+    rows: list[str | None] = [None, "", "la " * 70, "LA\n" * 60, "x" * 9000]
+    passages = {n: " ".join("".join(rng.choices("ijklmnop", k=3)) for _ in range(n)) for n in (50, 51, 52, 60)}
+    for p in passages.values():
+        rows += [f"{own(rng.randint(5, 900))} {p} {own(20)}", f"{own(9)}\n{p.upper()}\t\t{own(3)}", p.replace(" ", "  ") + " " + own(9), f"{own(4)} {p} {own(2)} {p}"]
+    rows += [own(60)] * 2 + [own(55)[:399]] + [own(700)] * 3 + [own(300)]
+    long = own(700)
+    rows += [long, long.replace(long[2000:2006], "changed", 1), own(5) + " " + long[900:1500]] + [f"{own(3)} {passages[52]} {own(k % 3)}" for k in range(12)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op4_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    data = [(t or "").encode() for t in rows]
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in data]
+    runs = [[tuple(b[x:y].lower() for x, y in s[i : i + 51]) for i in range(len(s) - 50)] for b, s in zip(data, words)]
+    seen = collections.Counter(r for rs in runs for r in rs)
+    strings = collections.Counter(b[i : i + 400] for b in data for i in range(len(b) - 399))
+    assert sorted(got) == list(range(len(rows)))
+    for i, (b, s, rs) in enumerate(zip(data, words, runs)):
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 399):
+            if strings[b[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), gone.sum(), len(suffixes.runs(gone)), hashlib.sha256(kept).hexdigest())
+        for k, r in enumerate(rs):
+            if seen[r] > 1:
+                gone[s[k][0] : s[k + 50][1]] = True
+        assert (got[i].passage_bytes, got[i].n_passages) == (gone.sum(), len(suffixes.runs(gone)))
+        assert got[i].passage_text == (None if rows[i] is None else np.frombuffer(b, np.uint8)[~gone].tobytes().decode(errors="ignore"))
+    for n, p in passages.items():
+        left = sum(p in " ".join((r.passage_text or "").lower().split()) for r in got.values())
+        assert left == (4 if n == 50 else 0)
