@@ -505,6 +505,19 @@ def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _run_keys(h: np.ndarray, n_words: int) -> list[np.ndarray]:
+    """Two independent 64-bit keys of every run of ``n_words`` word hashes."""
+    n = max(0, len(h) - n_words + 1)
+    keys = []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        word, key = mix(h ^ np.uint64(seed)), np.zeros(n, np.uint64)
+        for k in range(n_words):
+            key *= np.uint64(seed)
+            key += word[k : k + n]
+        keys.append(mix(key))
+    return keys
+
+
 def _passage_segments(texts: list[bytes], n_words: int) -> Iterator[tuple]:
     """Part by part: text number, first byte, size, anchor, whether it has several anchors, and bytes of the segments of runs of ``n_words`` words."""
     held: list[int] = []
@@ -555,12 +568,19 @@ def passage_ranges(docs: DataFrame, stage: Stage, n_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s1, s2, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                h, begin, end = _hash_words(data)
-                raw, n = h.tobytes(), len(h) - n_words + 1
-                keys = _keys(raw[8 * i : 8 * (i + n_words)] for i in range(n))
-                cols = (np.full(n, s1), np.full(n, s2), np.arange(n), begin[:n], end[n_words - 1 :], keys[:, 0], keys[:, 1])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s1", "s2", "place", "begin", "end", "k1", "k2"])
+            parts = batch.column(2).to_pylist()
+            until = np.cumsum([len(x) + 1 for x in parts])
+            h, begin, end = _hash_words(b"\n".join(parts))
+            # A batch's segments are hashed together; runs across two of them are left out.
+            last = np.searchsorted(begin, until)
+            n = np.diff(np.append(0, last)) - n_words + 1
+            which = np.repeat(np.arange(len(parts)), n)
+            place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            at = (last - n - n_words + 1)[which] + place
+            low = np.append(0, until)[which]
+            k1, k2 = (signed(x[at]) for x in _run_keys(h, n_words))
+            cols = (*(batch.column(k).take(pa.array(which)) for k in range(2)), *map(pa.array, (place, begin[at] - low, end[at + n_words - 1] - low, k1, k2)))
+            yield pa.RecordBatch.from_arrays(list(cols), names=["s1", "s2", "place", "begin", "end", "k1", "k2"])
 
     bytes_ = rows.select("p.s1", "p.s2", F.expr("substring(data, cast(p.first + 1 as int), cast(p.size as int))").alias("bytes"))
     starts = stage.write(bytes_.mapInArrow(run, "s1 long, s2 long, place long, begin long, end long, k1 long, k2 long"), "word-runs")
