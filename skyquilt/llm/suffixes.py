@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, WordHash, mix, signed, utf8, words
+from .common import Stage, mix, signed, utf8
 
 LENGTH = 400
 #: Words of the shortest passage that a result by passages leaves out, whatever its bytes: over 50.
@@ -25,6 +25,8 @@ CHUNK, SHARD_BYTES, SEGMENT = 2 << 20, 2 << 20, 1 << 14
 MOST_VARIANTS, NARROW = 16_384, (64, 8, 1)
 #: Partitions of the shards at most; beyond, a partition has several shards, one after another.
 PARTITIONS = 32_768
+#: Bytes of an anchor's segments of words beyond which their runs are counted as rows, not in one task.
+MOST_ANCHOR_BYTES = 4 * SHARD_BYTES
 #: Words of an anchor of a run of words, and words hashed together.
 WORD_ANCHOR, CHUNK_WORDS = 16, 1 << 20
 #: A run of words is hot when it has more than one in so many of all starts; so there are fewer hot runs than that.
@@ -343,6 +345,12 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "t1 long, t2 long, first long, n int, anchor long, self boolean, s1 long, s2 long")
 
 
+def _kinds(found: DataFrame, size: str) -> DataFrame:
+    """The kinds of segments: how many there are of each, and the place of one. All first values are those of one row, as in ``dropDuplicates``."""
+    place = [F.first(c).alias(c) for c in ("t1", "t2", "first", size)]
+    return found.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("copies"), F.max("self").alias("self"), *place)
+
+
 def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Bytes of the wanted segments (t1, t2, first, n, ...). Copies of a text become one row before it meets its segments."""
     by_text = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "n", "anchor", "s1", "s2")).alias("parts"))
@@ -377,6 +385,47 @@ def _narrow(cut: DataFrame, length: int, width: int) -> DataFrame:
     return cut.select("anchor", "s1", "s2", "bytes").mapInArrow(run, "anchor long, p1 long, p2 long, s1 long, s2 long, low int, n int, bytes binary")
 
 
+def _may_repeat(anchors_: np.ndarray, parts: list[bytes], length: int) -> np.ndarray:
+    """Which of the segments (whole strings only, equal strings in equal anchors) can share a string of ``length`` bytes with another one.
+
+    Two equal strings hold the anchor at the same place, so they have at least half of their other bytes in common on
+    one side of it. A segment is left out when neither its half before nor its half behind the anchor occurs
+    under the anchor again. Where a segment has several anchors, all of that anchor stay.
+    """
+    half = -(-(length - ANCHOR) // 2)
+    size = np.array([len(p) for p in parts], np.int64)
+    several, keys = np.zeros(len(parts), bool), np.zeros((2, len(parts)), np.uint64)
+    known = np.zeros((2, len(parts)), bool)
+    cut = np.searchsorted(np.cumsum(size), np.arange(CHUNK, size.sum() + CHUNK, CHUNK), side="right").tolist()
+    for a, b in zip([0, *cut], [*cut, len(parts)], strict=True):
+        if a == b:
+            continue
+        ends = np.cumsum(size[a:b])
+        begin = ends - size[a:b]
+        symbols = _TABLE[np.frombuffer(b"".join(parts[a:b]), np.uint8)]
+        place, h, _ = _places(symbols, ends, length, ANCHOR)
+        at = place[begin]
+        several[a:b] = at != place[ends - length]
+        # Of ANCHOR + half bytes: by twice as many as far as they go, then by two that overlap.
+        k = ANCHOR
+        while 2 * k <= ANCHOR + half:
+            h = mix(h[:-k] * np.uint64(0x9E3779B97F4A7C15) + h[k:])
+            k *= 2
+        over = ANCHOR + half - k
+        for side, (start, ok) in enumerate(((at - half, at - half >= begin), (at, at + ANCHOR + half <= ends))):
+            x = start[ok]
+            known[side, a:b] = ok
+            keys[side, a:b][ok] = mix(h[x] * np.uint64(0xC2B2AE3D27D4EB4F) + h[x + over])
+    use = np.isin(anchors_, anchors_[several])
+    for side in range(2):
+        have = np.flatnonzero(known[side])
+        by = have[np.lexsort((keys[side, have], anchors_[have]))]
+        same = (anchors_[by[1:]] == anchors_[by[:-1]]) & (keys[side, by[1:]] == keys[side, by[:-1]])
+        use[by[1:][same]] = True
+        use[by[:-1][same]] = True
+    return use
+
+
 def _repeats_in(stage: Stage, cut: DataFrame, length: int, step: int = 0) -> DataFrame:
     """(s1, s2, low, high): starting places of the segments (anchor, s1, s2, bytes) whose strings start elsewhere in a segment of the anchor.
 
@@ -390,6 +439,7 @@ def _repeats_in(stage: Stage, cut: DataFrame, length: int, step: int = 0) -> Dat
 
     def sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["anchor", "s1", "s2"], kind="stable")
+        pdf = pdf[_may_repeat(pdf["anchor"].to_numpy(), list(pdf["bytes"]), length)]
         rows = [(s1, s2, a, b) for s1, s2, flags in zip(pdf["s1"], pdf["s2"], repeated_starts(list(pdf["bytes"]), length), strict=True) for a, b in runs(flags)]
         return pd.DataFrame(rows, columns=["s1", "s2", "low", "high"])
 
@@ -408,78 +458,6 @@ def _repeats_in(stage: Stage, cut: DataFrame, length: int, step: int = 0) -> Dat
     return out.unionByName(parts.join(found, ["p1", "p2"]).select("s1", "s2", (F.col("low") + F.col("l")).alias("low"), (F.col("low") + F.col("h")).alias("high")))
 
 
-def _word_segments(docs: DataFrame, n_words: int) -> DataFrame:
-    """For every text (t1, t2) its runs of starting words whose runs of ``n_words`` words share an anchor: first word, number, anchor, and whether they hold it several times."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
-
-        def rows(held: list[np.ndarray], names: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            ends = np.cumsum([len(x) for x in held])
-            first, count, anchor, several = _anchored(np.concatenate(held), ends, n_words, WORD_ANCHOR)
-            which = np.searchsorted(ends, first, side="right")
-            t1, t2, s = np.array(names, np.int64).T
-            base = s - (ends - np.diff(np.append(0, ends)))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[which], t2[which], first + base[which], count, signed(anchor), several)], names=["t1", "t2", "first", "n", "anchor", "self"])
-
-        for batch in batches:
-            held, names, size = [], [], 0
-            for t1, t2, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                h = hashes.of(words(utf8(text)))
-                for s in range(0, len(h) - n_words + 1, CHUNK_WORDS):
-                    part = h[s : s + CHUNK_WORDS + n_words - 1]
-                    if held and size + len(part) > CHUNK_WORDS:
-                        yield rows(held, names)
-                        held, names, size = [], [], 0
-                    held.append(part)
-                    names.append((t1, t2, s))
-                    size += len(part)
-            if held:
-                yield rows(held, names)
-
-    texts = docs.select(*_text_keys("text"), "text").where(F.octet_length("text") >= 2 * n_words - 1)
-    return texts.mapInArrow(run, "t1 long, t2 long, first long, n long, anchor long, self boolean")
-
-
-def repeated_word_runs(docs: DataFrame, stage: Stage, n_words: int) -> DataFrame:
-    """(t1, t2, begin, end): byte ranges under runs of ``n_words`` words that also start elsewhere, in the same or another row.
-
-    Words are those of ``common.words``, so case and the kind of white space do not count. Equal runs share
-    the hash of their anchor, the 16 words of least hash in them. Anchors are counted first; only the runs
-    whose anchor occurs twice are then counted themselves, by a 128-bit key.
-    """
-    found = stage.write(_word_segments(docs, n_words), "word-segments")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("self").alias("any")).where("n > 1 or any").select("anchor")
-    chosen = found.join(twice, "anchor").select("t1", "t2", "first", "n").distinct()
-    by_text = chosen.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "n")).alias("parts"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
-        for batch in batches:
-            for t1, t2, text, parts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                data = utf8(text)
-                raw = hashes.of(words(data)).tobytes()
-                bounds = np.array([m.span() for m in _WORD.finditer(data)], np.int64)
-                for part in parts:
-                    at = np.arange(part["first"], part["first"] + part["n"])
-                    keys = np.frombuffer(b"".join(hashlib.blake2b(raw[8 * i : 8 * (i + n_words)], digest_size=16).digest() for i in at.tolist()), np.int64).reshape(-1, 2)
-                    cols = (np.full(len(at), t1), np.full(len(at), t2), at, bounds[at, 0], bounds[at + n_words - 1, 1], keys[:, 0], keys[:, 1])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["t1", "t2", "place", "begin", "end", "k1", "k2"])
-
-    texts = docs.select(*_text_keys("text"), "text").join(by_text, ["t1", "t2"])
-    starts = stage.write(texts.mapInArrow(run, "t1 long, t2 long, place long, begin long, end long, k1 long, k2 long"), "word-runs")
-    counts = stage.write(starts.groupBy("k1", "k2").count().where("count > 1"), "word-counts")
-    # Runs with more than a share of all starts are few, whatever the corpus: they go to all tasks, and their starts stay where they are.
-    share = max(MOST_HOT_RUNS, starts.count() // MOST_HOT_RUNS)
-    hot = F.broadcast(counts.where(F.col("count") > share).select("k1", "k2"))
-    rest = starts.join(hot, ["k1", "k2"], "left_anti").join(counts.where(F.col("count") <= share).select("k1", "k2"), ["k1", "k2"])
-    places = ["t1", "t2", "place", "begin", "end"]
-    hits = starts.join(hot, ["k1", "k2"], "left_semi").select(*places).unionByName(rest.select(*places)).distinct()
-    # Neighbouring starts make one range.
-    order = F.row_number().over(Window.partitionBy("t1", "t2").orderBy("place"))
-    return hits.withColumn("island", F.col("place") - order).groupBy("t1", "t2", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
-
-
 def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of ``data`` (those of ``common.words``): hashes without regard to the case of A-Z, first byte and end."""
     found = []
@@ -540,12 +518,65 @@ def _passage_segments(texts: list[bytes], n_words: int) -> Iterator[tuple]:
             size += len(t)
 
 
-def passage_ranges(docs: DataFrame, stage: Stage, n_words: int) -> DataFrame:
-    """The ranges of ``repeated_word_runs``, by segments as for strings: a segment that occurs twice with the same bytes is repeated as a whole.
+def _runs_in(parts: list[bytes], n_words: int) -> tuple[np.ndarray, ...]:
+    """Every run of ``n_words`` words of the parts: part, place in it, first byte and end in it, two keys. A batch's parts are hashed together; runs across two of them are left out."""
+    until = np.cumsum(np.array([len(x) + 1 for x in parts], np.int64))
+    h, begin, end = _hash_words(b"\n".join(parts))
+    last = np.searchsorted(begin, until)
+    n = np.diff(np.append(0, last)) - n_words + 1
+    which = np.repeat(np.arange(len(parts)), n)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    at = (last - n - n_words + 1)[which] + place
+    low = np.append(0, until)[which]
+    return which, place, begin[at] - low, end[at + n_words - 1] - low, *(signed(x[at]) for x in _run_keys(h, n_words))
+
+
+def _count_runs(parts: list[bytes], n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges under runs of ``n_words`` words that occur twice in the parts: part, first byte and end in it. Neighbouring runs make one."""
+    which, place, begin, end, k1, k2 = _runs_in(parts, n_words)
+    by = np.lexsort((k2, k1))
+    same = (k1[by[1:]] == k1[by[:-1]]) & (k2[by[1:]] == k2[by[:-1]])
+    hit = np.zeros(len(by), bool)
+    hit[by[1:][same]] = True
+    hit[by[:-1][same]] = True
+    at = np.flatnonzero(hit)
+    apart = (which[at[1:]] != which[at[:-1]]) | (place[at[1:]] != place[at[:-1]] + 1)
+    edge = np.flatnonzero(np.concatenate([[len(at) > 0], apart, [len(at) > 0]]))
+    first, last = at[edge[:-1]], at[edge[1:] - 1]
+    return which[first], begin[first], end[last]
+
+
+def _listed_runs(stage: Stage, cut: DataFrame, n_words: int) -> DataFrame:
+    """(s1, s2, low, high): the same for segments (s1, s2, bytes) that are too many for a task. Their runs are rows, counted by their keys."""
 
-    Only segments whose anchor has several kinds of them (or which hold it several times) are cut out, one of each
-    kind, and their runs counted by 128-bit keys. So long copies are not listed word by word, and copies of a text
-    are counted by their segments only.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, *cols = _runs_in(batch.column(2).to_pylist(), n_words)
+            keys = [batch.column(k).take(pa.array(which)) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, cols)], names=["s1", "s2", "place", "begin", "end", "k1", "k2"])
+
+    starts = stage.write(cut.select("s1", "s2", "bytes").mapInArrow(run, "s1 long, s2 long, place long, begin long, end long, k1 long, k2 long"), "word-runs")
+    counts = stage.write(starts.groupBy("k1", "k2").count().where("count > 1"), "word-counts")
+    # Runs with more than a share of all starts are few, whatever the corpus: they go to all tasks, and their starts stay where they are.
+    share = max(MOST_HOT_RUNS, starts.count() // MOST_HOT_RUNS)
+    hot = F.broadcast(counts.where(F.col("count") > share).select("k1", "k2"))
+    rest = starts.join(hot, ["k1", "k2"], "left_anti").join(counts.where(F.col("count") <= share).select("k1", "k2"), ["k1", "k2"])
+    places = ["s1", "s2", "place", "begin", "end"]
+    hits = starts.join(hot, ["k1", "k2"], "left_semi").select(*places).unionByName(rest.select(*places))
+    # Neighbouring starts make one range.
+    order = F.row_number().over(Window.partitionBy("s1", "s2").orderBy("place"))
+    return hits.withColumn("island", F.col("place") - order).groupBy("s1", "s2", "island").agg(F.min("begin").alias("low"), F.max("end").alias("high")).drop("island")
+
+
+def repeated_word_runs(docs: DataFrame, stage: Stage, n_words: int) -> DataFrame:
+    """(t1, t2, begin, end): byte ranges under runs of ``n_words`` words that also start elsewhere, in the same or another row; ranges of one text may meet.
+
+    Words are those of ``common.words``, so case and the kind of white space do not count. Equal runs share the
+    hash of their anchor, the 16 words of least hash in them. Segments are as for strings: runs of starting words that
+    share the anchor. One that occurs twice with the same bytes is repeated as a whole. Only segments whose anchor has
+    several kinds of them (or which hold it several times) are cut out, one of each kind. Anchors make shards of
+    bounded size; a task counts its shards' runs by 128-bit keys and gives ranges, so runs do not become rows, except
+    those of anchors whose segments have over MOST_ANCHOR_BYTES.
     """
     texts = docs.where(F.octet_length("text") >= 2 * n_words - 1)
 
@@ -560,42 +591,26 @@ def passage_ranges(docs: DataFrame, stage: Stage, n_words: int) -> DataFrame:
     twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("self").alias("any")).where("n > 1 or any").select("anchor")
     shared = stage.write(found.join(twice, "anchor"), "word-shared")
     stage.drop("word-segments")
-    kinds = shared.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("copies"), F.max("self").alias("self"), F.min(F.struct("t1", "t2", "first", "size")).alias("at"))
-    kinds = stage.write(kinds, "word-kinds")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("variants"), F.max("self").alias("any")).where("variants > 1 or any").select("anchor")
-    by_text = kinds.join(several, "anchor").select("s1", "s2", "at.*").groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "size", "s1", "s2")).alias("parts"))
+    kinds = stage.write(_kinds(shared, "size"), "word-kinds")
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("variants"), F.max("self").alias("any"), F.sum("size").alias("bytes")).where("variants > 1 or any")
+    several = kinds.join(several.select("anchor", (F.col("bytes") > MOST_ANCHOR_BYTES).alias("hot")), "anchor")
+    by_text = several.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "hot", "first", "size", "s1", "s2")).alias("parts"))
     rows = texts.groupBy(*_text_keys("text")).agg(F.first("text").cast("binary").alias("data")).join(by_text, ["t1", "t2"]).select("data", F.explode("parts").alias("p"))
+    bytes_ = F.expr("substring(data, cast(p.first + 1 as int), cast(p.size as int))").alias("bytes")
+    parts = stage.write(rows.select("p.anchor", "p.hot", "p.s1", "p.s2", bytes_), "word-cut")
+    size, many = parts.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.length("bytes"))), F.lit(0)), F.count_if("hot")).first()
+    shards = max(1, -(-size // SHARD_BYTES))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = batch.column(2).to_pylist()
-            until = np.cumsum([len(x) + 1 for x in parts])
-            h, begin, end = _hash_words(b"\n".join(parts))
-            # A batch's segments are hashed together; runs across two of them are left out.
-            last = np.searchsorted(begin, until)
-            n = np.diff(np.append(0, last)) - n_words + 1
-            which = np.repeat(np.arange(len(parts)), n)
-            place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            at = (last - n - n_words + 1)[which] + place
-            low = np.append(0, until)[which]
-            k1, k2 = (signed(x[at]) for x in _run_keys(h, n_words))
-            cols = (*(batch.column(k).take(pa.array(which)) for k in range(2)), *map(pa.array, (place, begin[at] - low, end[at + n_words - 1] - low, k1, k2)))
-            yield pa.RecordBatch.from_arrays(list(cols), names=["s1", "s2", "place", "begin", "end", "k1", "k2"])
-
-    bytes_ = rows.select("p.s1", "p.s2", F.expr("substring(data, cast(p.first + 1 as int), cast(p.size as int))").alias("bytes"))
-    starts = stage.write(bytes_.mapInArrow(run, "s1 long, s2 long, place long, begin long, end long, k1 long, k2 long"), "word-runs")
-    counts = stage.write(starts.groupBy("k1", "k2").count().where("count > 1"), "word-counts")
-    # Runs with more than a share of all starts are few, whatever the corpus: they go to all tasks, and their starts stay where they are.
-    share = max(MOST_HOT_RUNS, starts.count() // MOST_HOT_RUNS)
-    hot = F.broadcast(counts.where(F.col("count") > share).select("k1", "k2"))
-    rest = starts.join(hot, ["k1", "k2"], "left_anti").join(counts.where(F.col("count") <= share).select("k1", "k2"), ["k1", "k2"])
-    places = ["s1", "s2", "place", "begin", "end"]
-    hits = starts.join(hot, ["k1", "k2"], "left_semi").select(*places).unionByName(rest.select(*places))
-    # Neighbouring starts make one range.
-    order = F.row_number().over(Window.partitionBy("s1", "s2").orderBy("place"))
-    islands = hits.withColumn("island", F.col("place") - order).groupBy("s1", "s2", "island").agg(F.min("begin").alias("low"), F.max("end").alias("high")).drop("island")
-    whole = kinds.where("copies > 1").select("s1", "s2", F.lit(0).cast("long").alias("low"), F.col("at.size").alias("high"))
-    spans = stage.write(whole.unionByName(islands), "word-spans")
+    def count_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, low, high = _count_runs(list(pdf["bytes"]), n_words)
+        return pd.DataFrame({"s1": pdf["s1"].to_numpy()[part], "s2": pdf["s2"].to_numpy()[part], "low": low, "high": high})
+
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
+    spans = parts.where("not hot").select("s1", "s2", "bytes", shard).repartition(min(shards, PARTITIONS), "shard").groupBy("shard").applyInPandas(count_shard, "s1 long, s2 long, low long, high long")
+    if many:
+        spans = spans.unionByName(_listed_runs(stage, parts.where("hot"), n_words))
+    whole = kinds.where("copies > 1").select("s1", "s2", F.lit(0).cast("long").alias("low"), F.col("size").alias("high"))
+    spans = stage.write(whole.unionByName(spans), "word-spans")
     return shared.join(spans, ["s1", "s2"]).select("t1", "t2", (F.col("first") + F.col("low")).alias("begin"), (F.col("first") + F.col("high")).alias("end")).distinct()
 
 
@@ -610,11 +625,10 @@ def _string_ranges(docs: DataFrame, stage: Stage, length: int) -> DataFrame:
     and the permuted shared prefixes, which give the starting places that repeat.
     """
     found = stage.write(_segment_rows(docs, length), "segments")
-    kinds = found.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("copies"), F.max("self").alias("self"), F.min(F.struct("t1", "t2", "first", "n")).alias("at"))
-    kinds = stage.write(kinds, "kinds")
+    kinds = stage.write(_kinds(found, "n"), "kinds")
     shared = kinds.groupBy("anchor").agg(F.count("*").alias("variants"), F.max("self").alias("any")).where("variants > 1 or any").select("anchor")
-    several = kinds.select("anchor", "s1", "s2", "at.*").join(shared, "anchor")
-    whole = kinds.where("copies > 1").select("s1", "s2", F.lit(0).alias("low"), (F.col("at.n") - 1).cast("int").alias("high"))
+    several = kinds.select("anchor", "s1", "s2", "t1", "t2", "first", "n").join(shared, "anchor")
+    whole = kinds.where("copies > 1").select("s1", "s2", F.lit(0).alias("low"), (F.col("n") - 1).cast("int").alias("high"))
     spans = stage.write(whole.unionByName(_repeats_in(stage, _cut_out(docs, several, length), length)), "spans")
     stage.drop("kinds")
     stage.drop("cut-0")
@@ -646,10 +660,10 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, n_words: int = 0, p
     of_text = stage.write(of_text, "ranges")
     stage.drop("segments")
     stage.drop("spans")
-    passages = _merged(of_text.unionByName(passage_ranges(docs, stage, passage_words))).withColumnRenamed("spans", "passages")
+    passages = _merged(of_text.unionByName(repeated_word_runs(docs, stage, passage_words))).withColumnRenamed("spans", "passages")
     out = stage.write(passages.join(_merged(of_text), ["t1", "t2"], "left"), "merged")
     stage.drop("word-shared")
-    stage.drop("word-runs")
+    stage.drop("word-cut")
     return out
 
 

@@ -187,6 +187,76 @@ def test_hot_word_runs_are_found_like_others(spark, monkeypatch):
     assert sorted(map(tuple, suffixes.repeated_word_runs(df, common.Stage(spark, "w"), 20).collect())) == want and len(want) >= 42
 
 
+def test_runs_of_one_anchors_variants_are_counted_in_tasks(spark, monkeypatch):
+    """Near copies of a passage have one kind of segment each; their runs of words are no rows of a staged or exchanged table."""
+    from skyquilt.llm import suffixes
+
+    rng = random.Random(5)
+    body = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(i, " ".join(f"own{i}" if k == 20 + i % 110 else w for k, w in enumerate(body))) for i in range(220)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tables = {}
+    write = common.Stage.write
+
+    def counted(self, frame, name):
+        out = write(self, frame, name)
+        tables[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common.Stage, "write", counted)
+    want = {(i, " ".join(words[k : k + 51])) for i, words in ((i, t.split()) for i, t in rows) for k in range(100)}
+    seen = collections.Counter(r for _, r in want)
+    texts = {r.t1: r.text for r in df.select(suffixes._text_keys("text")[0], "text").collect()}
+
+    def found():
+        gone = {t: np.zeros(len(t), bool) for t in texts.values()}
+        for r in suffixes.repeated_word_runs(df, common.Stage(spark, "w"), 51).collect():
+            gone[texts[r.t1]][r.begin : r.end] = True
+        return {t: suffixes.runs(x) for t, x in gone.items()}
+
+    got = found()
+    for t in texts.values():
+        x, words = np.zeros(len(t), bool), t.split()
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        for k in range(100):
+            if seen[" ".join(words[k : k + 51])] > 1:
+                x[ends[k] - len(words[k]) : ends[k + 50]] = True
+        assert got[t] == suffixes.runs(x)
+    assert max(tables.values()) <= 1.2 * tables["word-segments"]  # before: each kind's runs, many times as many
+    monkeypatch.setattr(suffixes, "MOST_ANCHOR_BYTES", 2000)
+    assert found() == got and tables["word-runs"] > 0
+
+
+def test_segments_that_share_only_their_anchor_are_not_sorted(monkeypatch):
+    """Texts with a phrase in common have segments under its anchor; only those that share half a string beside it are sorted."""
+    from skyquilt.llm import suffixes
+
+    rng = random.Random(6)
+    own = lambda k: "".join(rng.choices("abcdefgh ", k=k)).encode()
+    phrase, long = own(200), own(420)
+    alone = [own(500) + phrase + own(500) for _ in range(40)]
+    near = [own(300) + long[: 350 + 5 * k] + own(300) for k in range(14)] + [own(300) + long[20 + k :] + own(9) for k in range(3)] + [long, b"ab" * 600, own(5) + b"ab" * 300]
+
+    def parts(texts):
+        named = collections.defaultdict(dict)
+        for *_, anchor, several, raw in suffixes.segments(texts, 400):
+            for a, s, r in zip(anchor.tolist(), several.tolist(), raw, strict=True):
+                named[a][bytes(r)] = s
+        chosen = [(a, r) for a, v in named.items() if len(v) > 1 or any(v.values()) for r in v]
+        return np.array([a for a, _ in chosen], np.uint64).view(np.int64), [r for _, r in chosen]
+
+    anchors, cut = parts(alone)
+    assert len(cut) >= 20 and not suffixes._may_repeat(anchors, cut, 400).any()
+    anchors, cut = parts(alone + near)
+    repeated = suffixes.repeated_starts(cut, 400)
+    for chunk in (700, 20_000, 1 << 21):
+        monkeypatch.setattr(suffixes, "CHUNK", chunk)
+        use = suffixes._may_repeat(anchors, cut, 400)
+        assert not use.all() and all(u for u, w in zip(use, repeated, strict=True) if w.any())
+        left = iter(suffixes.repeated_starts([r for r, u in zip(cut, use, strict=True) if u], 400))
+        assert all(np.array_equal(w, next(left)) if u else not w.any() for u, w in zip(use, repeated, strict=True))
+
+
 def test_passages_of_over_50_short_words_are_shown(spark, tmp_path, monkeypatch):
     """The contract's columns follow strings of 400 bytes; those of passages follow runs of 51 words too, in any case and white space."""
     import re
