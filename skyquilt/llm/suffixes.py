@@ -20,7 +20,7 @@ PASSAGE_WORDS = 51
 #: Bytes of an anchor: within every string of LENGTH bytes the anchor of least hash decides on the string's shard.
 ANCHOR = 32
 #: Bytes of text hashed together, of a shard, and starting places of a segment.
-CHUNK, SHARD_BYTES, SEGMENT = 2 << 20, 2 << 20, 1 << 14
+CHUNK, SHARD_BYTES, SEGMENT = 1 << 18, 2 << 20, 1 << 14
 #: Variants of one anchor beyond which its segments are divided, and the starting places of their parts, step by step.
 MOST_VARIANTS, NARROW = 16_384, (64, 8, 1)
 #: Partitions of the shards at most; beyond, a partition has several shards, one after another.
